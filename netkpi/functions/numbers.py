@@ -1,4 +1,8 @@
-"""Counter texts to numbers, and the rounding of KPIs."""
+"""Counter texts to numbers, and the rounding of KPIs.
+
+Reports have dozens of counters, so the expressions are written as SQL text: one
+parsed expression per column instead of a chain of column calls.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,12 @@ MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+_MISSING_SQL = "(" + ", ".join(f"'{m}'" for m in MISSING) + ")"
+
+
+def quoted(name: str) -> str:
+    """A column name for use in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def text_or_null(text: Column) -> Column:
@@ -19,31 +29,27 @@ def text_or_null(text: Column) -> Column:
     return F.when(~text.isin(*MISSING), text)
 
 
-def counter_value(text: Column, strict: bool = True) -> Column:
-    """``NIL`` is 0, a missing cell is NULL, other texts are numbers.
+def counter_value(name: str, strict: bool = True) -> str:
+    """SQL for a text column: ``NIL`` is 0, a missing cell is NULL, other texts are numbers.
 
     A text that is no number fails the job, or becomes NULL with ``strict=False``
     (see :func:`is_junk` for finding such cells).
     """
-    trimmed = F.trim(text)
-    number = trimmed.try_cast("double")
+    text = f"trim({quoted(name)})"
+    number = f"try_cast({text} AS DOUBLE)"
     if strict:
-        number = F.coalesce(
-            number, F.raise_error(F.concat(F.lit("not a number: "), trimmed)).cast("double")
-        )
-    return F.when(trimmed == NIL, F.lit(0.0)).when(~trimmed.isin(*MISSING), number)
+        number = f"coalesce({number}, CAST(raise_error(concat('not a number: ', {text})) AS DOUBLE))"
+    return f"CASE WHEN {text} = '{NIL}' THEN 0D WHEN {text} NOT IN {_MISSING_SQL} THEN {number} END"
 
 
-def is_junk(text: Column) -> Column:
-    """True for a cell that is neither a number nor ``NIL`` nor missing."""
-    trimmed = F.trim(text)
-    known = trimmed.isin(NIL, *MISSING) | trimmed.try_cast("double").isNotNull()
-    return F.coalesce(~known, F.lit(False))
+def is_junk(name: str) -> str:
+    """SQL: true for a cell that is neither a number nor ``NIL`` nor missing."""
+    text = f"trim({quoted(name)})"
+    return f"coalesce({text} <> '{NIL}' AND {text} NOT IN {_MISSING_SQL} AND try_cast({text} AS DOUBLE) IS NULL, false)"
 
 
-def round_even(value: Column, digits: int) -> Column:
-    """Round half to even (``round`` of Spark rounds half up)."""
+def round_even(value: str, digits: int) -> str:
+    """SQL: round half to even (``round`` of Spark rounds half up)."""
     if digits == 0:
-        return F.rint(value)
-    scale = 10**digits
-    return F.rint(value * scale) / scale
+        return f"rint({value})"
+    return f"rint(({value}) * {10**digits}) / {10**digits}"

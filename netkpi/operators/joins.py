@@ -16,8 +16,8 @@ _MISSING = "_missing"
 def _collapsed(rows: DataFrame, measures: Measures, keys: Sequence[str], rows_column: str) -> DataFrame:
     """One partial per key. Missing keys become '' plus a bit in ``_missing``, so that plain
     equality on the result is null-safe equality on the input."""
-    bits = reduce(lambda a, b: a + b, [F.col(k).isNull().cast("int") * 2**i for i, k in enumerate(keys)])
-    marked = rows.withColumn(_MISSING, bits).withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
+    bits = " + ".join(f"CAST({k} IS NULL AS INT) * {2**i}" for i, k in enumerate(keys))
+    marked = rows.withColumn(_MISSING, F.expr(bits)).withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
     return marked.groupBy("hour_ts", *keys, _MISSING).agg(*measures.of_rows(), F.count("*").alias(rows_column))
 
 
@@ -35,18 +35,12 @@ def join_reports(sides: Sequence[tuple[DataFrame, Measures]], keys: Sequence[str
     collapsed = [_collapsed(df, m, keys, n) for (df, m), n in zip(sides, counts, strict=True)]
     joined = reduce(lambda a, b: a.join(b, ["hour_ts", *keys, _MISSING]), collapsed)
 
-    def product(names: Sequence[str]):
-        return reduce(lambda a, b: a * b, [F.col(n) for n in names])
-
-    scaled = {}
+    restored = [f"CASE WHEN {_MISSING} & {2**i} = 0 THEN {k} END AS {k}" for i, k in enumerate(keys)]
+    values = []
     for i, (_, measures) in enumerate(sides):
-        others = [n for j, n in enumerate(counts) if j != i]
-        if others:
-            scaled.update(measures.scaled(product(others)))
-    missing = F.col(_MISSING)
-    restored = {k: F.when(missing.bitwiseAND(2**i) == 0, F.col(k)) for i, k in enumerate(keys)}
-    out = joined.withColumns({**scaled, **restored, "joined_rows": product(counts)})
-    return out.drop(_MISSING, *counts)
+        others = " * ".join(n for j, n in enumerate(counts) if j != i) or "1"
+        values += measures.scaled(f"({others})")
+    return joined.selectExpr("hour_ts", *restored, *values, f"{' * '.join(counts)} AS joined_rows")
 
 
 def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

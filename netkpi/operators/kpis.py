@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from netkpi.functions.numbers import round_even
 from netkpi.operators.measures import Measures
@@ -43,11 +42,10 @@ class Kpi:
 def with_kpis(groups: DataFrame, measures: Measures, kpis: Sequence[Kpi], keys: Sequence[str]) -> DataFrame:
     """Keys and KPIs of grouped counters; everything else is dropped."""
 
-    def value(kpi: Kpi):
-        raw = F.expr(kpi.sql)
-        return raw if kpi.digits is None else round_even(raw, kpi.digits)
+    def value(kpi: Kpi) -> str:
+        rounded = kpi.sql if kpi.digits is None else round_even(kpi.sql, kpi.digits)
+        return f"{rounded} AS {kpi.column}"
 
-    means = {f"mean_{c}": F.try_divide(F.col(c), F.col(f"n_{c}")) for c in measures.counts}
-    ready = groups.withColumns({**means, **measures.filled()})
-    first = ready.withColumns({k.column: value(k) for k in kpis if not k.of_kpis})
-    return first.select(*keys, *[value(k).alias(k.column) if k.of_kpis else F.col(k.column) for k in kpis])
+    ready = groups.selectExpr(*keys, *measures.finished())
+    first = ready.selectExpr("*", *[value(k) for k in kpis if not k.of_kpis])
+    return first.selectExpr(*keys, *[value(k) if k.of_kpis else k.column for k in kpis])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,25 +25,35 @@ class Measures:
 
     def of_rows(self) -> list[Column]:
         """Aggregates that turn rows into a partial."""
-        return (
-            [F.sum(c).alias(c) for c in self.sums]
-            + [F.count(c).alias(f"n_{c}") for c in self.counts]
-            + [F.max(c).alias(f"max_{c}") for c in self.maxima]
+        return _columns(
+            [f"sum({c}) AS {c}" for c in self.sums]
+            + [f"count({c}) AS n_{c}" for c in self.counts]
+            + [f"max({c}) AS max_{c}" for c in self.maxima]
         )
 
     def of_partials(self) -> list[Column]:
         """Aggregates that merge partials."""
-        return (
-            [F.sum(c).alias(c) for c in self.sums]
-            + [F.sum(f"n_{c}").alias(f"n_{c}") for c in self.counts]
-            + [F.max(f"max_{c}").alias(f"max_{c}") for c in self.maxima]
+        return _columns(
+            [f"sum({c}) AS {c}" for c in self.sums]
+            + [f"sum(n_{c}) AS n_{c}" for c in self.counts]
+            + [f"max(max_{c}) AS max_{c}" for c in self.maxima]
         )
 
-    def scaled(self, factor: Column) -> dict[str, Column]:
-        """A partial as if each of its rows were there ``factor`` times."""
+    def scaled(self, factor: str) -> list[str]:
+        """SQL for a partial as if each of its rows were there ``factor`` times."""
         added = [*self.sums, *[f"n_{c}" for c in self.counts]]
-        return {c: F.col(c) * factor for c in added}
+        return [f"{c} * {factor} AS {c}" for c in added] + [f"max_{c}" for c in self.maxima]
+
+    def finished(self) -> list[str]:
+        """SQL for a merged partial. The sum of a group without any value is 0; its mean and
+        maximum stay missing."""
+        return (
+            [f"coalesce({c}, 0D) AS {c}" for c in self.sums]
+            + [f"try_divide({c}, n_{c}) AS mean_{c}" for c in self.counts]
+            + [f"n_{c}" for c in self.counts]
+            + [f"max_{c}" for c in self.maxima]
+        )
+
 
-    def filled(self) -> dict[str, Column]:
-        """The sum of a group without any value is 0; mean and maximum stay missing."""
-        return {c: F.coalesce(c, F.lit(0.0)) for c in self.sums}
+def _columns(expressions: list[str]) -> list[Column]:
+    return [F.expr(e) for e in expressions]

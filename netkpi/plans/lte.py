@@ -41,9 +41,9 @@ def read_reports(spark: SparkSession, daily: str, daily1: str, emtc: str, operat
     )
 
 
-def cells(reports: LteReports) -> DataFrame:
+def cells(daily: DataFrame, daily1: DataFrame, emtc: DataFrame) -> DataFrame:
     """The three network reports joined: one partial per hour and cell."""
-    sides = [(reports.daily, spec.DAILY), (reports.daily1, spec.DAILY1), (reports.emtc, spec.EMTC)]
+    sides = [(daily, spec.DAILY), (daily1, spec.DAILY1), (emtc, spec.EMTC)]
     return join_reports(sides, catalog.KEYS[TECH])
 
 
@@ -99,7 +99,7 @@ def write_report(
     CSV files and a failed table can be written again on its own.
     """
     with Stage(spark) as stage:
-        cell_hours = stage.table(cells(reports), "cells")
+        cell_hours = stage.table(cells(reports.daily, reports.daily1, reports.emtc), "cells")
         operator = stage.table(with_slice(reports.operator), "operator", ["slice"])
         small = stage.table(network_tables(cell_hours, SMALL_GRAINS), "small", ["grain"])
         days = {"ALL": small.filter(F.col("grain") == "day")}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netkpi.functions.labels import lte_cell_name, umts_cell
-from netkpi.functions.numbers import counter_value
+from netkpi.functions.numbers import counter_value, quoted
 from netkpi.functions.times import parse_start_time, time_keys
 from netkpi.operators.grains import GRAINS
 from netkpi.operators.joins import duplicate_keys
@@ -27,20 +27,31 @@ from netkpi.sources.staging import shared_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def lte_reports(spark: SparkSession, sf_dir: str, table: str = "events") -> lte.LteReports:
-    r = adapters.clean_reports(spark, sf_dir, "lte", table)
-    return lte.LteReports(r["lte_daily"], r["lte_daily1"], r["lte_emtc"], r["lte_operator"])
-
-
-def umts_reports(spark: SparkSession, sf_dir: str, table: str = "events") -> umts.UmtsReports:
-    r = adapters.clean_reports(spark, sf_dir, "umts", table)
-    return umts.UmtsReports(r["umts_daily"], r["umts_daily1"], r["umts_operator"])
+def _clean(spark: SparkSession, sf_dir: str, report: catalog.Report, table: str = "events") -> DataFrame:
+    return adapters.clean_report(adapters.measurements(spark, sf_dir, table), report)
 
 
 def _text(spark: SparkSession, sf_dir: str, report: catalog.Report) -> DataFrame:
     return adapters.text_report(adapters.measurements(spark, sf_dir), report)
 
 
+def lte_cells(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    reports = (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC)
+    return lte.cells(*[_clean(spark, sf_dir, r, table) for r in reports])
+
+
+def umts_cells(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    return umts.cells(*[_clean(spark, sf_dir, r, table) for r in (catalog.UMTS_DAILY, catalog.UMTS_DAILY1)])
+
+
+def lte_operator(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    return _clean(spark, sf_dir, catalog.LTE_OPERATOR, table)
+
+
+def umts_operator(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
+    return _clean(spark, sf_dir, catalog.UMTS_OPERATOR, table)
+
+
 def _with_text_times(rows: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in time_keys(F.col("hour_ts")).items()], "*").drop("hour_ts")
 
@@ -50,8 +61,8 @@ def _with_text_times(rows: DataFrame) -> DataFrame:
 
 def nil_to_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _text(spark, sf_dir, catalog.LTE_DAILY1)
-    counters = [counter_value(F.col(f"`{c.label}`")).alias(c.column) for c in catalog.LTE_DAILY1.counters]
-    return rows.select(F.col("Start Time").alias("start_time"), F.col("Cell").alias("label"), *counters)
+    counters = [f"{counter_value(c.label)} AS {c.column}" for c in catalog.LTE_DAILY1.counters]
+    return rows.selectExpr("`Start Time` AS start_time", "Cell AS label", *counters)
 
 
 def lte_cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +99,14 @@ def time_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operator_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_slice(lte_reports(spark, sf_dir).operator)
+    rows = with_slice(lte_operator(spark, sf_dir))
     return _with_text_times(rows).select(
         "start_time", "ne_name", "cell_name", "slice", "l_traffic_user_avg_plmn", "l_thrp_bits_dl_plmn"
     )
 
 
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = duplicate_keys(lte_reports(spark, sf_dir).daily1, catalog.KEYS["lte"])
+    rows = duplicate_keys(_clean(spark, sf_dir, catalog.LTE_DAILY1), catalog.KEYS["lte"])
     return _with_text_times(rows).select("start_time", "ne_name", "cell_name", "n_rows")
 
 
@@ -103,64 +114,61 @@ def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lte_report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_text_times(lte.cells(lte_reports(spark, sf_dir))).drop("date", "hour")
+    return _with_text_times(lte_cells(spark, sf_dir)).drop("date", "hour")
 
 
 def umts_report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_text_times(umts.cells(umts_reports(spark, sf_dir))).drop("date", "hour")
+    return _with_text_times(umts_cells(spark, sf_dir)).drop("date", "hour")
 
 
 def first_last_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_last_rows(lte.cells(lte_reports(spark, sf_dir)))
+    rows = first_last_rows(lte_cells(spark, sf_dir))
     return _with_text_times(rows).select(
         "moment", "start_time", "ne_name", "cell_name", "joined_rows", "l_thrp_bits_dl", "l_uecntx_normrel"
     )
 
 
 def lte_cell_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cell_integrity(lte.cells(lte_reports(spark, sf_dir)))
+    return cell_integrity(lte_cells(spark, sf_dir))
 
 
 # --- KPI tables ---------------------------------------------------------------
 
 
 def lte_kpi(grain: str) -> Query:
-    return lambda spark, sf_dir: lte.network_table(lte.cells(lte_reports(spark, sf_dir)), grain)
+    return lambda spark, sf_dir: lte.network_table(lte_cells(spark, sf_dir), grain)
 
 
 def umts_kpi(grain: str) -> Query:
-    return lambda spark, sf_dir: umts.network_table(umts.cells(umts_reports(spark, sf_dir)), grain)
+    return lambda spark, sf_dir: umts.network_table(umts_cells(spark, sf_dir), grain)
 
 
 def lte_plmn(grain: str, slice_name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        reports = lte_reports(spark, sf_dir)
-        return lte.operator_table(lte.cells(reports), reports.operator, grain, slice_name)
+        return lte.operator_table(lte_cells(spark, sf_dir), lte_operator(spark, sf_dir), grain, slice_name)
 
     return query
 
 
 def umts_plmn(grain: str, slice_name: str) -> Query:
-    return lambda spark, sf_dir: umts.operator_table(umts_reports(spark, sf_dir).operator, grain, slice_name)
+    return lambda spark, sf_dir: umts.operator_table(umts_operator(spark, sf_dir), grain, slice_name)
 
 
 def lte_kpi_all_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lte.network_tables(lte.cells(lte_reports(spark, sf_dir)))
+    return lte.network_tables(lte_cells(spark, sf_dir))
 
 
 def umts_kpi_all_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return umts.network_tables(umts.cells(umts_reports(spark, sf_dir)))
+    return umts.network_tables(umts_cells(spark, sf_dir))
 
 
 def lte_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = lte_reports(spark, sf_dir)
-    cells = lte.cells(reports)
-    return lte.summary(cells, lte.day_tables(cells, reports.operator))
+    cells = lte_cells(spark, sf_dir)
+    return lte.summary(cells, lte.day_tables(cells, lte_operator(spark, sf_dir)))
 
 
 def umts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = umts_reports(spark, sf_dir)
-    return umts.summary(umts.day_tables(umts.cells(reports), reports.operator))
+    return umts.summary(umts.day_tables(umts_cells(spark, sf_dir), umts_operator(spark, sf_dir)))
 
 
 # --- files --------------------------------------------------------------------
@@ -173,10 +181,8 @@ def _scratch(spark: SparkSession) -> str:
 
 def write_exports(rows: DataFrame, path: str) -> None:
     """Write text cells as exports: each partition becomes a file with preamble and header."""
-    quoted = [
-        F.concat(F.lit('"'), F.replace(F.col(f"`{n}`"), F.lit('"'), F.lit('""')), F.lit('"')) for n in rows.columns
-    ]
-    line = F.array_join(F.array(*quoted), ",", "")
+    cells = [f"""concat('"', replace({quoted(n)}, '"', '""'), '"')""" for n in rows.columns]
+    line = F.expr(f"array_join(array({', '.join(cells)}), ',', '')")
     top = [f"Preamble line {i + 1}" for i in range(PREAMBLE_LINES)] + [",".join(rows.columns)]
 
     def with_top(batches: Iterator) -> Iterator:
@@ -214,13 +220,14 @@ def csv_lte_kpi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_report(spark, r, _exported(spark, sf_dir, r, folder))
         for r in (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC)
     )
-    return lte.network_table(lte.cells(lte.LteReports(daily, daily1, emtc, daily)), "day")
+    return lte.network_table(lte.cells(daily, daily1, emtc), "day")
 
 
 def grain_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All twelve written UMTS tables, read back as one."""
     out = _scratch(spark)
-    umts.write_report(spark, umts_reports(spark, sf_dir), out)
+    reports = (catalog.UMTS_DAILY, catalog.UMTS_DAILY1, catalog.UMTS_OPERATOR)
+    umts.write_report(spark, umts.UmtsReports(*[_clean(spark, sf_dir, r) for r in reports]), out)
     written = spark.read.option("mergeSchema", True).parquet(f"{out}/umts/detail")
     return written.groupBy("slice", "grain").agg(
         F.count("*").alias("n_rows"),

@@ -37,11 +37,11 @@ def read_reports(spark: SparkSession, daily: str, daily1: str, operator: str, **
     )
 
 
-def cells(reports: UmtsReports) -> DataFrame:
+def cells(daily: DataFrame, daily1: DataFrame) -> DataFrame:
     """The two network reports joined: one partial per hour and cell."""
     sides = [
-        (spec.with_terms(reports.daily, spec.DAILY_TERMS), spec.DAILY),
-        (spec.with_terms(reports.daily1, spec.DAILY1_TERMS), spec.DAILY1),
+        (spec.with_terms(daily, spec.DAILY_TERMS), spec.DAILY),
+        (spec.with_terms(daily1, spec.DAILY1_TERMS), spec.DAILY1),
     ]
     return join_reports(sides, catalog.KEYS[TECH])
 
@@ -82,7 +82,7 @@ def write_report(
 ) -> None:
     """Write all tables under ``out``; see the LTE report for the staging."""
     with Stage(spark) as stage:
-        cell_hours = stage.table(cells(reports), "cells")
+        cell_hours = stage.table(cells(reports.daily, reports.daily1), "cells")
         needed = ["hour_ts", *catalog.KEYS[TECH], *spec.OPERATOR.sums]
         operator = stage.table(reports.operator.select(*map(F.col, needed)), "operator")
         small = stage.table(network_tables(cell_hours, SMALL_GRAINS), "small", ["grain"])

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netkpi.functions.times import hour_floor
-from netkpi.sources import catalog
 from netkpi.sources.catalog import Report
 
 KINDS = ("view", "click", "purchase", "signup", "error")
@@ -75,8 +74,8 @@ def _summed(rows: DataFrame, report: Report) -> DataFrame:
     sums = []
     for i, counter in enumerate(report.counters, start=first):
         scale = _VOLUME_SCALE if counter.unit in _VOLUME_UNITS else 1
-        value = (F.col("v") * (2 * i + 1) + F.col("x") * (i + 3)) % 1009 * scale
-        sums.append(F.sum(value).alias(counter.column))
+        value = f"(v * {2 * i + 1} + x * {i + 3}) % 1009 * {scale}"
+        sums.append(F.expr(f"sum({value}) AS {counter.column}"))
     return rows.groupBy(*groups).agg(F.min("x").alias("x0"), *sums)
 
 
@@ -104,9 +103,10 @@ def clean_report(rows: DataFrame, report: Report) -> DataFrame:
         keys["cn_operator"] = F.concat(F.lit("CN Operator ID="), _operator_number().cast("string"))
     first = _FIRST_ORDINAL.get(report.name, 0)
     counters = [
-        F.when((F.col("x0") + i) % 97 == 0, F.lit(0.0))
-        .when((F.col("x0") + i) % 89 != 0, F.col(c.column).cast("double"))
-        .alias(c.column)
+        F.expr(
+            f"CASE WHEN (x0 + {i}) % 97 = 0 THEN 0D "
+            f"WHEN (x0 + {i}) % 89 <> 0 THEN CAST({c.column} AS DOUBLE) END AS {c.column}"
+        )
         for i, c in enumerate(report.counters, start=first)
     ]
     named = [expr.alias(name) for name, expr in keys.items()]
@@ -149,14 +149,10 @@ def text_report(rows: DataFrame, report: Report) -> DataFrame:
         lead["CnOperator"] = F.concat(F.lit("CN Operator ID="), _operator_number().cast("string"))
     first = _FIRST_ORDINAL.get(report.name, 0)
     counters = [
-        F.when((F.col("x0") + i) % 97 == 0, F.lit("NIL"))
-        .when((F.col("x0") + i) % 89 != 0, F.col(c.column).cast("string"))
-        .alias(c.label)
+        F.expr(
+            f"CASE WHEN (x0 + {i}) % 97 = 0 THEN 'NIL' "
+            f"WHEN (x0 + {i}) % 89 <> 0 THEN CAST({c.column} AS STRING) END AS `{c.label}`"
+        )
         for i, c in enumerate(report.counters, start=first)
     ]
     return _summed(rows, report).select(*[expr.alias(name) for name, expr in lead.items()], *counters)
-
-
-def clean_reports(spark: SparkSession, sf_dir: str, tech: str, table: str = "events") -> dict[str, DataFrame]:
-    rows = measurements(spark, sf_dir, table)
-    return {r.name: clean_report(rows, r) for r in catalog.REPORTS.values() if r.tech == tech}

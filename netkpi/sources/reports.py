@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netkpi.functions.labels import lte_cell_name, umts_cell
-from netkpi.functions.numbers import counter_value, is_junk, text_or_null
+from netkpi.functions.numbers import counter_value, is_junk, quoted, text_or_null
 from netkpi.functions.times import hour_floor, parse_start_time
 from netkpi.sources.catalog import UNUSED, Report
 
@@ -49,7 +49,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _cell(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(quoted(name))
 
 
 def _label_names(names: Sequence[str], report: Report) -> list[str]:
@@ -74,7 +74,7 @@ def _is_header() -> Column:
 def _has_content(names: Sequence[str], report: Report) -> Column:
     """A label or a counter is filled in."""
     filled = _label_names(names, report) + [c.label for c in report.counters if c.label in names]
-    return F.coalesce(*[_cell(n) for n in filled]).isNotNull()
+    return F.expr(f"coalesce({', '.join(map(quoted, filled))}) IS NOT NULL")
 
 
 def data_rows(lines: DataFrame, report: Report, day_first: bool = False) -> DataFrame:
@@ -87,7 +87,7 @@ def data_rows(lines: DataFrame, report: Report, day_first: bool = False) -> Data
     names = lines.columns
     text = F.coalesce(text_or_null(F.trim(_cell(START_TIME))), F.lit(""))
     ts = parse_start_time(text, day_first)
-    same_header = F.concat_ws("\n", *[_cell(n) for n in names]) == "\n".join(names)
+    same_header = F.expr(f"concat_ws('\\n', {', '.join(map(quoted, names))})") == "\n".join(names)
     wrong_header = F.raise_error(F.lit(f"{report.name}: files with different headers; read them one by one"))
     wrong_time = F.raise_error(F.concat(F.lit(f"{report.name}: cannot read start time: "), text))
     keep = (
@@ -109,12 +109,12 @@ def clean(rows: DataFrame, report: Report, strict: bool = True) -> DataFrame:
         keys = umts_cell(label)
     if report.per_operator_rows:
         keys["cn_operator"] = text_or_null(_cell(OPERATOR))
-    counters = {
-        c.column: counter_value(_cell(c.label), strict) if c.label in names else F.lit(None).cast("double")
+    time_and_keys = {"hour_ts": hour_floor(F.col("ts")), **keys}
+    counters = [
+        f"{counter_value(c.label, strict) if c.label in names else 'CAST(NULL AS DOUBLE)'} AS {c.column}"
         for c in report.counters
-    }
-    selected = {"hour_ts": hour_floor(F.col("ts")), **keys, **counters}
-    return rows.select(*[expr.alias(name) for name, expr in selected.items()])
+    ]
+    return rows.select(*[expr.alias(name) for name, expr in time_and_keys.items()], *map(F.expr, counters))
 
 
 def read_report(
@@ -143,8 +143,8 @@ def read_report(
 def rejects(rows: DataFrame, report: Report) -> DataFrame:
     """Data rows with a cell that is no number, plus the names of those columns."""
     labels = [c.label for c in report.counters if c.label in rows.columns]
-    junk = F.array_compact(F.array(*[F.when(is_junk(_cell(n)), F.lit(n)) for n in labels]))
-    return rows.withColumn("junk_columns", junk).filter(F.size("junk_columns") > 0)
+    names = ", ".join(f"CASE WHEN {is_junk(n)} THEN '{n}' END" for n in labels)
+    return rows.withColumn("junk_columns", F.expr(f"array_compact(array({names}))")).filter("size(junk_columns) > 0")
 
 
 def skipped_lines(lines: DataFrame, report: Report) -> DataFrame:
