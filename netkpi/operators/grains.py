@@ -35,11 +35,13 @@ def _all_present(keys: Sequence[str]) -> Column:
 
 
 def _with_time(rows: DataFrame) -> DataFrame:
-    """Date and hour as small binary keys; they become text after the grouping."""
+    """Date and hour as small binary keys; :func:`text_times` makes text of them."""
     return rows.withColumns({"date": F.to_date("hour_ts"), "hour": F.hour("hour_ts")})
 
 
-def _text_times(groups: DataFrame) -> DataFrame:
+def text_times(groups: DataFrame) -> DataFrame:
+    """Date and hour as text. Done last: groups that are joined must still have the keys
+    they were partitioned by, or they are shuffled once more."""
     texts = {"date": F.col("date").cast("string")}
     if "hour" in groups.columns:
         texts["hour"] = hour_text(F.col("hour"))
@@ -49,8 +51,7 @@ def _text_times(groups: DataFrame) -> DataFrame:
 def by_grain(rows: DataFrame, aggregates: Sequence[Column], tech: str, grain: str) -> DataFrame:
     """Group by the keys of one grain; rows that lack one of its keys are left out."""
     keys = GRAINS[tech][grain]
-    groups = _with_time(rows).filter(_all_present(keys)).groupBy(*keys).agg(*aggregates)
-    return _text_times(groups)
+    return _with_time(rows).filter(_all_present(keys)).groupBy(*keys).agg(*aggregates)
 
 
 def by_grains(
@@ -71,5 +72,4 @@ def by_grains(
     )
     present = [(gid == ids[g]) & _all_present(own) for g, own in chosen.items()]
     name = F.coalesce(*[F.when(gid == ids[g], F.lit(g)) for g in chosen])
-    kept = grouped.filter(reduce(lambda a, b: a | b, present)).withColumn("grain", name).drop("_gid")
-    return _text_times(kept)
+    return grouped.filter(reduce(lambda a, b: a | b, present)).withColumn("grain", name).drop("_gid")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netkpi.operators import summary as summary_rows
-from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains
+from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, text_times
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import with_kpis
 from netkpi.operators.slices import only_slice, with_slice
@@ -49,14 +49,14 @@ def cells(daily: DataFrame, daily1: DataFrame, emtc: DataFrame) -> DataFrame:
 
 def network_table(cell_hours: DataFrame, grain: str) -> DataFrame:
     groups = by_grain(cell_hours, spec.NETWORK.of_partials(), TECH, grain)
-    return with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, GRAINS[TECH][grain])
+    return text_times(with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, GRAINS[TECH][grain]))
 
 
 def network_tables(cell_hours: DataFrame, grains: tuple[str, ...] | None = None) -> DataFrame:
     """Several grains in one pass, told apart by ``grain``."""
     groups = by_grains(cell_hours, spec.NETWORK.of_partials(), TECH, grains)
     keys = [k for k in ALL_KEYS[TECH] if k in groups.columns]
-    return with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, ["grain", *keys])
+    return text_times(with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, ["grain", *keys]))
 
 
 def operator_table(cell_hours: DataFrame, operator: DataFrame, grain: str, slice_name: str) -> DataFrame:
@@ -66,7 +66,7 @@ def operator_table(cell_hours: DataFrame, operator: DataFrame, grain: str, slice
     own = by_grain(only_slice(operator, slice_name), spec.OPERATOR.of_rows(), TECH, grain)
     shared = by_grain(cell_hours, spec.SHARED.of_partials(), TECH, grain)
     both = own.join(shared, list(keys))
-    return with_kpis(both, spec.OPERATOR + spec.SHARED, spec.OPERATOR_KPIS, keys)
+    return text_times(with_kpis(both, spec.OPERATOR + spec.SHARED, spec.OPERATOR_KPIS, keys))
 
 
 def summary(cell_hours: DataFrame, days: summary_rows.SliceTables) -> DataFrame:

@@ -22,7 +22,7 @@ from netkpi.operators.snapshots import cell_integrity, first_last_rows
 from netkpi.plans import lte, umts
 from netkpi.sources import adapters, catalog
 from netkpi.sources.reports import PREAMBLE_LINES, read_report
-from netkpi.sources.staging import shared_folder
+from netkpi.sources.staging import Stage, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,16 @@ def umts_operator(spark: SparkSession, sf_dir: str, table: str = "events") -> Da
     return _clean(spark, sf_dir, catalog.UMTS_OPERATOR, table)
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A folder for files that the returned DataFrame still reads."""
+    return f"{shared_folder(spark)}/netkpi-files-{uuid.uuid4().hex}"
+
+
+def _staged(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Write a table that is read several times, so that it is computed once."""
+    return Stage(spark).table(df, "cells")
+
+
 def _with_text_times(rows: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in time_keys(F.col("hour_ts")).items()], "*").drop("hour_ts")
 
@@ -122,7 +132,7 @@ def umts_report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_last_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_last_rows(lte_cells(spark, sf_dir))
+    rows = first_last_rows(_staged(spark, lte_cells(spark, sf_dir)))
     return _with_text_times(rows).select(
         "moment", "start_time", "ne_name", "cell_name", "joined_rows", "l_thrp_bits_dl", "l_uecntx_normrel"
     )
@@ -163,7 +173,7 @@ def umts_kpi_all_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lte_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = lte_cells(spark, sf_dir)
+    cells = _staged(spark, lte_cells(spark, sf_dir))
     return lte.summary(cells, lte.day_tables(cells, lte_operator(spark, sf_dir)))
 
 
@@ -174,11 +184,6 @@ def umts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files --------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder for files that the returned DataFrame still reads."""
-    return f"{shared_folder(spark)}/netkpi-files-{uuid.uuid4().hex}"
-
-
 def write_exports(rows: DataFrame, path: str) -> None:
     """Write text cells as exports: each partition becomes a file with preamble and header."""
     cells = [f"""concat('"', replace({quoted(n)}, '"', '""'), '"')""" for n in rows.columns]
