@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, text_
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import with_kpis
 from netkpi.plans import umts_kpis as spec
-from netkpi.sinks.tables import SMALL_GRAINS, write_summary, write_table
+from netkpi.sinks.tables import SMALL_GRAINS, run_together, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import read_report
 from netkpi.sources.staging import Stage
@@ -87,15 +88,20 @@ def write_report(
         operator = stage.table(reports.operator.select(*map(F.col, needed)), "operator")
         small = stage.table(network_tables(cell_hours, SMALL_GRAINS), "small", ["grain"])
         days = {"ALL": small.filter(F.col("grain") == "day")}
-        for grain in GRAINS[TECH]:
+        for slice_name in ("A", "B"):
+            days[slice_name] = stage.table(operator_table(operator, "day", slice_name), f"day_{slice_name}")
+
+        def write_network(grain: str) -> None:
             is_small = grain in SMALL_GRAINS
             table = small.filter(F.col("grain") == grain) if is_small else network_table(cell_hours, grain)
             write_table(table, out, TECH, "ALL", grain, spec.NETWORK_KPIS, format, labels)
-        for slice_name in ("A", "B"):
-            kpis = spec.operator_kpis(slice_name)
-            for grain in GRAINS[TECH]:
-                table = operator_table(operator, grain, slice_name)
-                if grain == "day":
-                    table = days[slice_name] = stage.table(table, f"day_{slice_name}")
-                write_table(table, out, TECH, slice_name, grain, kpis, format, labels)
-        write_summary(summary(days), out, TECH, format)
+
+        def write_operator(grain: str, slice_name: str) -> None:
+            table = days[slice_name] if grain == "day" else operator_table(operator, grain, slice_name)
+            write_table(table, out, TECH, slice_name, grain, spec.operator_kpis(slice_name), format, labels)
+
+        run_together(
+            [partial(write_network, g) for g in GRAINS[TECH]]
+            + [partial(write_operator, g, s) for s in ("A", "B") for g in GRAINS[TECH]]
+            + [lambda: write_summary(summary(days), out, TECH, format)]
+        )

@@ -7,7 +7,8 @@ as partition columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
@@ -68,3 +69,11 @@ def write_summary(table: DataFrame, out: str, tech: str, format: str = "parquet"
 
 def read_table(spark: SparkSession, out: str, tech: str, slice_name: str, grain: str) -> DataFrame:
     return spark.read.parquet(_detail_path(out, tech, slice_name, grain))
+
+
+def run_together(jobs: Sequence[Callable[[], None]], at_once: int = 4) -> None:
+    """Submit independent write jobs from a few threads, so that the last tasks of one table
+    overlap with the first ones of the next. The first failure is raised at the end."""
+    with ThreadPoolExecutor(at_once) as pool:
+        for future in [pool.submit(job) for job in jobs]:
+            future.result()
