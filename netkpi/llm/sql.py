@@ -76,3 +76,29 @@ mixed AS (
 
 MIXING = f"""WITH {mixing("documents")}
 SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"""
+
+
+TOP_K = """WITH numbers AS (
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+asked AS (SELECT vec_id AS query_id, generate_subscripts(v, 1) AS i, unnest(v) AS a FROM numbers WHERE vec_id % 50 = 0),
+known AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS b FROM numbers),
+pairs AS (
+  SELECT query_id, vec_id, CAST(sum(a * b) AS BIGINT) AS score
+  FROM asked JOIN known USING (i) WHERE vec_id <> query_id GROUP BY query_id, vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+    vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 5"""
+
+_BASE32 = "translate(to_base(CAST('0x' || substr(h, {}, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+WARC = f"""WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM payloads)
+SELECT page_id, strlen(html) AS payload_bytes,
+  {" || ".join(_BASE32.format(i) for i in (1, 11, 21, 31))} AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM kept"""
