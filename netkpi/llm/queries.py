@@ -12,6 +12,7 @@ from netkpi.llm import sql
 from netkpi.llm.byte_bpe import digests
 from netkpi.llm.common import read_table, scratch
 from netkpi.llm.html_cut import extract
+from netkpi.llm.jaccard_join import jaccard_components
 from netkpi.llm.line_dedup import dedup_lines
 from netkpi.llm.mixing import mix
 from netkpi.llm.quality import quality_rules
@@ -88,6 +89,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_topk,
@@ -99,6 +105,7 @@ def all_queries() -> dict[str, Query]:
         op7_suffix_dedup,
         op8_mixing,
         op9_byte_bpe,
+        op10_jaccard_join,
     )
     return {f.__name__: f for f in found}
 
