@@ -19,6 +19,14 @@ MISSING = (
 _MISSING_SQL = "(" + ", ".join(f"'{m}'" for m in MISSING) + ")"
 
 
+# A cast alone would also take other spellings for numbers, such as 1d, 2f or 0x1p3.
+_NUMBER = "^(?:[-+.0-9eE]+|[-+]?(?i:inf(?:inity)?))$"
+
+
+def _number(text: str) -> str:
+    return f"CASE WHEN {text} RLIKE '{_NUMBER}' THEN try_cast({text} AS DOUBLE) END"
+
+
 def quoted(name: str) -> str:
     """A column name for use in SQL text."""
     return "`" + name.replace("`", "``") + "`"
@@ -36,7 +44,7 @@ def counter_value(name: str, strict: bool = True) -> str:
     (see :func:`is_junk` for finding such cells).
     """
     text = f"trim({quoted(name)})"
-    number = f"try_cast({text} AS DOUBLE)"
+    number = _number(text)
     if strict:
         number = f"coalesce({number}, CAST(raise_error(concat('not a number: ', {text})) AS DOUBLE))"
     return f"CASE WHEN {text} = '{NIL}' THEN 0D WHEN {text} NOT IN {_MISSING_SQL} THEN {number} END"
@@ -45,7 +53,7 @@ def counter_value(name: str, strict: bool = True) -> str:
 def is_junk(name: str) -> str:
     """SQL: true for a cell that is neither a number nor ``NIL`` nor missing."""
     text = f"trim({quoted(name)})"
-    return f"coalesce({text} <> '{NIL}' AND {text} NOT IN {_MISSING_SQL} AND try_cast({text} AS DOUBLE) IS NULL, false)"
+    return f"coalesce({text} <> '{NIL}' AND {text} NOT IN {_MISSING_SQL} AND ({_number(text)}) IS NULL, false)"
 
 
 def round_even(value: str, digits: int) -> str:

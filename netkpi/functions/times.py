@@ -2,23 +2,85 @@
 
 Times are wall-clock times without a zone (``TIMESTAMP_NTZ``). The text keys
 are built from date and hour parts, not with ``date_format``, because that one
-goes through the session time zone and would move hours in a DST gap.
+goes through the session time zone and would move hours in a DST gap. For the
+same reason other spellings are rewritten as ISO text before they are cast.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}"
 
+#: Spellings that are tried after ISO, in this order. Seconds may be missing, ``/`` may be ``-``.
+FORMATS = (
+    "yyyy/MM/dd HH:mm:ss",
+    "MM/dd/yyyy HH:mm:ss",
+    "MM/dd/yyyy hh:mm:ss a",
+    "dd-MMM-yyyy HH:mm:ss",
+    "dd-MMM-yyyy hh:mm:ss a",
+    "yyyyMMdd HH:mm:ss",
+)
+# What a letter group of a format stands for.
+_PARTS = {
+    "yyyy": r"(\d{4})",
+    "MMM": r"([A-Za-z]{3})[a-z]*",
+    "MM": r"(\d{1,2})",
+    "dd": r"(\d{1,2})",
+    "HH": r"(\d{1,2})",
+    "hh": r"(\d{1,2})",
+    "mm": r"(\d{2})",
+    ":ss": r"(?::(\d{2})(?:\.\d+)?)?",
+    "a": r"([AaPp])\.?[Mm]\.?",
+}
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+
+def _in_format(text: Column, pattern: str) -> Column:
+    """ISO text of a time in one format, NULL if it is in another one."""
+    compact = "yyyyMMdd" in pattern
+    regex, parts = "", []
+    for token in re.findall("yyyy|MMM|MM|dd|HH|hh|mm|:ss|a|.", pattern):
+        if token in _PARTS:
+            parts.append(token)
+            regex += r"(\d{2})" if compact and token in ("MM", "dd") else _PARTS[token]
+        else:
+            regex += {"/": "[/-]", "-": "[/-]", " ": r"\s+"}.get(token, re.escape(token))
+    regex = f"^{regex}$"
+
+    def part(name: str) -> Column:
+        return F.regexp_extract(text, regex, parts.index(name) + 1)
+
+    month = F.lpad(part("MM"), 2, "0") if "MM" in parts else F.lpad(
+        ((F.instr(F.lit(_MONTHS), F.lower(part("MMM"))) + 2) / 3).cast("int").cast("string"), 2, "0"
+    )
+    if "hh" in parts:
+        number = part("hh").try_cast("int")
+        late = F.lower(part("a")) == "p"
+        in_clock = F.when(number.between(1, 12), number % 12 + F.when(late, 12).otherwise(0))
+        hour = in_clock.cast("string")
+    else:
+        hour = part("HH")
+    seconds = F.coalesce(F.nullif(part(":ss"), F.lit("")), F.lit("00"))
+    iso = F.concat(part("yyyy"), F.lit("-"), month, F.lit("-"), F.lpad(part("dd"), 2, "0"), F.lit(" "),
+                   F.lpad(hour, 2, "0"), F.lit(":"), part("mm"), F.lit(":"), seconds)
+    return F.when(text.rlike(regex), iso)
+
+
+def parse_start_time(text: Column, day_first: bool = False, formats: Sequence[str] = FORMATS) -> Column:
+    """Read ISO times, then the formats in order; NULL if unreadable.
 
-def parse_start_time(text: Column, day_first: bool = False) -> Column:
-    """Read ISO, ``yyyy/MM/dd`` and ``MM/dd/yyyy`` times (or ``dd/MM/yyyy``); NULL if unreadable."""
-    swapped = "$3-$2-$1" if day_first else "$3-$1-$2"
-    dashed = F.regexp_replace(F.trim(text), "/", "-")
-    iso = F.regexp_replace(dashed, r"^(\d{1,2})-(\d{1,2})-(\d{4})", swapped)
-    return F.when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz"))
+    ``day_first`` reads ``MM/dd`` formats as ``dd/MM``.
+    """
+    text = F.trim(text)
+    if day_first:
+        formats = [f.replace("MM/dd", "dd/MM") for f in formats]
+    spellings = [F.when(text.rlike(_ISO), text), *[_in_format(text, f) for f in formats]]
+    return F.coalesce(*[s.try_cast("timestamp_ntz") for s in spellings])
 
 
 def hour_floor(ts: Column) -> Column:

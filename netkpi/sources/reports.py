@@ -1,17 +1,25 @@
-"""Counter exports in CSV: 7 lines of preamble, a header line, then the rows."""
+"""Counter exports in CSV: 7 lines of preamble, a header line, then the rows.
+
+What is data is told by the number of cells: a line with another number of cells than the header is
+not data, whatever it holds. So that nothing is lost or invented that way, each file must have
+exactly 8 lines that are not data (preamble and header, blank lines included); any other number
+fails the job with the name of the file.
+"""
 
 from __future__ import annotations
 
 import csv
+import re
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from netkpi.functions.labels import lte_cell_name, umts_cell
 from netkpi.functions.numbers import counter_value, is_junk, quoted, text_or_null
-from netkpi.functions.times import hour_floor, parse_start_time
+from netkpi.functions.times import FORMATS, hour_floor, parse_start_time
 from netkpi.sources.catalog import UNUSED, Report
 
 PREAMBLE_LINES = 7
@@ -23,15 +31,26 @@ OPERATOR = "CnOperator"
 LTE_LABEL = "Cell"
 UMTS_LABELS = ("BSC6910UCell", "BSC6900UCell")
 
+# Columns beside the cells of a line: its text, its file, and the text again if its width is wrong.
+_LINE, _FILE, _BAD = "_line_text", "_line_file", "_line_bad"
+
+
+def _plain(path: str) -> str:
+    """A path for which no character is a wildcard."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names on line 8 of the first file of a path pattern."""
-    files = sorted(spark.read.text(path).inputFiles())
-    if not files:
+    """Column names on line 8 of the first file of a path pattern.
+
+    Only the least file name comes to the driver, not the list of all files.
+    """
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    if first is None:
         raise FileNotFoundError(path)
-    lines = spark.read.text(files[0]).take(PREAMBLE_LINES + 1)
+    lines = spark.read.text(_plain(first)).take(PREAMBLE_LINES + 1)
     if len(lines) <= PREAMBLE_LINES:
-        raise ValueError(f"{files[0]}: no header on line {PREAMBLE_LINES + 1}")
+        raise ValueError(f"{first}: no header on line {PREAMBLE_LINES + 1}")
     return next(csv.reader([lines[-1][0]]))
 
 
@@ -44,8 +63,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     names = header(spark, path)
     if len(set(names)) < len(names):
         raise ValueError(f"{path}: a column name occurs twice in the header")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).options(header=False, quote='"', escape='"', mode="PERMISSIVE").csv(path)
+    schema = ", ".join(f"{quoted(n)} STRING" for n in [*names, _BAD])
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = spark.read.text(path).select(F.col("value").alias(_LINE), F.col("_metadata.file_path").alias(_FILE))
+    return lines.withColumn("_cells", F.from_csv(_LINE, schema, options)).select(_LINE, _FILE, "_cells.*")
+
+
+def _names(lines: DataFrame) -> list[str]:
+    return [n for n in lines.columns if n not in (_LINE, _FILE, _BAD)]
 
 
 def _cell(name: str) -> Column:
@@ -67,36 +92,42 @@ def _check_columns(names: Sequence[str], report: Report) -> None:
         raise ValueError(f"{report.name}: columns are missing: {', '.join(missing)}")
 
 
-def _is_header() -> Column:
-    return _cell(START_TIME) == START_TIME
+def _is_header(names: Sequence[str]) -> Column:
+    """All cells are those of the header."""
+    cells = F.expr(f"concat_ws('\\n', {', '.join(map(quoted, names))})")
+    return F.coalesce((_cell(START_TIME) == START_TIME) & (cells == "\n".join(names)), F.lit(False))
 
 
-def _has_content(names: Sequence[str], report: Report) -> Column:
-    """A label or a counter is filled in."""
-    filled = _label_names(names, report) + [c.label for c in report.counters if c.label in names]
-    return F.expr(f"coalesce({', '.join(map(quoted, filled))}) IS NOT NULL")
+def _not_data(names: Sequence[str]) -> Column:
+    """Blank lines, lines of another width than the header, and the header."""
+    return (F.trim(_LINE) == "") | F.col(_BAD).isNotNull() | _is_header(names)
 
 
-def data_rows(lines: DataFrame, report: Report, day_first: bool = False) -> DataFrame:
+def _start_text() -> Column:
+    return F.coalesce(text_or_null(F.trim(_cell(START_TIME))), F.lit(""))
+
+
+def data_rows(lines: DataFrame, report: Report, day_first: bool = False, formats: Sequence[str] = FORMATS) -> DataFrame:
     """Rows with a start time, which is added as ``ts``.
 
-    Lines without content (preamble) and rows without a start time are left out. A row with
-    a start time that cannot be read fails the job, and so does a header that differs from
-    the one of the first file: its columns would land in the wrong places.
+    Lines that are not data and rows without a start time are left out (:func:`line_counts` tells
+    how many). A row with a start time that cannot be read fails the job, and so does a header that
+    differs from the one of the first file: its columns would land in the wrong places.
     """
-    names = lines.columns
-    text = F.coalesce(text_or_null(F.trim(_cell(START_TIME))), F.lit(""))
-    ts = parse_start_time(text, day_first)
-    same_header = F.expr(f"concat_ws('\\n', {', '.join(map(quoted, names))})") == "\n".join(names)
+    names = _names(lines)
+    text = _start_text()
+    ts = parse_start_time(text, day_first, formats)
     wrong_header = F.raise_error(F.lit(f"{report.name}: files with different headers; read them one by one"))
-    wrong_time = F.raise_error(F.concat(F.lit(f"{report.name}: cannot read start time: "), text))
+    wrong_time = F.raise_error(
+        F.concat(F.lit(f"{report.name}: cannot read start time: "), text, F.lit(" in "), F.col(_FILE))
+    )
     keep = (
-        F.when(_is_header(), F.when(same_header, F.lit(False)).otherwise(wrong_header.cast("boolean")))
-        .when((text == "") | ~_has_content(names, report), F.lit(False))
+        F.when(_not_data(names) | (text == ""), F.lit(False))
+        .when(text == START_TIME, wrong_header.cast("boolean"))
         .when(ts.isNotNull(), F.lit(True))
         .otherwise(wrong_time.cast("boolean"))
     )
-    return lines.filter(keep).withColumn("ts", ts)
+    return lines.filter(keep).select(*map(_cell, names), ts.alias("ts"))
 
 
 def clean(rows: DataFrame, report: Report, strict: bool = True) -> DataFrame:
@@ -117,23 +148,113 @@ def clean(rows: DataFrame, report: Report, strict: bool = True) -> DataFrame:
     return rows.select(*[expr.alias(name) for name, expr in time_and_keys.items()], *map(F.expr, counters))
 
 
+# --- counts and checks ----------------------------------------------------------
+
+
+def _junk_cells(names: Sequence[str], report: Report) -> Column:
+    flags = [f"CAST({is_junk(c.label)} AS INT)" for c in report.counters if c.label in names]
+    return F.expr(" + ".join(flags) or "0")
+
+
+def _counts(names: Sequence[str], report: Report, junk: bool) -> list[Column]:
+    not_data, data = _not_data(names), ~_not_data(names)
+    no_time = _start_text() == ""
+    return [
+        F.count("*").alias("n_lines"),
+        F.count_if(_is_header(names)).alias("headers"),
+        F.count_if(not_data).alias("not_data"),
+        F.count_if(data & no_time).alias("without_time"),
+        F.sum(F.when(data & ~no_time, _junk_cells(names, report) if junk else F.lit(0))).alias("junk_cells"),
+    ]
+
+
+def line_counts(lines: DataFrame, report: Report, junk: bool = True) -> DataFrame:
+    """Per file: lines, headers, lines that are not data, rows without start time, junk cells."""
+    counts = _counts(_names(lines), report, junk)
+    return lines.groupBy(F.col(_FILE).alias("file")).agg(*counts)
+
+
+def check_files(lines: DataFrame, report: Report) -> None:
+    """Fail with the name of a file that has not exactly one header and 8 lines that are not data."""
+    wrong = line_counts(lines, report, junk=False).where(f"headers <> 1 OR not_data <> {PREAMBLE_LINES + 1}")
+    found = wrong.orderBy("file").first()
+    if found and not found.headers:
+        raise ValueError(f"{report.name}: {found.file}: files with different headers; read them one by one")
+    if found:
+        raise ValueError(
+            f"{report.name}: {found.file}: {found.not_data} lines are not data (among them {found.headers} headers), "
+            f"but a file has {PREAMBLE_LINES + 1}, preamble and one header; a row with missing or additional cells, "
+            "or a line of the preamble as wide as the header"
+        )
+
+
+@dataclass
+class ReadCheck:
+    """Counts of one path pattern, taken while its rows are used for the first time.
+
+    The rule of 8 lines per file is checked in the same pass with sums of weights, drawn from the
+    file names: the weights of all lines that are not data must add up to 8 times those of the
+    headers. If they do not (or tasks were repeated and counted twice), files are counted one by one.
+    """
+
+    report: Report
+    lines: DataFrame
+    junk: bool
+    observation: Observation
+
+    @staticmethod
+    def of(lines: DataFrame, report: Report, junk: bool) -> ReadCheck:
+        return ReadCheck(report, lines, junk, Observation(f"lines-{uuid.uuid4().hex}"))
+
+    def observed(self) -> DataFrame:
+        names = _names(self.lines)
+        weights = {f"w{i}": F.pmod(F.xxhash64(F.lit(i), _FILE), F.lit(1 << 20)) for i in (0, 1)}
+        more = []
+        for name, w in weights.items():
+            more.append(F.sum(F.when(_not_data(names), w)).alias(f"{name}_not_data"))
+            more.append(F.sum(F.when(_is_header(names), w)).alias(f"{name}_headers"))
+        return self.lines.observe(self.observation, *_counts(names, self.report, self.junk), *more)
+
+    def verified(self, observed: bool = True) -> dict[str, int]:
+        """Counts of all files; fails as :func:`check_files` does. Call it after the rows were used, or
+        say that they were not ``observed``."""
+        found = {k: v or 0 for k, v in self.observation.get.items()} if observed else {}
+        if not found.get("headers") or any(
+            found[f"w{i}_not_data"] != (PREAMBLE_LINES + 1) * found[f"w{i}_headers"] for i in (0, 1)
+        ):
+            check_files(self.lines, self.report)
+            total = self.lines.agg(*_counts(_names(self.lines), self.report, self.junk)).first()
+            found = {k: v or 0 for k, v in total.asDict().items()}
+        return {k: found[k] for k in ("n_lines", "headers", "not_data", "without_time", "junk_cells")}
+
+
 def read_report(
     spark: SparkSession,
     report: Report,
     paths: str | Sequence[str],
     strict: bool = True,
     day_first: bool = False,
+    formats: Sequence[str] = FORMATS,
+    checks: list[ReadCheck] | None = None,
 ) -> DataFrame:
     """A clean report from all files that match the path patterns.
 
     Files of one pattern share one header; patterns may differ (other column order, other
     controller type). ``strict=False`` reads junk in a counter as missing.
+
+    Files are checked at once, which reads them one more time, or, if a list for ``checks`` is
+    given, when its members' :meth:`ReadCheck.verified` is called after the first use of the rows.
     """
     result = None
     for path in [paths] if isinstance(paths, str) else paths:
         lines = read_text(spark, path)
-        _check_columns(lines.columns, report)
-        part = clean(data_rows(lines, report, day_first), report, strict)
+        _check_columns(_names(lines), report)
+        if checks is None:
+            check_files(lines, report)
+        else:
+            checks.append(ReadCheck.of(lines, report, not strict))
+            lines = checks[-1].observed()
+        part = clean(data_rows(lines, report, day_first, formats), report, strict)
         result = part if result is None else result.unionByName(part)
     if result is None:
         raise ValueError(f"{report.name}: no path given")
@@ -145,14 +266,3 @@ def rejects(rows: DataFrame, report: Report) -> DataFrame:
     labels = [c.label for c in report.counters if c.label in rows.columns]
     names = ", ".join(f"CASE WHEN {is_junk(n)} THEN '{n}' END" for n in labels)
     return rows.withColumn("junk_columns", F.expr(f"array_compact(array({names}))")).filter("size(junk_columns) > 0")
-
-
-def skipped_lines(lines: DataFrame, report: Report) -> DataFrame:
-    """Lines per file that are not data. More than 8 (preamble and header) is worth a look."""
-    text = F.coalesce(text_or_null(F.trim(_cell(START_TIME))), F.lit(""))
-    skipped = _is_header() | (text == "") | ~_has_content(lines.columns, report)
-    return (
-        lines.select(F.col("_metadata.file_path").alias("file"), F.coalesce(skipped, F.lit(True)).alias("skipped"))
-        .groupBy("file")
-        .agg(F.count_if("skipped").alias("skipped"))
-    )
