@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from netkpi.functions.times import FORMATS
 from netkpi.plans import lte, umts
+from netkpi.sinks.tables import MODES
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -25,6 +27,9 @@ def arguments() -> argparse.ArgumentParser:
         command.add_argument("--format", choices=["parquet", "csv"], default="parquet")
         command.add_argument("--labels", action="store_true", help="name columns as in a printed report")
         command.add_argument("--lenient", action="store_true", help="read junk in a counter as missing")
+        command.add_argument("--mode", choices=MODES, default="error", help="what to do about tables that are there")
+        command.add_argument("--staging", help="folder of staged tables that a failed run has left")
+        command.add_argument("--time-format", nargs="+", default=FORMATS, help="start times, beside ISO")
         command.add_argument("--day-first", action="store_true", help="01/02/2021 is the first of February")
     return parser
 
@@ -32,13 +37,14 @@ def arguments() -> argparse.ArgumentParser:
 def main(argv: Sequence[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"netkpi {args.tech}").getOrCreate()
-    options = {"strict": not args.lenient, "day_first": args.day_first}
+    options = {"strict": not args.lenient, "day_first": args.day_first, "formats": tuple(args.time_format)}
+    written = {"format": args.format, "labels": args.labels, "mode": args.mode, "staging": args.staging}
     if args.tech == "lte":
         reports = lte.read_reports(spark, args.daily, args.daily1, args.emtc, args.operator, **options)
-        lte.write_report(spark, reports, args.out, args.format, args.labels)
+        lte.write_report(spark, reports, args.out, **written)
     else:
         reports = umts.read_reports(spark, args.daily, args.daily1, args.operator, **options)
-        umts.write_report(spark, reports, args.out, args.format, args.labels)
+        umts.write_report(spark, reports, args.out, **written)
 
 
 if __name__ == "__main__":

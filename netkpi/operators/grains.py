@@ -48,28 +48,35 @@ def text_times(groups: DataFrame) -> DataFrame:
     return groups.withColumns(texts)
 
 
-def by_grain(rows: DataFrame, aggregates: Sequence[Column], tech: str, grain: str) -> DataFrame:
-    """Group by the keys of one grain; rows that lack one of its keys are left out."""
+def by_grain(
+    rows: DataFrame, aggregates: Sequence[Column], tech: str, grain: str, more: Sequence[str] = ()
+) -> DataFrame:
+    """Group by the keys of one grain (and ``more`` keys); rows that lack a key of the grain are left out."""
     keys = GRAINS[tech][grain]
-    return _with_time(rows).filter(_all_present(keys)).groupBy(*keys).agg(*aggregates)
+    return _with_time(rows).filter(_all_present(keys)).groupBy(*more, *keys).agg(*aggregates)
+
+
+def days_of(hours: DataFrame, aggregates: Sequence[Column], more: Sequence[str] = ()) -> DataFrame:
+    """The day grain from the groups of the hour grain: there are 24 of these per day, not all cells."""
+    return hours.groupBy(*more, "date").agg(*aggregates)
 
 
 def by_grains(
     rows: DataFrame, aggregates: Sequence[Column], tech: str, grains: Sequence[str] | None = None
 ) -> DataFrame:
-    """Several grains (all four by default) in one pass; column ``grain`` tells them apart.
+    """Several grains (all four by default) of partials, told apart by ``grain``.
 
-    A key that is rolled up is told from a key that is missing by the grouping id.
+    Each grain is an aggregate of its own, days are made of hours; no row is copied for them. Keys
+    that a grain does not have are NULL.
     """
-    chosen = {g: GRAINS[tech][g] for g in (grains or GRAINS[tech])}
-    keys = [k for k in ALL_KEYS[tech] if any(k in own for own in chosen.values())]
-    ids = {g: sum(2**i for i, k in enumerate(reversed(keys)) if k not in own) for g, own in chosen.items()}
-    gid = F.col("_gid")
-    grouped = (
-        _with_time(rows)
-        .groupingSets([[F.col(k) for k in own] for own in chosen.values()], *keys)
-        .agg(F.grouping_id().alias("_gid"), *aggregates)
-    )
-    present = [(gid == ids[g]) & _all_present(own) for g, own in chosen.items()]
-    name = F.coalesce(*[F.when(gid == ids[g], F.lit(g)) for g in chosen])
-    return grouped.filter(reduce(lambda a, b: a | b, present)).withColumn("grain", name).drop("_gid")
+    chosen = list(grains or GRAINS[tech])
+    keys = [k for k in ALL_KEYS[tech] if any(k in GRAINS[tech][g] for g in chosen)]
+    parts = []
+    for g in chosen:
+        if g == "day":
+            groups = days_of(by_grain(rows, aggregates, tech, "hour"), aggregates)
+        else:
+            groups = by_grain(rows, aggregates, tech, g)
+        parts.append(groups.withColumn("grain", F.lit(g)))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.select("grain", *keys, *[c for c in parts[0].columns if c not in ("grain", *ALL_KEYS[tech])])

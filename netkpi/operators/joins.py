@@ -32,15 +32,18 @@ def join_reports(sides: Sequence[tuple[DataFrame, Measures]], keys: Sequence[str
     shuffle per report, none for the join.
     """
     counts = [f"_rows_{i}" for i in range(len(sides))]
+    # Products of row counts are made as DOUBLE: millions of rows without a name on each side are
+    # beyond a BIGINT.
     collapsed = [_collapsed(df, m, keys, n) for (df, m), n in zip(sides, counts, strict=True)]
     joined = reduce(lambda a, b: a.join(b, ["hour_ts", *keys, _MISSING]), collapsed)
 
     restored = [f"CASE WHEN {_MISSING} & {2**i} = 0 THEN {k} END AS {k}" for i, k in enumerate(keys)]
     values = []
     for i, (_, measures) in enumerate(sides):
-        others = " * ".join(n for j, n in enumerate(counts) if j != i) or "1"
+        others = " * ".join(f"CAST({n} AS DOUBLE)" for j, n in enumerate(counts) if j != i) or "1"
         values += measures.scaled(f"({others})")
-    return joined.selectExpr("hour_ts", *restored, *values, f"{' * '.join(counts)} AS joined_rows")
+    rows = " * ".join(f"CAST({n} AS DOUBLE)" for n in counts)
+    return joined.selectExpr("hour_ts", *restored, *values, f"{rows} AS joined_rows")
 
 
 def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

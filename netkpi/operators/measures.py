@@ -8,6 +8,7 @@ one. A mean is always sum / count of the merged partial.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -23,6 +24,20 @@ class Measures:
     def __add__(self, other: Measures) -> Measures:
         return Measures(self.sums + other.sums, self.counts + other.counts, self.maxima + other.maxima)
 
+    def reading(self, formulas: str) -> Measures:
+        """Only what some formula reads."""
+        words = set(re.findall(r"\w+", formulas))
+        counts = tuple(c for c in self.counts if words & {f"n_{c}", f"mean_{c}"})
+        return Measures(
+            tuple(c for c in self.sums if words & {c, f"mean_{c}"}),
+            counts,
+            tuple(c for c in self.maxima if f"max_{c}" in words),
+        )
+
+    def columns(self) -> list[str]:
+        """Columns of a partial."""
+        return [*self.sums, *[f"n_{c}" for c in self.counts], *[f"max_{c}" for c in self.maxima]]
+
     def of_rows(self) -> list[Column]:
         """Aggregates that turn rows into a partial."""
         return _columns(

@@ -1,9 +1,7 @@
-"""First and last hour of a report, first and last row of a day table."""
+"""First and last hour of a report."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,33 +14,25 @@ def hour_range(rows: DataFrame) -> DataFrame:
 def first_last_rows(rows: DataFrame) -> DataFrame:
     """Rows of the first and of the last hour, marked in column ``moment``.
 
-    The range is a single row, whatever the size of the data, so it is broadcast.
+    The two hours are found first, from one column; as values in a filter they reach the scan of
+    ``rows``, and only rows of these hours go on.
     """
-    hours = hour_range(rows).selectExpr(
-        "explode(array_distinct(array(first_hour, last_hour))) as hour_ts", "first_hour"
-    )
-    moment = F.when(F.col("hour_ts") == F.col("first_hour"), "first").otherwise("last")
-    return rows.join(F.broadcast(hours), "hour_ts").withColumn("moment", moment).drop("first_hour")
+    hours = hour_range(rows)
+    first, last = hours.select("first_hour").scalar(), hours.select("last_hour").scalar()
+    moment = F.when(F.col("hour_ts") == first, "first").otherwise("last")
+    return rows.filter((F.col("hour_ts") == first) | (F.col("hour_ts") == last)).withColumn("moment", moment)
 
 
 def cell_integrity(cells: DataFrame, cell_column: str = "cell_name") -> DataFrame:
     """One row: distinct cell names in the first and in the last hour (missing names do not count).
 
-    One pass: names are made distinct per hour before anything is counted, so no
-    task ever holds the names of the whole report.
+    Only the names of two hours are shuffled.
     """
-    per_hour = cells.select("hour_ts", cell_column).distinct().groupBy("hour_ts").agg(F.count(cell_column).alias("n"))
-    return per_hour.agg(
-        F.min_by("n", "hour_ts").alias("cells_before"),
-        F.max_by("n", "hour_ts").alias("cells_after"),
-    )
-
-
-def first_last_day(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row from a day table: struct ``before`` (first day), ``after`` (last day), and the last date."""
-    values = F.struct(*columns)
-    return table.agg(
-        F.min_by(values, "date").alias("before"),
-        F.max_by(values, "date").alias("after"),
-        F.max("date").alias("after_date"),
+    names = first_last_rows(cells.select("hour_ts", cell_column)).filter(F.col(cell_column).isNotNull())
+    counts = names.select("moment", cell_column).distinct()
+    # a single hour is the first and the last one
+    only = hour_range(cells).select((F.col("first_hour") == F.col("last_hour")).alias("only")).scalar()
+    return counts.agg(
+        F.count_if(F.col("moment") == "first").alias("cells_before"),
+        F.count_if((F.col("moment") == "last") | only).alias("cells_after"),
     )

@@ -6,18 +6,18 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netkpi.operators import summary as summary_rows
-from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, text_times
+from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_of, text_times
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import with_kpis
 from netkpi.operators.slices import only_slice, with_slice
 from netkpi.operators.snapshots import cell_integrity
 from netkpi.plans import lte_kpis as spec
-from netkpi.sinks.tables import SMALL_GRAINS, run_together, write_summary, write_table
+from netkpi.plans.writing import stage_groups, staged_inputs
+from netkpi.sinks.tables import SLICE_NAMES, run_together, write_quality, write_summary, write_table
 from netkpi.sources import catalog
-from netkpi.sources.reports import read_report
+from netkpi.sources.reports import ReadCheck, read_report
 from netkpi.sources.staging import Stage
 
 TECH = "lte"
@@ -31,43 +31,78 @@ class LteReports:
     daily1: DataFrame
     emtc: DataFrame
     operator: DataFrame
+    checks: tuple[ReadCheck, ...] = ()  # of the files they come from
 
 
 def read_reports(spark: SparkSession, daily: str, daily1: str, emtc: str, operator: str, **options) -> LteReports:
-    return LteReports(
-        read_report(spark, catalog.LTE_DAILY, daily, **options),
-        read_report(spark, catalog.LTE_DAILY1, daily1, **options),
-        read_report(spark, catalog.LTE_EMTC, emtc, **options),
-        read_report(spark, catalog.LTE_OPERATOR, operator, **options),
-    )
+    """Reports from CSV exports; their files are checked when :func:`write_report` has read them."""
+    checks: list[ReadCheck] = []
+    parts = [
+        read_report(spark, report, paths, checks=checks, **options)
+        for report, paths in (
+            (catalog.LTE_DAILY, daily),
+            (catalog.LTE_DAILY1, daily1),
+            (catalog.LTE_EMTC, emtc),
+            (catalog.LTE_OPERATOR, operator),
+        )
+    ]
+    return LteReports(*parts, checks=tuple(checks))
+
+
+def cells(daily: DataFrame, daily1: DataFrame, emtc: DataFrame, everything: bool = False) -> DataFrame:
+    """The three network reports joined: one partial per hour and cell, of what the KPIs read (or of all)."""
+    measures = (spec.DAILY, spec.DAILY1, spec.EMTC) if everything else spec.READ
+    return join_reports(list(zip((daily, daily1, emtc), measures, strict=True)), catalog.KEYS[TECH])
+
 
+def network_groups(cell_hours: DataFrame, grain: str) -> DataFrame:
+    aggregates = spec.NETWORK_READ.of_partials()
+    if grain == "day":
+        return days_of(network_groups(cell_hours, "hour"), aggregates)
+    return by_grain(cell_hours, aggregates, TECH, grain)
 
-def cells(daily: DataFrame, daily1: DataFrame, emtc: DataFrame) -> DataFrame:
-    """The three network reports joined: one partial per hour and cell."""
-    sides = [(daily, spec.DAILY), (daily1, spec.DAILY1), (emtc, spec.EMTC)]
-    return join_reports(sides, catalog.KEYS[TECH])
+
+def network_kpis(groups: DataFrame, grain: str) -> DataFrame:
+    return text_times(with_kpis(groups, spec.NETWORK_READ, spec.NETWORK_KPIS, GRAINS[TECH][grain]))
 
 
 def network_table(cell_hours: DataFrame, grain: str) -> DataFrame:
-    groups = by_grain(cell_hours, spec.NETWORK.of_partials(), TECH, grain)
-    return text_times(with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, GRAINS[TECH][grain]))
+    return network_kpis(network_groups(cell_hours, grain), grain)
 
 
 def network_tables(cell_hours: DataFrame, grains: tuple[str, ...] | None = None) -> DataFrame:
-    """Several grains in one pass, told apart by ``grain``."""
-    groups = by_grains(cell_hours, spec.NETWORK.of_partials(), TECH, grains)
+    """Several grains under each other, told apart by ``grain``."""
+    groups = by_grains(cell_hours, spec.NETWORK_READ.of_partials(), TECH, grains)
     keys = [k for k in ALL_KEYS[TECH] if k in groups.columns]
-    return text_times(with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, ["grain", *keys]))
+    return text_times(with_kpis(groups, spec.NETWORK_READ, spec.NETWORK_KPIS, ["grain", *keys]))
 
 
-def operator_table(cell_hours: DataFrame, operator: DataFrame, grain: str, slice_name: str) -> DataFrame:
-    """KPIs of one operator. Both sides are grouped by the keys of the join, so the join
-    itself shuffles nothing, and each side has one row per key."""
+def operator_hours(operator: DataFrame) -> DataFrame:
+    """One partial per hour, cell and slice."""
+    return with_slice(operator).groupBy("hour_ts", *catalog.KEYS[TECH], "slice").agg(*spec.OPERATOR_READ.of_rows())
+
+
+def operator_groups(hours: DataFrame, grain: str) -> DataFrame:
+    """Groups of all slices at once."""
+    aggregates = spec.OPERATOR_READ.of_partials()
+    if grain == "day":
+        return days_of(operator_groups(hours, "hour"), aggregates, ["slice"])
+    return by_grain(hours, aggregates, TECH, grain, ["slice"])
+
+
+def operator_kpis(own: DataFrame, network: DataFrame, grain: str) -> DataFrame:
+    """KPIs of one operator from its groups and those of the network."""
     keys = GRAINS[TECH][grain]
-    own = by_grain(only_slice(operator, slice_name), spec.OPERATOR.of_rows(), TECH, grain)
+    both = own.join(network.select(*keys, *spec.SHARED.columns()), list(keys))
+    return text_times(with_kpis(both, spec.OPERATOR_READ + spec.SHARED, spec.OPERATOR_KPIS, keys))
+
+
+def operator_table(cell_hours: DataFrame, operator: DataFrame, grain: str, slice_name: str) -> DataFrame:
+    """KPIs of one operator, from the rows per operator. Both sides are grouped by the keys of the
+    join, so the join itself shuffles nothing, and each side has one row per key."""
+    own = by_grain(only_slice(operator, slice_name), spec.OPERATOR_READ.of_rows(), TECH, grain)
     shared = by_grain(cell_hours, spec.SHARED.of_partials(), TECH, grain)
-    both = own.join(shared, list(keys))
-    return text_times(with_kpis(both, spec.OPERATOR + spec.SHARED, spec.OPERATOR_KPIS, keys))
+    return operator_kpis(own, shared, grain)
 
 
 def summary(cell_hours: DataFrame, days: summary_rows.SliceTables) -> DataFrame:
@@ -91,35 +126,53 @@ def day_tables(cell_hours: DataFrame, operator: DataFrame) -> summary_rows.Slice
 
 
 def write_report(
-    spark: SparkSession, reports: LteReports, out: str, format: str = "parquet", labels: bool = False
+    spark: SparkSession,
+    reports: LteReports,
+    out: str,
+    format: str = "parquet",
+    labels: bool = False,
+    mode: str = "error",
+    staging: str | None = None,
 ) -> None:
     """Write all tables under ``out``.
 
-    The joined cells and the rows per operator are written once to the staging folder;
-    every table starts from there, so a lost executor never sends the job back to the
-    CSV files and a failed table can be written again on its own.
+    The joined cells and the sums per operator are written once to the staging folder, then one
+    aggregate per grain of each (days from hours); all tables of a grain are made from these. A lost
+    executor never sends the job back to the CSV files. If a table fails, the staged tables are kept:
+    called again with their folder as ``staging`` and ``mode="resume"``, only what is missing is written.
     """
-    with Stage(spark) as stage:
-        cell_hours = stage.table(cells(reports.daily, reports.daily1, reports.emtc), "cells")
-        operator = stage.table(with_slice(reports.operator), "operator", ["slice"])
-        small = stage.table(network_tables(cell_hours, SMALL_GRAINS), "small", ["grain"])
-        days = {"ALL": small.filter(F.col("grain") == "day")}
-        for slice_name in ("A", "B"):
-            table = operator_table(cell_hours, operator, "day", slice_name)
-            days[slice_name] = stage.table(table, f"day_{slice_name}")
-
-        def write_network(grain: str) -> None:
-            is_small = grain in SMALL_GRAINS
-            table = small.filter(F.col("grain") == grain) if is_small else network_table(cell_hours, grain)
-            write_table(table, out, TECH, "ALL", grain, spec.NETWORK_KPIS, format, labels)
-
-        def write_operator(grain: str, slice_name: str) -> None:
-            is_day = grain == "day"
-            table = days[slice_name] if is_day else operator_table(cell_hours, operator, grain, slice_name)
-            write_table(table, out, TECH, slice_name, grain, spec.OPERATOR_KPIS, format, labels)
+    with Stage(spark, staging) as stage:
+        inputs = {
+            "cells": cells(reports.daily, reports.daily1, reports.emtc),
+            "operator": operator_hours(reports.operator),
+        }
+        staged = staged_inputs(stage, inputs, reports.checks, TECH)
+        cell_hours, operator = staged["cells"], staged["operator"]
+        network = stage_groups(
+            stage,
+            "network",
+            partial(network_groups, cell_hours),
+            lambda hours: days_of(hours, spec.NETWORK_READ.of_partials()),
+        )
+        own = stage_groups(
+            stage,
+            "own",
+            partial(operator_groups, operator),
+            lambda hours: days_of(hours, spec.OPERATOR_READ.of_partials(), ["slice"]),
+        )
+
+        def table(slice_name: str, grain: str) -> DataFrame:
+            if slice_name == "ALL":
+                return network_kpis(network[grain], grain)
+            return operator_kpis(only_slice(own[grain], slice_name), network[grain], grain)
+
+        def write(slice_name: str, grain: str) -> None:
+            kpis = spec.NETWORK_KPIS if slice_name == "ALL" else spec.OPERATOR_KPIS
+            write_table(table(slice_name, grain), out, TECH, slice_name, grain, kpis, format, labels, mode)
 
+        days = {s: table(s, "day") for s in SLICE_NAMES}
         run_together(
-            [partial(write_network, g) for g in GRAINS[TECH]]
-            + [partial(write_operator, g, s) for s in ("A", "B") for g in GRAINS[TECH]]
-            + [lambda: write_summary(summary(cell_hours, days), out, TECH, format)]
+            [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
+            + [lambda: write_summary(summary(cell_hours, days), out, TECH, format, mode)]
+            + [lambda: write_quality(staged["quality"], out, TECH, format, mode)]
         )

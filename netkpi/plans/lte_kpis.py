@@ -241,6 +241,12 @@ OPERATOR_KPIS = [
     Kpi("Max UL PRB Usage(%)", ratio("100 * max_l_rbusedown_ul_plmn", "max_l_chmeas_prb_ul_avail")),
 ]
 
+# What the formulas read: some sums of the exports are in no KPI, and need not be joined and stored.
+_FORMULAS = " ".join(k.sql for k in NETWORK_KPIS + OPERATOR_KPIS)
+READ = tuple(m.reading(_FORMULAS) for m in (DAILY, DAILY1, EMTC))
+NETWORK_READ = READ[0] + READ[1] + READ[2]
+OPERATOR_READ = OPERATOR.reading(_FORMULAS)
+
 # Rows of the before/after table as (section, label, KPI it shows).
 SUMMARY_ROWS = [
     ("Traffic", "PS Sim Users", "PS Sim Users"),

@@ -6,16 +6,16 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netkpi.operators import summary as summary_rows
-from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, text_times
+from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_of, text_times
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import with_kpis
 from netkpi.plans import umts_kpis as spec
-from netkpi.sinks.tables import SMALL_GRAINS, run_together, write_summary, write_table
+from netkpi.plans.writing import stage_groups, staged_inputs
+from netkpi.sinks.tables import SLICE_NAMES, run_together, write_quality, write_summary, write_table
 from netkpi.sources import catalog
-from netkpi.sources.reports import read_report
+from netkpi.sources.reports import ReadCheck, read_report
 from netkpi.sources.staging import Stage
 
 TECH = "umts"
@@ -28,14 +28,21 @@ class UmtsReports:
     daily: DataFrame
     daily1: DataFrame
     operator: DataFrame
+    checks: tuple[ReadCheck, ...] = ()  # of the files they come from
 
 
 def read_reports(spark: SparkSession, daily: str, daily1: str, operator: str, **options) -> UmtsReports:
-    return UmtsReports(
-        read_report(spark, catalog.UMTS_DAILY, daily, **options),
-        read_report(spark, catalog.UMTS_DAILY1, daily1, **options),
-        read_report(spark, catalog.UMTS_OPERATOR, operator, **options),
-    )
+    """Reports from CSV exports; their files are checked when :func:`write_report` has read them."""
+    checks: list[ReadCheck] = []
+    parts = [
+        read_report(spark, report, paths, checks=checks, **options)
+        for report, paths in (
+            (catalog.UMTS_DAILY, daily),
+            (catalog.UMTS_DAILY1, daily1),
+            (catalog.UMTS_OPERATOR, operator),
+        )
+    ]
+    return UmtsReports(*parts, checks=tuple(checks))
 
 
 def cells(daily: DataFrame, daily1: DataFrame) -> DataFrame:
@@ -47,23 +54,50 @@ def cells(daily: DataFrame, daily1: DataFrame) -> DataFrame:
     return join_reports(sides, catalog.KEYS[TECH])
 
 
-def network_table(cell_hours: DataFrame, grain: str) -> DataFrame:
-    groups = by_grain(cell_hours, spec.NETWORK.of_partials(), TECH, grain)
+def network_groups(cell_hours: DataFrame, grain: str) -> DataFrame:
+    aggregates = spec.NETWORK.of_partials()
+    if grain == "day":
+        return days_of(network_groups(cell_hours, "hour"), aggregates)
+    return by_grain(cell_hours, aggregates, TECH, grain)
+
+
+def network_kpis(groups: DataFrame, grain: str) -> DataFrame:
     return text_times(with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, GRAINS[TECH][grain]))
 
 
+def network_table(cell_hours: DataFrame, grain: str) -> DataFrame:
+    return network_kpis(network_groups(cell_hours, grain), grain)
+
+
 def network_tables(cell_hours: DataFrame, grains: tuple[str, ...] | None = None) -> DataFrame:
-    """Several grains in one pass, told apart by ``grain``."""
+    """Several grains under each other, told apart by ``grain``."""
     groups = by_grains(cell_hours, spec.NETWORK.of_partials(), TECH, grains)
     keys = [k for k in ALL_KEYS[TECH] if k in groups.columns]
     return text_times(with_kpis(groups, spec.NETWORK, spec.NETWORK_KPIS, ["grain", *keys]))
 
 
-def operator_table(operator: DataFrame, grain: str, slice_name: str) -> DataFrame:
-    groups = by_grain(operator, spec.OPERATOR.of_rows(), TECH, grain)
+def operator_hours(operator: DataFrame) -> DataFrame:
+    """One partial per hour and cell; each operator has counters of its own."""
+    return operator.groupBy("hour_ts", *catalog.KEYS[TECH]).agg(*spec.OPERATOR.of_rows())
+
+
+def operator_groups(hours: DataFrame, grain: str) -> DataFrame:
+    """Groups of both operators at once."""
+    aggregates = spec.OPERATOR.of_partials()
+    if grain == "day":
+        return days_of(operator_groups(hours, "hour"), aggregates)
+    return by_grain(hours, aggregates, TECH, grain)
+
+
+def operator_kpis(groups: DataFrame, grain: str, slice_name: str) -> DataFrame:
     return text_times(with_kpis(groups, spec.OPERATOR, spec.operator_kpis(slice_name), GRAINS[TECH][grain]))
 
 
+def operator_table(operator: DataFrame, grain: str, slice_name: str) -> DataFrame:
+    """KPIs of one operator, from the rows of the report."""
+    return operator_kpis(by_grain(operator, spec.OPERATOR.of_rows(), TECH, grain), grain, slice_name)
+
+
 def summary(days: summary_rows.SliceTables) -> DataFrame:
     return summary_rows.before_after(
         TECH, days, spec.SUMMARY_ROWS, spec.NETWORK_KPIS, spec.SHARED_ROWS, spec.NETWORK_ONLY_ROWS
@@ -79,29 +113,43 @@ def day_tables(cell_hours: DataFrame, operator: DataFrame) -> summary_rows.Slice
 
 
 def write_report(
-    spark: SparkSession, reports: UmtsReports, out: str, format: str = "parquet", labels: bool = False
+    spark: SparkSession,
+    reports: UmtsReports,
+    out: str,
+    format: str = "parquet",
+    labels: bool = False,
+    mode: str = "error",
+    staging: str | None = None,
 ) -> None:
-    """Write all tables under ``out``; see the LTE report for the staging."""
-    with Stage(spark) as stage:
-        cell_hours = stage.table(cells(reports.daily, reports.daily1), "cells")
-        needed = ["hour_ts", *catalog.KEYS[TECH], *spec.OPERATOR.sums]
-        operator = stage.table(reports.operator.select(*map(F.col, needed)), "operator")
-        small = stage.table(network_tables(cell_hours, SMALL_GRAINS), "small", ["grain"])
-        days = {"ALL": small.filter(F.col("grain") == "day")}
-        for slice_name in ("A", "B"):
-            days[slice_name] = stage.table(operator_table(operator, "day", slice_name), f"day_{slice_name}")
-
-        def write_network(grain: str) -> None:
-            is_small = grain in SMALL_GRAINS
-            table = small.filter(F.col("grain") == grain) if is_small else network_table(cell_hours, grain)
-            write_table(table, out, TECH, "ALL", grain, spec.NETWORK_KPIS, format, labels)
-
-        def write_operator(grain: str, slice_name: str) -> None:
-            table = days[slice_name] if grain == "day" else operator_table(operator, grain, slice_name)
-            write_table(table, out, TECH, slice_name, grain, spec.operator_kpis(slice_name), format, labels)
+    """Write all tables under ``out``; see the LTE report for staging and ``mode``."""
+    with Stage(spark, staging) as stage:
+        inputs = {"cells": cells(reports.daily, reports.daily1), "operator": operator_hours(reports.operator)}
+        staged = staged_inputs(stage, inputs, reports.checks, TECH)
+        network = stage_groups(
+            stage,
+            "network",
+            partial(network_groups, staged["cells"]),
+            lambda hours: days_of(hours, spec.NETWORK.of_partials()),
+        )
+        own = stage_groups(
+            stage,
+            "own",
+            partial(operator_groups, staged["operator"]),
+            lambda hours: days_of(hours, spec.OPERATOR.of_partials()),
+        )
+
+        def table(slice_name: str, grain: str) -> DataFrame:
+            if slice_name == "ALL":
+                return network_kpis(network[grain], grain)
+            return operator_kpis(own[grain], grain, slice_name)
+
+        def write(slice_name: str, grain: str) -> None:
+            kpis = spec.NETWORK_KPIS if slice_name == "ALL" else spec.operator_kpis(slice_name)
+            write_table(table(slice_name, grain), out, TECH, slice_name, grain, kpis, format, labels, mode)
 
+        days = {s: table(s, "day") for s in SLICE_NAMES}
         run_together(
-            [partial(write_network, g) for g in GRAINS[TECH]]
-            + [partial(write_operator, g, s) for s in ("A", "B") for g in GRAINS[TECH]]
-            + [lambda: write_summary(summary(days), out, TECH, format)]
+            [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
+            + [lambda: write_summary(summary(days), out, TECH, format, mode)]
+            + [lambda: write_quality(staged["quality"], out, TECH, format, mode)]
         )

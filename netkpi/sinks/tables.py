@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from netkpi.operators.grains import GRAINS
 from netkpi.operators.kpis import Kpi
+from netkpi.sources.staging import is_complete
 
+SLICE_NAMES = ("ALL", "A", "B")
 # Grains with a bounded number of rows per day; their tables are sorted as a whole.
 SMALL_GRAINS = ("day", "hour")
 
@@ -30,7 +32,17 @@ def labelled(table: DataFrame, kpis: Sequence[Kpi]) -> DataFrame:
     return table.withColumnsRenamed({**KEY_LABELS, **{k.column: k.label for k in kpis}})
 
 
-def _save(writer: DataFrameWriter, path: str, format: str) -> None:
+#: What to do about tables that are there already: fail, replace them, or write only those that are
+#: missing or were not written to their end.
+MODES = ("error", "overwrite", "resume")
+
+
+def _save(table: DataFrame, path: str, format: str, mode: str) -> None:
+    if mode not in MODES:
+        raise ValueError(f"mode {mode}: not one of {', '.join(MODES)}")
+    if mode == "resume" and is_complete(table.sparkSession, path):
+        return
+    writer = table.write.mode("error" if mode == "error" else "overwrite")
     if format == "csv":
         writer = writer.option("header", True)
     writer.format(format).save(path)
@@ -49,6 +61,7 @@ def write_table(
     kpis: Sequence[Kpi],
     format: str = "parquet",
     labels: bool = False,
+    mode: str = "error",
 ) -> None:
     """Write one detail table: keys first, then KPIs, in ascending order of the keys.
 
@@ -59,12 +72,17 @@ def write_table(
     ordered = table.orderBy(*keys) if grain in SMALL_GRAINS else table.sortWithinPartitions(*keys)
     if labels:
         ordered = labelled(ordered, kpis)
-    _save(ordered.write, _detail_path(out, tech, slice_name, grain), format)
+    _save(ordered, _detail_path(out, tech, slice_name, grain), format, mode)
 
 
-def write_summary(table: DataFrame, out: str, tech: str, format: str = "parquet") -> None:
+def write_summary(table: DataFrame, out: str, tech: str, format: str = "parquet", mode: str = "error") -> None:
     """The summary has a fixed number of rows: one sorted file."""
-    _save(table.coalesce(1).sortWithinPartitions("position").write, f"{out}/{tech}/summary", format)
+    _save(table.coalesce(1).sortWithinPartitions("position"), f"{out}/{tech}/summary", format, mode)
+
+
+def write_quality(table: DataFrame, out: str, tech: str, format: str = "parquet", mode: str = "error") -> None:
+    """Counts of what was read and left out: a few rows per report."""
+    _save(table.coalesce(1), f"{out}/{tech}/quality", format, mode)
 
 
 def read_table(spark: SparkSession, out: str, tech: str, slice_name: str, grain: str) -> DataFrame:
@@ -73,7 +91,8 @@ def read_table(spark: SparkSession, out: str, tech: str, slice_name: str, grain:
 
 def run_together(jobs: Sequence[Callable[[], None]], at_once: int = 4) -> None:
     """Submit independent write jobs from a few threads, so that the last tasks of one table
-    overlap with the first ones of the next. The first failure is raised at the end."""
+    overlap with the first ones of the next. The others still run if one fails; the first failure is
+    raised at the end."""
     with ThreadPoolExecutor(at_once) as pool:
         for future in [pool.submit(job) for job in jobs]:
             future.result()
