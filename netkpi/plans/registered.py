@@ -6,10 +6,10 @@ by the adapters, so the work of every query grows with that table.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netkpi.functions.labels import lte_cell_name, umts_cell
@@ -20,19 +20,24 @@ from netkpi.operators.joins import duplicate_keys
 from netkpi.operators.slices import with_slice
 from netkpi.operators.snapshots import cell_integrity, first_last_rows
 from netkpi.plans import lte, umts
+from netkpi.sinks.tables import SLICE_NAMES, read_table
 from netkpi.sources import adapters, catalog
-from netkpi.sources.reports import PREAMBLE_LINES, read_report
-from netkpi.sources.staging import Stage, shared_folder
+from netkpi.sources.reports import PREAMBLE_LINES, line_counts, read_report, read_text
+from netkpi.sources.staging import Stage
+
+PREAMBLE = tuple(f"Preamble line {i + 1}" for i in range(PREAMBLE_LINES))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _clean(spark: SparkSession, sf_dir: str, report: catalog.Report, table: str = "events") -> DataFrame:
-    return adapters.clean_report(adapters.measurements(spark, sf_dir, table), report)
+def _clean(
+    spark: SparkSession, sf_dir: str, report: catalog.Report, table: str = "events", all_kinds: bool = False
+) -> DataFrame:
+    return adapters.clean_report(adapters.measurements(spark, sf_dir, table), report, all_kinds)
 
 
-def _text(spark: SparkSession, sf_dir: str, report: catalog.Report) -> DataFrame:
-    return adapters.text_report(adapters.measurements(spark, sf_dir), report)
+def _text(spark: SparkSession, sf_dir: str, report: catalog.Report, all_kinds: bool = False) -> DataFrame:
+    return adapters.text_report(adapters.measurements(spark, sf_dir), report, all_kinds)
 
 
 def lte_cells(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
@@ -53,30 +58,31 @@ def umts_operator(spark: SparkSession, sf_dir: str, table: str = "events") -> Da
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for files that the returned DataFrame still reads."""
-    return f"{shared_folder(spark)}/netkpi-files-{uuid.uuid4().hex}"
-
-
-def _staged(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write a table that is read several times, so that it is computed once."""
-    return Stage(spark).table(df, "cells")
+    """A folder for files that the returned DataFrame still reads; it goes with the session."""
+    return Stage.of_session(spark).folder
 
 
 def _with_text_times(rows: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in time_keys(F.col("hour_ts")).items()], "*").drop("hour_ts")
 
 
+def _whole_counts(rows: DataFrame) -> DataFrame:
+    """Counts of a partial as whole numbers."""
+    counts = [c for c in rows.columns if c.startswith("n_") or c == "joined_rows"]
+    return rows.withColumns({c: F.col(c).cast("bigint") for c in counts})
+
+
 # --- cleaning -----------------------------------------------------------------
 
 
 def nil_to_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _text(spark, sf_dir, catalog.LTE_DAILY1)
+    rows = _text(spark, sf_dir, catalog.LTE_DAILY1, all_kinds=True)
     counters = [f"{counter_value(c.label)} AS {c.column}" for c in catalog.LTE_DAILY1.counters]
     return rows.selectExpr("`Start Time` AS start_time", "Cell AS label", *counters)
 
 
 def lte_cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _text(spark, sf_dir, catalog.LTE_EMTC)
+    rows = _text(spark, sf_dir, catalog.LTE_EMTC, all_kinds=True)
     return rows.select(
         F.col("Start Time").alias("start_time"),
         F.col("Cell").alias("label"),
@@ -86,7 +92,7 @@ def lte_cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def umts_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports of two controller types, read together."""
-    rows = _text(spark, sf_dir, catalog.UMTS_DAILY1).select("`Start Time`", "BSC6910UCell")
+    rows = _text(spark, sf_dir, catalog.UMTS_DAILY1, all_kinds=True).select("`Start Time`", "BSC6910UCell")
     newer = F.col("BSC6910UCell").rlike("[02468],|short")
     older = rows.filter(~newer).withColumnRenamed("BSC6910UCell", "BSC6900UCell")
     both = rows.filter(newer).unionByName(older, allowMissingColumns=True)
@@ -96,14 +102,18 @@ def umts_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start times in three spellings."""
+    """Start times in six spellings."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
-    spelling = F.col("event_id") % 3
-    text = (
-        F.when(spelling == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-        .when(spelling == 1, F.date_format("ts", "yyyy/MM/dd HH:mm"))
-        .otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm"))
+    spellings = (
+        "yyyy-MM-dd HH:mm:ss",
+        "yyyy/MM/dd HH:mm",
+        "MM/dd/yyyy HH:mm",
+        "MM/dd/yyyy hh:mm a",
+        "dd-MMM-yyyy HH:mm",
+        "yyyyMMdd HH:mm:ss",
     )
+    spelling = F.col("event_id") % len(spellings)
+    text = F.coalesce(*[F.when(spelling == i, F.date_format("ts", f)) for i, f in enumerate(spellings)])
     keys = time_keys(parse_start_time(text))
     return rows.select("event_id", *[expr.alias(name) for name, expr in keys.items()])
 
@@ -116,23 +126,45 @@ def operator_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = duplicate_keys(_clean(spark, sf_dir, catalog.LTE_DAILY1), catalog.KEYS["lte"])
+    rows = duplicate_keys(_clean(spark, sf_dir, catalog.LTE_DAILY1, all_kinds=True), catalog.KEYS["lte"])
     return _with_text_times(rows).select("start_time", "ne_name", "cell_name", "n_rows")
 
 
 # --- joins and snapshots ------------------------------------------------------
 
 
+def _lte_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC)
+    return lte.cells(*[_clean(spark, sf_dir, r) for r in reports], everything=True)
+
+
 def lte_report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_text_times(lte_cells(spark, sf_dir)).drop("date", "hour")
+    return _with_text_times(_whole_counts(_lte_join(spark, sf_dir))).drop("date", "hour")
 
 
 def umts_report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_text_times(umts_cells(spark, sf_dir)).drop("date", "hour")
+    return _with_text_times(_whole_counts(umts_cells(spark, sf_dir))).drop("date", "hour")
+
+
+def _few_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined report with ten cell names: they repeat in each report, and from site to site."""
+    name = F.concat(F.lit("C"), F.right("cell_name", F.lit(1)))
+    reports = [_clean(spark, sf_dir, r) for r in (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC)]
+    return lte.cells(*[r.withColumn("cell_name", name) for r in reports])
+
+
+def lte_join_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_text_times(_whole_counts(_few_names(spark, sf_dir)))
+    return rows.select("start_time", "ne_name", "cell_name", "joined_rows", "l_thrp_bits_dl", "n_l_cell_avail_dur")
+
+
+def lte_kpi_shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of one name on several sites fall together at this grain."""
+    return lte.network_table(_few_names(spark, sf_dir), "cell_hour")
 
 
 def first_last_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_last_rows(_staged(spark, lte_cells(spark, sf_dir)))
+    rows = _whole_counts(first_last_rows(_lte_join(spark, sf_dir)))
     return _with_text_times(rows).select(
         "moment", "start_time", "ne_name", "cell_name", "joined_rows", "l_thrp_bits_dl", "l_uecntx_normrel"
     )
@@ -173,7 +205,7 @@ def umts_kpi_all_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lte_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _staged(spark, lte_cells(spark, sf_dir))
+    cells = lte_cells(spark, sf_dir)
     return lte.summary(cells, lte.day_tables(cells, lte_operator(spark, sf_dir)))
 
 
@@ -184,11 +216,11 @@ def umts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files --------------------------------------------------------------------
 
 
-def write_exports(rows: DataFrame, path: str) -> None:
+def write_exports(rows: DataFrame, path: str, preamble: Sequence[str] = PREAMBLE) -> None:
     """Write text cells as exports: each partition becomes a file with preamble and header."""
     cells = [f"""concat('"', replace({quoted(n)}, '"', '""'), '"')""" for n in rows.columns]
     line = F.expr(f"array_join(array({', '.join(cells)}), ',', '')")
-    top = [f"Preamble line {i + 1}" for i in range(PREAMBLE_LINES)] + [",".join(rows.columns)]
+    top = [*preamble, ",".join(rows.columns)]
 
     def with_top(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -218,6 +250,37 @@ def csv_umts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_text_times(read_report(spark, catalog.UMTS_OPERATOR, path)).drop("date", "hour")
 
 
+def csv_awkward_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preambles that look like data, in a folder with a blank and a percent sign in its name."""
+    preamble = ["", "2021-02-01 10:00,a,b", "Start Time,2021-01-29 00:00", '"Query, by",user', ",,,,,,,,,,,,", "60", "x"]
+    path = f"{_scratch(spark)}/export 100%20 [a]"
+    write_exports(_text(spark, sf_dir, catalog.LTE_EMTC), path, preamble)
+    pattern = f"{_scratch_pattern(path)}/part-*"
+    return _with_text_times(read_report(spark, catalog.LTE_EMTC, pattern)).drop("date", "hour")
+
+
+def _scratch_pattern(path: str) -> str:
+    return path.replace("[", "\\[").replace("]", "\\]")
+
+
+def csv_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the source says it has left out: rows without a time, junk in a counter."""
+    rows = _text(spark, sf_dir, catalog.LTE_EMTC)
+    number = F.right("NE Name", F.lit(1))
+    first = f"`{catalog.LTE_EMTC.counters[0].label}`"
+    rows = rows.withColumn("Start Time", F.when(number != "3", F.col("Start Time")))
+    rows = rows.withColumn(first.strip("`"), F.when(number == "4", F.lit("2f")).otherwise(F.col(first)))
+    path = f"{_scratch(spark)}/{catalog.LTE_EMTC.name}"
+    write_exports(rows, path)
+    counts = line_counts(read_text(spark, f"{path}/part-*"), catalog.LTE_EMTC)
+    return counts.agg(
+        F.sum(F.col("n_lines") - F.col("not_data")).alias("n_rows"),
+        F.sum(F.col("not_data") - 8 * F.col("headers")).alias("more_not_data"),
+        F.sum("without_time").alias("without_time"),
+        F.sum("junk_cells").alias("junk_cells"),
+    )
+
+
 def csv_lte_kpi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day KPIs from CSV files of all three network reports."""
     folder = _scratch(spark)
@@ -228,11 +291,29 @@ def csv_lte_kpi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lte.network_table(lte.cells(daily, daily1, emtc), "day")
 
 
+def csv_umts_kpi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day KPIs from CSV files of both network reports, 118 counters."""
+    folder = _scratch(spark)
+    daily, daily1 = (
+        read_report(spark, r, _exported(spark, sf_dir, r, folder)) for r in (catalog.UMTS_DAILY, catalog.UMTS_DAILY1)
+    )
+    return umts.network_table(umts.cells(daily, daily1), "day")
+
+
+def _write_lte(spark: SparkSession, sf_dir: str, out: str) -> None:
+    reports = (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC, catalog.LTE_OPERATOR)
+    lte.write_report(spark, lte.LteReports(*[_clean(spark, sf_dir, r) for r in reports]), out)
+
+
+def _write_umts(spark: SparkSession, sf_dir: str, out: str) -> None:
+    reports = (catalog.UMTS_DAILY, catalog.UMTS_DAILY1, catalog.UMTS_OPERATOR)
+    umts.write_report(spark, umts.UmtsReports(*[_clean(spark, sf_dir, r) for r in reports]), out)
+
+
 def grain_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All twelve written UMTS tables, read back as one."""
     out = _scratch(spark)
-    reports = (catalog.UMTS_DAILY, catalog.UMTS_DAILY1, catalog.UMTS_OPERATOR)
-    umts.write_report(spark, umts.UmtsReports(*[_clean(spark, sf_dir, r) for r in reports]), out)
+    _write_umts(spark, sf_dir, out)
     written = spark.read.option("mergeSchema", True).parquet(f"{out}/umts/detail")
     return written.groupBy("slice", "grain").agg(
         F.count("*").alias("n_rows"),
@@ -242,6 +323,50 @@ def grain_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lte_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve written LTE tables, every key and KPI."""
+    out = _scratch(spark)
+    _write_lte(spark, sf_dir, out)
+    return spark.read.option("mergeSchema", True).parquet(f"{out}/lte/detail")
+
+
+def umts_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve written UMTS tables, every key and KPI."""
+    out = _scratch(spark)
+    _write_umts(spark, sf_dir, out)
+    return spark.read.option("mergeSchema", True).parquet(f"{out}/umts/detail")
+
+
+def summary_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written summaries of both technologies."""
+    out = _scratch(spark)
+    _write_lte(spark, sf_dir, out)
+    _write_umts(spark, sf_dir, out)
+    return spark.read.parquet(f"{out}/lte/summary").unionByName(spark.read.parquet(f"{out}/umts/summary"))
+
+
+def sink_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the written LTE tables, and how many are not at their place in their file."""
+    out = _scratch(spark)
+    _write_lte(spark, sf_dir, out)
+    parts = []
+    for slice_name in SLICE_NAMES:
+        for grain, keys in GRAINS["lte"].items():
+            table = read_table(spark, out, "lte", slice_name, grain)
+            table = table.select(*keys, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            place = F.row_number().over(Window.partitionBy("file").orderBy(*keys)) - 1
+            wrong = F.count_if(F.col("place") != F.col("at"))
+            parts.append(
+                table.withColumn("place", place).agg(
+                    F.lit(slice_name).alias("slice"),
+                    F.lit(grain).alias("grain"),
+                    F.count("*").alias("n_rows"),
+                    wrong.alias("out_of_place"),
+                )
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "nil_to_zero": nil_to_zero,
@@ -261,7 +386,16 @@ def all_queries() -> dict[str, Query]:
         "csv_roundtrip": csv_roundtrip,
         "csv_umts_roundtrip": csv_umts_roundtrip,
         "csv_lte_kpi_day": csv_lte_kpi_day,
+        "csv_awkward_roundtrip": csv_awkward_roundtrip,
+        "csv_line_counts": csv_line_counts,
+        "csv_umts_kpi_day": csv_umts_kpi_day,
+        "lte_join_repeated_keys": lte_join_repeated_keys,
+        "lte_kpi_shared_names": lte_kpi_shared_names,
         "grain_sink_roundtrip": grain_sink_roundtrip,
+        "lte_sink_roundtrip": lte_sink_roundtrip,
+        "umts_sink_roundtrip": umts_sink_roundtrip,
+        "summary_sink_roundtrip": summary_sink_roundtrip,
+        "sink_order": sink_order,
     }
     for grain in GRAINS["lte"]:
         found[f"lte_kpi_{grain}"] = lte_kpi(grain)

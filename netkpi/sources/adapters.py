@@ -16,7 +16,7 @@ from netkpi.sources.catalog import Report
 
 KINDS = ("view", "click", "purchase", "signup", "error")
 
-# Kind of row each report leaves out, so that joins have something to drop.
+# Kind of row each report leaves out when reports are joined, so that joins have something to drop.
 _LEFT_OUT = {
     "lte_daily": "error",
     "lte_daily1": "signup",
@@ -65,10 +65,10 @@ def _ne_name() -> Column:
     return F.concat(F.lit("NE"), F.lpad((F.col("u") % 20).cast("string"), 2, "0"))
 
 
-def _summed(rows: DataFrame, report: Report) -> DataFrame:
+def _summed(rows: DataFrame, report: Report, all_kinds: bool) -> DataFrame:
     """One row per group with the smallest row id and the counter sums."""
     groups = ["h", "u"] + (["t"] if report.per_operator_rows else [])
-    if report.name in _LEFT_OUT:
+    if report.name in _LEFT_OUT and not all_kinds:
         rows = rows.filter(F.col("t") != _LEFT_OUT[report.name])
     first = _FIRST_ORDINAL.get(report.name, 0)
     sums = []
@@ -84,8 +84,11 @@ def _operator_number() -> Column:
     return F.when(number >= 0, number)
 
 
-def clean_report(rows: DataFrame, report: Report) -> DataFrame:
-    """A report as it is after cleaning: hour, keys, counters as DOUBLE."""
+def clean_report(rows: DataFrame, report: Report, all_kinds: bool = False) -> DataFrame:
+    """A report as it is after cleaning: hour, keys, counters as DOUBLE.
+
+    ``all_kinds`` takes all rows of the table, also those left out for the sake of joins.
+    """
     if report.tech == "lte":
         keys = {
             "ne_name": _ne_name(),
@@ -110,10 +113,10 @@ def clean_report(rows: DataFrame, report: Report) -> DataFrame:
         for i, c in enumerate(report.counters, start=first)
     ]
     named = [expr.alias(name) for name, expr in keys.items()]
-    return _summed(rows, report).select(F.col("h").alias("hour_ts"), *named, *counters)
+    return _summed(rows, report, all_kinds).select(F.col("h").alias("hour_ts"), *named, *counters)
 
 
-def text_report(rows: DataFrame, report: Report) -> DataFrame:
+def text_report(rows: DataFrame, report: Report, all_kinds: bool = False) -> DataFrame:
     """The same report as text cells under the names of the CSV header, with ``NIL`` and blanks."""
     n = F.col("u").cast("string")
     if report.tech == "lte":
@@ -155,4 +158,4 @@ def text_report(rows: DataFrame, report: Report) -> DataFrame:
         )
         for i, c in enumerate(report.counters, start=first)
     ]
-    return _summed(rows, report).select(*[expr.alias(name) for name, expr in lead.items()], *counters)
+    return _summed(rows, report, all_kinds).select(*[expr.alias(name) for name, expr in lead.items()], *counters)

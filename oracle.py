@@ -37,10 +37,11 @@ _PLAN = {
 }
 
 
-def _report(name: str, extra: str = "") -> str:
+def _report(name: str, extra: str = "", all_kinds: bool = False) -> str:
     """CTE with the clean rows of a report."""
     report = catalog.REPORTS[name]
     where, first = _PLAN[name]
+    where = "TRUE" if all_kinds else where
     counters = ",\n    ".join(
         f"CASE WHEN (min(x) + {i}) % 97 = 0 THEN 0.0 WHEN (min(x) + {i}) % 89 = 0 THEN NULL "
         f"ELSE CAST(sum((v * {2 * i + 1} + x * {i + 3}) % 1009"
@@ -645,6 +646,39 @@ def _sink() -> str:
     )
 
 
+def _few_names(ctes: str) -> str:
+    """Ten cell names instead of one per cell."""
+    return ctes.replace("concat('C', lpad(CAST(u AS VARCHAR), 6, '0'))", "concat('C', u % 10)")
+
+
+def _sink_tables(tech: str) -> tuple[list[str], list[tuple[str, str, str]]]:
+    """CTEs of all twelve tables; slice, grain and name of each."""
+    if tech == "lte":
+        ctes, network, operator = [_lte_joined(), _report("lte_operator")], _lte_network, _lte_operator
+    else:
+        ctes, network, operator = [_umts_joined(), _report("umts_operator")], _umts_network, _umts_operator
+    tables = []
+    for grain in _GRAINS:
+        ctes.append(network(f"t_all_{grain}", grain))
+        tables.append(("ALL", grain, f"t_all_{grain}"))
+        for s in "ab":
+            ctes.append(operator(f"t_{s}_{grain}", grain, s))
+            tables.append((s.upper(), grain, f"t_{s}_{grain}"))
+    return ctes, tables
+
+
+def _sink_values(tech: str) -> str:
+    ctes, tables = _sink_tables(tech)
+    return _with(*ctes) + "\nUNION ALL BY NAME\n".join(f"SELECT '{s}' AS slice, '{g}' AS grain, * FROM {t}" for s, g, t in tables)
+
+
+def _sink_order() -> str:
+    ctes, tables = _sink_tables("lte")
+    return _with(*ctes) + "\nUNION ALL\n".join(
+        f"SELECT '{s}' AS slice, '{g}' AS grain, count(*) AS n_rows, 0 AS out_of_place FROM {t}" for s, g, t in tables
+    )
+
+
 def _partials(sums: list[str], counts: list[str], maxima: list[str]) -> str:
     return ", ".join(
         [f"sum({c}) AS {c}" for c in sums]
@@ -709,21 +743,21 @@ def _text_start() -> str:
 
 def all_sql() -> dict[str, str]:
     found = {
-        "nil_to_zero": _with(_EV, _report("lte_daily1", f", {_text_start()}"))
+        "nil_to_zero": _with(_EV, _report("lte_daily1", f", {_text_start()}", all_kinds=True))
         + f"SELECT start_time, label, {', '.join(catalog.LTE_DAILY1.columns)} FROM lte_daily1",
         "lte_cell_name": _with(_EV)
         + f"SELECT {_text_start()}, CASE WHEN u % 50 = 49 THEN NULL ELSE concat('C', lpad(CAST(u AS VARCHAR), 6, '0')) "
-        "END AS cell_name FROM ev WHERE t <> 'click' GROUP BY h, u",
+        "END AS cell_name FROM ev GROUP BY h, u",
         "umts_label_parse": _with(_EV)
         + f"SELECT {_START} AS start_time, CASE WHEN u % 50 = 49 THEN 'Label=short' ELSE concat('Label=S', u % 20, '_', u, "
-        f"', CellID=', u, ', LogicRNCID=1') END AS label, {_UMTS_KEYS} FROM ev WHERE t <> 'signup' GROUP BY h, u",
+        f"', CellID=', u, ', LogicRNCID=1') END AS label, {_UMTS_KEYS} FROM ev GROUP BY h, u",
         "time_keys": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:00') AS start_time, strftime(ts, '%Y-%m-%d') AS date, "
         "strftime(ts, '%H:00') AS hour FROM events",
         "operator_slice": _with(_EV, _report("lte_operator"))
         + f"SELECT {_START} AS start_time, ne_name, cell_name, CASE cn_operator WHEN 'CN Operator ID=2' THEN 'B' ELSE 'A' END "
         "AS slice, l_traffic_user_avg_plmn, l_thrp_bits_dl_plmn FROM lte_operator "
         "WHERE cn_operator IN ('CN Operator ID=0', 'CN Operator ID=1', 'CN Operator ID=2')",
-        "duplicate_keys": _with(_EV, _report("lte_daily1"))
+        "duplicate_keys": _with(_EV, _report("lte_daily1", all_kinds=True))
         + f"SELECT {_START} AS start_time, ne_name, cell_name, count(*) AS n_rows FROM lte_daily1 "
         "GROUP BY h, ne_name, cell_name HAVING count(*) > 1",
         "lte_report_join": _with(_lte_joined())
@@ -746,7 +780,22 @@ def all_sql() -> dict[str, str]:
         "csv_umts_roundtrip": _with(_EV, _report("umts_operator"))
         + f"SELECT {_START} AS start_time, * EXCLUDE (h) FROM umts_operator",
         "csv_lte_kpi_day": _with(_lte_joined(), _lte_network("k", "day")) + "SELECT * FROM k",
+        "csv_awkward_roundtrip": _with(_EV, _report("lte_emtc"))
+        + f"SELECT {_START} AS start_time, * EXCLUDE (h) FROM lte_emtc",
+        "csv_line_counts": _with(_EV, _report("lte_emtc"))
+        + "SELECT count(*) AS n_rows, 0 AS more_not_data, count(*) FILTER (right(ne_name, 1) = '3') AS without_time, "
+        "count(*) FILTER (right(ne_name, 1) = '4') AS junk_cells FROM lte_emtc",
+        "csv_umts_kpi_day": _with(_umts_joined(), _umts_network("k", "day")) + "SELECT * FROM k",
+        "lte_join_repeated_keys": _with(_few_names(_lte_joined()))
+        + f"SELECT {_START} AS start_time, ne_name, cell_name, count(*) AS joined_rows, "
+        "sum(l_thrp_bits_dl) AS l_thrp_bits_dl, count(l_cell_avail_dur) AS n_l_cell_avail_dur "
+        "FROM j GROUP BY h, ne_name, cell_name",
+        "lte_kpi_shared_names": _with(_few_names(_lte_joined()), _lte_network("k", "cell_hour")) + "SELECT * FROM k",
         "grain_sink_roundtrip": _sink(),
+        "lte_sink_roundtrip": _sink_values("lte"),
+        "umts_sink_roundtrip": _sink_values("umts"),
+        "summary_sink_roundtrip": f"SELECT * FROM ({_summary('lte')}) UNION ALL SELECT * FROM ({_summary('umts')})",
+        "sink_order": _sink_order(),
     }
     for grain in _GRAINS:
         found[f"lte_kpi_{grain}"] = _with(_lte_joined(), _lte_network("k", grain)) + "SELECT * FROM k"
