@@ -8,11 +8,11 @@ import pytest
 
 from netkpi.__main__ import arguments, main
 from netkpi.operators.grains import GRAINS
-from netkpi.plans import lte_kpis, umts_kpis
+from netkpi.plans import lte, lte_kpis, umts_kpis
 from netkpi.plans.registered import all_queries, write_exports
 from netkpi.sinks.tables import read_table
 from netkpi.sources import adapters, catalog
-from netkpi.sources.reports import data_rows, read_report, read_text, rejects, skipped_lines
+from netkpi.sources.reports import data_rows, line_counts, read_report, read_text, rejects
 from netkpi.sources.staging import Stage
 from tests.conftest import SF_DIR
 from tests.helpers import write_export
@@ -82,8 +82,71 @@ def test_junk_rows(spark, tmp_path):
     lines = read_text(spark, str(tmp_path / "a.csv"))
     [bad] = rejects(data_rows(lines, catalog.LTE_EMTC), catalog.LTE_EMTC).collect()
     assert bad.junk_columns == [EMTC[0]]
-    [skipped] = skipped_lines(lines, catalog.LTE_EMTC).collect()
-    assert skipped.skipped == 8
+    [counts] = line_counts(lines, catalog.LTE_EMTC).collect()
+    assert tuple(counts)[1:] == (10, 1, 8, 0, 1)
+
+
+@pytest.mark.parametrize("junk", ["1d", "2f", "0x10", "0x1p3", "1e", "--1", "1,5"])
+def test_junk_numbers(spark, tmp_path, junk):
+    write_export(tmp_path / "a.csv", NAMES, [["2021-01-29 13:00", "60", "NE1", CELL, junk, "2"]])
+    with pytest.raises(Exception, match="not a number"):
+        _read(spark, tmp_path / "a.csv")
+
+
+def _awkward(path, preamble, rows):
+    path.write_text("\n".join([*preamble, ",".join(NAMES), *rows]) + "\n")
+
+
+GOOD = '2021-01-29 13:00,60,NE1,"' + CELL + '",1,2'
+
+
+def test_preambles_that_look_like_data(spark, tmp_path):
+    preamble = ["", "2021-02-01 10:00,a", "Start Time,2021-01-29 00:00", "Query,by,user,admin,x", "", ",,,,,,,,", "x"]
+    _awkward(tmp_path / "a.csv", preamble, [GOOD])
+    assert [r[3:] for r in _read(spark, tmp_path / "a.csv")] == [(1.0, 2.0)]
+
+
+@pytest.mark.parametrize(
+    ("name", "preamble", "rows"),
+    [
+        ("long.csv", ["x"] * 7, [GOOD, GOOD + ",3"]),
+        ("short.csv", ["x"] * 7, [GOOD, GOOD.rsplit(",", 1)[0]]),
+        ("wide preamble.csv", ["x"] * 6 + ["2021-02-01 10:00,a,b,c,5,6"], [GOOD]),
+        ("two headers.csv", ["x"] * 7, [",".join(NAMES), GOOD]),
+        ("blank.csv", ["x"] * 7, [GOOD, "", GOOD]),
+    ],
+)
+def test_lines_of_another_width_fail_with_the_name_of_the_file(spark, tmp_path, name, preamble, rows):
+    _awkward(tmp_path / "0 good.csv", ["x"] * 7, [GOOD])
+    _awkward(tmp_path / name, preamble, rows)
+    with pytest.raises(ValueError, match=name.replace(" ", "(?: |%20)")):
+        _read(spark, tmp_path / "*.csv")
+    checks = []
+    rows = read_report(spark, catalog.LTE_EMTC, str(tmp_path / "*.csv"), checks=checks)
+    if name != "wide preamble.csv":  # which cannot be read as data, either
+        rows.write.format("noop").mode("overwrite").save()
+        with pytest.raises(ValueError, match=name.replace(" ", "(?: |%20)")):
+            checks[0].verified()
+
+
+def test_counts_in_the_same_pass(spark, tmp_path):
+    late = GOOD.replace("2021-01-29 13:00", "")
+    _awkward(tmp_path / "a.csv", ["x"] * 7, [GOOD, late, GOOD.replace(",1,2", ",1d,2")])
+    _awkward(tmp_path / "b.csv", ["x"] * 7, [GOOD])
+    checks = []
+    rows = read_report(spark, catalog.LTE_EMTC, str(tmp_path / "*.csv"), strict=False, checks=checks)
+    assert rows.count() == 3
+    want = {"n_lines": 20, "headers": 2, "not_data": 16, "without_time": 1, "junk_cells": 1}
+    assert checks[0].verified() == want
+    assert checks[0].verified(observed=False) == want
+
+
+@pytest.mark.parametrize("folder", ["with blank", "100%", "a%20b", "in [brackets]", "{curly}"])
+def test_awkward_paths(spark, tmp_path, folder):
+    (tmp_path / folder).mkdir()
+    write_export(tmp_path / folder / "LTE Daily.csv", NAMES, [["2021-01-29 13:00", "60", "NE1", CELL, "1", "2"]])
+    plain = "".join("\\" + c if c in "[]{}" else c for c in str(tmp_path / folder))
+    assert [r[3:] for r in _read(spark, plain + "/*.csv")] == [(1.0, 2.0)]
 
 
 @pytest.mark.parametrize("label", ["BSC6910UCell", "BSC6900UCell"])
@@ -135,6 +198,9 @@ def test_lte_command_line(spark, tmp_path):
     assert day == sorted(day)
     summary = spark.read.parquet(f"{out}/lte/summary").collect()
     assert [r.position for r in summary] == list(range(1, 26))
+    quality = {(r.report, r.measure): r.n for r in spark.read.parquet(f"{out}/lte/quality").collect()}
+    assert quality["lte_emtc", "not_data"] == 8 * quality["lte_emtc", "headers"] > 0
+    assert quality["lte_operator", "without_time"] == 0 and quality["lte", "repeated_keys"] >= 0
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         main([*_exports(spark, tmp_path / "again", "lte"), "--out", out])
 
@@ -144,7 +210,10 @@ def test_umts_command_line_csv_with_labels(spark, tmp_path):
     main([*_exports(spark, tmp_path, "umts"), "--out", out, "--format", "csv", "--labels"])
     table = spark.read.csv(f"{out}/umts/detail/slice=ALL/grain=cell", header=True)
     assert table.columns == ["Date", "Site", "Cell", "CellID", *[k.label for k in umts_kpis.NETWORK_KPIS]]
-    assert table.count() > 0
+    written = sorted(tuple(r) for r in table.collect())
+    queries = all_queries()
+    want = queries["umts_kpi_cell"](spark, SF_DIR).collect()
+    assert written == sorted(tuple(None if v is None else str(v) for v in r) for r in want)
     whole = spark.read.csv(f"{out}/umts/detail/slice=B/grain=hour", header=True)
     assert whole.columns == ["Date", "Hour", *[k.label for k in umts_kpis.operator_kpis("B")]]
     assert spark.read.csv(f"{out}/umts/summary", header=True).count() == 10
@@ -161,3 +230,51 @@ def test_stage_goes_away(spark):
         assert table.count() == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(f"{stage.folder}/t")
+
+
+def test_a_failed_report_is_taken_up_again(spark, tmp_path):
+    out = str(tmp_path / "out")
+    argv = [*_exports(spark, tmp_path, "umts"), "--out", out]
+    blocked = tmp_path / "out" / "umts" / "detail" / "slice=A" / "grain=cell"
+    blocked.mkdir(parents=True)
+    (blocked / "in the way").write_text("x")
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists") as failed:
+        main(argv)
+    [note] = failed.value.__notes__
+    staging = note.removeprefix("staged tables are kept in ")
+    written = tmp_path / "out" / "umts" / "detail" / "slice=ALL" / "grain=cell"
+    before = sorted((p.name, p.stat().st_mtime_ns) for p in written.iterdir())
+    main([*argv, "--mode", "resume", "--staging", staging])
+    assert sorted((p.name, p.stat().st_mtime_ns) for p in written.iterdir()) == before
+    tables = sorted(str(p.parent) for p in (tmp_path / "out").rglob("_SUCCESS"))
+    assert len(tables) == 14  # twelve tables, summary, quality
+    again = read_table(spark, out, "umts", "A", "cell").collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, all_queries()["umts_plmn_cell_a"](spark, SF_DIR).collect()))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(f"{staging}/cells")
+    main([*argv, "--mode", "overwrite"])
+
+
+def test_passes_over_the_staged_data(spark, tmp_path, monkeypatch):
+    """Cells and operator rows are read three times each, and nothing is copied for a grain."""
+    read, plans = {"cells": 0, "operator": 0}, []
+    write = Stage.table
+
+    def table(self, df, name, partition_by=()):
+        execution = df._jdf.queryExecution()
+        plans.append(execution.toString())
+        leaves = execution.optimizedPlan().collectLeaves()
+        for i in range(leaves.size()):
+            if "Relation" in leaves.apply(i).nodeName():
+                path = leaves.apply(i).relation().location().rootPaths().apply(0).toString()
+                for source in read:
+                    read[source] += path.endswith(f"/{source}")
+        return write(self, df, name, partition_by)
+
+    monkeypatch.setattr(Stage, "table", table)
+    out = str(tmp_path / "out")
+    rows = adapters.measurements(spark, SF_DIR)
+    names = ("lte_daily", "lte_daily1", "lte_emtc", "lte_operator")
+    lte.write_report(spark, lte.LteReports(*[adapters.clean_report(rows, catalog.REPORTS[n]) for n in names]), out)
+    assert read == {"cells": 4, "operator": 3}  # the fourth counts repeated keys, from one column
+    assert not any("Expand" in p for p in plans)

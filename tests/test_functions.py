@@ -59,7 +59,9 @@ def test_umts_labels(spark):
 def test_start_times(spark):
     df = _texts(
         spark,
-        ["2021-01-29 13:30", "2021/1/9 03:05:07", "01/29/2021 13:00", "2021-03-28 02:45:00", "junk", "2021", "13:00", None],
+        ["2021-01-29 13:30", "2021/1/9 03:05:07", "01/29/2021 13:00", "2021-03-28 02:45:00", "junk", "2021", "13:00", None,
+         "01/29/2021 01:00 PM", "29-Jan-2021 13:00", "20210129 13:00", "1/9/2021 12:05:01 am", "28-mar-2021 02:45:00",
+         "13/29/2021 01:00", "01/29/2021 13:00 PM", "29-Foo-2021 13:00", "20211329 13:00"],
     )
     ts = parse_start_time(F.col("c"))
     assert _column(df, ts) == [
@@ -71,7 +73,18 @@ def test_start_times(spark):
         None,
         None,
         None,
+        dt.datetime(2021, 1, 29, 13),
+        dt.datetime(2021, 1, 29, 13),
+        dt.datetime(2021, 1, 29, 13),
+        dt.datetime(2021, 1, 9, 0, 5, 1),
+        dt.datetime(2021, 3, 28, 2, 45),
+        None,
+        None,
+        None,
+        None,
     ]
+    own = parse_start_time(F.col("c"), formats=["dd-MMM-yyyy HH:mm:ss"])
+    assert _column(df, own)[8:11] == [None, dt.datetime(2021, 1, 29, 13), None]
     keys = time_keys(hour_floor(ts))
     assert _column(df, keys["start_time"])[:4] == [
         "2021-01-29 13:00",

@@ -8,10 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from netkpi.plans import registered
+from oracle import all_sql
 from tests.conftest import SF_DIR
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = registered.all_queries()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,7 @@ def _rows(pdf):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
