@@ -12,6 +12,7 @@ import tiktoken
 import __spark_entry__ as entry_points
 import corpus_pipeline
 from netkpi.llm.mixing import mix
+from netkpi.llm.quality import quality_rules
 from tests.llm import test_jaccard_join, test_line_dedup, test_quality
 from tests.llm.fixtures import document_rows, prose
 
@@ -19,10 +20,11 @@ from tests.llm.fixtures import document_rows, prose
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
-    bad = [(200 + i, " ".join(w.upper() + "!!" for w in prose(500 + i, 60).split()), "b") for i in range(12)]
-    rows = [(i, t, "xx", s, None if t is None else len(t)) for i, t, s in document_rows() + bad]
+    bad = [(200 + i, " ".join(w.upper() + "!!" for w in prose(500 + i, 60).split()), "b") for i in range(30)]
+    good = [(300 + i, prose(900 + i, 60), "ab"[i % 2]) for i in range(80)]
+    rows = [(i, t, "xx", s, None if t is None else len(t)) for i, t, s in document_rows() + bad + good]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
-    labels = [(i, 1, 0) for i in range(40, 60)] + [(200 + i, 0, 0) for i in range(6)]
+    labels = [(i, 1, 0) for i in range(300, 360)] + [(200 + i, 0, 0) for i in range(15)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
 
@@ -36,9 +38,13 @@ def test_stages(spark, folder):
         tables.append(spark.read.parquet(out))
     assert all(t.columns == docs.columns for t in tables[:-1])
     rows = [[(r.doc_id, r.text, r.source) for r in t.collect()] for t in tables[:-1]]
-    # quality: what passes the base rules, without the junk (labelled or not)
-    passed = [r for r in rows[0] if not test_quality.base(r[1])[-1] and not (r[0] or 0) >= 200]
+    # quality: what passes the base rules and the operator keeps; no clean document of the labelled kind goes
+    judged = quality_rules(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    assert [r.base_failed for r in judged] == [test_quality.base(r.row.text)[-1] for r in judged]
+    passed = [(r.row.doc_id, r.row.text, r.row.source) for r in judged if r.kept]
     assert test_line_dedup.ordered(rows[1]) == test_line_dedup.ordered(passed)
+    kept = {r[0] for r in rows[1]}
+    assert len(kept & set(range(300, 380))) >= 77 and len(kept & set(range(200, 230))) <= 2
     # line dedup
     want = [(i, kept) for i, _, _, kept in test_line_dedup.plain(rows[1])]
     assert test_line_dedup.ordered((i, t or "") for i, t, _ in rows[2]) == test_line_dedup.ordered(want)
