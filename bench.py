@@ -1,6 +1,7 @@
 """Headline timings over the ``lineitem`` adapter; prints one JSON line.
 
-``$BENCH_SF_DIR`` is the folder with the tables, ``$BENCH_CPUS`` the number of cores.
+``$BENCH_SF_DIR`` is the folder with the tables, ``$BENCH_CPUS`` the number of cores. The session has
+the settings of the command line (``netkpi.__main__.SETTINGS``).
 The reports are first made from ``lineitem`` and written (``setup_sec``, not part of the
 total); every query starts from those files, as the engine does in use.
 """
@@ -15,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netkpi.__main__ import settled
 from netkpi.operators.grains import GRAINS
 from netkpi.plans import lte, registered, umts
 from netkpi.sources import adapters, catalog
@@ -31,15 +33,12 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.files.minPartitionNum", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
-        # Methods generated for 60-column stages are too long for the JIT compiler to be quick
-        # with them. In short runs plain codegen is 2-3 times faster, in long ones the same.
-        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return settled(spark)
 
 
 def timed(action: Callable[[], object]) -> float:
@@ -95,6 +94,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "setup_sec": setup,
+        "inputs": {name: {"rows": df.count(), "files": len(df.inputFiles())} for name, df in r.items()},
         "sf": os.path.basename(SF_DIR.rstrip("/")),
     }
     print(json.dumps(line))

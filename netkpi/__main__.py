@@ -15,6 +15,19 @@ from netkpi.plans import lte, umts
 from netkpi.sinks.tables import MODES
 
 
+#: Settings of a run that the caller has not set. Stages of 60 columns make methods that the JIT
+#: compiler is slow with; above this size plain code is used for them.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def settled(spark: SparkSession) -> SparkSession:
+    given = dict(spark.sparkContext.getConf().getAll())
+    for name, value in SETTINGS.items():
+        if name not in given:
+            spark.conf.set(name, value)
+    return spark
+
+
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="netkpi", description=__doc__)
     techs = parser.add_subparsers(dest="tech", required=True)
@@ -36,7 +49,7 @@ def arguments() -> argparse.ArgumentParser:
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = arguments().parse_args(argv)
-    spark = SparkSession.builder.appName(f"netkpi {args.tech}").getOrCreate()
+    spark = settled(SparkSession.builder.appName(f"netkpi {args.tech}").getOrCreate())
     options = {"strict": not args.lenient, "day_first": args.day_first, "formats": tuple(args.time_format)}
     written = {"format": args.format, "labels": args.labels, "mode": args.mode, "staging": args.staging}
     if args.tech == "lte":

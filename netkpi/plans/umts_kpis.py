@@ -24,8 +24,11 @@ def _each(pattern: str, names: str) -> list[str]:
     return [pattern.format(n) for n in names.split()]
 
 
-# Call causes, with the two counter spellings that differ between success and attempt.
-_CAUSES = "orgbkgcall tmbkgcall orgintercall {} orgstrcall tmstrcall orghhprsig tmhhprsig orglwprsig tmlwprsig orgsubcall {} callreest"
+# Call causes; two of them are spelled differently in success and attempt counters.
+_CAUSES_SUCCEEDED = """orgbkgcall tmbkgcall orgintercall tmitrcall orgstrcall tmstrcall orghhprsig tmhhprsig
+    orglwprsig tmlwprsig orgsubcall unkown callreest"""
+_CAUSES_ATTEMPTED = """orgbkgcall tmbkgcall orgintercall tmintercall orgstrcall tmstrcall orghhprsig tmhhprsig
+    orglwprsig tmlwprsig orgsubcall unknown callreest"""
 _VOICE = "orgconvcall tmconvcall emgcall"
 _PACKET = "conv str int bkg"
 
@@ -40,9 +43,9 @@ DAILY_TERMS: dict[str, list[str]] = {
     "voice_update_att": _each("vs_attcellupdt_{}_pch", _VOICE),
     "cs_rab_succ": _each("vs_rab_succestabcs_{}", "conv str"),
     "cs_rab_att": _each("vs_rab_attestabcs_{}", "conv str"),
-    "ps_rrc_succ": _each("rrc_succconnestab_{}", _CAUSES.format("tmitrcall", "unkown"))
+    "ps_rrc_succ": _each("rrc_succconnestab_{}", _CAUSES_SUCCEEDED)
     + _each("vs_succcellupdt_{}", "pagersp uldatatrans"),
-    "ps_rrc_att": _each("rrc_attconnestab_{}", _CAUSES.format("tmintercall", "unknown"))
+    "ps_rrc_att": _each("rrc_attconnestab_{}", _CAUSES_ATTEMPTED)
     + _each("vs_attcellupdt_{}", "pagersp uldatatrans"),
     "ps_rab_succ": _each("vs_rab_succestabps_{}", _PACKET),
 }
