@@ -1,16 +1,16 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
-Vectors are turned into integers and dealt into shards of a bounded size. The index of a shard has,
-for each dimension, its rows ordered by component and cut into segments of one quantised impact. A
-query looks at each segment as (dimension, impact, rows) and takes the segments in descending order
-of what they can add to a score, |q| times the distance of the impact from the worse end of the
-dimension. Each row has what it got so far and the number of dimensions seen; all segments still to
-come add at most the next one's impact, which bounds the row's score from above. Processing stops
-only on proof: the rows whose bound reaches the k-th best score known so far are the only possible
-members. They are rescored exactly with the integer vectors. When it stops depends on cost (few
-possible members against the segments left), never on a limit; the result is exact in any case.
-
-The k-th best score known is exact too: after the first segments the rows that lead are rescored.
+Vectors are turned into integers and dealt into shards of a bounded size. In the index of a shard a
+component is its distance from the least value of its dimension, cut into binary digits of some
+bits: a posting segment holds the rows that have a digit in a dimension at a place, and its quantised impact
+is that digit times the weight of the place. Segments are processed by descending weight; all of one
+place together, for a block of queries, as a matrix product of the queries with the digits. After
+each place a row's score lies between what it got and that plus what the lower places can add, both
+ways of sign. The k-th best lower bound of a query is a score that k rows reach for sure, so rows
+whose upper bound is below it are out: that is the proof on which processing stops for them. Once few
+rows of few queries are possible (rescoring them costs less than the next place), these are rescored
+exactly with the integer vectors. When that is depends on cost, never on a limit; the result is exact
+in any case.
 
 Shards and blocks of queries meet in pairs by key, each pair in a task of its own with one shard
 and one block in memory. Both sizes are parameters, so that no group grows with the data. Each pair
@@ -18,8 +18,8 @@ returns k rows per query, of which the best k are kept.
 
 Defined cases: a vector that is null, or holds a null or a value that is not finite, takes no part,
 nor does a row without id. Missing components at the end count as 0. Rows that repeat id and vector
-count once; an id with several vectors asks with each and is found with each, but never by itself. Ties go to
-the smaller id. Scores must fit in 64 bits. Fewer than k rows give fewer ranks.
+count once; an id with several vectors asks with each and is found with each, but never by itself.
+Ties go to the smaller id. Scores must fit in 64 bits. Fewer than k rows give fewer ranks.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from netkpi.llm.common import scratch, workers_import, written
 
 #: Vectors per shard and queries per block, both on average.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 256
-#: Levels of impact per dimension.
-LEVELS = 12
-#: Below every score; can be negated.
+#: Bits of the first digit, which alone says little, and of the others.
+FIRST_BITS, DIGIT_BITS = 6, 2
+#: Rescoring a row costs as much as one more place for so many rows.
+RESCORING = 16
+#: Below every score.
 _NONE = -(2**62)
 
 
@@ -52,99 +54,62 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, factor: in
 
 
 class ShardIndex:
-    """Impact-ordered segments of some integer vectors."""
+    """Digits of some integer vectors, by place."""
 
     def __init__(self, ids, matrix):
         import numpy as np
 
         order = np.argsort(ids, kind="stable")
         self.ids, self.matrix = ids[order], np.ascontiguousarray(matrix[order])
-        n, dims = self.matrix.shape
-        low, high = self.matrix.min(axis=0), self.matrix.max(axis=0)
-        width = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        impacts = (self.matrix - low) // width  # 0 .. LEVELS - 1
-        self.rows, self.low, self.high = [], low, high
-        self.segments: list[tuple] = []  # per dimension: level, its least and largest value, start, end
-        for d in range(dims):
-            by_impact = np.argsort(impacts[:, d], kind="stable")
-            levels = impacts[by_impact, d]
-            starts = np.flatnonzero(np.concatenate([[True], levels[1:] != levels[:-1]]))
-            ends = np.concatenate([starts[1:], [n]])
-            self.rows.append(by_impact.astype(np.int32))
-            first = low[d] + levels[starts] * width[d]
-            last = np.minimum(first + width[d] - 1, high[d])
-            self.segments.append((first, last, starts, ends))
-
-    def order(self, query):
-        """All segments in descending order of what they add at most: gains, dimensions, starts, ends."""
-        import numpy as np
+        self.low = self.matrix.min(axis=0)
+        self.above = self.matrix - self.low
+        first = max(int(self.above.max()).bit_length() - FIRST_BITS, 0)
+        self.shifts = [*range(first, 0, -DIGIT_BITS), 0]
+
+    def digits(self, place: int, rows):
+        above = self.above[rows] >> self.shifts[place]
+        return above if place == 0 else above & ((1 << self.shifts[place - 1] - self.shifts[place]) - 1)
 
-        gains, dims, starts, ends = [], [], [], []
-        for d, (first, last, start, end) in enumerate(self.segments):
-            q = query[d]
-            if q == 0:
-                continue
-            # what a component adds over the worse end of its dimension
-            gain = q * (last - self.low[d]) if q > 0 else q * (first - self.high[d])
-            gains.append(gain)
-            dims.append(np.full(len(gain), d))
-            starts.append(start)
-            ends.append(end)
-        if not gains:
-            return [np.zeros(0, np.int64)] * 4
-        gains, dims, starts, ends = map(np.concatenate, (gains, dims, starts, ends))
-        by_gain = np.argsort(-gains, kind="stable")
-        return gains[by_gain], dims[by_gain], starts[by_gain], ends[by_gain]
-
-    def exact(self, rows, query):
+    def rescored(self, rows, query):
         return self.matrix[rows] @ query
 
-    def search(self, query_id: int, query, k: int):
-        """The best k rows other than the query's own: ids and exact scores."""
+    def search(self, query_ids, queries, k: int):
+        """Per query the best k rows other than its own: query ids, ids and exact scores."""
         import numpy as np
 
-        n = len(self.ids)
-        own = slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))
-        others = n - (own.stop - own.start)
-        k = min(k, others)
-        if k == 0:
-            return self.ids[:0], self.ids[:0]
-        gains, dims, starts, ends = self.order(query)
-        active = int((query != 0).sum())
-        base = int(np.minimum(query * self.low, query * self.high).sum())  # score of the worst ends
-        # got * (active + 1) + seen in one number: one addition per posting
-        unit = active + 1
-        state = np.zeros(n, np.int64)
-        lengths = ends - starts
-        left = np.concatenate([np.cumsum(lengths[::-1])[::-1], [0]])
-        checkpoints = np.searchsorted(left[0] - left, left[0] * np.arange(1, 17) / 16)
-        at, best, rows = 0, None, np.arange(n)
-        for stop in checkpoints:
-            stop = min(int(stop), len(gains))
-            for i in range(at, stop):
-                state[self.rows[dims[i]][starts[i] : ends[i]]] += gains[i] * unit + 1
-            at = max(at, stop)
-            following = int(gains[at]) if at < len(gains) else 0
-            got, seen = state // unit, state % unit
-            bound = base + got + (active - seen) * following
-            bound[own] = _NONE
-            if best is None:
-                leading = np.argpartition(-bound, min(4 * k, n) - 1)[: 4 * k]
-                leading = leading[(leading < own.start) | (leading >= own.stop)]
-                known = np.sort(self.exact(leading, query))[::-1]
-                best = known[k - 1] if len(known) >= k else _NONE + 1
-            rows = np.flatnonzero(bound >= best)
-            # a posting costs about as much as two components of a rescored row
-            if len(rows) * active <= 2 * left[at]:
+        n, n_queries = len(self.ids), len(query_ids)
+        # sums of products below 2^53 are exact in floating point, where products of matrices are fast
+        largest = float(np.abs(queries).max()) * (float(self.above.max()) + float(np.abs(self.low).max())) * queries.shape[1]
+        kind = np.float64 if largest < 2**53 else np.int64
+        asked = queries.astype(kind)
+        plus, minus = np.maximum(queries, 0).sum(axis=1), np.minimum(queries, 0).sum(axis=1)
+        rows = np.arange(n)
+        got = np.repeat((queries @ self.low)[:, None], n, axis=1)  # the score of the least values
+        own = query_ids[:, None] == self.ids[None, :]
+        possible = ~own
+        for place, shift in enumerate(self.shifts):
+            got += ((asked @ self.digits(place, rows).T.astype(kind)) * (1 << shift)).astype(np.int64)
+            rest = (1 << shift) - 1  # the most that the lower places of a component hold
+            sure = np.where(possible, got + rest * minus[:, None], _NONE)
+            enough = min(k, sure.shape[1])
+            best = np.partition(sure, sure.shape[1] - enough, axis=1)[:, sure.shape[1] - enough]
+            if enough < k:
+                best[:] = _NONE
+            possible &= got + rest * plus[:, None] >= best[:, None]
+            if possible.sum() * RESCORING <= possible.size:
                 break
-            leading = rows[np.argpartition(-bound[rows], min(4 * k, len(rows)) - 1)[: 4 * k]]
-            known = np.sort(self.exact(leading, query))[::-1]
-            if len(known) >= k:
-                best = max(best, known[k - 1])
-        rows = rows[(rows < own.start) | (rows >= own.stop)]
-        scores = self.exact(rows, query)
-        top = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[top]], scores[top]
+            used = possible.any(axis=0)
+            if not used.all():
+                rows, got, possible = rows[used], got[:, used], possible[:, used]
+            if not len(rows):
+                break
+        found = []
+        for i in range(n_queries):
+            members = rows[possible[i]]
+            scores = self.rescored(members, queries[i])
+            top = np.lexsort((self.ids[members], -scores))[:k]
+            found.append((np.full(len(top), query_ids[i]), self.ids[members[top]], scores[top]))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 def _matrix(column, dims: int):
@@ -158,25 +123,14 @@ def _matrix(column, dims: int):
 
 
 def _search_pair(key: tuple, shard, block, k: int):
-    import numpy as np
     import pandas as pd
 
     if not len(shard) or not len(block):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
     dims = max(max(map(len, shard["v"])), max(map(len, block["v"])), 1)
-    matrix, queries = _matrix(shard["v"], dims), _matrix(block["v"], dims)
-    # Sums of products below 2^53 are exact in floating point, where numpy is faster.
-    largest = float(np.abs(matrix).max()) * float(np.abs(queries).max()) * dims
-    index = ShardIndex(shard["id"].to_numpy("int64"), matrix)
-    if largest < 2**53:
-        exact = index.matrix.astype(np.float64)
-        index.exact = lambda rows, query: (exact[rows] @ query.astype(np.float64)).astype(np.int64)
-    found = []
-    for query_id, query in zip(block["id"].to_numpy("int64"), queries, strict=True):
-        ids, scores = index.search(int(query_id), query, k)
-        found.append((np.full(len(ids), query_id), ids, scores))
-    query_ids, ids, scores = map(np.concatenate, zip(*found, strict=True))
-    return pd.DataFrame({"query_id": query_ids, "vec_id": ids, "score": scores})
+    index = ShardIndex(shard["id"].to_numpy("int64"), _matrix(shard["v"], dims))
+    found = index.search(block["id"].to_numpy("int64"), _matrix(block["v"], dims), k)
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
 
 def top_k(

@@ -58,11 +58,21 @@ def test_index_is_exact_and_stops_early(seed):
     matrix = np.floor(256 * r.normal(0, 0.18, (n, dims)) + (r.integers(0, 4, (n, 1)) - 2) * seed).astype(np.int64)
     index = ShardIndex(np.arange(n), matrix)
     rescored = []
-    exact = index.exact
-    index.exact = lambda rows, q: (rescored.append(len(rows)), exact(rows, q))[1]
-    for q in range(0, n, 500):
+    exact = index.rescored
+    index.rescored = lambda rows, q: (rescored.append(len(rows)), exact(rows, q))[1]
+    asked = np.arange(0, n, 100)
+    query_ids, ids, best = index.search(asked, matrix[asked], 5)
+    assert list(query_ids) == [q for q in asked for _ in range(5)]
+    for at, q in enumerate(asked):
         scores = matrix @ matrix[q]
         order = [i for i in np.lexsort((np.arange(n), -scores)) if i != q][:5]
-        ids, best = index.search(q, matrix[q], 5)
-        assert list(ids) == order and list(best) == list(scores[order])
-    assert max(rescored) < n  # the possible members, not all rows
+        assert list(ids[5 * at : 5 * at + 5]) == order and list(best[5 * at : 5 * at + 5]) == list(scores[order])
+    assert sum(rescored) <= len(asked) * n / 16  # the possible members, not all rows
+
+
+def test_large_numbers():
+    r = np.random.default_rng(9)
+    matrix = r.integers(-(2**28), 2**28, (200, 8))
+    ids, found, scores = ShardIndex(np.arange(200), matrix).search(np.array([7]), matrix[[7]], 3)
+    exact = [(-int(sum(int(a) * int(b) for a, b in zip(matrix[7], v))), i) for i, v in enumerate(matrix) if i != 7]
+    assert [(-int(s), int(i)) for s, i in zip(scores, found)] == sorted(exact)[:3]
