@@ -59,6 +59,30 @@ def workers_import(spark: SparkSession) -> None:
         known["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+class Kept(dict):
+    """What ``make`` gives for a key, remembered for a bounded number of keys.
+
+    When ``most`` keys are held, they become the old ones, of which those stay that are asked for
+    again before as many new ones have come. Long texts are not kept.
+    """
+
+    def __init__(self, make, most: int = 400_000, longest: int = 60):
+        self.make, self.most, self.longest = make, most, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if isinstance(key, (str, bytes)) and len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def lowered(text: bytes) -> bytes:
     """A-Z in lower case, all else as it is."""
     return text.translate(_LOWER_BYTES)

@@ -19,6 +19,7 @@ order. Rows that repeat an id lie side by side, ordered by text. An empty table
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netkpi.llm.common import workers_import, written
+from netkpi.llm.common import Kept, workers_import, written
 from netkpi.llm.files import make_folders, new_file, open_file
 
 SHARD_MAGIC, INDEX_MAGIC = b"IDSHARD1", b"IDINDEX1"
@@ -37,8 +38,6 @@ SHARD_HEADER = "<8sQ"
 INDEX_HEADER = "<8sQQQ"
 #: Keys per index file and keys per group, both on average.
 INDEX_KEYS, GROUP_KEYS = 65_536, 4
-#: Words whose ids a worker keeps.
-CACHED = 400_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +60,9 @@ class WordIds:
     """Ids of texts as bytes. Words between blanks are encoded once and kept.
 
     The tokenizer must drop white space and must not look over it, so that the ids of a text are
-    those of its blank-separated parts.
+    those of its blank-separated parts. Parts of plain letters, digits and ASCII signs are cut into
+    pieces here, as the tokenizer's normalizer and pre-tokenizer do, and only new pieces go to its
+    model; all other parts go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -72,23 +73,32 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {}
+        self.packed = struct.Struct("<H" if self.width == 2 else "<I").pack
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = Kept(self._part)
+        self.pieces = Kept(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return b"".join([self.packed(t.id) for t in self.tokenize(piece)])
+
+    def _part(self, part: str) -> bytes:
+        if _PLAIN(part):
+            return b"".join([self.pieces[p] for p in _PIECES(part.lower())])
+        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        return b"".join(map(self.packed, ids))
+
+    def of(self, text: str | None) -> bytes:
+        return b"".join(map(self.known.__getitem__, (text or "").split(" ")))
 
-    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        import numpy as np
 
-        parts = [(t or "").split(" ") for t in texts]
-        known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list({p for ps in parts for p in ps})
-        for start in range(0, len(new), 10_000):
-            words = new[start : start + 10_000]
-            for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.dtype).tobytes()
-        for ps in parts:
-            yield b"".join(map(known.__getitem__, ps))
+# Characters whose normal form and lower case depend on themselves alone: ASCII, letters of Latin-1.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
+# Byte-level BPE writes printable bytes as themselves, the others from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -242,8 +252,8 @@ def write_token_files(
             out.write(struct.pack(SHARD_HEADER, SHARD_MAGIC, encoder.width))
             while first is not None:
                 rows = []
-                texts = first.column(1).to_pylist()
-                for doc_id, ids in zip(first.column(0).to_pylist(), encoder.batch(texts), strict=True):
+                for doc_id, text in zip(first.column(0).to_pylist(), first.column(1), strict=True):
+                    ids = encoder.of(text.as_py())
                     n = len(ids) // encoder.width + 1
                     nth = nth + 1 if doc_id == last else 0
                     rows.append((doc_id, nth, shard, start, n))
