@@ -83,6 +83,23 @@ class Kept(dict):
         return value
 
 
+def _hash_of(word: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word)
+
+
+#: 64-bit hashes of words, remembered per Python worker by all operators together.
+word_hash = Kept(_hash_of, 200_000)
+
+
+def hashes_of(words):
+    """64-bit hashes of words (bytes), as an array."""
+    import numpy as np
+
+    return np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
+
+
 def lowered(text: bytes) -> bytes:
     """A-Z in lower case, all else as it is."""
     return text.translate(_LOWER_BYTES)

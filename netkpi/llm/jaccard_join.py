@@ -10,12 +10,14 @@ of size o, marked (a, b). Who meets there links, without a look at the sets.
 Heavy: for all pairs with a larger set. Shingles have one order for all, rarer ones first. A set of
 size n enters the inverted lists of its first n - ceil(percent * n / 100) + 1 shingles; linked sets
 meet in the list of their first common shingle, which leaves both with at least o shingles from
-there on. Lists are scanned in order of size with this bound. Scanning is in two rounds, so that a
-large family of near copies does not turn into all its pairs: first every member meets one hub of
-its list, and linked members are put together; then only pairs of different families are looked at.
-Candidates are verified on the quarter of the shingles with the lowest hashes, which bounds the
-overlap from above, and what may still link on the whole sets. All candidates are looked at, however
-long a list is.
+there on. Lists are scanned in order of size with this bound. Scanning is in rounds, so that a large
+family of near copies does not turn into all its pairs: first every member meets one hub of its list,
+then one member of another family, by chance, and linked ones are put together; in the last round all
+pairs of different families are looked at, however long a list is.
+
+Before whole sets are compared, so are their parity sketches: one bit for the parity of the number of
+shingles in each of some groups. Two sketches differ in at most as many bits as the sets differ in
+shingles, so a pair that differs in more is out for sure.
 
 The boundary is the size with the least cost, from the number of sets of each small size: rows of
 subsets against postings and the candidates these bring.
@@ -40,20 +42,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netkpi.llm.common import lowered, scratch, workers_import, written
+from netkpi.llm.common import hashes_of, lowered, scratch, workers_import, written
 
 #: Buckets of shingle hashes that are counted for the order, as a power of two.
-BUCKET_BITS = 18
+BUCKET_BITS = 20
 #: Sets above this size never take the light way.
 LARGEST_LIGHT = 30
 #: Candidates that a posting brings, each as dear as a row, for the choice of the boundary.
 CANDIDATES = 8
-#: Bytes of text taken apart at once.
-PORTION = 1_000_000
-#: Hashes below this are the quarter that is compared first.
-LOW = 1 << 62
 
-_CACHED = 400_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -69,21 +66,6 @@ def prefix_length(n: int, percent: int) -> int:
 # --- sets ---------------------------------------------------------------------
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= _CACHED:
-            self.clear()
-        if len(word) <= 100:
-            self[word] = value
-        return value
-
-
-_word_hash = _WordHash()
-
-
 def _mixed(x):
     import numpy as np
 
@@ -99,7 +81,7 @@ def shingle_set(text: str | None, width: int):
     words = lowered((text or "").encode()).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
+    h = hashes_of(words)
     size = min(width, len(h))
     key = np.full(len(h) - size + 1, size, np.uint64)
     for j in range(size):
@@ -164,7 +146,7 @@ def _sizes_and_counts(width: int):
             )
         count()
         if counts.any():
-            parts = np.split(counts.astype("<i8"), 64)
+            parts = np.split(counts.astype("<i4"), 64)
             nothing = pa.nulls(64, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [nothing, nothing, nothing, nothing, pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts])],
@@ -178,7 +160,7 @@ def _added(key, pdf):
     import numpy as np
     import pandas as pd
 
-    total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
+    total = sum(np.frombuffer(c, "<i4").astype("<i8") for c in pdf["counts"])
     return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
 
@@ -328,7 +310,7 @@ def _may_link(n_x, left_x, n_y, left_y, percent: int):
 
 
 def _first_round(percent: int, light: int):
-    """Hub pairs and, for the second round, the members of lists of three or more; light links."""
+    """Hub pairs and, for the other rounds, the members of lists of three or more; light links."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -377,8 +359,37 @@ def _first_round(percent: int, light: int):
     return run
 
 
-def _second_round(percent: int, light: int):
-    """Pairs of different families in the lists: rows ordered by list and size, with their family."""
+class _Sketches:
+    """Parity sketches of the members of a list, folded to each size that occurs."""
+
+    def __init__(self, sketches: list[bytes]):
+        import numpy as np
+
+        self.sizes = [len(x) for x in sketches]
+        self.tables = {}
+        for size in set(self.sizes):
+            table = np.zeros((len(sketches), size // 8), np.uint64)
+            for i, x in enumerate(sketches):
+                while len(x) > size:
+                    half = len(x) // 2
+                    x = (np.frombuffer(x[:half], np.uint64) ^ np.frombuffer(x[half:], np.uint64)).tobytes()
+                if len(x) == size:
+                    table[i] = np.frombuffer(x, np.uint64)
+            self.tables[size] = table
+
+    def apart(self, i: int, others: slice):
+        """Bits in which the others, of the same size class or larger ones, differ from a member."""
+        import numpy as np
+
+        table = self.tables[self.sizes[i]]
+        return np.bitwise_count(table[others] ^ table[i]).sum(axis=1)
+
+
+def _scan(percent: int, light: int, one_each: bool):
+    """Pairs of different families in the lists that may link: all, or one for each member as the smaller.
+
+    Rows come ordered by list and size, with their family and sketch.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -390,20 +401,25 @@ def _second_round(percent: int, light: int):
             edges = np.flatnonzero(np.concatenate([[True], c[0][1:] != c[0][:-1], [True]]))
             xs, ys, size = [], [], 0
             for a, b in zip(edges, edges[1:]):
-                what, classes, families = (x[a:b] for x in c[1:])
+                what, classes, families = (x[a:b] for x in c[1:4])
                 if (families == families[0]).all():
                     continue
                 n = what >> 32
                 left = n - (what & 0x7FFFFFFF)
+                sketches = _Sketches(c[4][a:b].tolist())
                 for i in np.flatnonzero(left >= overlap_needed(n, n, percent)):  # as the smaller of a pair
                     end = i + 1 + int(np.searchsorted(n[i + 1 :], 100 * n[i] // percent, side="right"))
                     o = slice(i + 1, end)
-                    fits = _may_link(n[i], left[i], n[o], left[o], percent) & (families[o] != families[i])
-                    fits &= n[o] > light
+                    fits = _may_link(n[i], left[i], n[o], left[o], percent) & (families[o] != families[i]) & (n[o] > light)
                     if fits.any():
-                        ys.append(classes[o][fits])
-                        xs.append(np.full(len(ys[-1]), classes[i]))
-                        size += len(ys[-1])
+                        fits &= sketches.apart(i, o) <= n[i] + n[o] - 2 * overlap_needed(n[i], n[o], percent)
+                    found = classes[o][fits]
+                    if one_each and len(found):
+                        found = found[[(int(classes[i]) ^ int(c[0][a])) % len(found)]]
+                    if len(found):
+                        ys.append(found)
+                        xs.append(np.full(len(found), classes[i]))
+                        size += len(found)
                     if size > 100_000:
                         yield batch_of(xs, ys)
                         xs, ys, size = [], [], 0
@@ -416,7 +432,7 @@ def _second_round(percent: int, light: int):
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["x", "y"])
 
         for batch in batches:
-            c = [batch.column(i).to_numpy() for i in range(4)]
+            c = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 c = [np.concatenate([a, b]) for a, b in zip(held, c)]
             if not len(c[0]):
@@ -434,29 +450,34 @@ def _second_round(percent: int, light: int):
 # --- verification -------------------------------------------------------------
 
 
+def sketch_of(shingles) -> bytes:
+    """Parities of the groups of shingles; the number of groups is a power of two, more than half the size."""
+    import numpy as np
+
+    bits = max(64, 1 << (len(shingles).bit_length() - 1))
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1).tobytes()
+
+
 def _stored_sets(width: int):
-    """Sets in two parts: hashes in the low quarter, and the others."""
+    """Size, sketch and hashes of sets."""
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         seen: set[int] = set()
         for batch in batches:
-            names, sizes, lows, highs = [], [], [], []
+            rows: list[tuple] = []
             for text, name in zip(batch.column(0), batch.column(1).to_pylist()):
                 if name in seen:  # rows that repeat id and text
                     continue
                 seen.add(name)
                 s = shingle_set(text.as_py(), width)
-                cut = int(np.searchsorted(s, np.uint64(LOW)))
-                names.append(name)
-                sizes.append(len(s))
-                lows.append(s[:cut].tobytes())
-                highs.append(s[cut:].tobytes())
+                rows.append((name, len(s), sketch_of(s), s.tobytes()))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lows, pa.binary()), pa.array(highs, pa.binary())],
-                names=["class", "n", "low", "high"],
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["class", "n", "sketch", "hashes"]
             )
 
     return run
@@ -470,45 +491,50 @@ def _common(a: bytes, b: bytes) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _compared(percent: int, final: bool):
-    """Pairs that may link by their low parts, or (``final``) that do link."""
+def _may_link_by_sketch(percent: int):
+    """Pairs whose sketches do not differ too much."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            x, y, n_x, n_y, before = (batch.column(i).to_numpy() for i in range(5))
-            common = [_common(a.as_py(), b.as_py()) for a, b in zip(batch.column(5), batch.column(6))]
-            common = before + np.array(common, np.int64)
-            need = overlap_needed(n_x, n_y, percent)
-            if final:
-                good = common >= need
-            else:
-                rest_x = n_x - np.array([len(a.as_py()) // 8 for a in batch.column(5)], np.int64)
-                rest_y = n_y - np.array([len(b.as_py()) // 8 for b in batch.column(6)], np.int64)
-                good = common + np.minimum(rest_x, rest_y) >= need
-            arrays = [a[good] for a in (x, y, n_x, n_y, common)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["x", "y", "n_x", "n_y", "common"])
+            x, y, n_x, n_y = (batch.column(i).to_numpy() for i in range(4))
+            most = n_x + n_y - 2 * overlap_needed(n_x, n_y, percent)
+            apart = []
+            for pair in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                small, large = sorted(pair, key=len)
+                apart.append(int(_Sketches([small, large]).apart(0, slice(1, 2))[0]))
+            good = np.array(apart, np.int64) <= most
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], names=["x", "y"])
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, folder: str) -> DataFrame:
-    """The pairs (``x``, ``y``) whose sets link."""
-    schema = "x long, y long, n_x long, n_y long, common long"
+def _links(percent: int):
+    """Pairs whose sets link."""
 
-    def with_part(some: DataFrame, part: str, *more: str) -> DataFrame:
-        def side(name: str) -> DataFrame:
-            columns = [F.col("class").alias(name), F.col(part).alias(f"{part}_{name}")]
-            return sets.select(*columns, *[F.col(c).alias(f"{c}_{name}") for c in more])
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y, n_x, n_y = (batch.column(i).to_numpy() for i in range(4))
+            common = [_common(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))]
+            good = np.array(common, np.int64) >= overlap_needed(n_x, n_y, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], names=["x", "y"])
+
+    return run
 
-        return some.join(side("x"), "x").join(side("y"), "y")
 
-    low = with_part(pairs, "low", "n").select("x", "y", "n_x", "n_y", F.lit(0).cast("long").alias("common"), "low_x", "low_y")
-    close = written(low.mapInArrow(_compared(percent, False), schema), f"{folder}/close")
-    high = with_part(close, "high").select("x", "y", "n_x", "n_y", "common", "high_x", "high_y")
-    return written(high.mapInArrow(_compared(percent, True), schema).select("x", "y"), f"{folder}/linked")
+def _with_sides(pairs: DataFrame, sets: DataFrame, part: str) -> DataFrame:
+    """``x``, ``y``, sizes and one part of both sets."""
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col(part).alias(f"{part}_{name}"))
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return both.select("x", "y", "n_x", "n_y", f"{part}_x", f"{part}_y")
 
 
 # --- components ---------------------------------------------------------------
@@ -584,28 +610,38 @@ def jaccard_components(
     hubs = written(ordered(lists.where(F.col("kind") == HUB)), f"{folder}/hubs")
     members = lists.where(F.col("kind") == MEMBER).select(F.col("x").alias("h"), "what", F.col("y").alias("class"))
     links = lists.where(F.col("kind") == LINK).select("x", "y")
-    # sets of all classes that any round may compare
+    # sets of all classes that any round may look at
     asked = hubs.select(F.col("x").alias("class")).union(hubs.select("y")).union(members.select("class")).distinct()
     wanted = asked.join(classes, "class").select("class", F.col("one.doc_id").alias("of"), F.col("one.key").alias("of_key"))
     wanted = written(wanted, f"{folder}/wanted")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
     sets = docs.join(wanted, same).select("text", "class").mapInArrow(
-        _stored_sets(width), "class long, n long, low binary, high binary"
+        _stored_sets(width), "class long, n long, sketch binary, hashes binary"
     )
     sets = written(sets, f"{folder}/sets")
-    found = _linked(hubs, sets, percent, f"{folder}/first").union(links)
-    families = written(components(found, f"{folder}/families"), f"{folder}/families/all")
-    with_family = (
-        members.join(families.withColumnRenamed("node", "class"), "class", "left")
-        .select("h", "what", "class", F.coalesce("root", "class").alias("family"))
-        .repartition("h")
-        .sortWithinPartitions("h", "what")
-    )
-    more = ordered(with_family.mapInArrow(_second_round(percent, light), "x long, y long"))
-    more = more.join(hubs, ["x", "y"], "left_anti")
-    found = _linked(more, sets, percent, f"{folder}/second")
-    stars = families.select(F.col("node").alias("x"), F.col("root").alias("y"))
-    all_families = written(components(stars.union(found), f"{folder}/components"), f"{folder}/components/all")
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        links = _with_sides(pairs, sets, "hashes").mapInArrow(_links(percent), "x long, y long")
+        return written(links, f"{folder}/{name}")
+
+    def families_of(edges: DataFrame, name: str) -> DataFrame:
+        return written(components(edges, f"{folder}/{name}"), f"{folder}/{name}/all")
+
+    def scanned(families: DataFrame, one_each: bool) -> DataFrame:
+        of_class = families.withColumnRenamed("node", "class")
+        rows = members.join(of_class, "class", "left").join(sets.select("class", "sketch"), "class")
+        rows = rows.select("h", "what", "class", F.coalesce("root", "class").alias("family"), "sketch")
+        rows = rows.repartition("h").sortWithinPartitions("h", "what")
+        return ordered(rows.mapInArrow(_scan(percent, light, one_each), "x long, y long"))
+
+    def stars(families: DataFrame) -> DataFrame:
+        return families.select(F.col("node").alias("x"), F.col("root").alias("y"))
+
+    near = _with_sides(hubs, sets, "sketch").mapInArrow(_may_link_by_sketch(percent), "x long, y long")
+    families = families_of(linked(near, "first").union(links), "families")
+    met = written(scanned(families, True).join(hubs, ["x", "y"], "left_anti"), f"{folder}/met")
+    families = families_of(stars(families).union(linked(met, "second")), "more-families")
+    rest = scanned(families, False).join(hubs.union(met), ["x", "y"], "left_anti")
+    all_families = families_of(stars(families).union(linked(rest, "third")), "components")
     named = all_families.join(classes.select(F.col("class").alias("node"), "least"), "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(names, "root").select(F.col("node").alias("class"), "component_id", "root")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from netkpi.llm import jaccard_join
@@ -113,3 +114,19 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     found = components(spark.createDataFrame(edges, "x long, y long"), scratch(spark)).collect()
     assert {x.node: x.root for x in found} == {x: find(x) for x in root} and len(found) == len(root)
+
+
+def test_sketches_bound_the_difference():
+    r = random.Random(7)
+    for _ in range(200):
+        n = r.randint(1, 700)
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = set(r.sample(sorted(a), r.randint(0, n))) | {r.getrandbits(64) for _ in range(r.randint(0, n // 3))}
+        small, large = sorted((a, b or {1}), key=lambda s: len(jaccard_join.sketch_of(_array(s))))
+        sketches = jaccard_join._Sketches([jaccard_join.sketch_of(_array(small)), jaccard_join.sketch_of(_array(large))])
+        assert sketches.apart(0, slice(1, 2))[0] <= len(small ^ large)
+        assert sketches.apart(0, slice(0, 1))[0] == 0
+
+
+def _array(hashes):
+    return np.array(sorted(hashes), np.uint64)
