@@ -25,28 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from netkpi.llm.common import workers_import
+from netkpi.llm.common import Kept, workers_import
 
-#: Entries a cache may hold before it starts anew.
-CACHED = 400_000
-#: Texts longer than this are not cached.
-LONGEST_CACHED = 60
-
-
-class _Cache(dict):
-    """What ``make`` gives for a key, for up to ``CACHED`` keys."""
-
-    def __init__(self, make: Callable):
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if isinstance(key, str) and len(key) > LONGEST_CACHED:
-            return value
-        if len(self) >= CACHED:
-            self.clear()
-        self[key] = value
-        return value
+#: Prefixes whose last token is remembered (twice as many in all), and the longest of them.
+PREFIXES, LONGEST_PREFIX = 150_000, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,24 +50,32 @@ class PrefixEncoder:
         self.longest = max(map(len, ranks))
         self._pieces = regex.compile(pattern).findall
         self._splits_at_blanks = pattern == public_tokenizers.PATTERN
-        self._alone = _Cache(lambda t: self.merged(self.token_bytes[t]) == [t])
-        self._fits = _Cache(self._check_pair)
-        self._of_piece = _Cache(self._encode_piece)
-        self._of_chunk = _Cache(self._encode_chunk)
-        self._of_word = _Cache(lambda word: self._encode_chunk(" " + word))
+        self._alone = Kept(lambda t: self.merged(self.token_bytes[t]) == [t])
+        self._fits = Kept(self._check_pair, 250_000)
+        self._last: dict[bytes, int] = {}
+        self._older_last: dict[bytes, int] = {}
+        self._of_piece = Kept(self._encode_piece, 100_000)
+        self._of_chunk = Kept(self._encode_chunk, 50_000)
+        self._of_word = Kept(self._encode_word, 200_000)
 
     # --- single pieces ---
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain BPE: the pair of lowest rank merges first, from the left. Only for short bytes."""
+        get, none = self.ranks.get, len(self.token_bytes)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min(
-                (self.ranks.get(a + b, len(self.token_bytes)), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))
-            )
-            if rank == len(self.token_bytes):
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
                 break
+            at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
         return [self.ranks[p] for p in parts]
 
     def _check_pair(self, pair: int) -> bool:
@@ -115,11 +105,35 @@ class PrefixEncoder:
         if whole is not None:
             return (whole,)
         last = [0]
-        self.extend(data, last)
+        if len(data) > LONGEST_PREFIX:
+            self.extend(data, last)
+            return tuple(self.read_back(last))
+        # words begin alike: the last token of a prefix is the same in all of them
+        known = self._last
+        for end in range(1, len(data) + 1):
+            prefix = data[:end]
+            token = known.get(prefix)
+            if token is None:
+                token = self._older_last.get(prefix)
+                if token is None:
+                    self.extend(data, last, end)
+                    token = last.pop()
+                known[prefix] = token
+            last.append(token)
+        if len(known) > PREFIXES:
+            self._older_last, self._last = known, {}
         return tuple(self.read_back(last))
 
     # --- texts ---
 
+    def _encode_word(self, word: str) -> tuple[int, ...]:
+        """A word after a blank."""
+        if word.isalpha():
+            return self._encode_piece(" " + word)
+        if word.endswith(_SIGNS) and word[:-1].isalpha():
+            return self._of_piece[" " + word[:-1]] + self._of_piece[word[-1]]
+        return self._encode_chunk(" " + word)
+
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
         pieces = self._pieces(chunk)
         if len(pieces) == 1:
@@ -154,6 +168,8 @@ class PrefixEncoder:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
 
+#: Signs that are a piece of their own after a word, if only a blank follows.
+_SIGNS = tuple(".,;:!?")
 _BLANK_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
