@@ -555,7 +555,9 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text") -> tup
         .select("text")
     )
     anchors = texts.mapInArrow(_find_anchors(length), _ANCHOR)
-    met = anchors.repartition("gram").sortWithinPartitions("gram", "around").mapInArrow(_meet, _RANGE)
+    # Only open rows have to meet; what is repeated already is dealt by text, however common its gram.
+    by = F.when(F.col("place").bitwiseAND(1) == REPEATED, F.col("text")).otherwise(F.col("gram"))
+    met = anchors.repartition(by).sortWithinPartitions("gram", "around").mapInArrow(_meet, _RANGE)
     met = written(met, f"{folder}/met")
     place = F.col("place")
     anchor = F.shiftright(place, 33)
