@@ -5,8 +5,8 @@ are counted. Repeated lines go from all documents but the one with the largest i
 put together again from the runs of lines between the dropped positions.
 
 Only built-in functions; a hash is 128 bits. A line that a third of all documents hold costs one
-row per document: counting goes over (hash, document) first, and the join of the few repeated
-hashes with the lines is an equi-join whose large side adaptive execution splits.
+row per document: counting goes over (hash, document) first, and where the lines meet the repeated
+hashes, each hash is dealt to ``SALTS`` parts by document (adaptive execution can split these more).
 
 Defined cases: a null or empty text is one empty line. A row without id is no document: it is not
 counted and keeps all its lines. Rows that repeat an id are one document for the count and lose
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from netkpi.llm.common import LOWER, SPACE, UPPER
 
 
+#: Parts that the lines of one key are dealt to when they meet the repeated keys.
+SALTS = 16
+
+
 def line_key(line: Column) -> Column:
     """The line without white space at both ends, A-Z in lower case."""
     return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
@@ -40,11 +44,10 @@ def dedup_lines(
         F.struct("*").alias("row"),
         F.col(id_col).alias("id"),
         F.xxhash64(text).alias("version"),  # tells rows of one id apart
-        F.split(text, "\n", -1).alias("lines"),
     )
     lines = (
         rows.where("id IS NOT NULL")
-        .select("id", "version", F.posexplode("lines").alias("pos", "line"))
+        .select("id", "version", F.posexplode(_lines(text_col)).alias("pos", "line"))
         .select("id", "version", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select("id", "version", "pos", F.unhex(F.md5("key")).alias("key"))
@@ -53,16 +56,19 @@ def dedup_lines(
         lines.groupBy("key")
         .agg(F.count_distinct("id").alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("key", "keeper")
+        .select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     dropped = (
-        lines.join(repeated, "key")
+        lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        .join(repeated, ["key", "salt"])
         .where("id <> keeper")
         .groupBy("id", "version")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     )
     none = F.expr("CAST(array() AS ARRAY<INT>)")
-    found = rows.join(dropped, ["id", "version"], "left").withColumn("gone", F.coalesce("gone", none))
+    found = rows.join(dropped, ["id", "version"], "left").select(
+        "row", F.coalesce("gone", none).alias("gone"), _lines(text_col).alias("lines")
+    )
     # Runs of kept lines lie between one dropped position and the next; -1 and the end close the ends.
     runs = F.zip_with(
         F.concat(F.array(F.lit(-1)), F.col("gone")),
@@ -75,3 +81,7 @@ def dedup_lines(
         F.size("gone").cast("long").alias("n_dropped"),
         F.array_join(F.flatten(runs), "\n").alias("kept"),
     )
+
+
+def _lines(text_col: str) -> Column:
+    return F.split(F.coalesce(F.col(f"row.{text_col}"), F.lit("")), "\n", -1)
