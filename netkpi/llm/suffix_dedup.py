@@ -11,18 +11,22 @@ anchors are compared:
    repeated, and one stands for them from then on.
 2. Anchors meet by gram. A gram that is alone is dropped, equal surroundings are repeated, and what
    remains are grams with different surroundings: ends of repeated passages, edits.
-3. For these the suffixes from the anchor to the end of its windows are sorted per task, front-coded
-   (length of the prefix shared with the one before, and the rest) and sent to ranges of the sorted
-   order. Each range merges its runs with a loser tree that carries the prefixes already known to be
-   shared with the last winner, so that no byte is compared twice.
+   Grams with many of them in one task, or in all, are hot. They take no part in 3 and 4: each
+   task folds their equal windows by hash, and one of each meets the others by that hash. So a gram
+   of any number of rows is dealt over all tasks.
+3. For the others the suffixes from the anchor to the end of its windows are sorted per task,
+   front-coded (length of the prefix shared with the one before, and the rest) and sent to ranges of the sorted
+   order; where many grams begin with the same bytes, by gram. Each range merges its runs with a loser
+   tree that carries the prefixes already known to be shared with the last winner, so that no byte is
+   compared twice.
 4. In the merged order suffixes that share r bytes are neighbours. The window that starts l bytes
    before the anchor is repeated if another one shares length - l bytes of suffix and the l bytes
    before the anchor.
 5. The ranges found go back to their texts, which lose the bytes they cover.
 
 Texts are told apart by a 64-bit hash; equal texts are one text, repeated as a whole if it is long
-enough. Grams and surroundings are compared by 64-bit hashes, suffixes byte by byte. What a task
-holds at once: a portion of text, the anchors of its input, the runs of one range.
+enough. Grams, surroundings and windows of hot grams are compared by 64-bit hashes, suffixes byte by
+byte. What a task holds at once: a portion of text, the anchors of its input, the runs of one range.
 
 Defined cases: a null or empty text has no bytes; a text shorter than ``length`` loses nothing.
 Rows that repeat an id are texts of their own. The input's columns travel in a struct.
@@ -31,7 +35,9 @@ Rows that repeat an id are texts of their own. The input's columns travel in a s
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +54,8 @@ PLACE_BITS = 28
 HEAD = 7
 #: Compared suffixes per range of the sorted order, on average.
 RANGE_ROWS = 20_000
+#: Open rows above which a gram is hot: in one task, and of all that meet.
+HOT_IN_TASK, HOT_ROWS = 16, 2_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -182,6 +190,8 @@ REPEATED, OPEN = 1, 0
 #: ``place`` has the anchor, its distances to the first and the last window, and the kind of row.
 _ANCHOR = "gram long, around long, text long, place long, head long"
 _RANGE = "text long, place long, head long, repeated boolean"
+#: In ``head``: a row of a hot gram, and the row that tells others of the gram that it is hot.
+HOT, TELLS_HOT = -1, -2
 
 
 def packed(anchor, first, last, kind):
@@ -201,8 +211,8 @@ def _folded(columns: dict) -> dict:
     order = np.lexsort((columns["place"], columns["text"], columns["around"], columns["gram"]))
     c = {k: v[order] for k, v in columns.items()}
     same = (c["gram"][1:] == c["gram"][:-1]) & (c["around"][1:] == c["around"][:-1])
-    again = np.concatenate([[False], same])
-    twice = again | np.concatenate([same, [False]])
+    again = np.concatenate([[False], same])[: len(order)]
+    twice = again | np.concatenate([same, [False]])[: len(order)]
     # all but the first of equal ones are done; the first stays open to meet those of other tasks
     repeated = {k: v[twice] for k, v in c.items()}
     still_open = {k: v[~again] for k, v in c.items()}
@@ -210,7 +220,21 @@ def _folded(columns: dict) -> dict:
     return {k: np.concatenate([repeated[k], still_open[k]]) for k in c}
 
 
-def _find_anchors(length: int):
+def _hot_apart(columns: dict, most: int) -> dict:
+    """Marks open rows whose gram has more than ``most`` here, and adds one row for each such gram."""
+    import numpy as np
+
+    is_open = np.flatnonzero(columns["place"] & 1 == OPEN)
+    _, first, of, n = np.unique(columns["gram"][is_open], return_index=True, return_inverse=True, return_counts=True)
+    hot = n > most
+    telling = {k: v[is_open[first[hot]]] for k, v in columns.items()}
+    telling["head"] = np.full(len(telling["head"]), TELLS_HOT, np.int64)
+    head = columns["head"].copy()
+    head[is_open[hot[of]]] = HOT
+    return {k: np.concatenate([head if k == "head" else v, telling[k]]) for k, v in columns.items()}
+
+
+def _find_anchors(length: int, most: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -233,7 +257,7 @@ def _find_anchors(length: int):
             for name, values in zip(names, (gram, around, keys[number], place, head)):
                 found[name].append(values)
         if found["text"]:
-            out = _folded({k: np.concatenate(v) for k, v in found.items()})
+            out = _hot_apart(_folded({k: np.concatenate(v) for k, v in found.items()}), most)
             for name in ("gram", "around"):
                 out[name] = out[name].view(np.int64)
             for start in range(0, len(out["text"]), 100_000):
@@ -242,43 +266,55 @@ def _find_anchors(length: int):
     return run
 
 
-def _meet(batches: Iterator) -> Iterator:
+def _meet(most: int):
     """Rows come ordered by gram and surroundings. Decides about grams that are complete."""
-    import numpy as np
-    import pyarrow as pa
 
-    names = [x.split()[0] for x in _ANCHOR.split(", ")]
-    out_names = [x.split()[0] for x in _RANGE.split(", ")]
-
-    def decided(c: dict):
-        is_open = c["place"] & 1 == OPEN
-        done = {k: v[~is_open] for k, v in c.items()}
-        c = {k: v[is_open] for k, v in c.items()}
-        n = len(c["gram"])
-        new_gram = np.concatenate([[True], c["gram"][1:] != c["gram"][:-1]])[:n]
-        new_around = new_gram | np.concatenate([[True], c["around"][1:] != c["around"][:-1]])[:n]
-        of_gram, of_around = np.cumsum(new_gram) - 1, np.cumsum(new_around) - 1
-        n_arounds = np.bincount(of_gram[new_around], minlength=1)[of_gram] if n else of_gram
-        twice = np.bincount(of_around, minlength=1)[of_around] > 1 if n else np.zeros(0, bool)
-        compare = new_around & (n_arounds > 1)
-        parts = [(done, np.ones(len(done["gram"]), bool), True), (c, twice, True), (c, compare, False)]
-        columns = [np.concatenate([p[k][which] for p, which, _ in parts]) for k in out_names[:3]]
-        flag = np.concatenate([np.full(int(which.sum()), f) for _, which, f in parts])
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(flag)], names=out_names)
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    held = None
-    for batch in batches:
-        c = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
-        if held is not None:
-            c = {k: np.concatenate([held[k], c[k]]) for k in names}
-        if not len(c["gram"]):
-            continue
-        end = int(np.searchsorted(c["gram"], c["gram"][-1]))  # the last gram may go on
-        held = {k: v[end:] for k, v in c.items()}
-        if end:
-            yield decided({k: v[:end] for k, v in c.items()})
-    if held is not None and len(held["gram"]):
-        yield decided(held)
+        names = [x.split()[0] for x in _ANCHOR.split(", ")]
+        out_names = [x.split()[0] for x in _RANGE.split(", ")]
+
+        def made(parts: list[tuple]):
+            columns = [np.concatenate([p[k][which] for p, which, _ in parts]) for k in out_names[:3]]
+            flag = np.concatenate([np.full(int(which.sum()), f) for _, which, f in parts])
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(flag)], names=out_names)
+
+        def decided(c: dict):
+            n = len(c["gram"])
+            tells = c["head"] == TELLS_HOT
+            of_gram = np.cumsum(np.concatenate([[True], c["gram"][1:] != c["gram"][:-1]])[:n]) - 1
+            told = (np.bincount(of_gram[tells], minlength=of_gram[-1] + 1) > 0)[of_gram]
+            c, of_gram, told = {k: v[~tells] for k, v in c.items()}, of_gram[~tells], told[~tells]
+            n = len(of_gram)
+            new_gram = np.concatenate([[True], of_gram[1:] != of_gram[:-1]])[:n]
+            new_around = new_gram | np.concatenate([[True], c["around"][1:] != c["around"][:-1]])[:n]
+            of_around = np.cumsum(new_around) - 1
+            n_arounds = np.bincount(of_gram[new_around], minlength=1)[of_gram] if n else of_gram
+            twice = np.bincount(of_around, minlength=1)[of_around] > 1 if n else np.zeros(0, bool)
+            c["head"] = np.where(told | (n_arounds > most), HOT, c["head"])
+            return made([(c, twice, True), (c, new_around & (told | (n_arounds > 1)), False)])
+
+        held = None
+        for batch in batches:
+            c = {k: batch.column(i).to_numpy() for i, k in enumerate(names)}
+            done, hot = c["place"] & 1 == REPEATED, c["head"] == HOT
+            if (done | hot).any():
+                yield made([(c, done, True), (c, hot & ~done, False)])
+                c = {k: v[~(done | hot)] for k, v in c.items()}
+            if held is not None:
+                c = {k: np.concatenate([held[k], c[k]]) for k in names}
+            if not len(c["gram"]):
+                continue
+            end = int(np.searchsorted(c["gram"], c["gram"][-1]))  # the last gram may go on
+            held = {k: v[end:] for k, v in c.items()}
+            if end:
+                yield decided({k: v[:end] for k, v in c.items()})
+        if held is not None and len(held["gram"]):
+            yield decided(held)
+
+    return run
 
 
 # --- sorted runs --------------------------------------------------------------
@@ -370,22 +406,101 @@ _RUN = (
     "range int, shared binary, rest_lengths binary, rests binary, left_lengths binary, lefts binary, "
     "texts binary, anchors binary, firsts binary, lasts binary"
 )
+#: Instead of a run: a window of a hot gram (``text`` is null if it is known to be repeated), or a repeated range.
+_WINDOW = "window long, text long, start long, end long"
+
+
+def _parts(heads, grams, cuts):
+    """Numbers of ranges. A head that is a cut several times has as many ranges, dealt by gram."""
+    import numpy as np
+
+    below, upto = np.searchsorted(cuts, heads, side="left"), np.searchsorted(cuts, heads, side="right")
+    return np.where(upto > below, below + 1 + grams % np.maximum(upto - below, 1), upto)
+
+
+def _folded_windows(segments: list[tuple], length: int):
+    """Windows of (bytes, text, start of the first window): repeated ranges, and one row for equal windows."""
+    import numpy as np
+    import pyarrow as pa
+
+    lengths = np.array([len(s[0]) for s in segments], np.int64)
+    texts, firsts = (np.array([s[i] for s in segments], np.int64) for i in (1, 2))
+    counts = lengths - length + 1
+    of = np.repeat(np.arange(len(segments)), counts)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(lengths) - lengths)[of] + within
+    hashes = Hashes(np.frombuffer(b"".join(s[0] for s in segments), np.uint8)).of(at, at + length)
+    text, start = texts[of], firsts[of] + within
+    # the same window of the same text is no repetition
+    by = np.lexsort((start, text, hashes))
+    h, text, start = hashes[by], text[by], start[by]
+    new_hash = np.concatenate([[True], h[1:] != h[:-1]])
+    own = new_hash | np.concatenate([[True], (text[1:] != text[:-1]) | (start[1:] != start[:-1])])
+    h, text, start, new_hash = h[own], text[own], start[own], new_hash[own]
+    first_of = np.flatnonzero(new_hash)
+    n = np.diff(np.append(first_of, len(h)))
+    twice = np.repeat(n > 1, n)
+    by = np.lexsort((start[twice], text[twice]))
+    range_text, range_start = text[twice][by], start[twice][by]
+    new = np.concatenate([[True], (range_text[1:] != range_text[:-1]) | (range_start[1:] != range_start[:-1] + 1)])
+    begin = np.flatnonzero(new[: len(range_text)])
+    final = np.append(begin[1:], len(range_text))[: len(begin)] - 1
+    known, no = twice[first_of], np.zeros(len(first_of), bool)
+    nulls = np.ones(len(begin), bool)
+    columns = [
+        (np.append(h[first_of].view(np.int64), range_start[begin]), np.append(no, nulls)),
+        (np.append(text[first_of], range_text[begin]), np.append(known, ~nulls)),
+        (np.append(start[first_of], range_start[begin]), np.append(known, ~nulls)),
+        (np.append(start[first_of], range_start[final]) + length, np.append(known, ~nulls)),
+    ]
+    return [pa.array(values, pa.int64(), mask=mask) for values, mask in columns]
+
+
+def _meet_windows(batches: Iterator) -> Iterator:
+    """Rows come ordered by window: those that are not alone are repeated."""
+    import numpy as np
+    import pyarrow as pa
+
+    def decided(c: list):
+        h, missing = c[0], c[4]
+        same = h[1:] == h[:-1]
+        told = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & ~missing
+        return pa.RecordBatch.from_arrays([pa.array(x[told]) for x in c[1:4]], names=["text", "start", "end"])
+
+    held = None
+    for batch in batches:
+        c = [batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4)]
+        c.append(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+        if held is not None:
+            c = [np.concatenate(x) for x in zip(held, c)]
+        if not len(c[0]):
+            continue
+        end = int(np.searchsorted(c[0], c[0][-1]))  # the last window may go on
+        held = [x[end:] for x in c]
+        if end:
+            yield decided([x[:end] for x in c])
+    if held is not None and len(held[0]):
+        yield decided(held)
 
 
 def _make_runs(length: int, splitters: list[int]):
-    """From texts with their open anchors to front-coded sorted runs, one per range and portion."""
+    """From texts with their open anchors to front-coded sorted runs, one per range and portion, and to windows of hot grams."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = [x.split()[0] for x in _RUN.split(", ")]
+        names = [x.split()[0] for x in f"{_RUN}, {_WINDOW}".split(", ")]
+        kinds = [pa.int32(), *[pa.binary()] * 9, *[pa.int64()] * 4]
         cuts = np.array(splitters, np.int64)
 
         def runs(rows: list[tuple]):
             rows.sort(key=lambda r: r[0])
             heads = np.array([int.from_bytes(r[0][:HEAD], "big") for r in rows], np.int64)
-            part = np.searchsorted(cuts, heads, side="right")
+            part = _parts(heads, np.array([zlib.crc32(r[0][:GRAM]) for r in rows], np.int64), cuts)
+            if (part[1:] < part[:-1]).any():
+                order = np.argsort(part, kind="stable")
+                rows, part = [rows[i] for i in order], part[order]
             bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             out = []
             for a, b in zip(bounds, bounds[1:]):
@@ -402,13 +517,21 @@ def _make_runs(length: int, splitters: list[int]):
                         *(np.array([r[i] for r in some], np.int64).tobytes() for i in range(2, 6)),
                     )
                 )
-            columns = zip(*out, strict=True)
-            kinds = [pa.int32(), *[pa.binary()] * 9]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(out), t) for t in kinds[10:])], names=names)
+
+        def windows(segments: list[tuple]):
+            columns = _folded_windows(segments, length)
+            for at in range(0, len(columns[0]), 100_000):
+                some = [c.slice(at, 100_000) for c in columns]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some[0]), t) for t in kinds[:10]), *some], names=names)
 
         rows, size, seen = [], 0, set()
+        segments, segments_size = [], 0
         for batch in batches:
-            for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for key, text, places, hot in zip(
+                batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ):
                 if key in seen:  # copies of a text come to the same task
                     continue
                 seen.add(key)
@@ -419,8 +542,16 @@ def _make_runs(length: int, splitters: list[int]):
                 if size > 16 << 20:
                     yield runs(rows)
                     rows, size = [], 0
+                for _, first, last in map(unpacked, hot):
+                    segments.append((data[first : last + length], key, first))
+                    segments_size += last + length - first
+                    if segments_size > PORTION:
+                        yield from windows(segments)
+                        segments, segments_size = [], 0
         if rows:
             yield runs(rows)
+        if segments:
+            yield from windows(segments)
 
     return run
 
@@ -554,10 +685,10 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text") -> tup
         .where("n > 1")
         .select("text")
     )
-    anchors = texts.mapInArrow(_find_anchors(length), _ANCHOR)
-    # Only open rows have to meet; what is repeated already is dealt by text, however common its gram.
-    by = F.when(F.col("place").bitwiseAND(1) == REPEATED, F.col("text")).otherwise(F.col("gram"))
-    met = anchors.repartition(by).sortWithinPartitions("gram", "around").mapInArrow(_meet, _RANGE)
+    anchors = texts.mapInArrow(_find_anchors(length, HOT_IN_TASK), _ANCHOR)
+    # Only open rows have to meet; what is repeated already, or of a gram known to be hot, is dealt by text.
+    by = F.when((F.col("place").bitwiseAND(1) == REPEATED) | (F.col("head") == HOT), F.col("text")).otherwise(F.col("gram"))
+    met = anchors.repartition(by).sortWithinPartitions("gram", "around").mapInArrow(_meet(HOT_ROWS), _RANGE)
     met = written(met, f"{folder}/met")
     place = F.col("place")
     anchor = F.shiftright(place, 33)
@@ -565,20 +696,36 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text") -> tup
     last = anchor - F.shiftright(place, 1).bitwiseAND(0xFFFF)
     repeated = met.where("repeated").select("text", first.alias("start"), (last + length).alias("end"))
     to_compare = met.where("NOT repeated")
-    n = to_compare.count()
-    if not n:
+    hot = F.col("head") == HOT
+    n, n_hot = to_compare.agg(F.count_if(~hot), F.count_if(hot)).first()
+    if not n + n_hot:
         return whole, repeated
     n_ranges = min(-(-n // RANGE_ROWS), 10_000)
     splitters: list[int] = []
     if n_ranges > 1:  # quantiles of the first bytes, from a summary of bounded size
         shares = [i / n_ranges for i in range(1, n_ranges)]
-        splitters = sorted(set(to_compare.select(F.percentile_approx("head", shares, 10_000)).first()[0]))
-    places = to_compare.groupBy("text").agg(F.collect_set("place").alias("places"))
+        splitters = to_compare.where(~hot).select(F.percentile_approx("head", shares, 10_000)).first()[0]
+    places = to_compare.groupBy("text").agg(
+        F.collect_set(F.when(~hot, F.col("place"))).alias("places"), F.collect_set(F.when(hot, F.col("place"))).alias("hot")
+    )
     places = written(places, f"{folder}/places")
-    with_places = texts.join(places, F.col("key") == F.col("text")).select("key", "data", "places")
-    runs = with_places.mapInArrow(_make_runs(length, splitters), _RUN)
-    ranges = runs.groupBy("range").applyInArrow(_merge_range(length), "text long, start long, end long")
-    return whole, repeated.unionByName(written(ranges, f"{folder}/ranges"))
+    with_places = texts.join(places, F.col("key") == F.col("text")).select("key", "data", "places", "hot")
+    runs = with_places.mapInArrow(_make_runs(length, splitters), f"{_RUN}, {_WINDOW}")
+    if n_hot:  # both kinds of rows come from one pass over the texts
+        runs = written(runs, f"{folder}/runs")
+    found = [repeated]
+    if n:
+        run_columns = [x.split()[0] for x in _RUN.split(", ")]
+        ranges = runs.where("range IS NOT NULL").select(*run_columns).groupBy("range")
+        merged = ranges.applyInArrow(_merge_range(length), "text long, start long, end long")
+        found.append(written(merged, f"{folder}/ranges"))
+    if n_hot:
+        windows = runs.where("range IS NULL").select("window", "text", "start", "end")
+        found.append(windows.where("window IS NULL").drop("window"))
+        meeting = windows.where("window IS NOT NULL").repartition("window").sortWithinPartitions("window")
+        met_windows = meeting.mapInArrow(_meet_windows, "text long, start long, end long")
+        found.append(written(met_windows, f"{folder}/windows"))
+    return whole, reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:

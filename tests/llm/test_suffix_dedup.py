@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from netkpi.llm import suffix_dedup
 from netkpi.llm.suffix_dedup import LoserTree, common_prefix, front_coded, remove_repeats
 from tests.llm.fixtures import document_rows, documents, prose
 
@@ -80,3 +81,37 @@ def test_loser_tree(runs):
     assert all(runs[run][at] == s for s, _, run, at in merged)
     for (a, *_), (b, shared, *_) in zip(merged, merged[1:]):
         assert shared == common_prefix(a, b)
+
+
+@pytest.mark.parametrize("hot_rows", [20, 2_000])
+def test_hot_grams_are_split(spark, monkeypatch, hot_rows):
+    """A passage of many texts, with other surroundings in each: no range gathers its ends."""
+    merge_range, biggest = suffix_dedup._merge_range, 100
+
+    def bounded(length):
+        inner = merge_range(length)
+
+        def run(key, table):
+            n = sum(len(x) for x in table.column("texts").to_pylist()) // 8
+            assert n <= biggest, f"{n} rows in one range"
+            return inner(key, table)
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_merge_range", bounded)
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 20)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot_rows, raising=False)
+    monkeypatch.setattr(suffix_dedup, "HOT_IN_TASK", 10**9 if hot_rows == 20 else 16, raising=False)
+    passage = prose(77, 90)
+    rows = [(i, f"{prose(5000 + i, 30)} {passage} {prose(9000 + i, 30)}", "a") for i in range(300)]
+    rows += [(400 + i, f"{prose(7000 + i, 9)} {passage[:260 + i]}", "a") for i in range(30)] + spliced(3, 20)
+    assert ordered(found(documents(spark, rows), 200)) == ordered(plain(rows, 200))
+
+
+def test_many_grams_of_one_head_are_split():
+    import numpy as np
+
+    heads, grams = np.full(1000, 5), np.arange(1000) * 7919
+    parts = suffix_dedup._parts(heads, grams, np.array([3, 5, 5, 5, 5, 9]))
+    assert max(np.bincount(parts)) < 400 and set(parts) == {2, 3, 4, 5}
+    assert suffix_dedup._parts(np.array([2, 3, 4, 6, 9]), np.zeros(5, int), np.array([3, 5, 5, 9])).tolist() == [0, 1, 1, 3, 4]
