@@ -50,6 +50,45 @@ def test_other_containers():
     )
 
 
+PROSE = f"<h1>Title</h1><p>{LONG}{LONG}{LONG}</p><p>Short.</p><p>{LONG}</p>"
+PROSE_TEXT = f"Title\n\n{(LONG * 3).strip()}\n\nShort.\n\n{LONG.strip()}"
+SIDE = f"<div class='sidebar'><p>{LONG}</p></div>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='layout with-sidebar'><article>{PROSE}</article>{SIDE}</div>",
+        f"<div id='main' class='no-sidebar'>{PROSE}</div>",
+        f"<article class='post has-comments'>{PROSE}<div class='comments'><p>{LONG}</p></div></article>",
+        f"<div class='story search-result'>{PROSE}</div>",
+        f"<div class='content-sidebar-wrap'><main>{PROSE}</main>{SIDE}</div>",
+        f"<div class='search-page'>{PROSE}{SIDE}</div>",
+        f"<form id='aspnetForm' action='/p.aspx'><div><nav><a href=x>Home</a></nav><div>{PROSE}</div>{SIDE}</div></form>",
+        f"<form action='/p.aspx'><div>{PROSE}</div></form>",
+        f"<aside><article>{PROSE}</article></aside>",
+        f"<svg/><math display='block' /><svg class=icon /><article>{PROSE}</article>",
+        f"<object data=x><article>{PROSE}</article>",
+        f"<article><noscript>{PROSE}</article>",
+    ],
+)
+def test_evidence_against_wrappers(body):
+    assert main_text(page(body)) == PROSE_TEXT
+
+
+def test_evidence_stays_where_prose_is_elsewhere():
+    many = f"<p>{LONG * 5}</p>"
+    for other in ("comments", "ad", "cookie-notice", "related"):
+        assert main_text(page(f"<div class='{other}'>{many}</div>")) == ""
+        assert main_text(page(f"<div class='{other}'>{many}</div><article>{PROSE}</article>")) == PROSE_TEXT
+    assert main_text(page(f"<div style='display:none'><article>{many}</article></div>")) == ""
+    assert main_text(page(f"<aside>{many}</aside><div class='widget'><p>{LONG * 3}</p></div><article>{PROSE}</article>")) == PROSE_TEXT
+    quoted = f"<div class='comments'><div class='text'>{many * 9}</div></div>"
+    assert main_text(page(quoted + f"<article>{PROSE}</article>")) == PROSE_TEXT
+    assert main_text("<div class='ad'>" * 3000 + "deep") == ""
+    assert main_text("<svg><title>icon</title><text>drawn</text></svg>" + PROSE) == PROSE_TEXT
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<p", "<script>never ends", "<nav>only a menu</nav>"])
 def test_nothing_to_find(html):
     assert main_text(html) == ""
