@@ -35,7 +35,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    files = write_token_files(docs, scratch(spark), public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    files = write_token_files(docs, scratch(spark), tokenizer, added_tokens=True)
     found = read_ids(files, look_up(files, files.documents.select("doc_id", "nth")), digest=True)
     return found.join(global_starts(files), "shard").select(
         "doc_id", (F.col("before") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32"

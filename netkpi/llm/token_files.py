@@ -62,15 +62,18 @@ class WordIds:
     The tokenizer must drop white space and must not look over it, so that the ids of a text are
     those of its blank-separated parts. Parts of plain letters, digits and ASCII signs are cut into
     pieces here, as the tokenizer's normalizer and pre-tokenizer do, and only new pieces go to its
-    model; all other parts go through the whole tokenizer.
+    model; all other parts go through the whole tokenizer. With ``added_tokens`` strings of the
+    tokenizer's added tokens become their ids, as the library does by default, else they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        self.has_added = re.compile("|".join(added) or r"(?!)", re.I).search
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.packed = struct.Struct("<H" if self.width == 2 else "<I").pack
@@ -84,7 +87,7 @@ class WordIds:
         return b"".join([self.packed(t.id) for t in self.tokenize(piece)])
 
     def _part(self, part: str) -> bytes:
-        if _PLAIN(part):
+        if _PLAIN(part) and not self.has_added(part):
             return b"".join([self.pieces[p] for p in _PIECES(part.lower())])
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         return b"".join(map(self.packed, ids))
@@ -101,16 +104,17 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-_tokenizers: dict[str, WordIds] = {}
+_tokenizers: dict[tuple[str, bool], WordIds] = {}
 
 
-def _word_ids(path: str) -> WordIds:
+def _word_ids(path: str, added_tokens: bool) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+    key = path, added_tokens
+    if key not in _tokenizers:
+        _tokenizers[key] = WordIds(path, added_tokens)
+    return _tokenizers[key]
 
 
 # --- minimal perfect hash -----------------------------------------------------
@@ -230,7 +234,13 @@ def _index_of(n_indexes: int):
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int = 1,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    added_tokens: bool = False,
 ) -> TokenFiles:
     """Encode all documents and write shard and index files under ``folder``."""
     workers_import(docs.sparkSession)
@@ -245,7 +255,7 @@ def write_token_files(
         first = next(batches, None)
         if first is None:
             return
-        encoder = _word_ids(tokenizer)
+        encoder = _word_ids(tokenizer, added_tokens)
         end = np.array([end_id], encoder.dtype).tobytes()
         shard, start, last, nth = TaskContext.get().partitionId(), 0, object(), 0
         with new_file(shard_path(folder, shard)) as out:

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from netkpi.llm.common import scratch
+from netkpi.llm.queries import op3_token_files
 from netkpi.llm.token_files import PerfectHash, fingerprints, global_starts, key_hashes, look_up, read_ids, write_token_files
 from tests.llm.fixtures import document_rows, documents
 
@@ -56,3 +57,14 @@ def test_unknown_keys_are_not_found(spark):
 def test_empty_table(spark):
     files = write_token_files(documents(spark, []), scratch(spark), PATH)
     assert read_ids(files, look_up(files, files.documents.select("doc_id", "nth"))).collect() == []
+
+
+def test_query_reads_added_tokens_as_the_library_does(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    texts = ["a page <|endoftext|> more", "x<|endoftext|>'s\n<|startoftext|><|endoftext|>\té<|endoftext|>1", "<|ENDOFTEXT|> <|endoftext|"]
+    rows = document_rows() + [(900 + i, text, "a") for i, text in enumerate(texts)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in op3_token_files(spark, str(tmp_path)).collect())
+    want = [(i or -1, [*library.encode(text or "", add_special_tokens=False).ids, 1]) for i, text, _ in rows]
+    assert found == sorted((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want)
+    assert (900, [320, 2504, 49407, 750, 1]) in want
