@@ -3,10 +3,10 @@
 Vectors are turned into integers and dealt into shards of a bounded size. In the index of a shard a
 component is its distance from the least value of its dimension, cut into binary digits of some
 bits: a posting segment holds the rows that have a digit in a dimension at a place, and its quantised impact
-is that digit times the weight of the place. Segments are processed by descending weight; all of one
-place together, for a block of queries, as a matrix product of the queries with the digits. After
-each place a row's score lies between what it got and that plus what the lower places can add, both
-ways of sign. The k-th best lower bound of a query is a score that k rows reach for sure, so rows
+is that digit times the weight of the place. Segments of some dimensions at a place are processed
+together, for a block of queries, as a matrix product of the queries with the digits, by descending
+impact: the most that they can add for the block. After each product a row's score lies between what
+it got and that plus what the segments to come can add, both ways of sign. The k-th best lower bound of a query is a score that k rows reach for sure, so rows
 whose upper bound is below it are out: that is the proof on which processing stops for them. Once few
 rows of few queries are possible (rescoring them costs less than the next place), these are rescored
 exactly with the integer vectors. When that is depends on cost, never on a limit; the result is exact
@@ -35,6 +35,8 @@ SHARD_ROWS, BLOCK_QUERIES = 8192, 256
 FIRST_BITS, DIGIT_BITS = 6, 2
 #: Rescoring a row costs as much as one more place for so many rows.
 RESCORING = 16
+#: Dimensions whose segments at a place are processed together.
+GROUP_DIMS = 16
 #: Below every score.
 _NONE = -(2**62)
 
@@ -66,10 +68,25 @@ class ShardIndex:
         first = max(int(self.above.max()).bit_length() - FIRST_BITS, 0)
         self.shifts = [*range(first, 0, -DIGIT_BITS), 0]
 
-    def digits(self, place: int, rows):
-        above = self.above[rows] >> self.shifts[place]
+    def digits(self, place: int, dims, rows):
+        above = self.above[rows[:, None], dims] >> self.shifts[place]
         return above if place == 0 else above & ((1 << self.shifts[place - 1] - self.shifts[place]) - 1)
 
+    def segments(self, queries) -> list[tuple]:
+        """Place, dimensions and the largest gains of their components there, by descending impact."""
+        import numpy as np
+
+        asked, every = np.abs(queries).max(axis=0).astype(float), np.arange(len(self.ids))
+        by_impact = np.argsort(-asked * self.above.max(axis=0), kind="stable")
+        found = []
+        for at in range(0, len(by_impact), GROUP_DIMS):
+            dims = by_impact[at : at + GROUP_DIMS]
+            for place, shift in enumerate(self.shifts):
+                most = self.digits(place, dims, every).max(axis=0) << shift
+                if most.any():
+                    found.append((float(asked[dims] @ most), place, dims, most))
+        return [x[1:] for x in sorted(found, key=lambda x: -x[0])]
+
     def rescored(self, rows, query):
         return self.matrix[rows] @ query
 
@@ -82,20 +99,24 @@ class ShardIndex:
         largest = float(np.abs(queries).max()) * (float(self.above.max()) + float(np.abs(self.low).max())) * queries.shape[1]
         kind = np.float64 if largest < 2**53 else np.int64
         asked = queries.astype(kind)
-        plus, minus = np.maximum(queries, 0).sum(axis=1), np.minimum(queries, 0).sum(axis=1)
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
         rows = np.arange(n)
         got = np.repeat((queries @ self.low)[:, None], n, axis=1)  # the score of the least values
         own = query_ids[:, None] == self.ids[None, :]
         possible = ~own
-        for place, shift in enumerate(self.shifts):
-            got += ((asked @ self.digits(place, rows).T.astype(kind)) * (1 << shift)).astype(np.int64)
-            rest = (1 << shift) - 1  # the most that the lower places of a component hold
-            sure = np.where(possible, got + rest * minus[:, None], _NONE)
+        segments = self.segments(queries)
+        # the most that the segments to come can add and take away
+        gain, loss = (sum((sign[:, dims] @ most for _, dims, most in segments), np.zeros(n_queries, np.int64)) for sign in (plus, minus))
+        for place, dims, most in segments:
+            products = asked[:, dims] @ self.digits(place, dims, rows).T.astype(kind)
+            got += (products * (1 << self.shifts[place])).astype(np.int64)
+            gain, loss = gain - plus[:, dims] @ most, loss - minus[:, dims] @ most
+            sure = np.where(possible, got + loss[:, None], _NONE)
             enough = min(k, sure.shape[1])
             best = np.partition(sure, sure.shape[1] - enough, axis=1)[:, sure.shape[1] - enough]
             if enough < k:
                 best[:] = _NONE
-            possible &= got + rest * plus[:, None] >= best[:, None]
+            possible &= got + gain[:, None] >= best[:, None]
             if possible.sum() * RESCORING <= possible.size:
                 break
             used = possible.any(axis=0)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netkpi.llm import topk
 from netkpi.llm.topk import ShardIndex, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string, shard string, id string"
@@ -76,3 +77,24 @@ def test_large_numbers():
     ids, found, scores = ShardIndex(np.arange(200), matrix).search(np.array([7]), matrix[[7]], 3)
     exact = [(-int(sum(int(a) * int(b) for a, b in zip(matrix[7], v))), i) for i, v in enumerate(matrix) if i != 7]
     assert [(-int(s), int(i)) for s, i in zip(scores, found)] == sorted(exact)[:3]
+
+
+@pytest.mark.parametrize("largest", [50, 5000])
+def test_search_stops_between_segments(monkeypatch, largest):
+    """A few dimensions decide: the others are not multiplied for all rows, even if there is one place only."""
+    r = np.random.default_rng(largest)
+    n, dims = 2000, 64
+    matrix, queries = r.integers(0, largest, (n, dims)), r.integers(-1, 2, (20, dims))
+    queries[:, ::16] = r.integers(200, 400, (20, 4)) * r.choice([-1, 1], (20, 4))
+    index, seen = topk.ShardIndex(np.arange(n), matrix), []
+    monkeypatch.setattr(topk.ShardIndex, "rescored", lambda self, rows, q: seen.append(len(rows)) or matrix[rows] @ q)
+    products, digits = [], topk.ShardIndex.digits
+    monkeypatch.setattr(topk.ShardIndex, "digits", lambda self, *a: products.append(digits(self, *a).size) or digits(self, *a))
+    if hasattr(index, "segments"):  # these look at digits too
+        segments = index.segments(queries)
+        monkeypatch.setattr(index, "segments", lambda _: segments)
+        products.clear()
+    found = index.search(np.arange(20) + 10**6, queries, 5)
+    want = [np.lexsort((np.arange(n), -(matrix @ q)))[:5] for q in queries]
+    assert found[1].tolist() == np.concatenate(want).tolist()
+    assert sum(products) <= n * dims * 3 / 4 and sum(seen) < 20 * n / 4
