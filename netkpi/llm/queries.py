@@ -15,6 +15,7 @@ from netkpi.llm.html_cut import extract
 from netkpi.llm.jaccard_join import jaccard_components
 from netkpi.llm.line_dedup import dedup_lines
 from netkpi.llm.mixing import mix
+from netkpi.llm.packing import pack
 from netkpi.llm.quality import quality_rules
 from netkpi.llm.suffix_dedup import remove_repeats
 from netkpi.llm.token_files import global_starts, look_up, read_ids, write_token_files
@@ -95,6 +96,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_topk,
@@ -107,6 +113,7 @@ def all_queries() -> dict[str, Query]:
         op8_mixing,
         op9_byte_bpe,
         op10_jaccard_join,
+        op13_packing,
     )
     return {f.__name__: f for f in found}
 
