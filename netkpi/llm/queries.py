@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netkpi.llm import sql
 from netkpi.llm.byte_bpe import digests
 from netkpi.llm.common import read_table, scratch
+from netkpi.llm.fill_in_middle import fill_in_middle, restore
 from netkpi.llm.html_cut import extract
 from netkpi.llm.jaccard_join import jaccard_components
 from netkpi.llm.line_dedup import dedup_lines
@@ -96,6 +97,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fill_in_middle(docs).select(
+        F.struct("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256")).alias("row"),
+        "output",
+        "form",
+    )
+    return restore(made).select("row.*", F.sha2("text", 256).alias("restored_sha256"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
@@ -113,6 +124,7 @@ def all_queries() -> dict[str, Query]:
         op8_mixing,
         op9_byte_bpe,
         op10_jaccard_join,
+        op11_fill_in_middle,
         op13_packing,
     )
     return {f.__name__: f for f in found}
@@ -124,4 +136,5 @@ def all_sql() -> dict[str, str]:
         "op2_line_dedup": sql.LINE_DEDUP,
         "op5_warc": sql.WARC,
         "op8_mixing": sql.MIXING,
+        "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
     }

@@ -102,3 +102,27 @@ SELECT page_id, strlen(html) AS payload_bytes,
   CASE WHEN page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM kept"""
+
+
+FILL_IN_MIDDLE = """WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS ts
+  FROM documents),
+drawn AS (
+  SELECT *, CAST(len(ts) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(ts) + 1) AS i,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(ts) + 1) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM tokens),
+cut AS (
+  SELECT *, coalesce(array_to_string(ts[1:least(i, j)], ''), '') AS prefix,
+    coalesce(array_to_string(ts[least(i, j) + 1:greatest(i, j)], ''), '') AS middle,
+    coalesce(array_to_string(ts[greatest(i, j) + 1:], ''), '') AS suffix
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut"""
