@@ -12,6 +12,7 @@ from netkpi.llm import sql
 from netkpi.llm.byte_bpe import digests
 from netkpi.llm.common import read_table, scratch
 from netkpi.llm.fill_in_middle import fill_in_middle, restore
+from netkpi.llm.hard_negatives import hard_negatives
 from netkpi.llm.html_cut import extract
 from netkpi.llm.jaccard_join import jaccard_components
 from netkpi.llm.line_dedup import dedup_lines
@@ -107,6 +108,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(made).select("row.*", F.sha2("text", 256).alias("restored_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
@@ -125,6 +131,7 @@ def all_queries() -> dict[str, Query]:
         op9_byte_bpe,
         op10_jaccard_join,
         op11_fill_in_middle,
+        op12_hard_negatives,
         op13_packing,
     )
     return {f.__name__: f for f in found}
@@ -137,4 +144,5 @@ def all_sql() -> dict[str, str]:
         "op5_warc": sql.WARC,
         "op8_mixing": sql.MIXING,
         "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
+        "op12_hard_negatives": sql.HARD_NEGATIVES,
     }

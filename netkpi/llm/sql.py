@@ -126,3 +126,31 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(text) AS restored_sha256
 FROM cut"""
+
+
+HARD_NEGATIVES = """WITH numbers AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+known AS (SELECT *, row_number() OVER () AS rn FROM numbers),
+asked AS (SELECT rn AS anchor, vec_id AS anchor_id, label AS anchor_label, v AS q FROM known WHERE vec_id % 100 = 0),
+products AS (
+  SELECT anchor, rn, CAST(sum(a * b) AS BIGINT) AS score
+  FROM (SELECT anchor, generate_subscripts(q, 1) AS i, unnest(q) AS a FROM asked)
+  JOIN (SELECT rn, generate_subscripts(v, 1) AS i, unnest(v) AS b FROM known) USING (i) GROUP BY anchor, rn),
+scored AS (
+  SELECT anchor, anchor_id, anchor_label, rn, vec_id, label, score
+  FROM products JOIN asked USING (anchor) JOIN known USING (rn) WHERE vec_id <> anchor_id),
+positives AS (
+  SELECT anchor, anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS nth
+  FROM scored WHERE label = anchor_label),
+ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND s.label <> p.anchor_label
+    AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+  WHERE nth <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5"""
