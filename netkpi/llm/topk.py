@@ -1,25 +1,28 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
-Vectors are turned into integers and dealt into shards of a bounded size. In the index of a shard a
-component is its distance from the least value of its dimension, cut into binary digits of some
-bits: a posting segment holds the rows that have a digit in a dimension at a place, and its quantised impact
-is that digit times the weight of the place. Segments of some dimensions at a place are processed
-together, for a block of queries, as a matrix product of the queries with the digits, by descending
-impact: the most that they can add for the block. After each product a row's score lies between what
-it got and that plus what the segments to come can add, both ways of sign. The k-th best lower bound of a query is a score that k rows reach for sure, so rows
-whose upper bound is below it are out: that is the proof on which processing stops for them. Once few
-rows of few queries are possible (rescoring them costs less than the next place), these are rescored
-exactly with the integer vectors. When that is depends on cost, never on a limit; the result is exact
-in any case.
-
-Shards and blocks of queries meet in pairs by key, each pair in a task of its own with one shard
-and one block in memory. Both sizes are parameters, so that no group grows with the data. Each pair
-returns k rows per query, of which the best k are kept.
+Vectors are turned into integers. In the index of some rows a component is its distance from the
+middle of its dimension, and a posting segment holds the rows whose distance in a dimension has a certain
+number of binary digits; a row without a distance there is in none of the dimension's segments. The quantised impact of a segment for a
+query is the query's component times the largest distance of so many digits. Segments are processed by
+descending impact, and each adds its products to the scores of its rows, and to nothing else.
+
+The proof on which a row leaves: by the inequality of Cauchy and Schwarz, what the products to come can still add
+to its score or take away is the length of what is left of the query times the length of what is
+left of the row. Both are kept per row while segments are processed. A row whose score plus this
+bound is below k scores that are certain (from this index, from what the task saw before, or from an
+earlier round of shards) is out, for this query. Once few rows are possible, so that rescoring them costs little,
+processing stops and they are rescored exactly with the integer vectors. If the segments are used up first, all that is left of a row is
+zero, and its bound is its score. When that is depends on the data, never on a limit; the result is exact in any case.
+
+How blocks of queries, shards and rounds go together is told in ``vector_blocks``: rows are dealt once, an index is made once per
+block, and the k-th best score is handed on.
 
 Defined cases: a vector that is null, or holds a null or a value that is not finite, takes no part,
 nor does a row without id. Missing components at the end count as 0. Rows that repeat id and vector
 count once; an id with several vectors asks with each and is found with each, but never by itself.
-Ties go to the smaller id. Scores must fit in 64 bits. Fewer than k rows give fewer ranks.
+Ties go to the smaller id. Components of any size are exact (where products need more than 64 bits, rows are scored
+in full with Python's integers); a score that is found but does not fit in 64 bits is an error. Fewer than k rows
+give fewer ranks. Only id and vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,131 +30,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netkpi.llm.common import scratch, workers_import, written
-
-#: Vectors per shard and queries per block, both on average.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 256
-#: Bits of the first digit, which alone says little, and of the others.
-FIRST_BITS, DIGIT_BITS = 6, 2
-#: Rescoring a row costs as much as one more place for so many rows.
-RESCORING = 16
-#: Dimensions whose segments at a place are processed together.
-GROUP_DIMS = 16
-#: Below every score.
-_NONE = -(2**62)
-
-
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, factor: int) -> DataFrame:
-    """``id`` and ``v`` (floor(factor * x) of each component), one row per different pair."""
-    x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return (
-        vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
-        .select(
-            F.col(id_col).cast("long").alias("id"),
-            F.transform(F.col(vector_col), lambda c: F.floor(factor * c.cast("double"))).alias("v"),
-        )
-        .dropDuplicates(["id", "v"])
-    )
-
-
-class ShardIndex:
-    """Digits of some integer vectors, by place."""
+from netkpi.llm.common import scratch, written
+from netkpi.llm.vector_blocks import LEAST, MOST, Best, Queries, as_kind, best_rows, integer_rows, kind_for, query_blocks, shards_of
 
-    def __init__(self, ids, matrix):
-        import numpy as np
+#: Rows are rescored once one in so many is possible; bounds are looked at after so many postings per row.
+RESCORED, LOOK = 32, 3
+#: Far more than the rounding of the lengths that are left, as a share of the whole lengths (squared).
+_ROUNDING = 1e-9
 
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.matrix = ids[order], np.ascontiguousarray(matrix[order])
-        self.low = self.matrix.min(axis=0)
-        self.above = self.matrix - self.low
-        first = max(int(self.above.max()).bit_length() - FIRST_BITS, 0)
-        self.shifts = [*range(first, 0, -DIGIT_BITS), 0]
 
-    def digits(self, place: int, dims, rows):
-        above = self.above[rows[:, None], dims] >> self.shifts[place]
-        return above if place == 0 else above & ((1 << self.shifts[place - 1] - self.shifts[place]) - 1)
+class ImpactIndex:
+    """Posting segments of some integer vectors."""
 
-    def segments(self, queries) -> list[tuple]:
-        """Place, dimensions and the largest gains of their components there, by descending impact."""
+    def __init__(self, ids, matrix):
         import numpy as np
 
-        asked, every = np.abs(queries).max(axis=0).astype(float), np.arange(len(self.ids))
-        by_impact = np.argsort(-asked * self.above.max(axis=0), kind="stable")
-        found = []
-        for at in range(0, len(by_impact), GROUP_DIMS):
-            dims = by_impact[at : at + GROUP_DIMS]
-            for place, shift in enumerate(self.shifts):
-                most = self.digits(place, dims, every).max(axis=0) << shift
-                if most.any():
-                    found.append((float(asked[dims] @ most), place, dims, most))
-        return [x[1:] for x in sorted(found, key=lambda x: -x[0])]
-
-    def rescored(self, rows, query):
-        return self.matrix[rows] @ query
-
-    def search(self, query_ids, queries, k: int):
-        """Per query the best k rows other than its own: query ids, ids and exact scores."""
+        self.ids, self.matrix = ids, matrix
+        self.middle = np.rint(np.median(matrix, axis=0)).astype(matrix.dtype)
+        apart = matrix - self.middle
+        self.squares = (apart.astype(float) ** 2).sum(axis=1)
+        _, digits = np.frexp(np.abs(apart).astype(float))  # as many as |x| needs, 0 for 0
+        #: Dimension, largest distance, rows, and of each row distance, its square and 1.
+        self.segments = []
+        for dim in range(matrix.shape[1]):
+            order = np.argsort(digits[:, dim], kind="stable")
+            cuts = np.flatnonzero(np.diff(digits[order, dim])) + 1
+            for rows in np.split(order, cuts):
+                if len(rows) and digits[rows[0], dim]:
+                    x = apart[rows, dim].astype(float)
+                    self.segments.append((dim, 2.0 ** digits[rows[0], dim], rows, np.stack([x, x * x, np.ones(len(x))], axis=1)))
+        #: Where few rows have a distance: which do, for only there the query counts.
+        self.held = (apart != 0).astype(float) if 2 * np.count_nonzero(apart) < apart.size else None
+        self.dims = np.array([s[0] for s in self.segments], np.int64)
+        self.largest = np.array([s[1] for s in self.segments])
+        #: Postings processed, and components of rows that were rescored.
+        self.processed = self.rescored = 0
+
+    def scores(self, rows, vector):
+        self.rescored += len(rows) * self.matrix.shape[1]
+        return self.matrix[rows] @ vector
+
+    def search(self, query: int, own: int, vector, best: Best) -> None:
+        """Add the best rows, other than those of the id ``own``, for a vector in the matrix's type."""
         import numpy as np
 
-        n, n_queries = len(self.ids), len(query_ids)
-        # sums of products below 2^53 are exact in floating point, where products of matrices are fast
-        largest = float(np.abs(queries).max()) * (float(self.above.max()) + float(np.abs(self.low).max())) * queries.shape[1]
-        kind = np.float64 if largest < 2**53 else np.int64
-        asked = queries.astype(kind)
-        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        rows = np.arange(n)
-        got = np.repeat((queries @ self.low)[:, None], n, axis=1)  # the score of the least values
-        own = query_ids[:, None] == self.ids[None, :]
-        possible = ~own
-        segments = self.segments(queries)
-        # the most that the segments to come can add and take away
-        gain, loss = (sum((sign[:, dims] @ most for _, dims, most in segments), np.zeros(n_queries, np.int64)) for sign in (plus, minus))
-        for place, dims, most in segments:
-            products = asked[:, dims] @ self.digits(place, dims, rows).T.astype(kind)
-            got += (products * (1 << self.shifts[place])).astype(np.int64)
-            gain, loss = gain - plus[:, dims] @ most, loss - minus[:, dims] @ most
-            sure = np.where(possible, got + loss[:, None], _NONE)
-            enough = min(k, sure.shape[1])
-            best = np.partition(sure, sure.shape[1] - enough, axis=1)[:, sure.shape[1] - enough]
-            if enough < k:
-                best[:] = _NONE
-            possible &= got + gain[:, None] >= best[:, None]
-            if possible.sum() * RESCORING <= possible.size:
-                break
-            used = possible.any(axis=0)
-            if not used.all():
-                rows, got, possible = rows[used], got[:, used], possible[:, used]
-            if not len(rows):
+        rows = np.flatnonzero(self.ids != own)
+        if self.matrix.dtype != object:
+            rows = self._possible(rows, vector, lambda: best.floor[query, 0], best.k)
+        if not len(rows):
+            return
+        scores = self.scores(rows, vector)
+        member = ((scores >= best.floor[query, 0]) | (best.floor[query, 0] == LEAST)).astype(bool)
+        if member.any():
+            best.add(query, 0, scores[member], self.ids[rows[member]])
+
+    def _possible(self, rows, vector, floor, k: int):
+        """Rows that may be among the k best, by what segments of large impact say."""
+        import numpy as np
+
+        n, asked = len(self.ids), vector.astype(float)
+        length = float(asked @ asked)
+        few, certain, since = max(n // RESCORED, 2 * k), floor(), 0
+        # per row: its score, and the squared lengths of what is left of the row and of the query
+        of_query = np.full(n, length) if self.held is None else self.held @ (asked * asked)
+        state = np.stack([np.full(n, asked @ self.middle), self.squares, of_query], axis=1)
+        possible = np.ones(n, bool)
+        slack = _ROUNDING * length, _ROUNDING * self.squares
+        blur = _ROUNDING * float(np.abs(asked) @ np.abs(self.middle).astype(float)) if self.matrix.dtype != np.float64 else 0.0
+        if len(rows) <= few:
+            return rows
+        by_impact = np.argsort(-np.abs(asked[self.dims]) * self.largest, kind="stable")
+        for nth, at in enumerate(by_impact, 1):
+            dim, _, members, postings = self.segments[at]
+            x = asked[dim]
+            since += len(members)
+            if 2 * len(rows) < n:  # postings of rows that are out are passed over
+                still = possible[members]
+                members, postings = members[still], postings[still]
+            state[members] += postings * (x, -1.0, -x * x)
+            self.processed += len(members)
+            if since < LOOK * n and nth < len(by_impact):
+                continue
+            since, left = 0, state[rows]
+            bound = np.sqrt(np.maximum(left[:, 1] + slack[1][rows], 0) * np.maximum(left[:, 2] + slack[0], 0))
+            leaders = rows[np.argpartition(-left[:, 0], 2 * k)[: 2 * k]]
+            sure = np.sort(self.scores(leaders, vector))[-k]
+            certain = max(certain, sure)
+            out = left[:, 0] + bound + blur < certain
+            possible[rows[out]] = False
+            rows = rows[~out]
+            if len(rows) <= few:
                 break
-        found = []
-        for i in range(n_queries):
-            members = rows[possible[i]]
-            scores = self.rescored(members, queries[i])
-            top = np.lexsort((self.ids[members], -scores))[:k]
-            found.append((np.full(len(top), query_ids[i]), self.ids[members[top]], scores[top]))
-        return tuple(map(np.concatenate, zip(*found, strict=True)))
+        return rows
 
 
-def _matrix(column, dims: int):
-    """Vectors as rows of integers, filled up with 0."""
-    import numpy as np
+class FullIndex(ImpactIndex):
+    """Rows with components so large that only Python's integers hold their products: all are scored."""
 
-    out = np.zeros((len(column), dims), np.int64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
-    return out
+    def __init__(self, ids, matrix):
+        self.ids, self.matrix, self.processed, self.rescored = ids, matrix, 0, 0
+
+
+def index_of(ids, matrix) -> ImpactIndex:
+    return FullIndex(ids, matrix) if matrix.dtype == object else ImpactIndex(ids, matrix)
 
 
-def _search_pair(key: tuple, shard, block, k: int):
-    import pandas as pd
+def _search(ids, labels, matrix, queries: Queries, best: Best) -> None:
+    import numpy as np
 
-    if not len(shard) or not len(block):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    dims = max(max(map(len, shard["v"])), max(map(len, block["v"])), 1)
-    index = ShardIndex(shard["id"].to_numpy("int64"), _matrix(shard["v"], dims))
-    found = index.search(block["id"].to_numpy("int64"), _matrix(block["v"], dims), k)
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+    kind = kind_for(matrix, queries.vectors)
+    dims = max(matrix.shape[1], queries.vectors.shape[1])
+    matrix, vectors = (np.pad(as_kind(m, kind), ((0, 0), (0, dims - m.shape[1]))) for m in (matrix, queries.vectors))
+    index = index_of(ids, matrix)
+    for query in range(len(queries.ids)):
+        index.search(query, queries.ids[query], vectors[query], best)
 
 
 def top_k(
@@ -161,31 +153,25 @@ def top_k(
     factor: int = 256,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    shard_rows: int = SHARD_ROWS,
-    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` for the rows where ``is_query`` (of ``id``) holds."""
+    import numpy as np
+
     spark = vectors.sparkSession
-    workers_import(spark)
-    rows = written(integer_vectors(vectors, id_col, vector_col, factor), f"{scratch(spark)}/vectors")
-    queries = rows.where(is_query)
-    n_rows, n_queries = rows.count(), queries.count()
-    n_shards, n_blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // block_queries))
-    part = F.xxhash64("id", "v")
-
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    shards = rows.select("*", F.pmod(part, F.lit(n_shards)).cast("int").alias("shard"), each(n_blocks).alias("block"))
-    blocks = queries.select("*", F.pmod(part, F.lit(n_blocks)).cast("int").alias("block"), each(n_shards).alias("shard"))
-    found = (
-        shards.groupBy("shard", "block")
-        .cogroup(blocks.groupBy("shard", "block"))
-        .applyInPandas(lambda key, a, b: _search_pair(key, a, b, k), "query_id long, vec_id long, score long")
-    )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    folder = scratch(spark)
+    rows = written(integer_rows(vectors, id_col, vector_col, factor), f"{folder}/rows")
+    dims = F.coalesce(F.max(F.size("v")), F.lit(0))
+    n_rows, n_queries, dims = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), dims).first()
+    # by hash: each shard is like the whole table, so that a round's scores hold for the others
+    dealt = rows.withColumn("first", F.xxhash64("id", "v"))
+    shards, n_shards = shards_of(dealt, f"{folder}/shards", n_rows, ["first", "id"])
+    found = [spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")]
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    for number, (ids, labels, matrix) in enumerate(query_blocks(rows.where(is_query), n_queries, dims)):
+        asked = Queries(ids, labels, matrix, np.full((len(ids), 1), LEAST, np.int64), np.full((len(ids), 1), MOST, np.int64))
+        best = best_rows(shards, n_shards, asked, k, _search, f"{folder}/block{number}")
+        found.append(best.select("query_id", F.lit(0).alias("rank"), F.col("id").alias("vec_id"), "score"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*found[0].columns)

@@ -57,7 +57,7 @@ def kind_for(*matrices) -> Any:
 
     largest = max((float(np.abs(m).max()) for m in matrices if m.size), default=0.0)
     dims = max((m.shape[1] for m in matrices), default=0)
-    most = 2 * largest * largest * max(dims, 1)
+    most = 4 * largest * largest * max(dims, 1)
     return np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
 
 

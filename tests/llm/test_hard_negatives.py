@@ -143,7 +143,7 @@ def test_search_prunes_what_cannot_count():
 def test_kinds():
     small, middle, large = np.array([[2.0**20]]), np.array([[2.0**28]]), np.array([[2.0**31]])
     assert kind_for(small, small) is np.float64 and kind_for(middle, small) is np.int64 and kind_for(large, small) is object
-    assert as_kind(large, object)[0, 0] ** 2 * 4 == 2**64
+    assert as_kind(large, object)[0, 0] ** 2 * 4 == 2**64 and kind_for(small * 16, small) is np.float64
     assert kind_for(np.zeros((0, 3))) is np.float64
 
 
