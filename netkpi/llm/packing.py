@@ -24,12 +24,14 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netkpi.llm.common import Kept, scratch, workers_import, written
+from netkpi.llm.token_files import BYTE_LETTERS
 
 #: Documents packed together, and ids per piece of what remains after whole windows.
 BATCH_DOCS, GRAIN = 1024, 256
@@ -57,7 +59,7 @@ class ByteIds:
     """Ids of texts by a byte-level BPE file of the tokenizers library, without its special tokens around.
 
     Strings of added tokens become their ids, as the library does by default. Pieces of plain text between them are
-    cut out here as the library's pre-tokenizer does, encoded once by the library and kept. Parts
+    cut out here as the library's pre-tokenizer does, encoded once by the library's model and kept. Parts
     with other characters go through the library whole.
     """
 
@@ -70,7 +72,13 @@ class ByteIds:
         longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.around_added = re.compile(f"({'|'.join(longest_first) or '(?!)'})").split
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Kept(self._encoded)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = Kept(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def _encoded(self, text: str) -> bytes:
         import numpy as np

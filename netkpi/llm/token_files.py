@@ -83,7 +83,7 @@ class WordIds:
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            piece = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
         return b"".join([self.packed(t.id) for t in self.tokenize(piece)])
 
     def _part(self, part: str) -> bytes:
@@ -101,7 +101,7 @@ _PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullma
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
 # Byte-level BPE writes printable bytes as themselves, the others from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 _tokenizers: dict[tuple[str, bool], WordIds] = {}
