@@ -1,18 +1,18 @@
 """Exact top-k search by inner product with an impact-ordered, score-at-a-time index.
 
 Vectors are turned into integers. In the index of some rows a component is its distance from the
-middle of its dimension, and a posting segment holds the rows whose distance in a dimension has a certain
-number of binary digits; a row without a distance there is in none of the dimension's segments. The quantised impact of a segment for a
-query is the query's component times the largest distance of so many digits. Segments are processed by
-descending impact, and each adds its products to the scores of its rows, and to nothing else.
+middle of its dimension. The posting segment of a dimension holds the rows that have a distance there, with it;
+where nearly all have, it is a plain column. The quantised impact of a segment for a query is the
+query's component times the largest distance, rounded up to a power of two. Each query takes the segments by
+descending impact, and each adds its products to the scores of its rows.
 
 The proof on which a row leaves: by the inequality of Cauchy and Schwarz, what the products to come can still add
-to its score or take away is the length of what is left of the query times the length of what is
-left of the row. Both are kept per row while segments are processed. A row whose score plus this
-bound is below k scores that are certain (from this index, from what the task saw before, or from an
-earlier round of shards) is out, for this query. Once few rows are possible, so that rescoring them costs little,
-processing stops and they are rescored exactly with the integer vectors. If the segments are used up first, all that is left of a row is
-zero, and its bound is its score. When that is depends on the data, never on a limit; the result is exact in any case.
+to its score is the length of what is left of the query times the length of what is left of the row. Both
+are kept while segments are processed. A row whose score plus this bound is below k scores that are certain
+(leaders of this index, rescored exactly; what the task saw before; an earlier round of shards) is out, for this query,
+and its postings are passed over from then on. Once few rows are possible, so that rescoring them costs little,
+processing stops and they are rescored exactly with the integer vectors. If the segments are used up first, nothing is left of a row,
+and its bound is its score. When that is depends on the data, never on a limit; the result is exact in any case.
 
 How blocks of queries, shards and rounds go together is told in ``vector_blocks``: rows are dealt once, an index is made once per
 block, and the k-th best score is handed on.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from netkpi.llm.common import scratch, written
 from netkpi.llm.vector_blocks import LEAST, MOST, Best, Queries, as_kind, best_rows, integer_rows, kind_for, query_blocks, shards_of
 
-#: Rows are rescored once one in so many is possible; bounds are looked at after so many postings per row.
+#: Rows are rescored once one in so many is possible; bounds are looked at after so many postings per possible row.
 RESCORED, LOOK = 32, 3
 #: Far more than the rounding of the lengths that are left, as a share of the whole lengths (squared).
 _ROUNDING = 1e-9
@@ -47,22 +47,15 @@ class ImpactIndex:
 
         self.ids, self.matrix = ids, matrix
         self.middle = np.rint(np.median(matrix, axis=0)).astype(matrix.dtype)
-        apart = matrix - self.middle
-        self.squares = (apart.astype(float) ** 2).sum(axis=1)
-        _, digits = np.frexp(np.abs(apart).astype(float))  # as many as |x| needs, 0 for 0
-        #: Dimension, largest distance, rows, and of each row distance, its square and 1.
+        apart = np.ascontiguousarray((matrix - self.middle).T).astype(float)
+        self.squares = (apart * apart).sum(axis=0)
+        #: Per dimension the largest distance, quantised to a power of two, and its segment: rows
+        #: (None: every row, or nearly) and their distances.
+        self.largest = np.exp2(np.frexp(np.abs(apart).max(axis=1, initial=0))[1]) * (apart != 0).any(axis=1)
         self.segments = []
-        for dim in range(matrix.shape[1]):
-            order = np.argsort(digits[:, dim], kind="stable")
-            cuts = np.flatnonzero(np.diff(digits[order, dim])) + 1
-            for rows in np.split(order, cuts):
-                if len(rows) and digits[rows[0], dim]:
-                    x = apart[rows, dim].astype(float)
-                    self.segments.append((dim, 2.0 ** digits[rows[0], dim], rows, np.stack([x, x * x, np.ones(len(x))], axis=1)))
-        #: Where few rows have a distance: which do, for only there the query counts.
-        self.held = (apart != 0).astype(float) if 2 * np.count_nonzero(apart) < apart.size else None
-        self.dims = np.array([s[0] for s in self.segments], np.int64)
-        self.largest = np.array([s[1] for s in self.segments])
+        for x in apart:
+            rows = np.flatnonzero(x)
+            self.segments.append((rows, x[rows]) if 2 * len(rows) < len(x) else (None, x))
         #: Postings processed, and components of rows that were rescored.
         self.processed = self.rescored = 0
 
@@ -75,8 +68,7 @@ class ImpactIndex:
         import numpy as np
 
         rows = np.flatnonzero(self.ids != own)
-        if self.matrix.dtype != object:
-            rows = self._possible(rows, vector, lambda: best.floor[query, 0], best.k)
+        rows = self._possible(rows, vector, best.floor[query, 0], best.k)
         if not len(rows):
             return
         scores = self.scores(rows, vector)
@@ -84,43 +76,41 @@ class ImpactIndex:
         if member.any():
             best.add(query, 0, scores[member], self.ids[rows[member]])
 
-    def _possible(self, rows, vector, floor, k: int):
-        """Rows that may be among the k best, by what segments of large impact say."""
+    def _possible(self, rows, vector, certain, k: int):
+        """Rows that may be among the k best, by what the segments of largest impact say."""
         import numpy as np
 
         n, asked = len(self.ids), vector.astype(float)
-        length = float(asked @ asked)
-        few, certain, since = max(n // RESCORED, 2 * k), floor(), 0
-        # per row: its score, and the squared lengths of what is left of the row and of the query
-        of_query = np.full(n, length) if self.held is None else self.held @ (asked * asked)
-        state = np.stack([np.full(n, asked @ self.middle), self.squares, of_query], axis=1)
-        possible = np.ones(n, bool)
-        slack = _ROUNDING * length, _ROUNDING * self.squares
+        few = max(n // RESCORED, 2 * k)
+        impacts = np.abs(asked) * self.largest
+        by_impact = [d for d in np.argsort(-impacts, kind="stable") if impacts[d]]
+        # squared lengths of what is left of the query and of the rows; score of the rows
+        of_query, of_row, score = float((asked[by_impact] ** 2).sum()), self.squares.copy(), np.full(n, asked @ self.middle.astype(float))
+        slack = _ROUNDING * of_query, _ROUNDING * self.squares
         blur = _ROUNDING * float(np.abs(asked) @ np.abs(self.middle).astype(float)) if self.matrix.dtype != np.float64 else 0.0
-        if len(rows) <= few:
-            return rows
-        by_impact = np.argsort(-np.abs(asked[self.dims]) * self.largest, kind="stable")
-        for nth, at in enumerate(by_impact, 1):
-            dim, _, members, postings = self.segments[at]
-            x = asked[dim]
-            since += len(members)
-            if 2 * len(rows) < n:  # postings of rows that are out are passed over
-                still = possible[members]
-                members, postings = members[still], postings[still]
-            state[members] += postings * (x, -1.0, -x * x)
-            self.processed += len(members)
-            if since < LOOK * n and nth < len(by_impact):
-                continue
-            since, left = 0, state[rows]
-            bound = np.sqrt(np.maximum(left[:, 1] + slack[1][rows], 0) * np.maximum(left[:, 2] + slack[0], 0))
-            leaders = rows[np.argpartition(-left[:, 0], 2 * k)[: 2 * k]]
-            sure = np.sort(self.scores(leaders, vector))[-k]
-            certain = max(certain, sure)
-            out = left[:, 0] + bound + blur < certain
-            possible[rows[out]] = False
-            rows = rows[~out]
+        known, exact, since = np.zeros(n, bool), np.zeros(n, self.matrix.dtype), 0
+        for nth, dim in enumerate(by_impact, 1):
             if len(rows) <= few:
                 break
+            x, (members, distances) = asked[dim], self.segments[dim]
+            if members is None and 2 * len(rows) < n:  # postings of rows that are out are passed over
+                members, distances = rows, distances[rows]
+            if members is None:
+                members = slice(None)
+            score[members] += x * distances
+            of_row[members] -= distances * distances
+            of_query -= x * x
+            self.processed += len(distances)
+            since += len(distances)
+            if since < LOOK * len(rows) and nth < len(by_impact):
+                continue
+            since, reach = 0, score[rows]
+            leaders = rows[np.argpartition(-reach, 2 * k)[: 2 * k]]
+            new = leaders[~known[leaders]]
+            exact[new], known[new] = self.scores(new, vector), True
+            certain = max(certain, np.sort(exact[leaders])[-k])
+            reach += np.sqrt(np.maximum(of_row[rows] + slack[1][rows], 0) * max(of_query + slack[0], 0.0)) + blur
+            rows = rows[reach >= certain]
         return rows
 
 
@@ -130,6 +120,9 @@ class FullIndex(ImpactIndex):
     def __init__(self, ids, matrix):
         self.ids, self.matrix, self.processed, self.rescored = ids, matrix, 0, 0
 
+    def _possible(self, rows, vector, certain, k: int):
+        return rows
+
 
 def index_of(ids, matrix) -> ImpactIndex:
     return FullIndex(ids, matrix) if matrix.dtype == object else ImpactIndex(ids, matrix)

@@ -91,10 +91,9 @@ def test_sparse_vectors_have_few_postings():
     r = np.random.default_rng(7)
     matrix = r.integers(-200, 200, (3000, 40)) * (r.random((3000, 40)) < 0.05)
     index = ImpactIndex(np.arange(3000), matrix.astype(float))
-    assert sum(len(s[2]) for s in index.segments) == np.count_nonzero(matrix - index.middle.astype(int))
-    for dim, largest, rows, postings in index.segments:
-        x = np.abs(postings[:, 0])
-        assert (x < largest).all() and (2 * x >= largest).all() and len(set(rows.tolist())) == len(rows)
+    assert sum(len(x) for _, x in index.segments) == np.count_nonzero(matrix - index.middle.astype(int))
+    for (rows, x), largest in zip(index.segments, index.largest):
+        assert x.all() and np.abs(x).max() < largest <= 2 * np.abs(x).max() and len(set(rows.tolist())) == len(x)
     asked = matrix[(matrix != 0).sum(axis=1) >= 3][:20]
     best, share = searched(matrix, asked)
     check(matrix, asked, best)
