@@ -251,10 +251,10 @@ def csv_umts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_awkward_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preambles that look like data, in a folder with a blank and a percent sign in its name."""
-    preamble = ["", "2021-02-01 10:00,a,b", "Start Time,2021-01-29 00:00", '"Query, by",user', ",,,,,,,,,,,,", "60", "x"]
+    """Preambles that look like data (one line is as wide as a row), in a folder with a blank and a percent sign in its name."""
+    preamble = ["", "2021-02-01 10:00,a,b,c,5,6", "Start Time,2021-01-29 00:00", '"Query, by",user', ",,,,,,,,,,,,", ",,,,,", "x"]
     path = f"{_scratch(spark)}/export 100%20 [a]"
-    write_exports(_text(spark, sf_dir, catalog.LTE_EMTC), path, preamble)
+    write_exports(_text(spark, sf_dir, catalog.LTE_EMTC, all_kinds=True), path, preamble)
     pattern = f"{_scratch_pattern(path)}/part-*"
     return _with_text_times(read_report(spark, catalog.LTE_EMTC, pattern)).drop("date", "hour")
 
@@ -265,7 +265,7 @@ def _scratch_pattern(path: str) -> str:
 
 def csv_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the source says it has left out: rows without a time, junk in a counter."""
-    rows = _text(spark, sf_dir, catalog.LTE_EMTC)
+    rows = _text(spark, sf_dir, catalog.LTE_EMTC, all_kinds=True)
     number = F.right("NE Name", F.lit(1))
     first = f"`{catalog.LTE_EMTC.counters[0].label}`"
     rows = rows.withColumn("Start Time", F.when(number != "3", F.col("Start Time")))
@@ -274,8 +274,8 @@ def csv_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_exports(rows, path)
     counts = line_counts(read_text(spark, f"{path}/part-*"), catalog.LTE_EMTC)
     return counts.agg(
-        F.sum(F.col("n_lines") - F.col("not_data")).alias("n_rows"),
-        F.sum(F.col("not_data") - 8 * F.col("headers")).alias("more_not_data"),
+        F.sum(F.col("n_lines") - F.col("preamble") - F.col("headers")).alias("n_rows"),
+        F.sum(F.col("preamble") - PREAMBLE_LINES * F.col("headers") + F.col("blank") + F.col("damaged")).alias("more_not_data"),
         F.sum("without_time").alias("without_time"),
         F.sum("junk_cells").alias("junk_cells"),
     )

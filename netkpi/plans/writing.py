@@ -43,13 +43,13 @@ def quality_rows(spark: SparkSession, counts: Sequence[tuple[str, dict[str, int]
 def staged_inputs(
     stage: Stage, inputs: dict[str, DataFrame], checks: Sequence[ReadCheck], tech: str
 ) -> dict[str, DataFrame]:
-    """Write the inputs of the report, check the files they come from, and count what was left out.
+    """Write the inputs of the report, and count what was left out of the files they come from.
 
     A stage that is taken up again has its inputs already; files are then counted on their own.
     """
     fresh = not any(is_complete(stage.spark, f"{stage.folder}/{n}") for n in inputs)
     found = {name: stage.table(df, name) for name, df in inputs.items()}
     quality = f"{stage.folder}/quality"
-    counts = [] if is_complete(stage.spark, quality) else [(c.report.name, c.verified(fresh)) for c in checks]
+    counts = [] if is_complete(stage.spark, quality) else [(c.report.name, c.counts(fresh)) for c in checks]
     found["quality"] = stage.table(quality_rows(stage.spark, counts, tech, found["cells"]), "quality")
     return found

@@ -1,9 +1,12 @@
 """Counter exports in CSV: 7 lines of preamble, a header line, then the rows.
 
-What is data is told by the number of cells: a line with another number of cells than the header is
-not data, whatever it holds. So that nothing is lost or invented that way, each file must have
-exactly 8 lines that are not data (preamble and header, blank lines included); any other number
-fails the job with the name of the file.
+What is preamble is told by place: the first 7 lines of a file, whatever they hold; line 8 is the
+header. Every later line is a row or blank. A row of another width than the header, a second header
+or a header that differs from the one of the first file fails the job with the name of the file; so does a
+file that ends before its header. Files stay splittable: only the lines of a file's first split are
+numbered, by the place of the file's first line in its task (:func:`read_text`).
+
+A line break inside a quoted cell is not supported: such a row is two rows of the wrong width.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ OPERATOR = "CnOperator"
 LTE_LABEL = "Cell"
 UMTS_LABELS = ("BSC6910UCell", "BSC6900UCell")
 
-# Columns beside the cells of a line: its text, its file, and the text again if its width is wrong.
-_LINE, _FILE, _BAD = "_line_text", "_line_file", "_line_bad"
+# Columns beside the cells of a line: its text, its file, the text again if its width is wrong, and
+# its place in the file, from 0 (only known up to the header; beyond it, NULL or any larger number), and its kind.
+_LINE, _FILE, _BAD, _PLACE, _KIND = "_line_text", "_line_file", "_line_bad", "_line_place", "_line_kind"
+
+#: Files of one pattern whose first lines are broadcast, about 200 bytes each. More are joined by shuffle.
+MOST_BROADCAST_FILES = 50_000
 
 
 def _plain(path: str) -> str:
@@ -40,37 +47,59 @@ def _plain(path: str) -> str:
     return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names on line 8 of the first file of a path pattern.
+def _header(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """Column names on line 8 of the first file of a path pattern, and the number of files.
 
     Only the least file name comes to the driver, not the list of all files.
     """
-    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    first, n_files = spark.read.format("binaryFile").load(path).agg(F.min("path"), F.count("*")).first()
     if first is None:
         raise FileNotFoundError(path)
     lines = spark.read.text(_plain(first)).take(PREAMBLE_LINES + 1)
     if len(lines) <= PREAMBLE_LINES:
         raise ValueError(f"{first}: no header on line {PREAMBLE_LINES + 1}")
-    return next(csv.reader([lines[-1][0]]))
+    return next(csv.reader([lines[-1][0]])), n_files
+
+
+def _placed(lines: DataFrame, n_files: int) -> DataFrame:
+    """Lines with their place in the file.
+
+    Ids rise by one from line to line of a task, and a file's first split is read by one task. So the place of a line there is
+    its id less the least id of the split. That is found by an aggregate of one number per file, over
+    the same scan, which parses nothing. Should the two scans be dealt to tasks in different ways, line 8
+    would not be the header, and the job fails.
+    """
+    numbered = lines.withColumn("_id", F.monotonically_increasing_id())
+    of_file = F.col(_FILE).alias("_first_file")
+    firsts = numbered.where("_block = 0").groupBy(of_file).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    ends = F.raise_error(F.concat("_first_file", F.lit(f": no header on line {PREAMBLE_LINES + 1}")))
+    firsts = firsts.withColumn("_first", F.when(F.col("_n") > PREAMBLE_LINES, F.col("_first")).otherwise(ends.cast("long")))
+    if n_files <= MOST_BROADCAST_FILES:
+        firsts = F.broadcast(firsts)
+    place = F.when(F.col("_block") == 0, F.col("_id") - F.col("_first"))
+    return numbered.join(firsts, F.col(_FILE) == F.col("_first_file")).select(_LINE, _FILE, place.alias(_PLACE))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """All lines of the files of one pattern, as text cells under the names of the header.
 
-    Preamble and header lines are still in; :func:`data_rows` takes them out. Files stay
-    splittable, because no line is skipped by number.
+    Preamble and header lines are still in; :func:`data_rows` takes them out.
     """
-    names = header(spark, path)
+    names, n_files = _header(spark, path)
     if len(set(names)) < len(names):
         raise ValueError(f"{path}: a column name occurs twice in the header")
     schema = ", ".join(f"{quoted(n)} STRING" for n in [*names, _BAD])
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
-    lines = spark.read.text(path).select(F.col("value").alias(_LINE), F.col("_metadata.file_path").alias(_FILE))
-    return lines.withColumn("_cells", F.from_csv(_LINE, schema, options)).select(_LINE, _FILE, "_cells.*")
+    lines = spark.read.text(path).select(
+        F.col("value").alias(_LINE), F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias("_block")
+    )
+    placed = _placed(lines, n_files)
+    parsed = placed.withColumn("_cells", F.from_csv(_LINE, schema, options)).select(_LINE, _FILE, _PLACE, "_cells.*")
+    return parsed.withColumn(_KIND, _kind(names))
 
 
 def _names(lines: DataFrame) -> list[str]:
-    return [n for n in lines.columns if n not in (_LINE, _FILE, _BAD)]
+    return [n for n in lines.columns if n not in (_LINE, _FILE, _BAD, _PLACE, _KIND)]
 
 
 def _cell(name: str) -> Column:
@@ -98,34 +127,71 @@ def _is_header(names: Sequence[str]) -> Column:
     return F.coalesce((_cell(START_TIME) == START_TIME) & (cells == "\n".join(names)), F.lit(False))
 
 
-def _not_data(names: Sequence[str]) -> Column:
-    """Blank lines, lines of another width than the header, and the header."""
-    return (F.trim(_LINE) == "") | F.col(_BAD).isNotNull() | _is_header(names)
+def _preamble() -> Column:
+    return F.coalesce(F.col(_PLACE) < PREAMBLE_LINES, F.lit(False))
+
+
+def _at_header() -> Column:
+    return F.coalesce(F.col(_PLACE) == PREAMBLE_LINES, F.lit(False))
+
+
+def _blank() -> Column:
+    return F.trim(_LINE) == ""
+
+
+def _damaged() -> Column:
+    """A row of another width than the header."""
+    return F.col(_BAD).isNotNull()
 
 
 def _start_text() -> Column:
     return F.coalesce(text_or_null(F.trim(_cell(START_TIME))), F.lit(""))
 
 
-def data_rows(lines: DataFrame, report: Report, day_first: bool = False, formats: Sequence[str] = FORMATS) -> DataFrame:
+def _kind(names: Sequence[str]) -> Column:
+    """What a line is: ``preamble``, ``header``, ``blank``, ``damaged``, ``repeated`` (a header that does not stand
+    on line 8, or another line there), ``without_time``, ``row``. Cells are compared with the header only where the
+    first one is that of the header."""
+    return (
+        F.when(_preamble(), "preamble")
+        .when(_at_header(), F.when(_is_header(names), "header").otherwise("repeated"))
+        .when(_blank(), "blank")
+        .when(_damaged(), "damaged")
+        .when(_start_text() == "", "without_time")
+        .when(_start_text() == START_TIME, "repeated")
+        .otherwise("row")
+    )
+
+
+def _failure(report: Report, text: str, *more: Column) -> Column:
+    said = [F.lit(f"{report.name}: "), F.col(_FILE), F.lit(f": {text}"), *more]
+    return F.raise_error(F.concat(*said)).cast("boolean")
+
+
+def data_rows(
+    lines: DataFrame, report: Report, day_first: bool = False, formats: Sequence[str] = FORMATS, strict: bool = True
+) -> DataFrame:
     """Rows with a start time, which is added as ``ts``.
 
-    Lines that are not data and rows without a start time are left out (:func:`line_counts` tells
-    how many). A row with a start time that cannot be read fails the job, and so does a header that
-    differs from the one of the first file: its columns would land in the wrong places.
+    Preamble, header, blank lines and rows without a start time are left out (:func:`line_counts` tells
+    how many). A row of another width, or with a start time that cannot be read, fails the job or, with
+    ``strict=False``, is left out (:func:`rejects` has it). A header that differs from the one of the first file always
+    fails it: its columns would land in the wrong places.
     """
     names = _names(lines)
     text = _start_text()
     ts = parse_start_time(text, day_first, formats)
-    wrong_header = F.raise_error(F.lit(f"{report.name}: files with different headers; read them one by one"))
-    wrong_time = F.raise_error(
-        F.concat(F.lit(f"{report.name}: cannot read start time: "), text, F.lit(" in "), F.col(_FILE))
-    )
+    left_out = F.lit(False)
+    kind = F.col(_KIND)
     keep = (
-        F.when(_not_data(names) | (text == ""), F.lit(False))
-        .when(text == START_TIME, wrong_header.cast("boolean"))
+        F.when(kind.isin("preamble", "header", "blank", "without_time"), left_out)
+        .when(kind == "repeated", _failure(report, "files with different headers, or a header in the wrong place; read them one by one"))
+        .when(
+            kind == "damaged",
+            _failure(report, "a row with missing or additional cells: ", F.left(_LINE, F.lit(200))) if strict else left_out,
+        )
         .when(ts.isNotNull(), F.lit(True))
-        .otherwise(wrong_time.cast("boolean"))
+        .otherwise(_failure(report, "cannot read start time: ", text) if strict else left_out)
     )
     return lines.filter(keep).select(*map(_cell, names), ts.alias("ts"))
 
@@ -148,7 +214,7 @@ def clean(rows: DataFrame, report: Report, strict: bool = True) -> DataFrame:
     return rows.select(*[expr.alias(name) for name, expr in time_and_keys.items()], *map(F.expr, counters))
 
 
-# --- counts and checks ----------------------------------------------------------
+# --- counts and rejects ---------------------------------------------------------
 
 
 def _junk_cells(names: Sequence[str], report: Report) -> Column:
@@ -156,46 +222,28 @@ def _junk_cells(names: Sequence[str], report: Report) -> Column:
     return F.expr(" + ".join(flags) or "0")
 
 
+#: Kinds of lines that are counted.
+COUNTED = {"headers": "header", "preamble": "preamble", "blank": "blank", "without_time": "without_time", "damaged": "damaged"}
+
+
 def _counts(names: Sequence[str], report: Report, junk: bool) -> list[Column]:
-    not_data, data = _not_data(names), ~_not_data(names)
-    no_time = _start_text() == ""
+    kind = F.col(_KIND)
     return [
         F.count("*").alias("n_lines"),
-        F.count_if(_is_header(names)).alias("headers"),
-        F.count_if(not_data).alias("not_data"),
-        F.count_if(data & no_time).alias("without_time"),
-        F.sum(F.when(data & ~no_time, _junk_cells(names, report) if junk else F.lit(0))).alias("junk_cells"),
+        *[F.count_if(kind == k).alias(name) for name, k in COUNTED.items()],
+        F.sum(F.when(kind == "row", _junk_cells(names, report) if junk else F.lit(0))).alias("junk_cells"),
     ]
 
 
 def line_counts(lines: DataFrame, report: Report, junk: bool = True) -> DataFrame:
-    """Per file: lines, headers, lines that are not data, rows without start time, junk cells."""
+    """Per file: lines, headers, lines of the preamble, blank lines, rows without start time, damaged rows, junk cells."""
     counts = _counts(_names(lines), report, junk)
     return lines.groupBy(F.col(_FILE).alias("file")).agg(*counts)
 
 
-def check_files(lines: DataFrame, report: Report) -> None:
-    """Fail with the name of a file that has not exactly one header and 8 lines that are not data."""
-    wrong = line_counts(lines, report, junk=False).where(f"headers <> 1 OR not_data <> {PREAMBLE_LINES + 1}")
-    found = wrong.orderBy("file").first()
-    if found and not found.headers:
-        raise ValueError(f"{report.name}: {found.file}: files with different headers; read them one by one")
-    if found:
-        raise ValueError(
-            f"{report.name}: {found.file}: {found.not_data} lines are not data (among them {found.headers} headers), "
-            f"but a file has {PREAMBLE_LINES + 1}, preamble and one header; a row with missing or additional cells, "
-            "or a line of the preamble as wide as the header"
-        )
-
-
 @dataclass
 class ReadCheck:
-    """Counts of one path pattern, taken while its rows are used for the first time.
-
-    The rule of 8 lines per file is checked in the same pass with sums of weights, drawn from the
-    file names: the weights of all lines that are not data must add up to 8 times those of the
-    headers. If they do not (or tasks were repeated and counted twice), files are counted one by one.
-    """
+    """Counts of one path pattern, taken while its rows are used for the first time."""
 
     report: Report
     lines: DataFrame
@@ -206,26 +254,19 @@ class ReadCheck:
     def of(lines: DataFrame, report: Report, junk: bool) -> ReadCheck:
         return ReadCheck(report, lines, junk, Observation(f"lines-{uuid.uuid4().hex}"))
 
+    def _columns(self) -> list[Column]:
+        return _counts(_names(self.lines), self.report, self.junk)
+
     def observed(self) -> DataFrame:
-        names = _names(self.lines)
-        weights = {f"w{i}": F.pmod(F.xxhash64(F.lit(i), _FILE), F.lit(1 << 20)) for i in (0, 1)}
-        more = []
-        for name, w in weights.items():
-            more.append(F.sum(F.when(_not_data(names), w)).alias(f"{name}_not_data"))
-            more.append(F.sum(F.when(_is_header(names), w)).alias(f"{name}_headers"))
-        return self.lines.observe(self.observation, *_counts(names, self.report, self.junk), *more)
-
-    def verified(self, observed: bool = True) -> dict[str, int]:
-        """Counts of all files; fails as :func:`check_files` does. Call it after the rows were used, or
-        say that they were not ``observed``."""
-        found = {k: v or 0 for k, v in self.observation.get.items()} if observed else {}
-        if not found.get("headers") or any(
-            found[f"w{i}_not_data"] != (PREAMBLE_LINES + 1) * found[f"w{i}_headers"] for i in (0, 1)
-        ):
-            check_files(self.lines, self.report)
-            total = self.lines.agg(*_counts(_names(self.lines), self.report, self.junk)).first()
-            found = {k: v or 0 for k, v in total.asDict().items()}
-        return {k: found[k] for k in ("n_lines", "headers", "not_data", "without_time", "junk_cells")}
+        return self.lines.observe(self.observation, *self._columns())
+
+    def counts(self, observed: bool = True) -> dict[str, int]:
+        """Counts of all files. Call it after the rows were used, or say that they were not ``observed``: the files are
+        then read for it, as they are if a task was repeated and its lines were counted twice."""
+        found = self.observation.get if observed else {}
+        if not found or found["preamble"] != PREAMBLE_LINES * found["headers"]:
+            found = self.lines.agg(*self._columns()).first().asDict()
+        return {k: v or 0 for k, v in found.items()}
 
 
 def read_report(
@@ -240,21 +281,19 @@ def read_report(
     """A clean report from all files that match the path patterns.
 
     Files of one pattern share one header; patterns may differ (other column order, other
-    controller type). ``strict=False`` reads junk in a counter as missing.
+    controller type). ``strict=False`` reads junk in a counter as missing and leaves out rows that cannot be read.
 
-    Files are checked at once, which reads them one more time, or, if a list for ``checks`` is
-    given, when its members' :meth:`ReadCheck.verified` is called after the first use of the rows.
+    Lines are parsed once: the counts that go into ``checks`` (:meth:`ReadCheck.counts`) are taken while the rows are
+    used for the first time.
     """
     result = None
     for path in [paths] if isinstance(paths, str) else paths:
         lines = read_text(spark, path)
         _check_columns(_names(lines), report)
-        if checks is None:
-            check_files(lines, report)
-        else:
-            checks.append(ReadCheck.of(lines, report, not strict))
-            lines = checks[-1].observed()
-        part = clean(data_rows(lines, report, day_first, formats), report, strict)
+        check = ReadCheck.of(lines, report, not strict)
+        if checks is not None:
+            checks.append(check)
+        part = clean(data_rows(check.observed(), report, day_first, formats, strict), report, strict)
         result = part if result is None else result.unionByName(part)
     if result is None:
         raise ValueError(f"{report.name}: no path given")

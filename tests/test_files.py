@@ -11,7 +11,7 @@ from netkpi.operators.grains import GRAINS
 from netkpi.plans import lte, lte_kpis, umts_kpis
 from netkpi.plans.registered import all_queries, write_exports
 from netkpi.sinks.tables import read_table
-from netkpi.sources import adapters, catalog
+from netkpi.sources import adapters, catalog, reports
 from netkpi.sources.reports import data_rows, line_counts, read_report, read_text, rejects
 from netkpi.sources.staging import Stage
 from tests.conftest import SF_DIR
@@ -83,7 +83,7 @@ def test_junk_rows(spark, tmp_path):
     [bad] = rejects(data_rows(lines, catalog.LTE_EMTC), catalog.LTE_EMTC).collect()
     assert bad.junk_columns == [EMTC[0]]
     [counts] = line_counts(lines, catalog.LTE_EMTC).collect()
-    assert tuple(counts)[1:] == (10, 1, 8, 0, 1)
+    assert tuple(counts)[1:] == (10, 1, 7, 0, 0, 0, 1)
 
 
 @pytest.mark.parametrize("junk", ["1d", "2f", "0x10", "0x1p3", "1e", "--1", "1,5"])
@@ -101,32 +101,70 @@ GOOD = '2021-01-29 13:00,60,NE1,"' + CELL + '",1,2'
 
 
 def test_preambles_that_look_like_data(spark, tmp_path):
-    preamble = ["", "2021-02-01 10:00,a", "Start Time,2021-01-29 00:00", "Query,by,user,admin,x", "", ",,,,,,,,", "x"]
-    _awkward(tmp_path / "a.csv", preamble, [GOOD])
-    assert [r[3:] for r in _read(spark, tmp_path / "a.csv")] == [(1.0, 2.0)]
+    """Whatever stands on the first seven lines is preamble: rows, headers, lines as wide as a row."""
+    for n, wide in enumerate((GOOD, ",".join(NAMES), ",60,NE1,x,1,2", "yesterday,a,b,c,d,e", ",,,,,", '"')):
+        preamble = ["", "2021-02-01 10:00,a", "Start Time,2021-01-29 00:00", wide, "Query,by,user,admin,x", "", wide]
+        _awkward(tmp_path / f"{n}.csv", preamble, [GOOD])
+    assert [r[3:] for r in _read(spark, tmp_path / "*.csv")] == [(1.0, 2.0)] * 6
+
+
+WIDE = ",60,NE1,x,1,2"  # as wide as a row, with a blank start time
+DAMAGED = GOOD.rsplit(",", 1)[0]
 
 
 @pytest.mark.parametrize(
-    ("name", "preamble", "rows"),
+    ("name", "preamble", "rows", "said"),
     [
-        ("long.csv", ["x"] * 7, [GOOD, GOOD + ",3"]),
-        ("short.csv", ["x"] * 7, [GOOD, GOOD.rsplit(",", 1)[0]]),
-        ("wide preamble.csv", ["x"] * 6 + ["2021-02-01 10:00,a,b,c,5,6"], [GOOD]),
-        ("two headers.csv", ["x"] * 7, [",".join(NAMES), GOOD]),
-        ("blank.csv", ["x"] * 7, [GOOD, "", GOOD]),
+        ("long.csv", ["x"] * 7, [GOOD, GOOD + ",3"], "missing or additional cells"),
+        ("short.csv", ["x"] * 7, [GOOD, DAMAGED], "missing or additional cells"),
+        ("wide preamble and short.csv", ["x"] * 6 + [WIDE], [GOOD, DAMAGED, GOOD], "missing or additional cells"),
+        ("wide preamble and long.csv", [GOOD] + ["x"] * 6, [GOOD, GOOD + ","], "missing or additional cells"),
+        ("two headers.csv", ["x"] * 7, [",".join(NAMES), GOOD], "header"),
+        ("late header.csv", ["x"] * 8, [GOOD], "header"),
+        ("early header.csv", ["x"] * 6, [GOOD], "header"),
     ],
 )
-def test_lines_of_another_width_fail_with_the_name_of_the_file(spark, tmp_path, name, preamble, rows):
+def test_damage_fails_with_the_name_of_the_file(spark, tmp_path, name, preamble, rows, said):
     _awkward(tmp_path / "0 good.csv", ["x"] * 7, [GOOD])
     _awkward(tmp_path / name, preamble, rows)
-    with pytest.raises(ValueError, match=name.replace(" ", "(?: |%20)")):
+    with pytest.raises(Exception, match=f"{name.replace(' ', '(?: |%20)')}.*{said}"):
         _read(spark, tmp_path / "*.csv")
-    checks = []
-    rows = read_report(spark, catalog.LTE_EMTC, str(tmp_path / "*.csv"), checks=checks)
-    if name != "wide preamble.csv":  # which cannot be read as data, either
-        rows.write.format("noop").mode("overwrite").save()
-        with pytest.raises(ValueError, match=name.replace(" ", "(?: |%20)")):
-            checks[0].verified()
+
+
+def test_a_file_without_header_fails_by_name(spark, tmp_path):
+    _awkward(tmp_path / "a.csv", ["x"] * 7, [GOOD])
+    (tmp_path / "b.csv").write_text("x\n" * 7)
+    with pytest.raises(Exception, match="b.csv: no header on line 8"):
+        _read(spark, tmp_path / "*.csv")
+
+
+def test_blank_lines_after_the_header_are_passed_over(spark, tmp_path):
+    _awkward(tmp_path / "a.csv", ["x"] * 7, [GOOD, "", GOOD, "   "])
+    assert [r[3:] for r in _read(spark, tmp_path / "a.csv")] == [(1.0, 2.0)] * 2
+
+
+@pytest.mark.parametrize("most", [10, 0])
+def test_many_files_and_splits(spark, tmp_path, monkeypatch, most):
+    """Several files in a task, and files of several splits; the first lines broadcast or joined by shuffle."""
+    monkeypatch.setattr(reports, "MOST_BROADCAST_FILES", most)
+    for n in range(9):
+        many = [GOOD.replace(",1,2", f",{n},{i}") for i in range(200 if n % 2 else 2)]
+        _awkward(tmp_path / f"{n}.csv", [GOOD, "x", WIDE, "", *"abc"], many)
+    want = sorted((float(n), float(i)) for n in range(9) for i in range(200 if n % 2 else 2))
+    for size in ("2k", "1m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            assert sorted(r[3:] for r in _read(spark, tmp_path / "*.csv")) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    _awkward(tmp_path / "a.csv", ["x"] * 7, [GOOD])
+    plan = read_report(spark, catalog.LTE_EMTC, str(tmp_path / "a.csv"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
 
 
 def test_counts_in_the_same_pass(spark, tmp_path):
@@ -136,9 +174,9 @@ def test_counts_in_the_same_pass(spark, tmp_path):
     checks = []
     rows = read_report(spark, catalog.LTE_EMTC, str(tmp_path / "*.csv"), strict=False, checks=checks)
     assert rows.count() == 3
-    want = {"n_lines": 20, "headers": 2, "not_data": 16, "without_time": 1, "junk_cells": 1}
-    assert checks[0].verified() == want
-    assert checks[0].verified(observed=False) == want
+    want = {"n_lines": 20, "headers": 2, "preamble": 14, "blank": 0, "without_time": 1, "damaged": 0, "junk_cells": 1}
+    assert checks[0].counts() == want
+    assert checks[0].counts(observed=False) == want
 
 
 @pytest.mark.parametrize("folder", ["with blank", "100%", "a%20b", "in [brackets]", "{curly}"])
@@ -199,7 +237,7 @@ def test_lte_command_line(spark, tmp_path):
     summary = spark.read.parquet(f"{out}/lte/summary").collect()
     assert [r.position for r in summary] == list(range(1, 26))
     quality = {(r.report, r.measure): r.n for r in spark.read.parquet(f"{out}/lte/quality").collect()}
-    assert quality["lte_emtc", "not_data"] == 8 * quality["lte_emtc", "headers"] > 0
+    assert quality["lte_emtc", "preamble"] == 7 * quality["lte_emtc", "headers"] > 0
     assert quality["lte_operator", "without_time"] == 0 and quality["lte", "repeated_keys"] >= 0
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         main([*_exports(spark, tmp_path / "again", "lte"), "--out", out])
