@@ -36,3 +36,17 @@ def cell_integrity(cells: DataFrame, cell_column: str = "cell_name") -> DataFram
         F.count_if(F.col("moment") == "first").alias("cells_before"),
         F.count_if((F.col("moment") == "last") | only).alias("cells_after"),
     )
+
+
+def cell_integrity_of_tables(hours: DataFrame, cell_hours: DataFrame) -> DataFrame:
+    """The same counts from written tables of the grains hour and cell_hour, which have one row per hour and per named
+    cell. Of ``cell_hours`` only the folders (``day``) of two days are read."""
+    moment = F.struct("date", "hour")
+    ends = hours.agg(F.min(moment).alias("first"), F.max(moment).alias("last"))
+    found = []
+    for end, name in (("first", "cells_before"), ("last", "cells_after")):
+        date, hour = (ends.select(f"{end}.{part}").scalar() for part in ("date", "hour"))
+        rows = cell_hours.where((F.col("day") == date.cast("date")) & (F.col("hour") == hour))
+        found.append(rows.select(F.lit(name).alias("name"), F.col("cell_name").alias("cell")))
+    both = found[0].unionByName(found[1])
+    return both.agg(*[F.count_if(F.col("name") == n).alias(n) for n in ("cells_before", "cells_after")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from netkpi.operators import summary as summary_rows
 from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_of, text_times
 from netkpi.operators.joins import join_reports
-from netkpi.operators.kpis import with_kpis
+from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.operators.slices import only_slice, with_slice
-from netkpi.operators.snapshots import cell_integrity
+from netkpi.operators.snapshots import cell_integrity, cell_integrity_of_tables
 from netkpi.plans import lte_kpis as spec
 from netkpi.plans.writing import stage_groups, staged_inputs
-from netkpi.sinks.tables import SLICE_NAMES, run_together, write_quality, write_summary, write_table
+from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import ReadCheck, read_report
 from netkpi.sources.staging import Stage
@@ -105,7 +106,8 @@ def operator_table(cell_hours: DataFrame, operator: DataFrame, grain: str, slice
     return operator_kpis(own, shared, grain)
 
 
-def summary(cell_hours: DataFrame, days: summary_rows.SliceTables) -> DataFrame:
+def summary(integrity: DataFrame, days: summary_rows.SliceTables) -> DataFrame:
+    """``integrity`` is the one-row result of ``cell_integrity``."""
     return summary_rows.before_after(
         TECH,
         days,
@@ -113,7 +115,7 @@ def summary(cell_hours: DataFrame, days: summary_rows.SliceTables) -> DataFrame:
         spec.NETWORK_KPIS,
         spec.SHARED_ROWS,
         spec.NETWORK_ONLY_ROWS,
-        cell_integrity(cell_hours),
+        integrity,
     )
 
 
@@ -125,6 +127,10 @@ def day_tables(cell_hours: DataFrame, operator: DataFrame) -> summary_rows.Slice
     }
 
 
+def kpis_of(slice_name: str) -> Sequence[Kpi]:
+    return spec.NETWORK_KPIS if slice_name == "ALL" else spec.OPERATOR_KPIS
+
+
 def write_report(
     spark: SparkSession,
     reports: LteReports,
@@ -140,6 +146,9 @@ def write_report(
     aggregate per grain of each (days from hours); all tables of a grain are made from these. A lost
     executor never sends the job back to the CSV files. If a table fails, the staged tables are kept:
     called again with their folder as ``staging`` and ``mode="resume"``, only what is missing is written.
+
+    With ``mode="update"`` the reports hold some days only: these are replaced in the tables that are there, or added to them,
+    and the summary is made anew from the day tables. A day without rows in a table stays as it is there. If it fails, run it again.
     """
     with Stage(spark, staging) as stage:
         inputs = {
@@ -167,12 +176,20 @@ def write_report(
             return operator_kpis(only_slice(own[grain], slice_name), network[grain], grain)
 
         def write(slice_name: str, grain: str) -> None:
-            kpis = spec.NETWORK_KPIS if slice_name == "ALL" else spec.OPERATOR_KPIS
-            write_table(table(slice_name, grain), out, TECH, slice_name, grain, kpis, format, labels, mode)
-
-        days = {s: table(s, "day") for s in SLICE_NAMES}
-        run_together(
-            [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
-            + [lambda: write_summary(summary(cell_hours, days), out, TECH, format, mode)]
-            + [lambda: write_quality(staged["quality"], out, TECH, format, mode)]
-        )
+            write_table(table(slice_name, grain), out, TECH, slice_name, grain, kpis_of(slice_name), format, labels, mode)
+
+        details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
+        quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
+        if mode == "update":  # the summary is about all days that are there now
+            run_together([*details, quality])
+
+            def back(slice_name: str, grain: str) -> DataFrame:
+                return read_back(spark, out, TECH, slice_name, grain, kpis_of(slice_name), format, labels)
+
+            days = {s: back(s, "day").drop("day") for s in SLICE_NAMES}
+            integrity = cell_integrity_of_tables(back("ALL", "hour"), back("ALL", "cell_hour"))
+            write_summary(summary(integrity, days), out, TECH, format, mode)
+        else:
+            days = {s: table(s, "day") for s in SLICE_NAMES}
+            lines = summary(cell_integrity(cell_hours), days)
+            run_together([*details, quality, partial(write_summary, lines, out, TECH, format, mode)])

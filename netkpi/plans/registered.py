@@ -20,7 +20,7 @@ from netkpi.operators.joins import duplicate_keys
 from netkpi.operators.slices import with_slice
 from netkpi.operators.snapshots import cell_integrity, first_last_rows
 from netkpi.plans import lte, umts
-from netkpi.sinks.tables import SLICE_NAMES, read_table
+from netkpi.sinks.tables import DAY, SLICE_NAMES
 from netkpi.sources import adapters, catalog
 from netkpi.sources.reports import PREAMBLE_LINES, line_counts, read_report, read_text
 from netkpi.sources.staging import Stage
@@ -206,7 +206,7 @@ def umts_kpi_all_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lte_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = lte_cells(spark, sf_dir)
-    return lte.summary(cells, lte.day_tables(cells, lte_operator(spark, sf_dir)))
+    return lte.summary(cell_integrity(cells), lte.day_tables(cells, lte_operator(spark, sf_dir)))
 
 
 def umts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,18 +323,66 @@ def grain_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _all_details(spark: SparkSession, out: str, tech: str) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(f"{out}/{tech}/detail").drop(DAY)
+
+
 def lte_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All twelve written LTE tables, every key and KPI."""
     out = _scratch(spark)
     _write_lte(spark, sf_dir, out)
-    return spark.read.option("mergeSchema", True).parquet(f"{out}/lte/detail")
+    return _all_details(spark, out, "lte")
 
 
 def umts_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All twelve written UMTS tables, every key and KPI."""
     out = _scratch(spark)
     _write_umts(spark, sf_dir, out)
-    return spark.read.option("mergeSchema", True).parquet(f"{out}/umts/detail")
+    return _all_details(spark, out, "umts")
+
+
+def _by_day(write: Callable[..., None], tech: str, out: str, reports: Sequence[DataFrame]) -> None:
+    """Write a report in three parts: the first half, the rest, and the day in the middle once more."""
+    dates = reports[0].agg(F.min("hour_ts").cast("date").alias("a"), F.max("hour_ts").cast("date").alias("b"))
+    middle = dates.select(F.date_add("a", (F.date_diff("b", "a") / 2).cast("int"))).first()[0]
+    day = F.to_date("hour_ts")
+    for part, mode in ((day <= middle, "error"), (day >= middle, "update"), (day == middle, "update")):
+        write([r.where(part) for r in reports], out, mode)
+
+
+def lte_report_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The LTE tables after later days were written into a written report: as if all had come at once."""
+    out = _scratch(spark)
+    reports = (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC, catalog.LTE_OPERATOR)
+
+    def write(parts: list[DataFrame], out: str, mode: str) -> None:
+        lte.write_report(spark, lte.LteReports(*parts), out, mode=mode)
+
+    _by_day(write, "lte", out, [_clean(spark, sf_dir, r) for r in reports])
+    return _all_details(spark, out, "lte")
+
+
+def lte_summary_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of a report that was written in parts."""
+    out = _scratch(spark)
+    reports = (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC, catalog.LTE_OPERATOR)
+
+    def write(parts: list[DataFrame], out: str, mode: str) -> None:
+        lte.write_report(spark, lte.LteReports(*parts), out, mode=mode)
+
+    _by_day(write, "lte", out, [_clean(spark, sf_dir, r) for r in reports])
+    return spark.read.parquet(f"{out}/lte/summary")
+
+
+def umts_report_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _scratch(spark)
+    reports = (catalog.UMTS_DAILY, catalog.UMTS_DAILY1, catalog.UMTS_OPERATOR)
+
+    def write(parts: list[DataFrame], out: str, mode: str) -> None:
+        umts.write_report(spark, umts.UmtsReports(*parts), out, mode=mode)
+
+    _by_day(write, "umts", out, [_clean(spark, sf_dir, r) for r in reports])
+    return _all_details(spark, out, "umts")
 
 
 def summary_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,24 +393,43 @@ def summary_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/lte/summary").unionByName(spark.read.parquet(f"{out}/umts/summary"))
 
 
+def _file_order(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: rows of a table, and how many are not where the order of the whole table has them.
+
+    Rows are ranked in their file; then the files, by day and name, must follow each other: none may begin below the
+    last key of those before it. The window over files has one row per file.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    rows = table.select(F.struct(*keys).alias("key"), DAY, *where)
+    place = F.row_number().over(Window.partitionBy("file").orderBy("key")) - 1
+    files = (
+        rows.withColumn("place", place)
+        .groupBy(DAY, "file")
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("place") != F.col("at")).alias("wrong"),
+            F.min("key").alias("least"),
+            F.max("key").alias("most"),
+        )
+    )
+    before = F.max("most").over(Window.orderBy(DAY, "file").rowsBetween(Window.unboundedPreceding, -1))
+    late = F.coalesce(F.col("before") > F.col("least"), F.lit(False))
+    return files.withColumn("before", before).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(late, F.col("n")).otherwise(F.col("wrong"))), F.lit(0)).alias("out_of_place"),
+    )
+
+
 def sink_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the written LTE tables, and how many are not at their place in their file."""
+    """Rows of the written LTE tables, and how many are not at their place in the whole table."""
     out = _scratch(spark)
     _write_lte(spark, sf_dir, out)
     parts = []
     for slice_name in SLICE_NAMES:
         for grain, keys in GRAINS["lte"].items():
-            table = read_table(spark, out, "lte", slice_name, grain)
-            table = table.select(*keys, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-            place = F.row_number().over(Window.partitionBy("file").orderBy(*keys)) - 1
-            wrong = F.count_if(F.col("place") != F.col("at"))
+            table = spark.read.parquet(f"{out}/lte/detail/slice={slice_name}/grain={grain}")
             parts.append(
-                table.withColumn("place", place).agg(
-                    F.lit(slice_name).alias("slice"),
-                    F.lit(grain).alias("grain"),
-                    F.count("*").alias("n_rows"),
-                    wrong.alias("out_of_place"),
-                )
+                _file_order(table, keys).select(F.lit(slice_name).alias("slice"), F.lit(grain).alias("grain"), "n_rows", "out_of_place")
             )
     return reduce(DataFrame.unionByName, parts)
 
@@ -396,6 +463,9 @@ def all_queries() -> dict[str, Query]:
         "umts_sink_roundtrip": umts_sink_roundtrip,
         "summary_sink_roundtrip": summary_sink_roundtrip,
         "sink_order": sink_order,
+        "lte_report_by_day": lte_report_by_day,
+        "lte_summary_by_day": lte_summary_by_day,
+        "umts_report_by_day": umts_report_by_day,
     }
     for grain in GRAINS["lte"]:
         found[f"lte_kpi_{grain}"] = lte_kpi(grain)

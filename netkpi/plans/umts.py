@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -10,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from netkpi.operators import summary as summary_rows
 from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_of, text_times
 from netkpi.operators.joins import join_reports
-from netkpi.operators.kpis import with_kpis
+from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.plans import umts_kpis as spec
 from netkpi.plans.writing import stage_groups, staged_inputs
-from netkpi.sinks.tables import SLICE_NAMES, run_together, write_quality, write_summary, write_table
+from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import ReadCheck, read_report
 from netkpi.sources.staging import Stage
@@ -112,6 +113,14 @@ def day_tables(cell_hours: DataFrame, operator: DataFrame) -> summary_rows.Slice
     }
 
 
+def kpis_of(slice_name: str) -> Sequence[Kpi]:
+    return spec.NETWORK_KPIS if slice_name == "ALL" else spec.operator_kpis(slice_name)
+
+
+def kpis_of(slice_name: str) -> Sequence[Kpi]:
+    return spec.NETWORK_KPIS if slice_name == "ALL" else spec.operator_kpis(slice_name)
+
+
 def write_report(
     spark: SparkSession,
     reports: UmtsReports,
@@ -144,12 +153,21 @@ def write_report(
             return operator_kpis(own[grain], grain, slice_name)
 
         def write(slice_name: str, grain: str) -> None:
-            kpis = spec.NETWORK_KPIS if slice_name == "ALL" else spec.operator_kpis(slice_name)
-            write_table(table(slice_name, grain), out, TECH, slice_name, grain, kpis, format, labels, mode)
-
-        days = {s: table(s, "day") for s in SLICE_NAMES}
-        run_together(
-            [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
-            + [lambda: write_summary(summary(days), out, TECH, format, mode)]
-            + [lambda: write_quality(staged["quality"], out, TECH, format, mode)]
-        )
+            write_table(table(slice_name, grain), out, TECH, slice_name, grain, kpis_of(slice_name), format, labels, mode)
+
+        details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
+        quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
+        if mode == "update":  # the summary is about all days that are there now
+            run_together([*details, quality])
+            days = {s: read_back(spark, out, TECH, s, "day", kpis_of(s), format, labels).drop("day") for s in SLICE_NAMES}
+            write_summary(summary(days), out, TECH, format, mode)
+        else:
+            details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
+        quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
+        if mode == "update":  # the summary is about all days that are there now
+            run_together([*details, quality])
+            days = {s: read_back(spark, out, TECH, s, "day", kpis_of(s), format, labels).drop("day") for s in SLICE_NAMES}
+            write_summary(summary(days), out, TECH, format, mode)
+        else:
+            days = {s: table(s, "day") for s in SLICE_NAMES}
+            run_together([*details, quality, partial(write_summary, summary(days), out, TECH, format, mode)])

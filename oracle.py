@@ -796,6 +796,9 @@ def all_sql() -> dict[str, str]:
         "umts_sink_roundtrip": _sink_values("umts"),
         "summary_sink_roundtrip": f"SELECT * FROM ({_summary('lte')}) UNION ALL SELECT * FROM ({_summary('umts')})",
         "sink_order": _sink_order(),
+        "lte_report_by_day": _sink_values("lte"),
+        "lte_summary_by_day": _summary("lte"),
+        "umts_report_by_day": _sink_values("umts"),
     }
     for grain in _GRAINS:
         found[f"lte_kpi_{grain}"] = _with(_lte_joined(), _lte_network("k", grain)) + "SELECT * FROM k"

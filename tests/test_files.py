@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from netkpi.__main__ import arguments, main
 from netkpi.operators.grains import GRAINS
-from netkpi.plans import lte, lte_kpis, umts_kpis
+from netkpi.plans import lte, lte_kpis, umts, umts_kpis
 from netkpi.plans.registered import all_queries, write_exports
-from netkpi.sinks.tables import read_table
+from netkpi.sinks.tables import read_table, write_table
 from netkpi.sources import adapters, catalog, reports
 from netkpi.sources.reports import data_rows, line_counts, read_report, read_text, rejects
 from netkpi.sources.staging import Stage
@@ -246,17 +248,78 @@ def test_lte_command_line(spark, tmp_path):
 def test_umts_command_line_csv_with_labels(spark, tmp_path):
     out = str(tmp_path / "out")
     main([*_exports(spark, tmp_path, "umts"), "--out", out, "--format", "csv", "--labels"])
-    table = spark.read.csv(f"{out}/umts/detail/slice=ALL/grain=cell", header=True)
+    table = spark.read.csv(f"{out}/umts/detail/slice=ALL/grain=cell", header=True).drop("day")
     assert table.columns == ["Date", "Site", "Cell", "CellID", *[k.label for k in umts_kpis.NETWORK_KPIS]]
     written = sorted(tuple(r) for r in table.collect())
     queries = all_queries()
     want = queries["umts_kpi_cell"](spark, SF_DIR).collect()
     assert written == sorted(tuple(None if v is None else str(v) for v in r) for r in want)
     whole = spark.read.csv(f"{out}/umts/detail/slice=B/grain=hour", header=True)
-    assert whole.columns == ["Date", "Hour", *[k.label for k in umts_kpis.operator_kpis("B")]]
+    assert whole.columns == ["Date", "Hour", *[k.label for k in umts_kpis.operator_kpis("B")], "day"]
     assert spark.read.csv(f"{out}/umts/summary", header=True).count() == 10
 
 
+def _state(folder):
+    """Data files of each day of each table."""
+    found = {}
+    for path in folder.rglob("part-*"):
+        if path.parent.name.startswith("day="):
+            found.setdefault(path.parent, set()).add((path.name, path.stat().st_mtime_ns))
+    return found
+
+
+def test_a_day_is_added_and_replaced(spark, tmp_path):
+    """One more day changes that day's folders only; the tables and the summary are those of all days."""
+    reports = [adapters.clean_report(adapters.measurements(spark, SF_DIR), r) for r in (catalog.UMTS_DAILY, catalog.UMTS_DAILY1, catalog.UMTS_OPERATOR)]
+    *_, second_last, last = sorted({r.hour_ts.date() for r in reports[2].select("hour_ts").collect()})
+    day = F.to_date("hour_ts")
+    out, whole = tmp_path / "out", tmp_path / "whole"
+
+    def write(path, keep, mode, factor=1):
+        vs = [c for c in reports[2].columns if c.startswith("vs_")]
+        parts = [r.where(keep) for r in reports]
+        parts[2] = parts[2].withColumns({c: F.col(c) * factor for c in vs})
+        umts.write_report(spark, umts.UmtsReports(*parts), str(path), "csv", labels=True, mode=mode)
+
+    write(whole, day <= last, "error")
+    write(out, day < last, "error")
+    write(out, day == second_last, "update", factor=3)
+    before = _state(out / "umts" / "detail")
+    write(out, day == last, "update")
+    after = _state(out / "umts" / "detail")
+    assert {p.name for p in after.keys() - before.keys()} == {f"day={last}"} and before.keys() <= after.keys()
+    assert all(after[p] == before[p] for p in before)
+    write(out, day == second_last, "update")
+    again = _state(out / "umts" / "detail")
+    assert again.keys() == after.keys() and {p.name for p in after if after[p] != again[p]} == {f"day={second_last}"}
+    for part in ("detail", "summary"):
+        tables = [spark.read.csv(f"{p}/umts/{part}", header=True, recursiveFileLookup=True) for p in (out, whole)] if part == "summary" else [
+            spark.read.csv(f"{p}/umts/detail/slice={s}/grain={g}", header=True) for p in (out, whole) for s, g in (("A", "hour"),)
+        ]
+        assert sorted(map(repr, tables[0].collect())) == sorted(map(repr, tables[1].collect()))
+    with pytest.raises(ValueError, match="mode"):
+        write(out, day == last, "append")
+
+
+def test_tables_are_in_order_as_a_whole(spark, tmp_path):
+    """Also a table that many tasks write: by day, file name and row."""
+    rows = spark.range(20_000).selectExpr(
+        "concat('2024-01-', lpad(id * 5 % 28 + 1, 2, '0')) AS date", "lpad(id * 13 % 24, 2, '0') AS hour",
+        "concat('C', id * 7919 % 20000) AS cell_name", "CAST(id AS DOUBLE) AS k",
+    ).repartition(7)
+    kpi = lte_kpis.NETWORK_KPIS[:1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that no tasks are put together
+    try:
+        write_table(rows.withColumnRenamed("k", kpi[0].column), str(tmp_path), "lte", "ALL", "cell_hour", kpi)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    folder = tmp_path / "lte" / "detail" / "slice=ALL" / "grain=cell_hour"
+    files = sorted(folder.rglob("part-*.parquet"), key=lambda p: (p.parent.name, p.name))
+    keys = [tuple(r.values()) for f in files for r in pq.read_table(f, columns=["date", "hour", "cell_name"], partitioning=None).to_pylist()]
+    assert len(keys) == 20_000 and keys == sorted(keys)
+    assert len({f.name.split("-")[1] for f in files}) > 1 and len(files) >= 28
+
+
 def test_all_inputs_are_required():
     with pytest.raises(SystemExit):
         arguments().parse_args(["lte", "--daily", "a.csv", "--out", "x"])
