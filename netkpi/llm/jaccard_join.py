@@ -11,8 +11,8 @@ Heavy: for all pairs with a larger set. Shingles have one order for all, rarer o
 size n enters the inverted lists of its first n - ceil(percent * n / 100) + 1 shingles; linked sets
 meet in the list of their first common shingle, which leaves both with at least o shingles from
 there on. Lists are scanned in order of size with this bound. Scanning is in rounds, so that a large
-family of near copies does not turn into all its pairs: first every member meets one hub of its list,
-then one member of another family, by chance, and linked ones are put together; in the last round all
+family of near copies does not turn into all its pairs: first every member meets the nearest (by sketch) of the hubs of its
+lists, then its other hubs, if they are of another family by now, and one member of another family, by chance, and linked ones are put together; in the last round all
 pairs of different families are looked at, however long a list is.
 
 Before whole sets are compared, so are their parity sketches: one bit for the parity of the number of
@@ -36,6 +36,7 @@ their own, with that id. Extra columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -451,10 +452,10 @@ def _scan(percent: int, light: int, one_each: bool):
 
 
 def sketch_of(shingles) -> bytes:
-    """Parities of the groups of shingles; the number of groups is a power of two, more than half the size."""
+    """Parities of the groups of shingles; the number of groups is a power of two, above the size."""
     import numpy as np
 
-    bits = max(64, 1 << (len(shingles).bit_length() - 1))
+    bits = max(64, 1 << len(shingles).bit_length())
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).tobytes()
 
@@ -492,7 +493,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _may_link_by_sketch(percent: int):
-    """Pairs whose sketches do not differ too much."""
+    """Pairs whose sketches do not differ too much, and in how many bits they do."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -505,8 +506,9 @@ def _may_link_by_sketch(percent: int):
             for pair in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 small, large = sorted(pair, key=len)
                 apart.append(int(_Sketches([small, large]).apart(0, slice(1, 2))[0]))
-            good = np.array(apart, np.int64) <= most
-            yield pa.RecordBatch.from_arrays([pa.array(x[good]), pa.array(y[good])], names=["x", "y"])
+            apart = np.array(apart, np.int64)
+            good = apart <= most
+            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in (x, y, apart)], names=["x", "y", "apart"])
 
     return run
 
@@ -533,10 +535,55 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, part: str) -> DataFrame:
     def side(name: str) -> DataFrame:
         return sets.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col(part).alias(f"{part}_{name}"))
 
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    both = pairs.join(side("y"), "y").join(side("x"), "x")
     return both.select("x", "y", "n_x", "n_y", f"{part}_x", f"{part}_y")
 
 
+def _of_two_families(pairs: DataFrame, families: DataFrame) -> DataFrame:
+    """Pairs whose members are not connected so far."""
+    of_x = families.select(F.col("node").alias("x"), F.col("root").alias("root_x"))
+    of_y = families.select(F.col("node").alias("y"), F.col("root").alias("root_y"))
+    both = pairs.join(of_x, "x", "left").join(of_y, "y", "left")
+    return both.where(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y")
+
+
+# --- layout -------------------------------------------------------------------
+
+#: Words of 64 bits in a filter of keys.
+FILTER_WORDS = 1 << 17
+
+
+def _among(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
+    """Rows whose key, a hash, may be one of ``others``; a few others pass.
+
+    The filter is a set of bits of a fixed size, broadcast as a table of at most ``FILTER_WORDS`` words of 64 bits. It
+    keeps texts that are not wanted out of a shuffle; the join that follows decides.
+    """
+
+    def word(c: str) -> Column:
+        return F.shiftrightunsigned(F.col(c), 6).bitwiseAND(F.lit(FILTER_WORDS - 1))
+
+    def bit(c: str) -> Column:
+        return F.col(c).bitwiseAND(F.lit(63)).cast("int")
+
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(other_key))
+    bits = others.select(word(other_key).alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_of", word(key)).join(F.broadcast(bits), F.col("_of") == F.col("_word"))
+    return marked.where(F.call_function("bit_get", F.col("_bits"), bit(key)) == 1).select(*rows.columns)
+
+
+def bucketed(df: DataFrame, key: str, path: str) -> DataFrame:
+    """Write a table once in buckets of its key, so that no join on the key moves it again.
+
+    The session's catalogue knows its layout; the entry goes with the session, the files with their folder.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"buckets_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 # --- components ---------------------------------------------------------------
 
 
@@ -607,7 +654,8 @@ def jaccard_components(
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    hubs = written(ordered(lists.where(F.col("kind") == HUB)), f"{folder}/hubs")
+    # x is the hub, y the member
+    hubs = written(lists.where((F.col("kind") == HUB) & (F.col("x") != F.col("y"))).select("x", "y").distinct(), f"{folder}/hubs")
     members = lists.where(F.col("kind") == MEMBER).select(F.col("x").alias("h"), "what", F.col("y").alias("class"))
     links = lists.where(F.col("kind") == LINK).select("x", "y")
     # sets of all classes that any round may look at
@@ -615,10 +663,10 @@ def jaccard_components(
     wanted = asked.join(classes, "class").select("class", F.col("one.doc_id").alias("of"), F.col("one.key").alias("of_key"))
     wanted = written(wanted, f"{folder}/wanted")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
-    sets = docs.join(wanted, same).select("text", "class").mapInArrow(
+    sets = _among(docs, "key", wanted, "of_key").join(wanted, same).select("text", "class").mapInArrow(
         _stored_sets(width), "class long, n long, sketch binary, hashes binary"
     )
-    sets = written(sets, f"{folder}/sets")
+    sets = bucketed(sets, "class", f"{folder}/sets")
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         links = _with_sides(pairs, sets, "hashes").mapInArrow(_links(percent), "x long, y long")
         return written(links, f"{folder}/{name}")
@@ -636,11 +684,18 @@ def jaccard_components(
     def stars(families: DataFrame) -> DataFrame:
         return families.select(F.col("node").alias("x"), F.col("root").alias("y"))
 
-    near = _with_sides(hubs, sets, "sketch").mapInArrow(_may_link_by_sketch(percent), "x long, y long")
-    families = families_of(linked(near, "first").union(links), "families")
-    met = written(scanned(families, True).join(hubs, ["x", "y"], "left_anti"), f"{folder}/met")
+    near = _with_sides(hubs, sets, "sketch").mapInArrow(_may_link_by_sketch(percent), "x long, y long, apart long")
+    near = written(near, f"{folder}/near")
+    # of the hubs that a member meets in its lists, the nearest one by sketch; the others wait for the next round
+    nearest = near.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("hub")).select(F.col("hub.x").alias("x"), "y")
+    nearest = written(nearest, f"{folder}/nearest")
+    families = families_of(linked(nearest, "first").union(links), "families")
+    looked_at = ordered(nearest)
+    other_hubs = _of_two_families(ordered(near), families)
+    met = scanned(families, True).union(other_hubs).distinct()
+    met = written(met.join(looked_at, ["x", "y"], "left_anti"), f"{folder}/met")
     families = families_of(stars(families).union(linked(met, "second")), "more-families")
-    rest = scanned(families, False).join(hubs.union(met), ["x", "y"], "left_anti")
+    rest = scanned(families, False).join(looked_at.union(met), ["x", "y"], "left_anti")
     all_families = families_of(stars(families).union(linked(rest, "third")), "components")
     named = all_families.join(classes.select(F.col("class").alias("node"), "least"), "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
