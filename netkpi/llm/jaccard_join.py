@@ -452,10 +452,10 @@ def _scan(percent: int, light: int, one_each: bool):
 
 
 def sketch_of(shingles) -> bytes:
-    """Parities of the groups of shingles; the number of groups is a power of two, above the size."""
+    """Parities of the groups of shingles; the number of groups is a power of two, above twice the size."""
     import numpy as np
 
-    bits = max(64, 1 << len(shingles).bit_length())
+    bits = max(64, 2 << len(shingles).bit_length())
     counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits(counts & 1).tobytes()
 
@@ -530,12 +530,12 @@ def _links(percent: int):
 
 
 def _with_sides(pairs: DataFrame, sets: DataFrame, part: str) -> DataFrame:
-    """``x``, ``y``, sizes and one part of both sets."""
+    """``x``, ``y``, sizes and one part of both sets. Both sides of the joins grow with the table: never a broadcast."""
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col(part).alias(f"{part}_{name}"))
 
-    both = pairs.join(side("y"), "y").join(side("x"), "x")
+    both = pairs.join(side("y").hint("merge"), "y").join(side("x").hint("merge"), "x")
     return both.select("x", "y", "n_x", "n_y", f"{part}_x", f"{part}_y")
 
 
@@ -663,7 +663,8 @@ def jaccard_components(
     wanted = asked.join(classes, "class").select("class", F.col("one.doc_id").alias("of"), F.col("one.key").alias("of_key"))
     wanted = written(wanted, f"{folder}/wanted")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
-    sets = _among(docs, "key", wanted, "of_key").join(wanted, same).select("text", "class").mapInArrow(
+    # both sides grow with the table: never a broadcast
+    sets = _among(docs, "key", wanted, "of_key").join(wanted.hint("merge"), same).select("text", "class").mapInArrow(
         _stored_sets(width), "class long, n long, sketch binary, hashes binary"
     )
     sets = bucketed(sets, "class", f"{folder}/sets")
