@@ -39,7 +39,7 @@ def arguments() -> argparse.ArgumentParser:
         command.add_argument("--out", required=True, help="folder for the tables")
         command.add_argument("--format", choices=["parquet", "csv"], default="parquet")
         command.add_argument("--labels", action="store_true", help="name columns as in a printed report")
-        command.add_argument("--lenient", action="store_true", help="read junk in a counter as missing")
+        command.add_argument("--lenient", action="store_true", help="junk in a counter is missing, unreadable rows go to a table of rejects")
         command.add_argument("--mode", choices=MODES, default="error", help="what to do about tables that are there")
         command.add_argument("--staging", help="folder of staged tables that a failed run has left")
         command.add_argument("--time-format", nargs="+", default=FORMATS, help="start times, beside ISO")
@@ -50,7 +50,7 @@ def arguments() -> argparse.ArgumentParser:
 def main(argv: Sequence[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = settled(SparkSession.builder.appName(f"netkpi {args.tech}").getOrCreate())
-    options = {"strict": not args.lenient, "day_first": args.day_first, "formats": tuple(args.time_format)}
+    options = {"strict": not args.lenient, "with_rejects": args.lenient, "day_first": args.day_first, "formats": tuple(args.time_format)}
     written = {"format": args.format, "labels": args.labels, "mode": args.mode, "staging": args.staging}
     if args.tech == "lte":
         reports = lte.read_reports(spark, args.daily, args.daily1, args.emtc, args.operator, **options)

@@ -15,8 +15,8 @@ from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.operators.slices import only_slice, with_slice
 from netkpi.operators.snapshots import cell_integrity, cell_integrity_of_tables
 from netkpi.plans import lte_kpis as spec
-from netkpi.plans.writing import stage_groups, staged_inputs
-from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_summary, write_table
+from netkpi.plans.writing import split_reads, stage_groups, staged_inputs
+from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_rejects, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import ReadCheck, read_report
 from netkpi.sources.staging import Stage
@@ -151,9 +151,10 @@ def write_report(
     and the summary is made anew from the day tables. A day without rows in a table stays as it is there. If it fails, run it again.
     """
     with Stage(spark, staging) as stage:
+        read, rejected = split_reads(stage, {"lte_daily": reports.daily, "lte_daily1": reports.daily1, "lte_emtc": reports.emtc, "lte_operator": reports.operator})
         inputs = {
-            "cells": cells(reports.daily, reports.daily1, reports.emtc),
-            "operator": operator_hours(reports.operator),
+            "cells": cells(read["lte_daily"], read["lte_daily1"], read["lte_emtc"]),
+            "operator": operator_hours(read["lte_operator"]),
         }
         staged = staged_inputs(stage, inputs, reports.checks, TECH)
         cell_hours, operator = staged["cells"], staged["operator"]
@@ -180,6 +181,8 @@ def write_report(
 
         details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
         quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
+        if rejected is not None:
+            details.append(partial(write_rejects, rejected, out, TECH, format, mode))
         if mode == "update":  # the summary is about all days that are there now
             run_together([*details, quality])
 

@@ -22,7 +22,7 @@ from netkpi.operators.snapshots import cell_integrity, first_last_rows
 from netkpi.plans import lte, umts
 from netkpi.sinks.tables import DAY, SLICE_NAMES
 from netkpi.sources import adapters, catalog
-from netkpi.sources.reports import PREAMBLE_LINES, line_counts, read_report, read_text
+from netkpi.sources.reports import PREAMBLE_LINES, line_counts, read_report, read_text, rejects
 from netkpi.sources.staging import Stage
 
 PREAMBLE = tuple(f"Preamble line {i + 1}" for i in range(PREAMBLE_LINES))
@@ -281,6 +281,22 @@ def csv_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lenient reading: rows without a readable time and rows with junk in a counter, by reason."""
+    rows = _text(spark, sf_dir, catalog.LTE_EMTC, all_kinds=True)
+    number = F.right("NE Name", F.lit(1))
+    first = catalog.LTE_EMTC.counters[0].label
+    rows = rows.withColumn("Start Time", F.when(number == "3", F.lit("yesterday")).otherwise(F.col("Start Time")))
+    rows = rows.withColumn(first, F.when(number == "4", F.lit("2f")).otherwise(F.col(quoted(first))))
+    folder = _scratch(spark)
+    write_exports(rows, f"{folder}/{catalog.LTE_EMTC.name}")
+    marked = read_report(spark, catalog.LTE_EMTC, f"{folder}/{catalog.LTE_EMTC.name}/part-*", with_rejects=True)
+    marked.write.parquet(f"{folder}/read")
+    read = spark.read.schema(marked.schema).parquet(f"{folder}/read")
+    good = read.where("hour_ts IS NOT NULL").agg(F.lit("rows").alias("reason"), F.count("*").alias("n"))
+    return rejects(read, catalog.LTE_EMTC.name).groupBy("reason").agg(F.count("*").alias("n")).unionByName(good)
+
+
 def csv_lte_kpi_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day KPIs from CSV files of all three network reports."""
     folder = _scratch(spark)
@@ -455,6 +471,7 @@ def all_queries() -> dict[str, Query]:
         "csv_lte_kpi_day": csv_lte_kpi_day,
         "csv_awkward_roundtrip": csv_awkward_roundtrip,
         "csv_line_counts": csv_line_counts,
+        "csv_rejects": csv_rejects,
         "csv_umts_kpi_day": csv_umts_kpi_day,
         "lte_join_repeated_keys": lte_join_repeated_keys,
         "lte_kpi_shared_names": lte_kpi_shared_names,

@@ -13,8 +13,8 @@ from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.plans import umts_kpis as spec
-from netkpi.plans.writing import stage_groups, staged_inputs
-from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_summary, write_table
+from netkpi.plans.writing import split_reads, stage_groups, staged_inputs
+from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_rejects, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import ReadCheck, read_report
 from netkpi.sources.staging import Stage
@@ -132,7 +132,8 @@ def write_report(
 ) -> None:
     """Write all tables under ``out``; see the LTE report for staging and ``mode``."""
     with Stage(spark, staging) as stage:
-        inputs = {"cells": cells(reports.daily, reports.daily1), "operator": operator_hours(reports.operator)}
+        read, rejected = split_reads(stage, {"umts_daily": reports.daily, "umts_daily1": reports.daily1, "umts_operator": reports.operator})
+        inputs = {"cells": cells(read["umts_daily"], read["umts_daily1"]), "operator": operator_hours(read["umts_operator"])}
         staged = staged_inputs(stage, inputs, reports.checks, TECH)
         network = stage_groups(
             stage,
@@ -157,6 +158,8 @@ def write_report(
 
         details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
         quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
+        if rejected is not None:
+            details.append(partial(write_rejects, rejected, out, TECH, format, mode))
         if mode == "update":  # the summary is about all days that are there now
             run_together([*details, quality])
             days = {s: read_back(spark, out, TECH, s, "day", kpis_of(s), format, labels).drop("day") for s in SLICE_NAMES}
@@ -164,6 +167,8 @@ def write_report(
         else:
             details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
         quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
+        if rejected is not None:
+            details.append(partial(write_rejects, rejected, out, TECH, format, mode))
         if mode == "update":  # the summary is about all days that are there now
             run_together([*details, quality])
             days = {s: read_back(spark, out, TECH, s, "day", kpis_of(s), format, labels).drop("day") for s in SLICE_NAMES}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netkpi.sinks.tables import run_together
-from netkpi.sources.reports import ReadCheck
+from netkpi.sources.reports import REJECT, ReadCheck, rejects
 from netkpi.sources.staging import Stage, is_complete
 
 #: Grains made from the joined cells; days are made of hours.
@@ -53,3 +53,20 @@ def staged_inputs(
     counts = [] if is_complete(stage.spark, quality) else [(c.report.name, c.counts(fresh)) for c in checks]
     found["quality"] = stage.table(quality_rows(stage.spark, counts, tech, found["cells"]), "quality")
     return found
+
+
+def split_reads(stage: Stage, reports: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """Reports without their rejected lines, and the rejects of all, if they were read with these.
+
+    What was read is written once per report; rows and rejects are parts of that table.
+    """
+    rows, found = {}, None
+    for name, df in reports.items():
+        if REJECT not in df.columns:
+            rows[name] = df
+            continue
+        read = stage.table(df, f"read_{name}")
+        rows[name] = read.where("hour_ts IS NOT NULL").drop(REJECT)
+        part = rejects(read, name)
+        found = part if found is None else found.unionByName(part)
+    return rows, found

@@ -93,6 +93,11 @@ def write_quality(table: DataFrame, out: str, tech: str, format: str = "parquet"
     _save(table.coalesce(1), f"{out}/{tech}/quality", format, mode)
 
 
+def write_rejects(table: DataFrame, out: str, tech: str, format: str = "parquet", mode: str = "error") -> None:
+    """Lines of the exports that could not be read, or not in full."""
+    _save(table, f"{out}/{tech}/rejects", format, mode)
+
+
 def read_table(spark: SparkSession, out: str, tech: str, slice_name: str, grain: str) -> DataFrame:
     """A detail table as it was written in Parquet, without the partition column."""
     return spark.read.parquet(_detail_path(out, tech, slice_name, grain)).drop(DAY)

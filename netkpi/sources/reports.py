@@ -196,6 +196,48 @@ def data_rows(
     return lines.filter(keep).select(*map(_cell, names), ts.alias("ts"))
 
 
+#: Column of a lenient reading: why and from where a line is rejected, NULL for all others.
+REJECT = "_reject"
+_REJECT_FIELDS = ("file", "line", "reason", "columns")
+
+
+def marked_rows(lines: DataFrame, report: Report, day_first: bool = False, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """What :func:`data_rows` has with ``strict=False``, and the rejected lines too, with ``REJECT``.
+
+    Rejected are rows of another width and rows whose start time cannot be read, both with ``ts`` NULL, and rows with a cell that
+    is no number, which stay rows, with that cell missing.
+    """
+    names = _names(lines)
+    kind = F.col(_KIND)
+    repeated = _failure(report, "files with different headers, or a header in the wrong place; read them one by one")
+    keep = F.when(kind == "repeated", repeated).otherwise(kind.isin("row", "damaged"))
+    labels = [c.label for c in report.counters if c.label in names]
+    junk = F.expr(f"concat_ws(', ', {', '.join(f'CASE WHEN {is_junk(n)} THEN {_sql_text(n)} END' for n in labels)})")
+    rows = lines.filter(keep).withColumn("ts", F.when(kind == "row", parse_start_time(_start_text(), day_first, formats)))
+    reason = (
+        F.when(kind == "damaged", "missing or additional cells")
+        .when(F.col("ts").isNull(), "start time")
+        .when(F.col("_junk") != "", "not a number")
+    )
+    reject = F.struct(
+        F.col(_FILE).alias("file"),
+        F.col(_LINE).alias("line"),
+        F.col("_reason").alias("reason"),
+        F.when(F.col("_reason") == "not a number", F.col("_junk")).alias("columns"),
+    )
+    rows = rows.withColumn("_junk", junk).withColumn("_reason", reason)
+    return rows.select(*map(_cell, names), "ts", F.when(F.col("_reason").isNotNull(), reject).alias(REJECT))
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rejects(marked: DataFrame, report: str) -> DataFrame:
+    """``report``, ``file``, ``line``, ``reason``, ``columns`` (names, where cells are no numbers) of a lenient reading."""
+    return marked.where(F.col(REJECT).isNotNull()).select(F.lit(report).alias("report"), *[f"{REJECT}.{f}" for f in _REJECT_FIELDS])
+
+
 def clean(rows: DataFrame, report: Report, strict: bool = True) -> DataFrame:
     """Hour, keys and counters of data rows."""
     names = rows.columns
@@ -211,7 +253,8 @@ def clean(rows: DataFrame, report: Report, strict: bool = True) -> DataFrame:
         f"{counter_value(c.label, strict) if c.label in names else 'CAST(NULL AS DOUBLE)'} AS {c.column}"
         for c in report.counters
     ]
-    return rows.select(*[expr.alias(name) for name, expr in time_and_keys.items()], *map(F.expr, counters))
+    more = [REJECT] if REJECT in names else []
+    return rows.select(*[expr.alias(name) for name, expr in time_and_keys.items()], *map(F.expr, counters), *more)
 
 
 # --- counts and rejects ---------------------------------------------------------
@@ -277,12 +320,16 @@ def read_report(
     day_first: bool = False,
     formats: Sequence[str] = FORMATS,
     checks: list[ReadCheck] | None = None,
+    with_rejects: bool = False,
 ) -> DataFrame:
     """A clean report from all files that match the path patterns.
 
     Files of one pattern share one header; patterns may differ (other column order, other
     controller type). ``strict=False`` reads junk in a counter as missing and leaves out rows that cannot be read.
 
+    ``with_rejects`` reads leniently and keeps the rejected lines, with ``REJECT``: write the result once and take rows
+    (those with an hour) and :func:`rejects` from there.
+
     Lines are parsed once: the counts that go into ``checks`` (:meth:`ReadCheck.counts`) are taken while the rows are
     used for the first time.
     """
@@ -293,15 +340,10 @@ def read_report(
         check = ReadCheck.of(lines, report, not strict)
         if checks is not None:
             checks.append(check)
-        part = clean(data_rows(check.observed(), report, day_first, formats, strict), report, strict)
+        lines = check.observed()
+        rows = marked_rows(lines, report, day_first, formats) if with_rejects else data_rows(lines, report, day_first, formats, strict)
+        part = clean(rows, report, strict and not with_rejects)
         result = part if result is None else result.unionByName(part)
     if result is None:
         raise ValueError(f"{report.name}: no path given")
     return result
-
-
-def rejects(rows: DataFrame, report: Report) -> DataFrame:
-    """Data rows with a cell that is no number, plus the names of those columns."""
-    labels = [c.label for c in report.counters if c.label in rows.columns]
-    names = ", ".join(f"CASE WHEN {is_junk(n)} THEN '{n}' END" for n in labels)
-    return rows.withColumn("junk_columns", F.expr(f"array_compact(array({names}))")).filter("size(junk_columns) > 0")

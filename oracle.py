@@ -785,6 +785,10 @@ def all_sql() -> dict[str, str]:
         "csv_line_counts": _with(_EV, _report("lte_emtc", all_kinds=True))
         + "SELECT count(*) AS n_rows, 0 AS more_not_data, count(*) FILTER (right(ne_name, 1) = '3') AS without_time, "
         "count(*) FILTER (right(ne_name, 1) = '4') AS junk_cells FROM lte_emtc",
+        "csv_rejects": _with(_EV, _report("lte_emtc", all_kinds=True))
+        + "SELECT reason, count(*) AS n FROM (SELECT CASE right(ne_name, 1) WHEN '3' THEN 'start time' ELSE 'not a number' END AS reason "
+        "FROM lte_emtc WHERE right(ne_name, 1) IN ('3', '4')) GROUP BY reason "
+        "UNION ALL SELECT 'rows', count(*) FROM lte_emtc WHERE right(ne_name, 1) <> '3'",
         "csv_umts_kpi_day": _with(_umts_joined(), _umts_network("k", "day")) + "SELECT * FROM k",
         "lte_join_repeated_keys": _with(_few_names(_lte_joined()))
         + f"SELECT {_START} AS start_time, ne_name, cell_name, count(*) AS joined_rows, "

@@ -14,7 +14,7 @@ from netkpi.plans import lte, lte_kpis, umts, umts_kpis
 from netkpi.plans.registered import all_queries, write_exports
 from netkpi.sinks.tables import read_table, write_table
 from netkpi.sources import adapters, catalog, reports
-from netkpi.sources.reports import data_rows, line_counts, read_report, read_text, rejects
+from netkpi.sources.reports import line_counts, read_report, read_text, rejects
 from netkpi.sources.staging import Stage
 from tests.conftest import SF_DIR
 from tests.helpers import write_export
@@ -55,6 +55,32 @@ def test_several_files_and_column_orders(spark, tmp_path):
     assert sorted(tuple(r)[3:] for r in both.collect()) == [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)]
 
 
+def test_rejects_are_written_beside_the_tables(spark, tmp_path):
+    """Lenient: each report is read once into one table, of which rows and rejects are parts."""
+    argv = _exports(spark, tmp_path, "umts")
+    operator = next((tmp_path / "umts_operator").glob("part-*"))
+    lines = operator.read_text().splitlines()
+    names, first, second = lines[7].split(","), lines[8], lines[9]
+    cells = first.split('","')
+    junk = '","'.join([*cells[:-1], '2f"'])
+    bad = [first[: first.rindex(",")], junk, '"yesterday' + second[second.index('","') :], ""]
+    operator = operator.with_name("part-bad.csv")
+    operator.write_text("\n".join([*lines[:8], *bad]) + "\n")
+    out = str(tmp_path / "out")
+    with pytest.raises(Exception, match="missing or additional|not a number|cannot read"):
+        main([*argv, "--out", str(tmp_path / "strict")])
+    main([*argv, "--out", out, "--lenient"])
+    found = spark.read.parquet(f"{out}/umts/rejects").collect()
+    assert {(r.report, r.reason, r.columns) for r in found} == {
+        ("umts_operator", "missing or additional cells", None),
+        ("umts_operator", "not a number", names[-1]),
+        ("umts_operator", "start time", None),
+    }
+    assert {r.line for r in found} == set(bad[:3]) and all(r.file.endswith(operator.name) for r in found)
+    quality = {(r.report, r.measure): r.n for r in spark.read.parquet(f"{out}/umts/quality").collect()}
+    assert quality["umts_operator", "damaged"] == 1 and quality["umts_operator", "junk_cells"] == 1
+
+
 def test_files_of_one_pattern_must_share_the_header(spark, tmp_path):
     write_export(tmp_path / "a.csv", NAMES, [["2021-01-29 13:00", "60", "NE1", CELL, "1", "2"]])
     swapped = [*NAMES[:4], EMTC[1], EMTC[0]]
@@ -82,8 +108,8 @@ def test_junk_rows(spark, tmp_path):
         _read(spark, tmp_path / "a.csv")
     assert [r[3:] for r in _read(spark, tmp_path / "a.csv", strict=False)] == [(None, 2.0), (1.0, 0.0)]
     lines = read_text(spark, str(tmp_path / "a.csv"))
-    [bad] = rejects(data_rows(lines, catalog.LTE_EMTC), catalog.LTE_EMTC).collect()
-    assert bad.junk_columns == [EMTC[0]]
+    [bad] = rejects(read_report(spark, catalog.LTE_EMTC, str(tmp_path / "a.csv"), with_rejects=True), "r").collect()
+    assert (bad.report, bad.reason, bad.columns) == ("r", "not a number", EMTC[0])
     [counts] = line_counts(lines, catalog.LTE_EMTC).collect()
     assert tuple(counts)[1:] == (10, 1, 7, 0, 0, 0, 1)
 
@@ -234,8 +260,8 @@ def test_lte_command_line(spark, tmp_path):
             kpis = lte_kpis.NETWORK_KPIS
             assert written.columns == [*keys, *[k.column for k in kpis]]
             assert sorted(map(repr, written.collect())) == sorted(map(repr, queries[query](spark, SF_DIR).collect()))
-    day = [r.date for r in read_table(spark, out, "lte", "ALL", "day").collect()]
-    assert day == sorted(day)
+    days = spark.read.parquet(f"{out}/lte/detail/slice=ALL/grain=day").select("date", "day").collect()
+    assert len({r.date for r in days}) == len(days) > 20 and all(str(r.day) == r.date for r in days)
     summary = spark.read.parquet(f"{out}/lte/summary").collect()
     assert [r.position for r in summary] == list(range(1, 26))
     quality = {(r.report, r.measure): r.n for r in spark.read.parquet(f"{out}/lte/quality").collect()}
