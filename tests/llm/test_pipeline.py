@@ -79,4 +79,4 @@ def test_empty_table(spark, folder, tmp_path):
 
 def test_registered():
     names = entry_points.queries()
-    assert "pipeline" in names and {n for n in range(1, 11)} == {int(q[2:].split("_")[0]) for q in names if q.startswith("op") and q[2].isdigit()}
+    assert "pipeline" in names and {n for n in range(1, 14)} == {int(q[2:].split("_")[0]) for q in names if q.startswith("op") and q[2].isdigit()}
