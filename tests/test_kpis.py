@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from netkpi.operators.snapshots import cell_integrity
 from netkpi.plans import lte, umts
 from netkpi.sources import catalog
 from tests.helpers import clean_frame, hour
@@ -160,7 +161,7 @@ def test_lte_operators(lte_frames):
 def test_lte_summary(lte_frames):
     *network, operator = lte_frames
     cells = lte.cells(*network)
-    rows = {r.kpi: r for r in lte.summary(cells, lte.day_tables(cells, operator)).collect()}
+    rows = {r.kpi: r for r in lte.summary(cell_integrity(cells), lte.day_tables(cells, operator)).collect()}
     assert len(rows) == 25
     users = rows["PS Sim Users"]
     # every slice has its own last day: B ends a day before A
@@ -179,7 +180,7 @@ def test_summary_of_an_empty_slice(lte_frames):
     *network, operator = lte_frames
     cells = lte.cells(*network)
     nothing = operator.filter("cn_operator <> 'CN Operator ID=2'")
-    rows = lte.summary(cells, lte.day_tables(cells, nothing)).collect()
+    rows = lte.summary(cell_integrity(cells), lte.day_tables(cells, nothing)).collect()
     assert len(rows) == 25
     assert {r.after_b for r in rows if r.kpi != "Cell Configuration Integrity"} == {None}
 
