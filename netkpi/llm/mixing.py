@@ -2,12 +2,15 @@
 
 The words of all sources are shared out by weight; a target stops at ``max_copies`` times its
 source's words and the excess goes to the other sources. The ratio target / words is the expected
-number of copies of each document of a source: its whole part is taken for certain, the rest r is
-the inclusion probability of one more copy. For that copy documents are ranked by
-Q = (u / (1 - u)) / (r / (1 - r)), with u from a hash of the row, and taken in this order. The size
+number of copies of a source's words: its whole part is taken of each document for certain, and of one more
+copy a share r. The inclusion probability p of a document grows with its size n:
+p = r + min(r, 1 - r) * (f(n) - m), where f(n) = n / (n + half_size), in thousandths, and m is the mean of f over the
+source's words. So p lies between 0 and 1, and the expected words are still the target. For the copy documents are
+ranked by Q = (u / (1 - u)) / (p / (1 - p)), with u from a hash of the row, and taken in this order. The size
 of the sample is fixed in words: it ends with the last document that still fits into what is left
 of the target, and the document outside of the sample whose size is nearest to the gap closes it,
-if that brings the source nearer.
+if that brings the source nearer. These two ends move inclusions by about one document per source, so
+in a source of a few documents they are only near p.
 
 Only built-in functions. No source is ordered in one task: words are summed per source and slice
 of Q (map-side), the slice in which the sample ends is found in those sums, and only the documents
@@ -30,6 +33,12 @@ from netkpi.llm.common import WORD, scratch, written
 #: Slices of Q per source; the cut is looked for in one of them.
 SLICES = 4096
 
+#: Words of a document whose probability leans half way; longer ones are favoured over shorter ones.
+HALF_SIZE = 256
+
+#: Keeps probabilities off 0 and 1, where odds are no numbers.
+_EDGE = 2.0**-40
+
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -46,6 +55,11 @@ def _uniform(id_col: str, text_col: str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(parts), 1, 13), 16, 10).cast("long")
 
 
+def _length(half_size: int) -> Column:
+    """0 to 999, growing with ``size``. A whole number, so that its sums are the same in any order."""
+    return F.expr(f"size * 1000L div (size + {half_size})")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_copies: int) -> DataFrame:
     """``source``, ``source_size``, ``target`` from rows with ``source`` and ``size``.
 
@@ -81,11 +95,13 @@ def mix(
     weights: Sequence[float] = (5, 2, 1),
     max_copies: int = 3,
     seed: str = "mix",
+    half_size: int = HALF_SIZE,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """``row`` (struct of the input's columns), ``size``, ``source_size``, ``target``, ``copies``."""
+    """``row`` (struct of the input's columns), ``size``, ``source_size``, ``target``, ``copies``, ``chance`` (of one more
+    than the certain copies; 0 if there is none to draw)."""
     spark = docs.sparkSession
     sized = docs.select(
         F.struct("*").alias("row"),
@@ -95,26 +111,35 @@ def mix(
     )
     folder = scratch(spark)
     slim = written(sized.select("source", "size", "h"), f"{folder}/sizes")
-    targets = source_targets(slim, weights, max_copies)
+    length = _length(half_size)
+    sums = slim.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.col("size") * length).alias("lengths"))
+    sums = written(sums, f"{folder}/sources")
+    means = sums.select(F.col("source").alias("mean_of"), F.try_divide("lengths", "size").alias("middle"))
+    targets = source_targets(sums, weights, max_copies)
+    targets = targets.join(means, F.col("source").eqNullSafe(F.col("mean_of"))).drop("mean_of")
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     plan = (
         targets.withColumn("whole", F.least(F.floor(ratio), F.lit(max_copies)).cast("long"))
         .withColumn("part", ratio - F.col("whole"))
+        .withColumn("lean", F.least(F.col("part"), 1 - F.col("part")))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
     plan = written(plan, f"{folder}/plan").withColumnRenamed("source", "of")
     u = (F.col("h") + F.lit(0.5)) / F.lit(float(2**52))
-    q = (u / (1 - u)) / (F.col("part") / (1 - F.col("part")))
+    chance = F.col("part") + F.col("lean") * ((length - F.col("middle")) / F.lit(1000.0))
+    chance = F.when(F.col("part") > 0, F.greatest(F.least(chance, F.lit(1 - _EDGE)), F.lit(_EDGE)))
+    q = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
     same = F.col("source").eqNullSafe(F.col("of"))
     ranked = (
-        slim.join(plan.where("part > 0").select("of", "part", "rest"), same)
+        slim.join(plan.where("part > 0").select("of", "part", "lean", "middle", "rest"), same)
+        .withColumn("chance", chance)
         .withColumn("q", q)
         .withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES))
     )
-    sums = ranked.groupBy("of", "slice", "rest").agg(F.sum("size").alias("words"))
+    by_slice = ranked.groupBy("of", "slice", "rest").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("of").orderBy("slice")
     last_slice = (
-        sums.withColumn("upto", F.sum("words").over(upto))
+        by_slice.withColumn("upto", F.sum("words").over(upto))
         .where(F.col("upto") > F.col("rest"))
         .groupBy("of")
         .agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
@@ -167,7 +192,10 @@ def mix(
     more = F.when(F.col("part") > 0, (taken | F.coalesce(F.col("h") == F.col("one_h"), F.lit(False))).cast("long"))
     return (
         sized.join(full, same, "left")
-        .withColumn("q", F.when(F.col("part") > 0, q))
+        .withColumn("chance", chance)
+        .withColumn("q", q)
         .withColumn("slice", F.floor(F.col("q") / (1 + F.col("q")) * SLICES))
-        .select("row", "size", "source_size", "target", (F.col("whole") + F.coalesce(more, F.lit(0))).alias("copies"))
-    )
+        .select("row", "size", "source_size", "target",
+                (F.col("whole") + F.coalesce(more, F.lit(0))).alias("copies"),
+                F.coalesce("chance", F.lit(0.0)).alias("chance"))
+    )

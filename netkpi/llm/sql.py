@@ -38,7 +38,8 @@ def mixing(table: str) -> str:
       AS BIGINT) AS h
   FROM {table}),
 sources AS (
-  SELECT source AS of, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
+  SELECT source AS of, CAST(sum(size) AS BIGINT) AS source_size,
+    CAST(sum(size * (size * 1000 // (size + 256))) AS BIGINT) / nullif(CAST(sum(size) AS BIGINT), 0) AS middle, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
   FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CAST([5, 2, 1][nth % 3 + 1] AS DOUBLE) AS w, CAST(source_size * 3 AS DOUBLE) AS cap FROM sources),
@@ -46,14 +47,16 @@ levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
   FROM weighed WINDOW b AS (ORDER BY cap / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT of, source_size, least(cap, w * coalesce(
+  SELECT of, source_size, middle, least(cap, w * coalesce(
     (SELECT level FROM levels WHERE level <= cap / w ORDER BY cap / w, nth LIMIT 1), 0)) AS target FROM levels),
 plan AS (
   SELECT *, least(floor(coalesce(target / nullif(source_size, 0), 0)), 3) AS whole,
     coalesce(target / nullif(source_size, 0), 0) - whole AS part, target - whole * source_size AS rest FROM targets),
 units AS (
   SELECT of, rest, h, ((h + 0.5::DOUBLE) / 4503599627370496::DOUBLE) AS u,
-    (u / (1 - u)) / (part / (1 - part)) AS q, sum(size) AS words
+    greatest(least(part + least(part, 1 - part) * ((size * 1000 // (size + 256) - middle) / 1000::DOUBLE),
+      1 - 1 / 1099511627776::DOUBLE), 1 / 1099511627776::DOUBLE) AS p,
+    (u / (1 - u)) / (p / (1 - p)) AS q, sum(size) AS words
   FROM sized JOIN plan ON source IS NOT DISTINCT FROM of WHERE part > 0 GROUP BY ALL),
 running AS (SELECT *, sum(words) OVER (PARTITION BY of ORDER BY q, h ROWS UNBOUNDED PRECEDING) AS upto FROM units),
 crossing AS (

@@ -49,6 +49,29 @@ def test_many_documents_come_near_their_targets(spark):
     assert all(abs(taken[s] - target[s]) <= max(1, 0.001 * target[s]) for s in target)
 
 
+def test_chances_differ_and_hold(spark):
+    """60 sources of the same 400 documents: how often a size is drawn is what its chance says, and the chances add up."""
+    r = random.Random(5)
+    sizes = [r.choice([3, 40, 200, 900]) for _ in range(400)]
+    texts = {n: " ".join(["w"] * n) for n in sizes}
+    rows = [(1000 * s + i, texts[n], f"{s:04}") for s in range(60) for i, n in enumerate(sizes)]
+    found = mix(documents(spark, rows)).select("row.source", "size", "source_size", "target", "copies", "chance").collect()
+    drawn, words, wanted = defaultdict(list), defaultdict(float), {}
+    for x in found:
+        whole = int(x.target // x.source_size)
+        assert x.copies - whole in (0, 1)
+        drawn[round(x.target / x.source_size, 6), x.size, round(x.chance, 6)].append(x.copies - whole)
+        words[x.source] += x.size * (whole + x.chance)
+        wanted[x.source] = x.target
+    assert all(words[s] == pytest.approx(wanted[s], rel=1e-9) for s in wanted)
+    assert {k[0] for k in drawn} == {1.875, 0.75, 0.375}
+    for ratio in (1.875, 0.75, 0.375):
+        chances = [k[2] for k in sorted(drawn) if k[0] == ratio]  # by size
+        assert len(chances) == 4 and chances == sorted(set(chances)) and chances[-1] - chances[0] > 0.05
+    for (_, _, chance), got in drawn.items():
+        assert sum(got) / len(got) == pytest.approx(chance, abs=0.05)
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 1), ("b", 100), ("c", 100), (None, 0)], "source string, size long")
     found = {r.source: r.target for r in source_targets(sizes, (5, 2, 1), 3).collect()}
