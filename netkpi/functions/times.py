@@ -71,18 +71,37 @@ def _in_format(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(regex), iso)
 
 
-def parse_start_time(text: Column, day_first: bool = False, formats: Sequence[str] = FORMATS) -> Column:
+def _swapped(pattern: str) -> str:
+    return pattern.replace("MM/dd", "dd/MM")
+
+
+def parse_start_time(text: Column, day_first: bool | Column = False, formats: Sequence[str] = FORMATS) -> Column:
     """Read ISO times, then the formats in order; NULL if unreadable.
 
-    ``day_first`` reads ``MM/dd`` formats as ``dd/MM``.
+    ``day_first`` reads ``MM/dd/yyyy`` formats as ``dd/MM/yyyy``; as a column it says so row by row.
     """
     text = F.trim(text)
-    if day_first:
-        formats = [f.replace("MM/dd", "dd/MM") for f in formats]
-    spellings = [F.when(text.rlike(_ISO), text), *[_in_format(text, f) for f in formats]]
+
+    def spelling(pattern: str) -> Column:
+        if not isinstance(day_first, Column):
+            return _in_format(text, _swapped(pattern) if day_first else pattern)
+        if _swapped(pattern) == pattern:
+            return _in_format(text, pattern)
+        return F.when(day_first, _in_format(text, _swapped(pattern))).otherwise(_in_format(text, pattern))
+
+    spellings = [F.when(text.rlike(_ISO), text), *map(spelling, formats)]
     return F.coalesce(*[s.try_cast("timestamp_ntz") for s in spellings])
 
 
+def leading_numbers(text: Column) -> tuple[Column, Column]:
+    """The two numbers before the year of a time like 01/02/2021, if one of them can be the day and the other the
+    month; else NULLs."""
+    regex = r"^(\d{1,2})[/-](\d{1,2})[/-]\d{4}(?:\D|$)"
+    first, second = (F.regexp_extract(F.trim(text), regex, i).try_cast("int") for i in (1, 2))
+    fits = (F.least(first, second) >= 1) & (F.least(first, second) <= 12) & (F.greatest(first, second) <= 31)
+    return F.when(fits, first), F.when(fits, second)
+
+
 def hour_floor(ts: Column) -> Column:
     """Cut a time to the full hour."""
     return F.to_date(ts).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour(ts))

@@ -259,6 +259,19 @@ def csv_awkward_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_text_times(read_report(spark, catalog.LTE_EMTC, pattern)).drop("date", "hour")
 
 
+def csv_day_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with the day first and files with the month first under one pattern; each tells its order by itself."""
+    rows = _text(spark, sf_dir, catalog.LTE_EMTC, all_kinds=True)
+    time = F.col("Start Time")
+    year, month, day, clock = time.substr(1, 4), time.substr(6, 2), time.substr(9, 2), time.substr(11, 20)
+    even = F.right("NE Name", F.lit(1)).cast("int") % 2 == 0
+    folder = _scratch(spark)
+    for name, taken, parts in (("day", even, (day, month)), ("month", ~even, (month, day))):
+        spelled = F.concat(parts[0], F.lit("/"), parts[1], F.lit("/"), year, clock)
+        write_exports(rows.where(taken).withColumn("Start Time", spelled), f"{folder}/orders-{name}")
+    return _with_text_times(read_report(spark, catalog.LTE_EMTC, f"{folder}/orders-*/part-*", day_first=None)).drop("date", "hour")
+
+
 def _scratch_pattern(path: str) -> str:
     return path.replace("[", "\\[").replace("]", "\\]")
 
@@ -470,6 +483,7 @@ def all_queries() -> dict[str, Query]:
         "csv_umts_roundtrip": csv_umts_roundtrip,
         "csv_lte_kpi_day": csv_lte_kpi_day,
         "csv_awkward_roundtrip": csv_awkward_roundtrip,
+        "csv_day_orders": csv_day_orders,
         "csv_line_counts": csv_line_counts,
         "csv_rejects": csv_rejects,
         "csv_umts_kpi_day": csv_umts_kpi_day,

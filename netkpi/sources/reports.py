@@ -7,6 +7,9 @@ file that ends before its header. Files stay splittable: only the lines of a fil
 numbered, by the place of the file's first line in its task (:func:`read_text`).
 
 A line break inside a quoted cell is not supported: such a row is two rows of the wrong width.
+
+Whether 01/02/2021 is in January or February is one setting for all files, or told per file from all its rows
+(``day_first=None``): a number above 12 decides. A file in which both orders occur, or that both fit, fails with its name.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from netkpi.functions.labels import lte_cell_name, umts_cell
 from netkpi.functions.numbers import counter_value, is_junk, quoted, text_or_null
-from netkpi.functions.times import FORMATS, hour_floor, parse_start_time
+from netkpi.functions.times import FORMATS, hour_floor, leading_numbers, parse_start_time
 from netkpi.sources.catalog import UNUSED, Report
 
 PREAMBLE_LINES = 7
@@ -37,6 +40,8 @@ UMTS_LABELS = ("BSC6910UCell", "BSC6900UCell")
 # Columns beside the cells of a line: its text, its file, the text again if its width is wrong, and
 # its place in the file, from 0 (only known up to the header; beyond it, NULL or any larger number), and its kind.
 _LINE, _FILE, _BAD, _PLACE, _KIND = "_line_text", "_line_file", "_line_bad", "_line_place", "_line_kind"
+# Whether the file of a line writes the day before the month; only there if it is told per file.
+_DAY_FIRST = "_line_day_first"
 
 #: Files of one pattern whose first lines are broadcast, about 200 bytes each. More are joined by shuffle.
 MOST_BROADCAST_FILES = 50_000
@@ -80,10 +85,39 @@ def _placed(lines: DataFrame, n_files: int) -> DataFrame:
     return numbered.join(firsts, F.col(_FILE) == F.col("_first_file")).select(_LINE, _FILE, place.alias(_PLACE))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
+def _with_day_order(lines: DataFrame, n_files: int) -> DataFrame:
+    """Lines with ``_DAY_FIRST``, from an aggregate of two numbers per file over the start times of all its rows.
+
+    A file without times of this kind has no order, and needs none; one where day and month are always equal reads alike either way.
+    """
+    first, second = leading_numbers(_start_text())
+    numbers = lines.where(F.col(_KIND) == "row").select(F.col(_FILE).alias("_ordered"), first.alias("_a"), second.alias("_b"))
+    found = (
+        numbers.where("_a IS NOT NULL")
+        .groupBy("_ordered")
+        .agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.bool_and(F.col("_a") == F.col("_b")).alias("_equal"))
+    )
+
+    def failure(text: str) -> Column:
+        return F.raise_error(F.concat("_ordered", F.lit(f": {text}"))).cast("boolean")
+
+    order = (
+        F.when((F.col("_a") > 12) & (F.col("_b") > 12), failure("start times with the day first and with the month first"))
+        .when(F.col("_a") > 12, F.lit(True))
+        .when((F.col("_b") > 12) | F.col("_equal"), F.lit(False))
+        .otherwise(failure("start times can be read with the day first or with the month first; say which"))
+    )
+    found = found.select("_ordered", order.alias(_DAY_FIRST))
+    if n_files <= MOST_BROADCAST_FILES:
+        found = F.broadcast(found)
+    return lines.join(found, F.col(_FILE) == F.col("_ordered"), "left").drop("_ordered")
+
+
+def read_text(spark: SparkSession, path: str, day_order: bool = False) -> DataFrame:
     """All lines of the files of one pattern, as text cells under the names of the header.
 
-    Preamble and header lines are still in; :func:`data_rows` takes them out.
+    Preamble and header lines are still in; :func:`data_rows` takes them out. With ``day_order`` each file tells
+    whether its times have the day or the month first, at the cost of one more scan.
     """
     names, n_files = _header(spark, path)
     if len(set(names)) < len(names):
@@ -95,11 +129,18 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     )
     placed = _placed(lines, n_files)
     parsed = placed.withColumn("_cells", F.from_csv(_LINE, schema, options)).select(_LINE, _FILE, _PLACE, "_cells.*")
-    return parsed.withColumn(_KIND, _kind(names))
+    lines = parsed.withColumn(_KIND, _kind(names))
+    return _with_day_order(lines, n_files) if day_order else lines
 
 
 def _names(lines: DataFrame) -> list[str]:
-    return [n for n in lines.columns if n not in (_LINE, _FILE, _BAD, _PLACE, _KIND)]
+    return [n for n in lines.columns if n not in (_LINE, _FILE, _BAD, _PLACE, _KIND, _DAY_FIRST)]
+
+
+def _start_time(lines: DataFrame, day_first: bool, formats: Sequence[str]) -> Column:
+    """The time of a row; what its file tells goes before ``day_first``."""
+    order = F.coalesce(_DAY_FIRST, F.lit(False)) if _DAY_FIRST in lines.columns else day_first
+    return parse_start_time(_start_text(), order, formats)
 
 
 def _cell(name: str) -> Column:
@@ -180,7 +221,7 @@ def data_rows(
     """
     names = _names(lines)
     text = _start_text()
-    ts = parse_start_time(text, day_first, formats)
+    ts = _start_time(lines, day_first, formats)
     left_out = F.lit(False)
     kind = F.col(_KIND)
     keep = (
@@ -213,7 +254,7 @@ def marked_rows(lines: DataFrame, report: Report, day_first: bool = False, forma
     keep = F.when(kind == "repeated", repeated).otherwise(kind.isin("row", "damaged"))
     labels = [c.label for c in report.counters if c.label in names]
     junk = F.expr(f"concat_ws(', ', {', '.join(f'CASE WHEN {is_junk(n)} THEN {_sql_text(n)} END' for n in labels)})")
-    rows = lines.filter(keep).withColumn("ts", F.when(kind == "row", parse_start_time(_start_text(), day_first, formats)))
+    rows = lines.filter(keep).withColumn("ts", F.when(kind == "row", _start_time(lines, day_first, formats)))
     reason = (
         F.when(kind == "damaged", "missing or additional cells")
         .when(F.col("ts").isNull(), "start time")
@@ -317,7 +358,7 @@ def read_report(
     report: Report,
     paths: str | Sequence[str],
     strict: bool = True,
-    day_first: bool = False,
+    day_first: bool | None = False,
     formats: Sequence[str] = FORMATS,
     checks: list[ReadCheck] | None = None,
     with_rejects: bool = False,
@@ -325,7 +366,8 @@ def read_report(
     """A clean report from all files that match the path patterns.
 
     Files of one pattern share one header; patterns may differ (other column order, other
-    controller type). ``strict=False`` reads junk in a counter as missing and leaves out rows that cannot be read.
+    controller type). ``strict=False`` reads junk in a counter as missing and leaves out rows that cannot be read. ``day_first=None`` lets each file tell the
+    order of day and month.
 
     ``with_rejects`` reads leniently and keeps the rejected lines, with ``REJECT``: write the result once and take rows
     (those with an hour) and :func:`rejects` from there.
@@ -335,13 +377,14 @@ def read_report(
     """
     result = None
     for path in [paths] if isinstance(paths, str) else paths:
-        lines = read_text(spark, path)
+        lines = read_text(spark, path, day_order=day_first is None)
         _check_columns(_names(lines), report)
         check = ReadCheck.of(lines, report, not strict)
         if checks is not None:
             checks.append(check)
         lines = check.observed()
-        rows = marked_rows(lines, report, day_first, formats) if with_rejects else data_rows(lines, report, day_first, formats, strict)
+        order = bool(day_first)
+        rows = marked_rows(lines, report, order, formats) if with_rejects else data_rows(lines, report, order, formats, strict)
         part = clean(rows, report, strict and not with_rejects)
         result = part if result is None else result.unionByName(part)
     if result is None:

@@ -782,6 +782,8 @@ def all_sql() -> dict[str, str]:
         "csv_lte_kpi_day": _with(_lte_joined(), _lte_network("k", "day")) + "SELECT * FROM k",
         "csv_awkward_roundtrip": _with(_EV, _report("lte_emtc", all_kinds=True))
         + f"SELECT {_START} AS start_time, * EXCLUDE (h) FROM lte_emtc",
+        "csv_day_orders": _with(_EV, _report("lte_emtc", all_kinds=True))
+        + f"SELECT {_START} AS start_time, * EXCLUDE (h) FROM lte_emtc",
         "csv_line_counts": _with(_EV, _report("lte_emtc", all_kinds=True))
         + "SELECT count(*) AS n_rows, 0 AS more_not_data, count(*) FILTER (right(ne_name, 1) = '3') AS without_time, "
         "count(*) FILTER (right(ne_name, 1) = '4') AS junk_cells FROM lte_emtc",

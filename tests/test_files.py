@@ -136,6 +136,51 @@ def test_preambles_that_look_like_data(spark, tmp_path):
     assert [r[3:] for r in _read(spark, tmp_path / "*.csv")] == [(1.0, 2.0)] * 6
 
 
+def _timed(path, *times):
+    write_export(path, NAMES, [[t, "60", "NE1", CELL, "1", "2"] for t in times])
+
+
+def test_each_file_tells_the_order_of_day_and_month(spark, tmp_path):
+    _timed(tmp_path / "day.csv", "01/02/2021 05:00", "13/02/2021 06:00", "30-01-2021 07:00")
+    _timed(tmp_path / "month.csv", "01/02/2021 05:00", "01/13/2021 1:00 PM")
+    _timed(tmp_path / "equal.csv", "03/03/2021 05:00", "04/04/2021 05:00")
+    _timed(tmp_path / "iso.csv", "2021-05-06 07:00", "2021/05/07 08:00")
+    _timed(tmp_path / "empty.csv")
+    found = [r[0] for r in _read(spark, tmp_path / "*.csv", day_first=None)]
+    assert sorted(found) == [
+        dt.datetime(2021, 1, 2, 5),
+        dt.datetime(2021, 1, 13, 13),
+        dt.datetime(2021, 1, 30, 7),
+        dt.datetime(2021, 2, 1, 5),
+        dt.datetime(2021, 2, 13, 6),
+        dt.datetime(2021, 3, 3, 5),
+        dt.datetime(2021, 4, 4, 5),
+        dt.datetime(2021, 5, 6, 7),
+        dt.datetime(2021, 5, 7, 8),
+    ]
+
+
+def test_files_that_do_not_tell_their_order_fail(spark, tmp_path):
+    _timed(tmp_path / "both.csv", "13/02/2021 05:00", "02/13/2021 05:00")
+    with pytest.raises(Exception, match="both.csv.*day first and with the month first"):
+        _read(spark, tmp_path / "both.csv", day_first=None)
+    _timed(tmp_path / "unsure.csv", "01/02/2021 05:00", "03/03/2021 05:00")
+    with pytest.raises(Exception, match="unsure.csv.*say which"):
+        _read(spark, tmp_path / "unsure.csv", day_first=None)
+    # a time that neither order can read decides nothing: it is a reject
+    _timed(tmp_path / "junk.csv", "31/01/2021 05:00", "02/31/20210 05:00", "13/29/2021 05:00", "00/13/2021 05:00")
+    rows = read_report(spark, catalog.LTE_EMTC, str(tmp_path / "junk.csv"), day_first=None, with_rejects=True)
+    assert [r.hour_ts for r in rows.where("hour_ts IS NOT NULL").collect()] == [dt.datetime(2021, 1, 31, 5)]
+    assert rejects(rows, "r").count() == 3
+
+
+def test_day_order_of_the_command_line():
+    given = ["lte", "--daily", "a", "--daily1", "b", "--emtc", "c", "--operator", "d", "--out", "o"]
+    assert arguments().parse_args([*given, "--day-order-by-file"]).day_order_by_file
+    with pytest.raises(SystemExit):
+        arguments().parse_args([*given, "--day-order-by-file", "--day-first"])
+
+
 WIDE = ",60,NE1,x,1,2"  # as wide as a row, with a blank start time
 DAMAGED = GOOD.rsplit(",", 1)[0]
 
