@@ -43,6 +43,7 @@ def arguments() -> argparse.ArgumentParser:
         command.add_argument("--mode", choices=MODES, default="error", help="what to do about tables that are there")
         command.add_argument("--staging", help="folder of staged tables that a failed run has left")
         command.add_argument("--time-format", nargs="+", default=FORMATS, help="start times, beside ISO")
+        command.add_argument("--drop-unmatched", action="store_true", help="leave out cells and hours that a report lacks before the sums")
         order = command.add_mutually_exclusive_group()
         order.add_argument("--day-first", action="store_true", help="01/02/2021 is the first of February")
         order.add_argument("--day-order-by-file", action="store_true", help="each file tells whether the day or the month is first")
@@ -53,7 +54,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = arguments().parse_args(argv)
     spark = settled(SparkSession.builder.appName(f"netkpi {args.tech}").getOrCreate())
     options = {"strict": not args.lenient, "with_rejects": args.lenient, "day_first": None if args.day_order_by_file else args.day_first, "formats": tuple(args.time_format)}
-    written = {"format": args.format, "labels": args.labels, "mode": args.mode, "staging": args.staging}
+    written = {"format": args.format, "labels": args.labels, "mode": args.mode, "staging": args.staging, "drop_unmatched": args.drop_unmatched}
     if args.tech == "lte":
         reports = lte.read_reports(spark, args.daily, args.daily1, args.emtc, args.operator, **options)
         lte.write_report(spark, reports, args.out, **written)

@@ -61,6 +61,12 @@ def days_of(hours: DataFrame, aggregates: Sequence[Column], more: Sequence[str]
     return hours.groupBy(*more, "date").agg(*aggregates)
 
 
+def hours_of(hours: DataFrame) -> DataFrame:
+    """``hour_ts`` of the groups of the hour grain, one row each."""
+    hour_ts = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("hour"))
+    return hours.select(hour_ts.alias("hour_ts"))
+
+
 def by_grains(
     rows: DataFrame, aggregates: Sequence[Column], tech: str, grains: Sequence[str] | None = None
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,30 +11,36 @@ def hour_range(rows: DataFrame) -> DataFrame:
     return rows.agg(F.min("hour_ts").alias("first_hour"), F.max("hour_ts").alias("last_hour"))
 
 
-def first_last_rows(rows: DataFrame) -> DataFrame:
+def _ends(hours: DataFrame) -> tuple[Column, Column]:
+    """First and last hour of ``hours`` as values. Both are parts of one scalar subquery, which Spark runs once however
+    often it is used."""
+    both = hour_range(hours).select(F.struct("first_hour", "last_hour")).scalar()
+    return both["first_hour"], both["last_hour"]
+
+
+def first_last_rows(rows: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Rows of the first and of the last hour, marked in column ``moment``.
 
-    The two hours are found first, from one column; as values in a filter they reach the scan of
-    ``rows``, and only rows of these hours go on.
+    The two hours are found first, from one column of ``rows`` or, if given, of the smaller table ``hours``, which has
+    the same hours; as values in a filter they reach the scan of ``rows``, and only rows of these hours go on.
     """
-    hours = hour_range(rows)
-    first, last = hours.select("first_hour").scalar(), hours.select("last_hour").scalar()
+    first, last = _ends(rows if hours is None else hours)
     moment = F.when(F.col("hour_ts") == first, "first").otherwise("last")
     return rows.filter((F.col("hour_ts") == first) | (F.col("hour_ts") == last)).withColumn("moment", moment)
 
 
-def cell_integrity(cells: DataFrame, cell_column: str = "cell_name") -> DataFrame:
+def cell_integrity(cells: DataFrame, cell_column: str = "cell_name", hours: DataFrame | None = None) -> DataFrame:
     """One row: distinct cell names in the first and in the last hour (missing names do not count).
 
-    Only the names of two hours are shuffled.
+    Only the names of two hours are shuffled. ``hours`` as in :func:`first_last_rows`.
     """
-    names = first_last_rows(cells.select("hour_ts", cell_column)).filter(F.col(cell_column).isNotNull())
+    names = first_last_rows(cells.select("hour_ts", cell_column), hours).filter(F.col(cell_column).isNotNull())
     counts = names.select("moment", cell_column).distinct()
     # a single hour is the first and the last one
-    only = hour_range(cells).select((F.col("first_hour") == F.col("last_hour")).alias("only")).scalar()
+    first, last = _ends(cells if hours is None else hours)
     return counts.agg(
         F.count_if(F.col("moment") == "first").alias("cells_before"),
-        F.count_if((F.col("moment") == "last") | only).alias("cells_after"),
+        F.count_if((F.col("moment") == "last") | (first == last)).alias("cells_after"),
     )
 
 

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from netkpi.operators import summary as summary_rows
-from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_of, text_times
+from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_of, hours_of, text_times
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.operators.slices import only_slice, with_slice
@@ -50,10 +50,12 @@ def read_reports(spark: SparkSession, daily: str, daily1: str, emtc: str, operat
     return LteReports(*parts, checks=tuple(checks))
 
 
-def cells(daily: DataFrame, daily1: DataFrame, emtc: DataFrame, everything: bool = False) -> DataFrame:
+def cells(
+    daily: DataFrame, daily1: DataFrame, emtc: DataFrame, everything: bool = False, drop_unmatched: bool = False
+) -> DataFrame:
     """The three network reports joined: one partial per hour and cell, of what the KPIs read (or of all)."""
     measures = (spec.DAILY, spec.DAILY1, spec.EMTC) if everything else spec.READ
-    return join_reports(list(zip((daily, daily1, emtc), measures, strict=True)), catalog.KEYS[TECH])
+    return join_reports(list(zip((daily, daily1, emtc), measures, strict=True)), catalog.KEYS[TECH], drop_unmatched)
 
 
 def network_groups(cell_hours: DataFrame, grain: str) -> DataFrame:
@@ -139,8 +141,9 @@ def write_report(
     labels: bool = False,
     mode: str = "error",
     staging: str | None = None,
+    drop_unmatched: bool = False,
 ) -> None:
-    """Write all tables under ``out``.
+    """Write all tables under ``out``. ``drop_unmatched`` as in :func:`~netkpi.operators.joins.join_reports`.
 
     The joined cells and the sums per operator are written once to the staging folder, then one
     aggregate per grain of each (days from hours); all tables of a grain are made from these. A lost
@@ -151,9 +154,11 @@ def write_report(
     and the summary is made anew from the day tables. A day without rows in a table stays as it is there. If it fails, run it again.
     """
     with Stage(spark, staging) as stage:
-        read, rejected = split_reads(stage, {"lte_daily": reports.daily, "lte_daily1": reports.daily1, "lte_emtc": reports.emtc, "lte_operator": reports.operator})
+        network_reports = {"lte_daily": reports.daily, "lte_daily1": reports.daily1, "lte_emtc": reports.emtc}
+        used_twice = list(network_reports) if drop_unmatched and reports.checks else []
+        read, rejected = split_reads(stage, {**network_reports, "lte_operator": reports.operator}, used_twice)
         inputs = {
-            "cells": cells(read["lte_daily"], read["lte_daily1"], read["lte_emtc"]),
+            "cells": cells(read["lte_daily"], read["lte_daily1"], read["lte_emtc"], drop_unmatched=drop_unmatched),
             "operator": operator_hours(read["lte_operator"]),
         }
         staged = staged_inputs(stage, inputs, reports.checks, TECH)
@@ -194,5 +199,6 @@ def write_report(
             write_summary(summary(integrity, days), out, TECH, format, mode)
         else:
             days = {s: table(s, "day") for s in SLICE_NAMES}
-            lines = summary(cell_integrity(cell_hours), days)
+            hours = hours_of(network["hour"])
+            lines = summary(cell_integrity(cell_hours, hours=hours), days)
             run_together([*details, quality, partial(write_summary, lines, out, TECH, format, mode)])

@@ -146,6 +146,18 @@ def umts_report_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_text_times(_whole_counts(umts_cells(spark, sf_dir))).drop("date", "hour")
 
 
+def lte_join_drop_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined report, with rows that have no partner left out before the sums."""
+    reports = (catalog.LTE_DAILY, catalog.LTE_DAILY1, catalog.LTE_EMTC)
+    cells = lte.cells(*[_clean(spark, sf_dir, r) for r in reports], everything=True, drop_unmatched=True)
+    return _with_text_times(_whole_counts(cells)).drop("date", "hour")
+
+
+def umts_join_drop_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = umts.cells(*[_clean(spark, sf_dir, r) for r in (catalog.UMTS_DAILY, catalog.UMTS_DAILY1)], drop_unmatched=True)
+    return _with_text_times(_whole_counts(cells)).drop("date", "hour")
+
+
 def _few_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joined report with ten cell names: they repeat in each report, and from site to site."""
     name = F.concat(F.lit("C"), F.right("cell_name", F.lit(1)))
@@ -473,6 +485,8 @@ def all_queries() -> dict[str, Query]:
         "duplicate_keys": repeated_keys,
         "lte_report_join": lte_report_join,
         "umts_report_join": umts_report_join,
+        "lte_join_drop_unmatched": lte_join_drop_unmatched,
+        "umts_join_drop_unmatched": umts_join_drop_unmatched,
         "first_last_snapshot": first_last_snapshot,
         "cell_integrity": lte_cell_integrity,
         "lte_summary": lte_summary,

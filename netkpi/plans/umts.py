@@ -46,13 +46,13 @@ def read_reports(spark: SparkSession, daily: str, daily1: str, operator: str, **
     return UmtsReports(*parts, checks=tuple(checks))
 
 
-def cells(daily: DataFrame, daily1: DataFrame) -> DataFrame:
+def cells(daily: DataFrame, daily1: DataFrame, drop_unmatched: bool = False) -> DataFrame:
     """The two network reports joined: one partial per hour and cell."""
     sides = [
         (spec.with_terms(daily, spec.DAILY_TERMS), spec.DAILY),
         (spec.with_terms(daily1, spec.DAILY1_TERMS), spec.DAILY1),
     ]
-    return join_reports(sides, catalog.KEYS[TECH])
+    return join_reports(sides, catalog.KEYS[TECH], drop_unmatched)
 
 
 def network_groups(cell_hours: DataFrame, grain: str) -> DataFrame:
@@ -117,10 +117,6 @@ def kpis_of(slice_name: str) -> Sequence[Kpi]:
     return spec.NETWORK_KPIS if slice_name == "ALL" else spec.operator_kpis(slice_name)
 
 
-def kpis_of(slice_name: str) -> Sequence[Kpi]:
-    return spec.NETWORK_KPIS if slice_name == "ALL" else spec.operator_kpis(slice_name)
-
-
 def write_report(
     spark: SparkSession,
     reports: UmtsReports,
@@ -129,11 +125,17 @@ def write_report(
     labels: bool = False,
     mode: str = "error",
     staging: str | None = None,
+    drop_unmatched: bool = False,
 ) -> None:
-    """Write all tables under ``out``; see the LTE report for staging and ``mode``."""
+    """Write all tables under ``out``; see the LTE report for staging, ``mode`` and ``drop_unmatched``."""
     with Stage(spark, staging) as stage:
-        read, rejected = split_reads(stage, {"umts_daily": reports.daily, "umts_daily1": reports.daily1, "umts_operator": reports.operator})
-        inputs = {"cells": cells(read["umts_daily"], read["umts_daily1"]), "operator": operator_hours(read["umts_operator"])}
+        network_reports = {"umts_daily": reports.daily, "umts_daily1": reports.daily1}
+        used_twice = list(network_reports) if drop_unmatched and reports.checks else []
+        read, rejected = split_reads(stage, {**network_reports, "umts_operator": reports.operator}, used_twice)
+        inputs = {
+            "cells": cells(read["umts_daily"], read["umts_daily1"], drop_unmatched),
+            "operator": operator_hours(read["umts_operator"]),
+        }
         staged = staged_inputs(stage, inputs, reports.checks, TECH)
         network = stage_groups(
             stage,
@@ -158,15 +160,6 @@ def write_report(
 
         details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
         quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
-        if rejected is not None:
-            details.append(partial(write_rejects, rejected, out, TECH, format, mode))
-        if mode == "update":  # the summary is about all days that are there now
-            run_together([*details, quality])
-            days = {s: read_back(spark, out, TECH, s, "day", kpis_of(s), format, labels).drop("day") for s in SLICE_NAMES}
-            write_summary(summary(days), out, TECH, format, mode)
-        else:
-            details = [partial(write, s, g) for s in SLICE_NAMES for g in GRAINS[TECH]]
-        quality = partial(write_quality, staged["quality"], out, TECH, format, mode)
         if rejected is not None:
             details.append(partial(write_rejects, rejected, out, TECH, format, mode))
         if mode == "update":  # the summary is about all days that are there now

@@ -45,25 +45,29 @@ def staged_inputs(
 ) -> dict[str, DataFrame]:
     """Write the inputs of the report, and count what was left out of the files they come from.
 
-    A stage that is taken up again has its inputs already; files are then counted on their own.
+    A stage that is taken up again has some of its inputs, or of the reads before them, already; files are then counted
+    on their own.
     """
-    fresh = not any(is_complete(stage.spark, f"{stage.folder}/{n}") for n in inputs)
     found = {name: stage.table(df, name) for name, df in inputs.items()}
+    fresh = not stage.taken
     quality = f"{stage.folder}/quality"
     counts = [] if is_complete(stage.spark, quality) else [(c.report.name, c.counts(fresh)) for c in checks]
     found["quality"] = stage.table(quality_rows(stage.spark, counts, tech, found["cells"]), "quality")
     return found
 
 
-def split_reads(stage: Stage, reports: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame | None]:
+def split_reads(
+    stage: Stage, reports: dict[str, DataFrame], used_twice: Sequence[str] = ()
+) -> tuple[dict[str, DataFrame], DataFrame | None]:
     """Reports without their rejected lines, and the rejects of all, if they were read with these.
 
-    What was read is written once per report; rows and rejects are parts of that table.
+    What was read with rejects is written once per report; rows and rejects are parts of that table. Reports that come
+    from text and are ``used_twice`` are written too, so that no line is parsed twice.
     """
     rows, found = {}, None
     for name, df in reports.items():
         if REJECT not in df.columns:
-            rows[name] = df
+            rows[name] = stage.table(df, f"read_{name}") if name in used_twice else df
             continue
         read = stage.table(df, f"read_{name}")
         rows[name] = read.where("hour_ts IS NOT NULL").drop(REJECT)

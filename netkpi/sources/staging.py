@@ -42,6 +42,7 @@ class Stage:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
         self.folder = folder or f"{shared_folder(spark)}/netkpi-{uuid.uuid4().hex}"
+        self.taken: set[str] = set()  # names of tables that were there already
 
     @staticmethod
     def of_session(spark: SparkSession) -> Stage:
@@ -69,7 +70,9 @@ class Stage:
 
     def table(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         path = f"{self.folder}/{name}"
-        if not is_complete(self.spark, path):
+        if is_complete(self.spark, path):
+            self.taken.add(name)
+        else:
             df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -806,6 +806,8 @@ def all_sql() -> dict[str, str]:
         "lte_summary_by_day": _summary("lte"),
         "umts_report_by_day": _sink_values("umts"),
     }
+    for tech in ("lte", "umts"):  # what is left out before the sums has no partner anyway
+        found[f"{tech}_join_drop_unmatched"] = found[f"{tech}_report_join"]
     for grain in _GRAINS:
         found[f"lte_kpi_{grain}"] = _with(_lte_joined(), _lte_network("k", grain)) + "SELECT * FROM k"
         found[f"umts_kpi_{grain}"] = _with(_umts_joined(), _umts_network("k", grain)) + "SELECT * FROM k"

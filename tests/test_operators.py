@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netkpi.operators.grains import GRAINS, by_grain, by_grains, text_times
-from netkpi.operators.joins import duplicate_keys, join_reports
+from netkpi.operators.joins import duplicate_keys, join_reports, shared_keys, with_shared_key
 from netkpi.operators.measures import Measures
 from netkpi.operators.slices import only_slice, with_slice
 from netkpi.operators.snapshots import cell_integrity, first_last_rows, hour_range
@@ -40,8 +40,9 @@ def _plain(df):
     return sorted(map(repr, (tuple(r) for r in df.collect())))
 
 
+@pytest.mark.parametrize("drop_unmatched", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_join_equals_row_by_row_join(spark, seed):
+def test_join_equals_row_by_row_join(spark, seed, drop_unmatched):
     a = _random_rows(seed, 300, 2)
     b = _random_rows(seed + 10, 200, 1)
     c = _random_rows(seed + 20, 100, 1)
@@ -55,7 +56,7 @@ def test_join_equals_row_by_row_join(spark, seed):
     ]
     got = {
         (r.hour_ts, r.ne_name, r.cell_name): (r.x, r.y, r.n_x, r.max_y, r.z, r.w, r.n_w, r.max_w, r.joined_rows)
-        for r in join_reports(sides, KEYS).collect()
+        for r in join_reports(sides, KEYS, drop_unmatched).collect()
     }
 
     # pandas also joins missing keys with missing keys
@@ -110,6 +111,66 @@ def test_join_shuffles_each_report_once(spark):
     assert plan.count("SortMergeJoin") == 2
 
 
+def _keyed(spark, first: int, n: int):
+    """``n`` rows of unique keys; some lack a part of their key."""
+    return spark.range(first, first + n).selectExpr(
+        "timestamp_ntz '2021-01-01 00:00:00' + make_dt_interval(0, int(id % 100)) hour_ts",
+        "if(id % 7 = 0, null, 'N' || id) ne_name",
+        "if(id % 11 = 0, null, 'C' || id) cell_name",
+        "id",
+    )
+
+
+def test_rows_without_partners_go_before_the_sums(spark):
+    """Half of the keys match: no row of these is lost, and few others stay."""
+    names = ["hour_ts", *KEYS]
+    sides = [_keyed(spark, 0, 20_000), _keyed(spark, 10_000, 20_000), _keyed(spark, 9_000, 21_000)]
+    found = shared_keys(sides, names, words=2**14)
+    for side in sides:
+        left = {r.id for r in with_shared_key(side, found, names, words=2**14).select("id").collect()}
+        assert set(range(10_000, 20_000)) <= left
+        assert len(left) < 11_000
+    assert with_shared_key(sides[0], found, names, words=2**14).columns == sides[0].columns
+
+
+def test_a_key_filter_that_is_too_small_loses_nothing(spark):
+    names = ["hour_ts", *KEYS]
+    sides = [_keyed(spark, 0, 3_000), _keyed(spark, 1_000, 3_000)]
+    found = shared_keys(sides, names, words=2)
+    assert found.count() == 2
+    left = {r.id for r in with_shared_key(sides[0], found, names, words=2).collect()}
+    assert set(range(1_000, 3_000)) <= left
+
+
+def test_a_report_without_rows_leaves_no_keys(spark):
+    names = ["hour_ts", *KEYS]
+    sides = [_keyed(spark, 0, 100), _keyed(spark, 0, 0)]
+    assert shared_keys(sides, names).count() == 0
+    measured = [(s.withColumn(c, F.lit(1.0)), Measures((c,))) for s, c in zip(sides, "xz")]
+    assert join_reports(measured, KEYS, drop_unmatched=True).count() == 0
+
+
+def test_the_key_filter_is_below_the_sums(spark, tmp_path):
+    """Each report's rows meet the filter before the exchange of their sums; for the filter only keys are read."""
+    sides = []
+    for c, first in (("x", 0), ("z", 500)):
+        _keyed(spark, first, 1_000).withColumn(c, F.lit(1.0)).write.parquet(str(tmp_path / c))
+        sides.append((spark.read.parquet(str(tmp_path / c)), Measures((c,))))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = join_reports(sides, KEYS, drop_unmatched=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = plan.splitlines()
+    for c in ("x", "z"):
+        summed = next(i for i, line in enumerate(lines) if f"partial_sum({c}#" in line)
+        below = "\n".join(lines[summed : summed + 4])
+        assert "BroadcastHashJoin" in below and "LeftSemi" in below, below
+    schemas = [line.split("ReadSchema: ")[1] for line in lines if "ReadSchema: " in line]
+    keys_only = [s for s in schemas if ":double" not in s]
+    assert len(keys_only) >= 2 and len(schemas) - len(keys_only) == 2, schemas
+
+
 def test_duplicate_keys(spark):
     rows = [(T0, "N", "C"), (T0, "N", "C"), (T0, "N", None), (T0, "N", None), (T0, "N", "D")]
     found = duplicate_keys(spark.createDataFrame(rows, SCHEMA), KEYS)
@@ -173,6 +234,30 @@ def test_first_and_last_hour(spark):
     assert marked == [("first", h[0])] * 3 + [("last", h[2])] * 2
 
 
+def test_hours_are_looked_up_once(spark, tmp_path):
+    rows = [(T0 + dt.timedelta(hours=i), "N", f"C{i % 3}") for i in range(9)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "cells"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = cell_integrity(spark.read.parquet(str(tmp_path / "cells")))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert tuple(found.first()) == (1, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "ReusedSubquery" in plan
+    assert plan.count("FileScan") == 2  # the cells, and one look for both hours
+
+
+def test_hours_from_another_table(spark):
+    h = [T0 + dt.timedelta(hours=i) for i in range(3)]
+    rows = [(h[0], "N", "C1"), (h[1], "N", "C9"), (h[2], "N", "C1"), (h[2], "N", "C2")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    hours = spark.createDataFrame([(x,) for x in h], "hour_ts timestamp_ntz")
+    assert tuple(cell_integrity(df, hours=hours).first()) == (1, 2)
+    nothing = hours.where("false")
+    assert tuple(cell_integrity(df.where("false"), hours=nothing).first()) == (0, 0)
+
+
 def test_single_hour_is_first(spark):
     df = spark.createDataFrame([(T0, "N", "C")], SCHEMA)
     assert [r.moment for r in first_last_rows(df).collect()] == ["first"]
