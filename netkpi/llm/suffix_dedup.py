@@ -673,6 +673,8 @@ def _remove(batches: Iterator) -> Iterator:
 
 def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Texts repeated as a whole (``text``), and byte ranges of texts that are repeated (``text``, ``start``, ``end``)."""
+    import numpy as np
+
     spark = docs.sparkSession
     workers_import(spark)
     folder = scratch(spark)
@@ -700,11 +702,14 @@ def repeated_ranges(docs: DataFrame, length: int, text_col: str = "text") -> tup
     n, n_hot = to_compare.agg(F.count_if(~hot), F.count_if(hot)).first()
     if not n + n_hot:
         return whole, repeated
-    n_ranges = min(-(-n // RANGE_ROWS), 10_000)
+    n_ranges = int(-(-n // RANGE_ROWS))
     splitters: list[int] = []
-    if n_ranges > 1:  # quantiles of the first bytes, from a summary of bounded size
-        shares = [i / n_ranges for i in range(1, n_ranges)]
-        splitters = to_compare.where(~hot).select(F.percentile_approx("head", shares, 10_000)).first()[0]
+    if n_ranges > 1:
+        # Quantiles of the first bytes: 8 bytes per 20,000 suffixes. The summary has more steps than there are ranges, or a
+        # range could not be narrower than a step.
+        shares = F.lit(np.arange(1, n_ranges) / n_ranges)
+        steps = max(10_000, 4 * n_ranges)
+        splitters = to_compare.where(~hot).select(F.percentile_approx("head", shares, F.lit(steps))).first()[0]
     places = to_compare.groupBy("text").agg(
         F.collect_set(F.when(~hot, F.col("place"))).alias("places"), F.collect_set(F.when(hot, F.col("place"))).alias("hot")
     )

@@ -108,6 +108,26 @@ def test_hot_grams_are_split(spark, monkeypatch, hot_rows):
     assert ordered(found(documents(spark, rows), 200)) == ordered(plain(rows, 200))
 
 
+def test_more_than_10_000_ranges(spark, monkeypatch):
+    """The number of ranges has no cap: it grows with the suffixes that are compared."""
+    made, make_runs = [], suffix_dedup._make_runs
+    monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 0.01)
+    monkeypatch.setattr(suffix_dedup, "_make_runs", lambda length, cuts: made.append(len(cuts)) or make_runs(length, cuts))
+    rows = spliced(5, 60)
+    assert ordered(found(documents(spark, rows), 64)) == ordered(plain(rows, 64))
+    assert made[0] > 10_000
+
+
+def test_texts_longer_than_a_portion(spark):
+    """Texts that are cut for hashing, with repeats across the cuts, in themselves and in each other."""
+    long, passage = prose(31, 220_000), prose(32, 80)
+    size = suffix_dedup.PORTION
+    assert len(long.encode()) > size + 10_000
+    cut = long[: size - 150] + passage + long[size - 150 :]
+    rows = [(1, cut, "a"), (2, prose(33, 20) + passage + prose(34, 20), "a"), (3, prose(35, 90) + long[size - 1000 : size + 1000], "a")]
+    assert ordered(found(documents(spark, rows), 200)) == ordered(plain(rows, 200))
+
+
 def test_many_grams_of_one_head_are_split():
     import numpy as np
 
