@@ -37,7 +37,7 @@ _PARTS = {
     ":ss": r"(?::(\d{2})(?:\.\d+)?)?",
     "a": r"([AaPp])\.?[Mm]\.?",
 }
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def _in_format(text: Column, pattern: str) -> Column:
@@ -56,7 +56,7 @@ def _in_format(text: Column, pattern: str) -> Column:
         return F.regexp_extract(text, regex, parts.index(name) + 1)
 
     month = F.lpad(part("MM"), 2, "0") if "MM" in parts else F.lpad(
-        ((F.instr(F.lit(_MONTHS), F.lower(part("MMM"))) + 2) / 3).cast("int").cast("string"), 2, "0"
+        F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(part("MMM"))).cast("string"), 2, "0"
     )
     if "hh" in parts:
         number = part("hh").try_cast("int")

@@ -12,9 +12,10 @@ from netkpi.operators.measures import Measures
 
 _MISSING = "_missing"
 
-#: Words of 64 bits in a key filter: 32 MB where it is broadcast, whatever the number of keys. Up to some 15 million
-#: distinct keys one row in 20 that has no partner passes; the more keys there are beyond, the more rows pass.
-FILTER_WORDS = 2**21
+#: Words of 64 bits in a key filter. Whatever the number of keys, it has no more rows of two numbers than that: 16 MB to broadcast,
+#: some 50 MB in memory. Up to some 7 million distinct keys fewer than one row in 20 that has no partner passes; the more keys there are
+#: beyond, the more rows pass.
+FILTER_WORDS = 2**20
 
 
 def _place(keys: Sequence[str], words: int) -> tuple[Column, Column]:

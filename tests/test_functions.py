@@ -96,6 +96,14 @@ def test_start_times(spark):
     assert _column(df, keys["hour"])[3] == "02:00"
 
 
+def test_month_names(spark):
+    """Each month by its name; three letters out of two neighbouring names are none."""
+    names = ["Jan", "feb", "MAR", "April", "May", "Jun", "Jul", "Aug", "September", "Oct", "Nov", "Dec"]
+    texts = [f"05-{n}-2021 13:00" for n in [*names, "Anf", "nfe", "ecj"]]
+    want = [dt.datetime(2021, m, 5, 13) for m in range(1, 13)] + [None] * 3
+    assert _column(_texts(spark, texts), parse_start_time(F.col("c"))) == want
+
+
 def test_day_first(spark):
     df = _texts(spark, ["01/02/2021 05:00"])
     assert _column(df, parse_start_time(F.col("c"))) == [dt.datetime(2021, 1, 2, 5)]
