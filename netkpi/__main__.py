@@ -12,14 +12,10 @@ from pyspark.sql import SparkSession
 
 from netkpi.functions.times import FORMATS
 from netkpi.plans import lte, umts
+from netkpi.plans.writing import SETTINGS
 from netkpi.sinks.tables import MODES
 
 
-#: Settings of a run that the caller has not set. Stages of 60 columns make methods that the JIT
-#: compiler is slow with; above this size plain code is used for them.
-SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-
-
 def settled(spark: SparkSession) -> SparkSession:
     given = dict(spark.sparkContext.getConf().getAll())
     for name, value in SETTINGS.items():

@@ -15,7 +15,7 @@ from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.operators.slices import only_slice, with_slice
 from netkpi.operators.snapshots import cell_integrity, cell_integrity_of_tables
 from netkpi.plans import lte_kpis as spec
-from netkpi.plans.writing import split_reads, stage_groups, staged_inputs
+from netkpi.plans.writing import settled, split_reads, stage_groups, staged_inputs
 from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_rejects, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import ReadCheck, read_report
@@ -153,7 +153,7 @@ def write_report(
     With ``mode="update"`` the reports hold some days only: these are replaced in the tables that are there, or added to them,
     and the summary is made anew from the day tables. A day without rows in a table stays as it is there. If it fails, run it again.
     """
-    with Stage(spark, staging) as stage:
+    with settled(spark), Stage(spark, staging) as stage:
         network_reports = {"lte_daily": reports.daily, "lte_daily1": reports.daily1, "lte_emtc": reports.emtc}
         used_twice = list(network_reports) if drop_unmatched and reports.checks else []
         read, rejected = split_reads(stage, {**network_reports, "lte_operator": reports.operator}, used_twice)

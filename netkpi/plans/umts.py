@@ -13,7 +13,7 @@ from netkpi.operators.grains import ALL_KEYS, GRAINS, by_grain, by_grains, days_
 from netkpi.operators.joins import join_reports
 from netkpi.operators.kpis import Kpi, with_kpis
 from netkpi.plans import umts_kpis as spec
-from netkpi.plans.writing import split_reads, stage_groups, staged_inputs
+from netkpi.plans.writing import settled, split_reads, stage_groups, staged_inputs
 from netkpi.sinks.tables import SLICE_NAMES, read_back, run_together, write_quality, write_rejects, write_summary, write_table
 from netkpi.sources import catalog
 from netkpi.sources.reports import ReadCheck, read_report
@@ -128,7 +128,7 @@ def write_report(
     drop_unmatched: bool = False,
 ) -> None:
     """Write all tables under ``out``; see the LTE report for staging, ``mode`` and ``drop_unmatched``."""
-    with Stage(spark, staging) as stage:
+    with settled(spark), Stage(spark, staging) as stage:
         network_reports = {"umts_daily": reports.daily, "umts_daily1": reports.daily1}
         used_twice = list(network_reports) if drop_unmatched and reports.checks else []
         read, rejected = split_reads(stage, {**network_reports, "umts_operator": reports.operator}, used_twice)

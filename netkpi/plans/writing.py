@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,23 @@ from netkpi.sources.staging import Stage, is_complete
 #: Grains made from the joined cells; days are made of hours.
 FROM_CELLS = ("hour", "cell", "cell_hour")
 
+#: Settings that a caller has not given. Stages of 60 columns make methods of more than 8000 bytes, which the JIT compiler
+#: leaves to the interpreter; above this size plain code is used for them.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+@contextmanager
+def settled(spark: SparkSession) -> Iterator[None]:
+    """``SETTINGS`` hold while a report is written, also in sessions that know nothing of them."""
+    ours = {name: value for name, value in SETTINGS.items() if spark.conf.get(name, None) is None}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name in ours:
+            spark.conf.unset(name)
+
 
 def stage_groups(
     stage: Stage, name: str, groups: Callable[[str], DataFrame], days: Callable[[DataFrame], DataFrame]

@@ -12,7 +12,7 @@ from netkpi.__main__ import arguments, main
 from netkpi.operators.grains import GRAINS
 from netkpi.plans import lte, lte_kpis, umts, umts_kpis
 from netkpi.plans.registered import all_queries, write_exports
-from netkpi.plans.writing import split_reads
+from netkpi.plans.writing import SETTINGS, settled, split_reads
 from netkpi.sinks.tables import read_table, write_table
 from netkpi.sources import adapters, catalog, reports
 from netkpi.sources.reports import line_counts, read_report, read_text, rejects
@@ -468,3 +468,22 @@ def test_passes_over_the_staged_data(spark, tmp_path, monkeypatch):
     lte.write_report(spark, lte.LteReports(*[adapters.clean_report(rows, catalog.REPORTS[n]) for n in names]), out)
     assert read == {"cells": 4, "operator": 3}  # the fourth counts repeated keys, from one column
     assert not any("Expand" in p for p in plans)
+
+
+def test_settings_hold_while_a_report_is_written(spark, tmp_path, monkeypatch):
+    (name, value), seen = next(iter(SETTINGS.items())), []
+    table = Stage.table
+    monkeypatch.setattr(Stage, "table", lambda self, *args: seen.append(spark.conf.get(name)) or table(self, *args))
+    rows = adapters.measurements(spark, SF_DIR).limit(50)
+    names = ("umts_daily", "umts_daily1", "umts_operator")
+    before = spark.conf.get(name)
+    parts = [adapters.clean_report(rows, catalog.REPORTS[n]) for n in names]
+    umts.write_report(spark, umts.UmtsReports(*parts), str(tmp_path / "out"))
+    assert seen and set(seen) == {value} and spark.conf.get(name) == before
+    spark.conf.set(name, "9000")  # the caller's own stays
+    try:
+        with settled(spark):
+            assert spark.conf.get(name) == "9000"
+        assert spark.conf.get(name) == "9000"
+    finally:
+        spark.conf.unset(name)
