@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from netkpi.llm.common import Kept, workers_import
+from netkpi.llm.common import Kept, remembers, workers_import
 
 #: Prefixes whose last token is remembered (twice as many in all), and the longest of them.
 PREFIXES, LONGEST_PREFIX = 150_000, 40
@@ -208,6 +208,7 @@ _encoders: dict[tuple[str, str], PrefixEncoder] = {}
 
 def encoder_of(path: str, pattern: str) -> PrefixEncoder:
     """One encoder per Python worker, with its caches."""
+    remembers("byte_bpe", _encoders.clear)
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = PrefixEncoder(read_ranks(path), pattern)
     return _encoders[path, pattern]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +84,27 @@ class Kept(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+#: Operators that remember things in this Python worker, and how they forget them.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """``operator`` works in this Python worker now: others, which worked here before, forget what they hold.
+
+    Workers are used again by later stages, so else the memory of all operators of a pipeline adds up.
+    """
+    others = [o for o in _remembered if o != operator]
+    for other in others:
+        _remembered.pop(other)()
+    if others:
+        gc.collect()  # encoders and what they keep refer to each other
+    _remembered[operator] = forget
+
 
 def _hash_of(word: bytes) -> int:
     import xxhash
@@ -97,6 +120,7 @@ def hashes_of(words):
     """64-bit hashes of words (bytes), as an array."""
     import numpy as np
 
+    remembers("word_hash", word_hash.forget)
     return np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
 
 

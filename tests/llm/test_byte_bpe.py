@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import weakref
 
 import public_tokenizers as P
 import pytest
@@ -10,7 +11,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from netkpi.llm.byte_bpe import EncodedPiece, PrefixEncoder, decode, digests, encode, read_ranks
+from netkpi.llm.byte_bpe import EncodedPiece, PrefixEncoder, decode, digests, encode, encoder_of, read_ranks
+from netkpi.llm.common import hashes_of, word_hash
 from tests.llm.fixtures import document_rows, documents
 
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -87,3 +89,15 @@ def test_round_trip(spark):
     encoded = encode(documents(spark), PATH)
     for r in decode(encoded, PATH).collect():
         assert bytes(r.data) == (r.row.text or "").encode()
+
+
+def test_a_worker_keeps_one_operators_memory():
+    first = encoder_of(PATH, P.PATTERN)
+    first.encode("some words")
+    assert encoder_of(PATH, P.PATTERN) is first  # tasks of one operator share it
+    gone = weakref.ref(first)
+    del first
+    hashes = hashes_of([b"a", b"b"]).tolist()
+    assert gone() is None and len(word_hash) == 2
+    assert encoder_of(PATH, P.PATTERN).encode("a") and not word_hash
+    assert hashes_of([b"a", b"b"]).tolist() == hashes
