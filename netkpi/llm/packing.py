@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netkpi.llm.common import Kept, scratch, workers_import, written
+from netkpi.llm.common import Kept, remembers, scratch, workers_import, written
 from netkpi.llm.token_files import BYTE_LETTERS
 
 #: Documents packed together, and ids per piece of what remains after whole windows.
@@ -53,6 +53,7 @@ _CUT = re.compile(f"(?<=[{_SIGNS}0-9{_LETTERS}])(?=[\t-\r ])")
 _PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 ).findall
+_BLANK = " ".translate(BYTE_LETTERS)
 
 
 class ByteIds:
@@ -77,7 +78,10 @@ class ByteIds:
         self.known = Kept(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        letters = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(BYTE_LETTERS)
+        if piece.isascii() and piece.isprintable():  # these stand for themselves, but for the blank
+            letters = piece.replace(" ", _BLANK)
+        else:
+            letters = (piece if piece.isascii() else piece.encode().decode("latin-1")).translate(BYTE_LETTERS)
         return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
     def _encoded(self, text: str) -> bytes:
@@ -120,6 +124,7 @@ def byte_ids(path: str) -> ByteIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    remembers("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = ByteIds(path)
     return _encoders[path]

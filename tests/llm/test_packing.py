@@ -137,3 +137,10 @@ def test_query(spark, library):
         sums[r.sequence_id] += r.length
     assert max(sums.values()) <= 1024
     assert sum(1024 - s for s in sums.values()) <= 0.02 * sum(sums.values())
+
+
+def test_pieces_of_each_byte(library):
+    encoder = ByteIds(PATH)
+    for code in range(256):
+        for text in (chr(code), f" {chr(code)}", f"a{chr(code)}b", f"{chr(code)} {chr(code)}"):
+            assert encoder.of(text).tolist() == library.encode(text, add_special_tokens=False).ids
