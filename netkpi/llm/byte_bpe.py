@@ -4,13 +4,14 @@ BPE gives every byte prefix of a piece exactly one token sequence, so a prefix h
 token, and the encoding of a piece is read back from the table of these last tokens. A token may
 end a prefix if it fits to the last token of the prefix before it, that is if BPE, applied to the
 bytes of the two, gives these two again. An append extends the table; an edit recomputes it from
-the edited place until it agrees with the old one again.
+the edited place until it agrees with the old one again. Short pieces share one table, whose
+entries hold all tokens of a prefix and are made when a longer prefix asks for them.
 
 Documents are encoded where they are, without a shuffle; what a task holds is one Arrow batch and
 caches of a fixed number of entries. The rank file is read by each Python worker from ``path``.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes. Special tokens are ordinary
-text. Rows, their order and all columns (in the struct ``row``) stay as they are, repeated ones too.
+text. Rows, their order and all columns (in the struct ``row``, unless ``keep`` names some) stay as they are, repeated ones too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -27,8 +28,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from netkpi.llm.common import Kept, remembers, workers_import
 
-#: Prefixes whose last token is remembered (twice as many in all), and the longest of them.
-PREFIXES, LONGEST_PREFIX = 150_000, 40
+#: Bytes of the longest piece that uses the shared table of prefixes; longer ones have a table of their own.
+LONGEST_SHARED = 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,15 +49,19 @@ class PrefixEncoder:
             self.token_bytes[rank] = token
         self.id_texts = [str(i) for i in range(len(self.token_bytes))]
         self.longest = max(map(len, ranks))
+        #: Bytes of the longest token that ends in these three.
+        self._longest_with_end: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > self._longest_with_end.get(token[-3:], 2):
+                self._longest_with_end[token[-3:]] = len(token)
         self._pieces = regex.compile(pattern).findall
         self._splits_at_blanks = pattern == public_tokenizers.PATTERN
         self._alone = Kept(lambda t: self.merged(self.token_bytes[t]) == [t])
         self._fits = Kept(self._check_pair, 250_000)
-        self._last: dict[bytes, int] = {}
-        self._older_last: dict[bytes, int] = {}
-        self._of_piece = Kept(self._encode_piece, 100_000)
-        self._of_chunk = Kept(self._encode_chunk, 50_000)
-        self._of_word = Kept(self._encode_word, 200_000)
+        self._of_prefix = Kept(self._encode_prefix, 50_000)
+        self._of_piece = Kept(self._encode_piece, 25_000)
+        self._of_chunk = Kept(self._encode_chunk, 25_000)
+        self._of_word = Kept(self._encode_word, 150_000)
 
     # --- single pieces ---
 
@@ -104,25 +109,25 @@ class PrefixEncoder:
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        last = [0]
-        if len(data) > LONGEST_PREFIX:
+        if len(data) > LONGEST_SHARED:
+            last = [0]
             self.extend(data, last)
             return tuple(self.read_back(last))
-        # words begin alike: the last token of a prefix is the same in all of them
-        known = self._last
-        for end in range(1, len(data) + 1):
-            prefix = data[:end]
-            token = known.get(prefix)
-            if token is None:
-                token = self._older_last.get(prefix)
-                if token is None:
-                    self.extend(data, last, end)
-                    token = last.pop()
-                known[prefix] = token
-            last.append(token)
-        if len(known) > PREFIXES:
-            self._older_last, self._last = known, {}
-        return tuple(self.read_back(last))
+        return self._encode_prefix(data)
+
+    def _encode_prefix(self, data: bytes) -> tuple[int, ...]:
+        """Short bytes: the shorter prefix that the last token leaves is asked for in the shared table."""
+        get, fits, of_prefix, size = self.ranks.get, self._fits, self._of_prefix, len(self.token_bytes)
+        whole = get(data)
+        if whole is not None and self._alone[whole]:
+            return (whole,)
+        for start in range(max(1, len(data) - self._longest_with_end.get(data[-3:], 2)), len(data)):
+            token = get(data[start:])
+            if token is not None:
+                before = of_prefix[data[:start]]
+                if fits[before[-1] * size + token]:
+                    return (*before, token)
+        raise ValueError(f"no tokens for {data!r}")
 
     # --- texts ---
 
@@ -131,10 +136,12 @@ class PrefixEncoder:
         if word.isalpha():
             return self._encode_piece(" " + word)
         if word.endswith(_SIGNS) and word[:-1].isalpha():
-            return self._of_piece[" " + word[:-1]] + self._of_piece[word[-1]]
+            return self._of_word[word[:-1]] + self._of_piece[word[-1]]
         return self._encode_chunk(" " + word)
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isalpha():
+            return self._encode_piece(chunk)
         pieces = self._pieces(chunk)
         if len(pieces) == 1:
             return self._of_piece[pieces[0]]
@@ -146,8 +153,8 @@ class PrefixEncoder:
         if not self._splits_at_blanks:
             return list(self._encode_chunk(text))
         # No match of the pattern reaches over the place before a blank that text follows.
-        parts = text.split(" ")
-        if _BLANK_BEFORE_SPACE.search(text):
+        if _SPACE_AT_SPACE.search(text):
+            parts = text.split(" ")
             chunks = parts[:1]
             for part in parts[1:]:
                 if part and not part[0].isspace():
@@ -158,10 +165,15 @@ class PrefixEncoder:
             for chunk in chunks:
                 ids += self._of_chunk[chunk]
             return ids
-        ids = list(self._of_chunk[parts[0]])
-        of_word = self._of_word
-        for part in parts[1:]:
-            ids += of_word[part]
+        # A line feed between other characters is a match of its own.
+        ids, of_word, of_chunk, feed = [], self._of_word, self._of_chunk, self._of_piece["\n"]
+        for nth, line in enumerate(text.split("\n")):
+            if nth:
+                ids += feed
+            parts = line.split(" ")
+            ids += of_chunk[parts[0]]
+            for part in parts[1:]:
+                ids += of_word[part]
         return ids
 
     def decode(self, ids) -> bytes:
@@ -170,7 +182,8 @@ class PrefixEncoder:
 
 #: Signs that are a piece of their own after a word, if only a blank follows.
 _SIGNS = tuple(".,;:!?")
-_BLANK_BEFORE_SPACE = re.compile(r" (?:\s|\Z)")
+#: A blank or a line feed beside other white space, or a blank at the end.
+_SPACE_AT_SPACE = re.compile(r"[ \n]\s|\s\n| \Z")
 
 
 class EncodedPiece:
@@ -214,10 +227,12 @@ def encoder_of(path: str, pattern: str) -> PrefixEncoder:
     return _encoders[path, pattern]
 
 
-def _mapped(docs: DataFrame, text_col: str, fields: list[StructField], arrays: Callable) -> DataFrame:
+def _mapped(
+    docs: DataFrame, text_col: str, fields: list[StructField], arrays: Callable, keep: Sequence[str] = ("*",)
+) -> DataFrame:
     """``row`` with the columns that ``arrays(texts)`` makes for a batch."""
     workers_import(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -255,10 +270,17 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     return encoded.select("row", "ids").mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text_col: str = "text") -> DataFrame:
+def digests(
+    docs: DataFrame,
+    path: str,
+    pattern: str = public_tokenizers.PATTERN,
+    text_col: str = "text",
+    keep: Sequence[str] = ("*",),
+) -> DataFrame:
     """``row``, ``n_tokens`` and SHA-256 of the ids (decimal, one blank between) and of the decoded bytes.
 
-    Encodes and decodes in one pass, so that the ids never leave the task.
+    Encodes and decodes in one pass, so that the ids never leave the task. ``row`` has the columns
+    ``keep``: without the text, this goes to the Python worker once and not back.
     """
 
     def arrays(pa, texts):
@@ -276,4 +298,4 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
         StructField("ids_sha256", StringType()),
         StructField("decoded_sha256", StringType()),
     ]
-    return _mapped(docs, text_col, fields, arrays)
+    return _mapped(docs, text_col, fields, arrays, keep)

@@ -88,7 +88,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=["doc_id"]).select(
         "row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
     )
 

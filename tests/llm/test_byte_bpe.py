@@ -101,3 +101,28 @@ def test_a_worker_keeps_one_operators_memory():
     assert gone() is None and len(word_hash) == 2
     assert encoder_of(PATH, P.PATTERN).encode("a") and not word_hash
     assert hashes_of([b"a", b"b"]).tolist() == hashes
+
+
+def test_line_feeds_and_signs_use_the_words_table(encoder, library):
+    text = "Qorandeth anqorth.\nAnqorth zanqorth, qorandeth\nqorandeth: x\x1c\ny \nz\n\n w\n"
+    for part in (text, text[:50], text[:-2], "\n", "\na", "a\n", "a\n\nb", "a\x85\nb", "q\n."):
+        assert encoder.encode(part) == library.encode_ordinary(part)
+    fresh = PrefixEncoder(read_ranks(PATH))
+    fresh.encode("mun qorandeth, qorandeth.\nlun qorandeth")
+    # one entry per word: a word across a line feed is none, and a sign does not encode the word again
+    assert set(fresh._of_word) == {"qorandeth", "qorandeth,", "qorandeth."}
+    assert set(fresh._of_chunk) == {"mun", "lun"}
+
+
+def test_prefixes_are_shared_and_agree_with_the_table(encoder):
+    r = random.Random(8)
+    words = ["".join(r.choices(["th", "ing", "tion", "e", "r", "an", "ó", "ñ"], k=r.randint(1, 9))) for _ in range(400)]
+    for word in words:
+        piece = word.encode()
+        assert list(encoder._encode_prefix(piece)) == EncodedPiece(encoder, piece).ids()
+    assert any(w.encode()[:n] in encoder._of_prefix for w in words for n in range(1, len(w)))
+
+
+def test_digests_keep_named_columns(spark):
+    found = digests(documents(spark), PATH, keep=["doc_id"])
+    assert found.schema["row"].dataType.names == ["doc_id"]
