@@ -57,10 +57,10 @@ def shard_path(folder: str, number: int) -> str:
 
 
 class WordIds:
-    """Ids of texts as bytes. Words between blanks are encoded once and kept.
+    """Ids of texts as bytes. Words between blanks or line feeds are encoded once and kept.
 
     The tokenizer must drop white space and must not look over it, so that the ids of a text are
-    those of its blank-separated parts. Parts of plain letters, digits and ASCII signs are cut into
+    those of its parts between them. Parts of plain letters, digits and ASCII signs are cut into
     pieces here, as the tokenizer's normalizer and pre-tokenizer do, and only new pieces go to its
     model; all other parts go through the whole tokenizer. With ``added_tokens`` strings of the
     tokenizer's added tokens become their ids, as the library does by default, else they are ordinary text.
@@ -76,24 +76,27 @@ class WordIds:
         self.has_added = re.compile("|".join(added) or r"(?!)", re.I).search
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.packed = struct.Struct("<H" if self.width == 2 else "<I").pack
+        self.packed = [struct.pack("<H" if self.width == 2 else "<I", i) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.tokenize = self.tokenizer.model.tokenize
-        self.known = Kept(self._part)
-        self.pieces = Kept(self._piece)
+        self.known = Kept(self._part, 50_000)
+        self.pieces = Kept(self._piece, 250_000)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([self.packed(t.id) for t in self.tokenize(piece)])
+        return b"".join([self.packed[t.id] for t in self.tokenize(piece)])
 
     def _part(self, part: str) -> bytes:
         if _PLAIN(part) and not self.has_added(part):
             return b"".join([self.pieces[p] for p in _PIECES(part.lower())])
         ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        return b"".join(map(self.packed, ids))
+        return b"".join(map(self.packed.__getitem__, ids))
 
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.known.__getitem__, (text or "").split(" ")))
+        text = text or ""
+        if _PLAIN(text) and not self.has_added(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECES(text.lower())))
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 # Characters whose normal form and lower case depend on themselves alone: ASCII, letters of Latin-1.

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from netkpi.llm.common import scratch
 from netkpi.llm.queries import op3_token_files
-from netkpi.llm.token_files import PerfectHash, fingerprints, global_starts, key_hashes, look_up, read_ids, write_token_files
+from netkpi.llm.token_files import PerfectHash, WordIds, fingerprints, global_starts, key_hashes, look_up, read_ids, write_token_files
 from tests.llm.fixtures import document_rows, documents
 
 PATH = P.path("word_bpe_49k.json")
@@ -68,3 +68,15 @@ def test_query_reads_added_tokens_as_the_library_does(spark, tmp_path):
     want = [(i or -1, [*library.encode(text or "", add_special_tokens=False).ids, 1]) for i, text, _ in rows]
     assert found == sorted((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want)
     assert (900, [320, 2504, 49407, 750, 1]) in want
+
+
+def test_plain_texts_are_cut_into_pieces_at_once():
+    library = Tokenizer.from_file(PATH)
+    encoder = WordIds(PATH, added_tokens=True)
+    texts = ["Qoran, the\nQoran's qoran.", "don't 'll--'s x9\x0b\x0cÉTÉ été", "a\n\n b\r\n", "", "\n", "Σ a\ne\u0301 \u0301\nb <|endoftext|>\nc"]
+    for text in texts:
+        assert np.frombuffer(encoder.of(text), encoder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    fresh = WordIds(PATH, added_tokens=True)
+    fresh.of(texts[0])
+    # a word is encoded once, whatever its case and the signs and line feeds beside it
+    assert not fresh.known and set(fresh.pieces) == {"qoran", ",", "the", "'s", "."}
