@@ -17,7 +17,8 @@ pairs of different families are looked at, however long a list is.
 
 Before whole sets are compared, so are their parity sketches: one bit for the parity of the number of
 shingles in each of some groups. Two sketches differ in at most as many bits as the sets differ in
-shingles, so a pair that differs in more is out for sure.
+shingles, so a pair that differs in more is out for sure. All classes have a sketch, but only the sets
+of pairs that pass it are made and moved: most texts that meet in a list by chance never are.
 
 The boundary is the size with the least cost, from the number of sets of each small size: rows of
 subsets against postings and the candidates these bring.
@@ -102,13 +103,13 @@ def class_of(shingles) -> int:
 
 
 def _sizes_and_counts(width: int):
-    """Per document its set's size and class; at the end of the task the counts of the buckets."""
+    """Per document its set's size and class, with the sketch once per task; at the end of the task the counts of the buckets."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "key", "n", "class", "part", "counts"]
+        names = ["doc_id", "key", "n", "class", "sketch", "part", "counts"]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         seen: set[int] = set()
         some: list = []
@@ -121,14 +122,17 @@ def _sizes_and_counts(width: int):
                 some.clear()
 
         for batch in batches:
-            sizes, classes = [], []
+            sizes, classes, sketches = [], [], []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 classes.append(class_of(s))
+                sketches.append(None)
                 if classes[-1] not in seen:
                     seen.add(classes[-1])
                     some.append(s)
+                    if len(s):
+                        sketches[-1] = sketch_of(s)
                     held += len(s)
                     if held > 1 << 20:
                         count()
@@ -140,6 +144,7 @@ def _sizes_and_counts(width: int):
                     batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array(classes, pa.int64()),
+                    pa.array(sketches, pa.binary()),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -150,7 +155,12 @@ def _sizes_and_counts(width: int):
             parts = np.split(counts.astype("<i4"), 64)
             nothing = pa.nulls(64, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing, nothing, nothing, nothing, pa.array(range(64), pa.int32()), pa.array([p.tobytes() for p in parts])],
+                [
+                    *[nothing] * 4,
+                    pa.nulls(64, pa.binary()),
+                    pa.array(range(64), pa.int32()),
+                    pa.array([p.tobytes() for p in parts]),
+                ],
                 names=names,
             )
 
@@ -310,8 +320,30 @@ def _may_link(n_x, left_x, n_y, left_y, percent: int):
     return (need <= left_x) & (need <= np.minimum(left_y, n_x))
 
 
+#: Members of a list that are held against the others at once; lists of more than ``LONG`` go on as they are.
+_BLOCK, LONG = 64, 4096
+
+
+def _with_partner(n, left, hubs: list[int], percent: int, light: int):
+    """Which members of a list, by size, may link with another one, besides the pairs of a hub with a larger one."""
+    import numpy as np
+
+    if len(n) > LONG:
+        return np.ones(len(n), bool)
+    found, smaller = np.zeros(len(n), bool), np.ones(len(n), bool)
+    smaller[hubs] = False
+    for a in range(0, len(n), _BLOCK):
+        b = min(a + _BLOCK, len(n))
+        end = int(np.searchsorted(n, 100 * n[b - 1] // percent, side="right"))
+        i, j = np.arange(a, b)[:, None], np.arange(a, end)[None, :]
+        fits = (j > i) & smaller[i] & (n[j] > light) & _may_link(n[i], left[i], n[j], left[j], percent)
+        found[a:b] |= fits.any(axis=1)
+        found[a:end] |= fits.any(axis=0)
+    return found
+
+
 def _first_round(percent: int, light: int):
-    """Hub pairs and, for the other rounds, the members of lists of three or more; light links."""
+    """Hub pairs and, for the other rounds, the members of lists that may link with one that is no hub; light links."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -337,20 +369,22 @@ def _first_round(percent: int, light: int):
                     size += len(classes)
             elif n[-1] > light:
                 left = n - at
-                found = False
+                hubs = []
                 todo = np.arange(len(n))
                 while len(todo) > 1:  # each hub takes those of its own size range
                     hub, others = todo[0], todo[1:]
+                    hubs.append(hub)
                     near = n[others] * percent <= 100 * n[hub]
                     fits = others[near & _may_link(n[hub], left[hub], n[others], left[others], percent)]
                     if len(fits):
                         rows.append((HUB, classes[hub], classes[fits], 0))
                         size += len(fits)
-                        found = True
                     todo = others[~near]
-                if len(n) > 2 and (found or (left >= overlap_needed(n, n, percent)).any()):
-                    rows.append((MEMBER, h, classes, what))
-                    size += len(n)
+                if len(n) > 2:
+                    kept = _with_partner(n, left, hubs, percent, light)
+                    if kept.any():
+                        rows.append((MEMBER, h, classes[kept], what[kept]))
+                        size += int(kept.sum())
             if size > 100_000:
                 yield out()
                 size = 0
@@ -461,7 +495,7 @@ def sketch_of(shingles) -> bytes:
 
 
 def _stored_sets(width: int):
-    """Size, sketch and hashes of sets."""
+    """Class, size and hashes of the sets of texts, once per task."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -469,17 +503,15 @@ def _stored_sets(width: int):
         seen: set[int] = set()
         for batch in batches:
             rows: list[tuple] = []
-            for text, name in zip(batch.column(0), batch.column(1).to_pylist()):
-                if name in seen:  # rows that repeat id and text
-                    continue
-                seen.add(name)
+            for text in batch.column(0):
                 s = shingle_set(text.as_py(), width)
-                rows.append((name, len(s), sketch_of(s), s.tobytes()))
-            columns = zip(*rows, strict=True) if rows else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["class", "n", "sketch", "hashes"]
-            )
+                name = class_of(s)
+                if name not in seen:  # rows that repeat id and text
+                    seen.add(name)
+                    rows.append((name, len(s), s.tobytes()))
+            columns = zip(*rows, strict=True) if rows else [()] * 3
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["class", "n", "hashes"])
 
     return run
 
@@ -550,14 +582,14 @@ def _of_two_families(pairs: DataFrame, families: DataFrame) -> DataFrame:
 # --- layout -------------------------------------------------------------------
 
 #: Words of 64 bits in a filter of keys.
-FILTER_WORDS = 1 << 17
+FILTER_WORDS = 1 << 19
 
 
 def _among(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
     """Rows whose key, a hash, may be one of ``others``; a few others pass.
 
     The filter is a set of bits of a fixed size, broadcast as a table of at most ``FILTER_WORDS`` words of 64 bits. It
-    keeps texts that are not wanted out of a shuffle; the join that follows decides.
+    keeps texts and sets that are not wanted out of a shuffle; the join that follows decides.
     """
 
     def word(c: str) -> Column:
@@ -573,14 +605,14 @@ def _among(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> Data
 
 
 def bucketed(df: DataFrame, key: str, path: str) -> DataFrame:
-    """Write a table once in buckets of its key, so that no join on the key moves it again.
+    """Write a table once, one row per key, in buckets of its key, so that no join on the key moves it again.
 
     The session's catalogue knows its layout; the entry goes with the session, the files with their folder.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"buckets_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    df.repartition(n, key).dropDuplicates([key]).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
@@ -636,7 +668,9 @@ def jaccard_components(
     folder = scratch(spark)
     key: Column = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
-    first = docs.mapInArrow(_sizes_and_counts(width), "doc_id long, key long, n long, class long, part int, counts binary")
+    first = docs.mapInArrow(
+        _sizes_and_counts(width), "doc_id long, key long, n long, class long, sketch binary, part int, counts binary"
+    )
     first = written(first, f"{folder}/sizes")
     rows = first.where("part IS NULL").select("doc_id", "key", "n", "class")
     classes = (
@@ -644,6 +678,9 @@ def jaccard_components(
         .groupBy("class")
         .agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("one"))
     )
+    classes = bucketed(classes.select("class", "least", "n", F.xxhash64("one.doc_id", "one.key").alias("one")), "class", f"{folder}/classes")
+    sketches = first.where("sketch IS NOT NULL").select("class", "n", "sketch")
+    sketches = bucketed(sketches, "class", f"{folder}/sketches")
     order = _order(first)
     small = classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in small}, percent)
@@ -658,17 +695,14 @@ def jaccard_components(
     hubs = written(lists.where((F.col("kind") == HUB) & (F.col("x") != F.col("y"))).select("x", "y").distinct(), f"{folder}/hubs")
     members = lists.where(F.col("kind") == MEMBER).select(F.col("x").alias("h"), "what", F.col("y").alias("class"))
     links = lists.where(F.col("kind") == LINK).select("x", "y")
-    # sets of all classes that any round may look at
-    asked = hubs.select(F.col("x").alias("class")).union(hubs.select("y")).union(members.select("class")).distinct()
-    wanted = asked.join(classes, "class").select("class", F.col("one.doc_id").alias("of"), F.col("one.key").alias("of_key"))
-    wanted = written(wanted, f"{folder}/wanted")
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))
-    # both sides grow with the table: never a broadcast
-    sets = _among(docs, "key", wanted, "of_key").join(wanted.hint("merge"), same).select("text", "class").mapInArrow(
-        _stored_sets(width), "class long, n long, sketch binary, hashes binary"
-    )
-    sets = bucketed(sets, "class", f"{folder}/sets")
+    texts = docs.select("text", F.xxhash64("doc_id", "key").alias("one"))
+
     def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Of written pairs those whose sets link; no other set is made."""
+        asked = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
+        asked = written(asked.join(classes.hint("merge"), "class").select("class", "one"), f"{folder}/{name}-asked")
+        made = _among(texts, "one", asked, "one").select("text").mapInArrow(_stored_sets(width), "class long, n long, hashes binary")
+        sets = bucketed(_among(made, "class", asked, "class"), "class", f"{folder}/{name}-sets")
         links = _with_sides(pairs, sets, "hashes").mapInArrow(_links(percent), "x long, y long")
         return written(links, f"{folder}/{name}")
 
@@ -677,7 +711,7 @@ def jaccard_components(
 
     def scanned(families: DataFrame, one_each: bool) -> DataFrame:
         of_class = families.withColumnRenamed("node", "class")
-        rows = members.join(of_class, "class", "left").join(sets.select("class", "sketch"), "class")
+        rows = members.join(of_class, "class", "left").join(sketches.select("class", "sketch").hint("merge"), "class")
         rows = rows.select("h", "what", "class", F.coalesce("root", "class").alias("family"), "sketch")
         rows = rows.repartition("h").sortWithinPartitions("h", "what")
         return ordered(rows.mapInArrow(_scan(percent, light, one_each), "x long, y long"))
@@ -685,7 +719,7 @@ def jaccard_components(
     def stars(families: DataFrame) -> DataFrame:
         return families.select(F.col("node").alias("x"), F.col("root").alias("y"))
 
-    near = _with_sides(hubs, sets, "sketch").mapInArrow(_may_link_by_sketch(percent), "x long, y long, apart long")
+    near = _with_sides(hubs, sketches, "sketch").mapInArrow(_may_link_by_sketch(percent), "x long, y long, apart long")
     near = written(near, f"{folder}/near")
     # of the hubs that a member meets in its lists, the nearest one by sketch; the others wait for the next round
     nearest = near.groupBy("y").agg(F.min(F.struct("apart", "x")).alias("hub")).select(F.col("hub.x").alias("x"), "y")
@@ -697,6 +731,7 @@ def jaccard_components(
     met = written(met.join(looked_at, ["x", "y"], "left_anti"), f"{folder}/met")
     families = families_of(stars(families).union(linked(met, "second")), "more-families")
     rest = scanned(families, False).join(looked_at.union(met), ["x", "y"], "left_anti")
+    rest = written(rest, f"{folder}/rest")
     all_families = families_of(stars(families).union(linked(rest, "third")), "components")
     named = all_families.join(classes.select(F.col("class").alias("node"), "least"), "node")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from netkpi.llm import jaccard_join
@@ -130,3 +131,46 @@ def test_sketches_bound_the_difference():
 
 def _array(hashes):
     return np.array(sorted(hashes), np.uint64)
+
+
+def _first_round_of(lists, percent=85, light=0):
+    """Hub pairs (hub, member) and kept members per list from lists of (size, position, class)."""
+    rows = [(h, n << 32 | at, c) for h, members in enumerate(lists) for n, at, c in sorted(members)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "what", "class"])
+    hubs, kept = set(), {}
+    for out in jaccard_join._first_round(percent, light)(iter([batch])):
+        for kind, x, y, _ in zip(*(out.column(i).to_pylist() for i in range(4))):
+            if kind == jaccard_join.HUB:
+                hubs.add((x, y))
+            else:
+                kept.setdefault(x, set()).add(y)
+    return hubs, kept
+
+
+def test_sets_that_meet_by_chance_leave_the_lists():
+    # sizes too far apart; positions too late; two that only a hub may link with
+    chance = [[(100, 0, 1), (200, 0, 2), (400, 0, 3)], [(100, 12, 4), (101, 12, 5), (102, 12, 6)], [(100, 0, 7), (110, 1, 8), (110, 15, 9)]]
+    hubs, kept = _first_round_of(chance)
+    assert hubs == {(7, 8)} and kept == {}
+    assert _first_round_of([[(100, 0, 1), (104, 0, 2), (105, 1, 3), (300, 0, 4)]])[1] == {0: {2, 3}}
+
+
+@pytest.mark.parametrize("light", [0, 40])
+def test_no_pair_that_may_link_is_lost(light):
+    r = random.Random(light)
+    lists = []
+    for i in range(60):
+        sizes = [r.randint(20, 90) for _ in range(r.choice((2, 3, 5, 30, 200)))]
+        lists.append([(n, r.randrange(jaccard_join.prefix_length(n, 85)), 1000 * i + j) for j, n in enumerate(sizes)])
+    hubs, kept = _first_round_of(lists, 85, light)
+    looked_at = 0
+    for h, members in enumerate(lists):
+        members = sorted(members)
+        for i, (n, at, x) in enumerate(members):
+            for m, place, y in members[i + 1 :]:
+                need = overlap_needed(n, m, 85)
+                if m > light and need <= n and need <= n - at and need <= m - place:
+                    looked_at += 1
+                    assert (x, y) in hubs or {x, y} <= kept.get(h, set())
+    assert looked_at > 1000
+    assert 0 < sum(map(len, kept.values())) < sum(len(m) for m in lists if len(m) > 2)
