@@ -487,3 +487,27 @@ def test_settings_hold_while_a_report_is_written(spark, tmp_path, monkeypatch):
         assert spark.conf.get(name) == "9000"
     finally:
         spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("name", ["lte_daily", "lte_operator", "umts_daily"])
+def test_reports_are_summed_after_their_narrow_rows_are_dealt(spark, name):
+    report = catalog.REPORTS[name]
+    rows = adapters.measurements(spark, SF_DIR)
+    for df in (adapters.clean_report(rows, report), adapters.text_report(rows, report)):
+        nodes = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        dealt = [i for i, n in enumerate(nodes) if "Exchange hashpartitioning" in n]
+        sums = [i for i, n in enumerate(nodes) if "Aggregate" in n]
+        assert len(dealt) == 1 and dealt[0] > max(sums)  # the scan is last
+        executed = df._jdf.queryExecution().executedPlan().toString()
+        assert executed.count("Exchange hashpartitioning") == 1
+
+
+def test_sums_of_a_report_do_not_depend_on_how_rows_are_dealt(spark):
+    hour = dt.datetime(2024, 1, 1, 5)
+    rows = [(hour, u, t, 100 * i, 7 * i) for i, (u, t) in enumerate([(1, "view"), (1, "view"), (None, "view"), (None, "click"), (1, "click"), (1, None)])]
+    rows = spark.createDataFrame(rows, "h timestamp_ntz, u long, t string, x long, v long")
+    for report in (catalog.LTE_EMTC, catalog.LTE_OPERATOR):
+        once = adapters.clean_report(rows.coalesce(1), report, all_kinds=True).collect()
+        many = adapters.clean_report(rows.repartition(5), report, all_kinds=True).collect()
+        assert sorted(map(repr, once)) == sorted(map(repr, many))
+        assert len(once) == (5 if report.per_operator_rows else 2)
